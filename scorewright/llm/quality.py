@@ -9,6 +9,9 @@ table gives an empty ledger. Only id_col and text_col are read, so other columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,59 +25,62 @@ POLICIES = {"base": BASE, "v1": sum(BIT.values())}
 SPACE = "[ \\t-\\r]+"
 
 
-def _repeated(by_key: str, key: str) -> Column:
-    """Positions i from a column that holds a sorted array of structs (key, i), whose key occurs at least twice.
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with the value evaluated once, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _repeated(items: Column, key: str) -> Column:
+    """Positions i of an array of structs (key, i) whose key occurs at least twice."""
+
+    def of(by_key: Column) -> Column:
+        same = lambda a, b: F.coalesce(F.get(by_key, a)[key] == F.get(by_key, b)[key], F.lit(False))
+        at = F.filter(F.sequence(F.lit(0), F.size(by_key) - 1), lambda k: same(k, k - 1) | same(k, k + 1))
+        return F.transform(at, lambda k: F.get(by_key, k)["i"])
+
+    return F.when(F.size(items) > 0, _let(F.array_sort(items), of)).otherwise(F.array().cast("array<int>"))
+
 
-    The sorted array has to be a column of its own: inside a lambda its expression would be evaluated for each element.
-    """
-    same = lambda a, b: F.coalesce(F.get(by_key, a)[key] == F.get(by_key, b)[key], F.lit(False))
-    at = F.filter(F.sequence(F.lit(0), F.size(by_key) - 1), lambda k: same(k, k - 1) | same(k, k + 1))
-    return F.transform(at, lambda k: F.get(by_key, k)["i"])
+def _repeat_words(w: Column) -> Column:
+    """Words inside 3-word windows that occur twice or more. Windows whose hashes meet are compared as words."""
+    window = lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("t"), i.alias("i"))
+    hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    likely = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _repeated(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))), "h")).otherwise(F.array().cast("array<int>"))
+    sure = lambda at: _repeated(F.transform(at, window), "t")
+    covered = lambda at: F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
+    return F.when(F.size(w) >= 4, _let(_let(_let(hashes, likely), sure), covered)).otherwise(0)
 
 
-def measurements(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col and, of each whole text, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns of keep (id_col alone if None) and, of each whole text, n_words, word_chars, n_symbols, n_lines,
+    n_dup_lines, n_repeat_words and `failures`, the bits of the rules that failed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = df.select(F.col(id_col), text.alias("_t"), F.filter(F.split(text, SPACE), lambda w: w != "").alias("_w"))
-    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
-    d = d.select(
-        id_col,
-        "_w",
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_t", "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        lines.alias("_l"),
-        F.when(F.size("_w") >= 4, F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))).alias("_h"),
-    )
-    d = d.select(
-        "*",
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_s"),
-    )
-    # Windows whose hashes meet are compared as words, so that no two windows count as one for their hash.
-    d = d.withColumn("_p", F.when(F.col("_s").isNotNull(), _repeated("_s", "h")))
-    window = lambda i: F.struct(F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("t"), i.alias("i"))
-    d = d.withColumn("_q", F.when(F.size("_p") > 0, F.array_sort(F.transform("_p", window))))
-    d = d.withColumn("_r", F.when(F.col("_q").isNotNull(), _repeated("_q", "t")))
-    words = F.size(F.array_distinct(F.flatten(F.transform("_r", lambda i: F.array(i, i + 1, i + 2)))))
-    return d.select(id_col, "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", F.when(F.size("_r") > 0, words).otherwise(0).cast("long").alias("n_repeat_words"))
-
-
-def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """measurements() and `failures`, the bits of the rules that failed."""
-    m = measurements(df, id_col, text_col)
-    n = F.col("n_words")
+    words = F.filter(F.split(text, SPACE), lambda w: w != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
+
+    def measured(w: Column) -> Column:
+        return F.struct(F.size(w).alias("n_words"), F.length(F.array_join(w, "")).alias("word_chars"), _repeat_words(w).alias("n_repeat_words"))
+
+    def judged(a: Column) -> Column:
+        return _let(F.struct(a["w"]["n_words"].alias("n_words"), a["w"]["word_chars"].alias("word_chars"), a["s"].alias("n_symbols"), F.size(a["l"]).alias("n_lines"), (F.size(a["l"]) - F.size(F.array_distinct(a["l"]))).alias("n_dup_lines"), a["w"]["n_repeat_words"].alias("n_repeat_words")), lambda m: F.struct(m.alias("m"), _failures(m).alias("failures")))
+
+    all_of = _let(F.struct(_let(words, measured).alias("w"), lines.alias("l"), F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).alias("s")), judged)
+    d = df.select(*(F.col(c) for c in keep or (id_col,)), all_of.alias("_all"))
+    names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+    return d.select(*(F.col(c) for c in keep or (id_col,)), *(F.col(f"_all.m.{n}").cast("long").alias(n) for n in names), F.col("_all.failures").alias("failures"))
+
+
+def _failures(m: Column) -> Column:
+    n = m["n_words"]
     failed = {
         "few_words": n < 50,
-        "repeated_words": 100 * F.col("n_repeat_words") > 50 * n,
-        "symbols": 10 * F.col("n_symbols") > n,
-        "duplicate_lines": 10 * F.col("n_dup_lines") > 5 * F.col("n_lines"),
-        "short_words": F.col("word_chars") < 2 * n,
-        "long_words": F.col("word_chars") > 20 * n,
+        "repeated_words": 100 * m["n_repeat_words"].cast("long") > 50 * n,
+        "symbols": 10 * m["n_symbols"].cast("long") > n,
+        "duplicate_lines": 10 * m["n_dup_lines"].cast("long") > 5 * m["n_lines"],
+        "short_words": m["word_chars"] < 2 * n,
+        "long_words": m["word_chars"] > 20 * n.cast("long"),
     }
-    bits = sum((F.when(failed[r], F.lit(BIT[r])).otherwise(0) for r in RULES[1:]), F.when(failed[RULES[0]], F.lit(BIT[RULES[0]])).otherwise(0))
-    return m.withColumn("failures", bits.cast("int"))
+    return reduce(lambda x, y: x.bitwiseOR(y), (F.when(failed[r], F.lit(BIT[r])).otherwise(F.lit(0)) for r in RULES))
 
 
 def apply_policy(of: DataFrame, policy: str | int = "v1") -> DataFrame:

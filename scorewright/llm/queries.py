@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import bpe, chat, decontam, langid, linededup, quality, secrets, toxicity
+from scorewright.llm import bpe, chat, decontam, jaccard, langid, linededup, quality, secrets, suffix, toxicity
 from scorewright.llm.common import table
 
 
@@ -44,6 +44,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", F.coalesce(fold == 1, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: class_id, n_copies, n_links (linked classes of other texts) and group_id of near duplicates."""
+    joined = jaccard.join(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "class_id", "n_copies", "n_links", "group_id")
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -55,6 +61,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(suffix.remove(table(spark, sf_dir, "documents")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
@@ -64,7 +74,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (op1_bpe_codec, op2_quality_rules, op3_line_dedup, op4_decontamination, op5_language_id, op7_chat_format, op8_secret_scan, op10_toxicity)
+    all_of = (op1_bpe_codec, op2_quality_rules, op3_line_dedup, op4_decontamination, op5_language_id, op6_ngram_jaccard_join, op7_chat_format, op8_secret_scan, op9_suffix_dedup, op10_toxicity)
     return {f.__name__: f for f in all_of}
 
 
