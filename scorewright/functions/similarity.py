@@ -28,7 +28,8 @@ def _common(a: str, b: str) -> int:
 
 
 @F.pandas_udf(DoubleType())
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def token_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarity of two columns of sorted tokens."""
     seen: dict[tuple[str, str], float] = {}
     out = []
     for pair in zip(a, b, strict=True):
@@ -41,7 +42,7 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
     """Similarity 0 to 100 of two raw texts; two empty texts have 100."""
-    return _ratio(sorted_tokens(normalize_text(a)), sorted_tokens(normalize_text(b)))
+    return token_ratio(sorted_tokens(normalize_text(a)), sorted_tokens(normalize_text(b)))
 
 
 def native_token_sort_ratio(a: Column | str, b: Column | str) -> Column:

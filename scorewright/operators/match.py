@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.functions.similarity import name_similarity, token_sort_ratio
-from scorewright.functions.text import normalize_date, normalize_text, number_unit, strip_diacritics
+from scorewright.functions.columns import let
+from scorewright.functions.similarity import sorted_tokens, token_ratio, token_sort_ratio
+from scorewright.functions.text import canonical_nutrient, normalize_date, normalize_text, number_unit, strip_diacritics
 from scorewright.operators.assign import assign, item_pairs
 
 LENIENT, LIST, NAME = 90.0, 80.0, 75.0
@@ -55,7 +56,9 @@ def merge_bonus(left: DataFrame, keys: list[str], threshold: float = LIST) -> Da
 def match_lists(df: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", threshold: float = LIST) -> DataFrame:
     """One row per record: keys, n_pred, n_truth, tp, extra_pred, extra_truth, precision, recall, f1."""
     d = df.select(*keys, F.coalesce(pred, F.array().cast("array<string>")).alias("pred"), F.coalesce(truth, F.array().cast("array<string>")).alias("truth"))
-    pairs = item_pairs(d, keys).withColumn("sim", token_sort_ratio("p", "t"))
+    # Items are normalised before the pairs are spread out, once each.
+    ready = d.withColumns({c: F.transform(c, lambda x: sorted_tokens(normalize_text(x))) for c in ("pred", "truth")})
+    pairs = item_pairs(ready, keys).withColumn("sim", token_ratio("p", "t"))
     hits = assign(pairs, keys, threshold).groupBy(*keys).agg(F.collect_list("i").alias("is"), F.collect_list("j").alias("js"))
     none = F.array().cast("array<int>")
     d = d.join(hits, keys, "left").withColumns({"is": F.coalesce("is", none), "js": F.coalesce("js", none)})
@@ -69,11 +72,15 @@ def match_lists(df: DataFrame, keys: list[str], pred: str = "pred", truth: str =
     return d.withColumns({"precision": p, "recall": r}).withColumn("f1", _f1(F.col("precision"), F.col("recall")))
 
 
+def _fits(p: Column, g: Column) -> Column:
+    """Whether a value fits, of structs (nu, text): without a true number the texts decide; units count where both are given."""
+    units = p["nu"]["unit"].isNull() | g["nu"]["unit"].isNull() | (p["nu"]["unit"] == g["nu"]["unit"])
+    return F.when(g["nu"]["number"].isNull(), p["text"] == g["text"]).otherwise(F.coalesce(close(p["nu"]["number"], g["nu"]["number"]) & units, F.lit(False)))
+
+
 def value_matches(pred: Column | str, truth: Column | str) -> Column:
-    """Whether a value fits: without a true number the texts decide; units count only where both are given."""
-    p, g = number_unit(pred), number_unit(truth)
-    units = p["unit"].isNull() | g["unit"].isNull() | (p["unit"] == g["unit"])
-    return F.when(g["number"].isNull(), normalize_text(pred) == normalize_text(truth)).otherwise(F.coalesce(close(p["number"], g["number"]) & units, F.lit(False)))
+    side = lambda c: F.struct(number_unit(c).alias("nu"), normalize_text(c).alias("text"))
+    return let(F.struct(side(pred).alias("p"), side(truth).alias("g")), lambda x: _fits(x["p"], x["g"]))
 
 
 def match_nutrition(df: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", threshold: float = NAME) -> DataFrame:
@@ -83,9 +90,16 @@ def match_nutrition(df: DataFrame, keys: list[str], pred: str = "pred", truth: s
     """
     none = F.array().cast("array<struct<name:string,value:string>>")
     d = df.select(*keys, F.coalesce(pred, none).alias("pred"), F.coalesce(truth, none).alias("truth"))
-    pairs = item_pairs(d, keys).withColumn("fits", value_matches("p.value", "t.value"))
+    def item(e: Column) -> Column:
+        return F.struct(canonical_nutrient(e["name"]).alias("name"), sorted_tokens(normalize_text(e["name"])).alias("tokens"), number_unit(e["value"]).alias("nu"), normalize_text(e["value"]).alias("text"))
+
+    ready = d.withColumns({c: F.transform(c, item) for c in ("pred", "truth")})
+    pairs = item_pairs(ready, keys).withColumn("fits", _fits(F.col("p"), F.col("t")))
+    same = F.col("p.name") == F.col("t.name")
     fits_other = pairs.where("fits").groupBy(*keys, "i").agg(F.collect_set("j").alias("fitting"))
-    hits = assign(pairs.withColumn("sim", name_similarity("p.name", "t.name")), keys, threshold).join(fits_other, [*keys, "i"], "left")
+    sim = F.when(same, 100.0).otherwise(token_ratio("p.tokens", "t.tokens"))
+    pairs = pairs.withColumn("sim", sim).select(*keys, "n_pred", "n_truth", "i", "j", "sim", "fits")
+    hits = assign(pairs, keys, threshold).join(fits_other, [*keys, "i"], "left")
     wrong = ~F.col("fits") & (F.size(F.array_remove(F.coalesce("fitting", F.array().cast("array<int>")), F.col("j"))) > 0)
     hits = hits.groupBy(*keys).agg(F.count("*").alias("n_matched"), F.count_if("fits").alias("n_correct"), F.count_if(wrong).alias("n_pairing_errors"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

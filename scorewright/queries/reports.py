@@ -56,10 +56,10 @@ def g4_prompt_effects(spark, sf_dir):
     return d.select("model_key", *(R(c).alias(c) for c in ("vi_zero", "vi_one", "en_zero", "shot_effect", "language_effect")))
 
 
-@query(twin("SELECT kind, model_key, severity, round(avg(score), 6) AS mean, count(DISTINCT image_id) AS n_images FROM (SELECT regexp_extract(condition, '^(\\w+)_s(\\d)', 1) AS kind, model_key, regexp_extract(condition, '^(\\w+)_s(\\d)', 2)::INT AS severity, score, image_id FROM worn WHERE regexp_matches(condition, '_s\\d') UNION ALL SELECT k.kind, model_key, 0, score, image_id FROM worn, (SELECT unnest(['blur', 'glare', 'rotation']) AS kind) k WHERE condition = 'vi_zero' AND CAST(image_id AS bigint) % 5 = 0) GROUP BY ALL", SCORES, CONDITIONS))
+@query(twin("SELECT kind, model_key, severity, round(avg(score), 4) AS mean, count(DISTINCT image_id) AS n_images FROM (SELECT regexp_extract(condition, '^(\\w+)_s(\\d)', 1) AS kind, model_key, regexp_extract(condition, '^(\\w+)_s(\\d)', 2)::INT AS severity, score, image_id FROM worn WHERE regexp_matches(condition, '_s\\d') UNION ALL SELECT k.kind, model_key, 0, score, image_id FROM worn, (SELECT unnest(['blur', 'glare', 'rotation']) AS kind) k WHERE condition = 'vi_zero' AND CAST(image_id AS bigint) % 5 = 0) GROUP BY ALL", SCORES, CONDITIONS))
 def g5_degradation_curve(spark, sf_dir):
     d = P.degradation_curve(rows(spark, sf_dir, "worn", SCORES, CONDITIONS))
-    return d.select("kind", "model_key", "severity", R("mean").alias("mean"), "n_images")
+    return d.select("kind", "model_key", "severity", F.round("mean", 4).alias("mean"), "n_images")
 
 
 CATEGORY = """errors AS (SELECT *, CASE WHEN diacritic_only THEN 'diacritics' WHEN trim(pred) = '' AND trim(truth) <> '' THEN 'missing_field' WHEN trim(truth) = '' AND trim(pred) <> '' THEN 'hallucination'
