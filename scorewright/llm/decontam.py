@@ -209,8 +209,13 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 def _merged(spans):
     """Overlapping or touching runs as one."""
     kind = "array<struct<start:int,end:int>>"
-    grow = lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s)))
-    return F.aggregate(F.array_sort(spans), F.array().cast(kind), grow)
+
+    def grow(done, s):
+        last = F.element_at(done, -1)
+        longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))).cast(kind)
+        return F.when((F.size(done) > 0) & (last["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), longer)).otherwise(F.concat(done, F.array(s).cast(kind)))
+
+    return F.aggregate(F.array_sort(spans.cast(kind)), F.array().cast(kind), grow)
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
