@@ -21,46 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.llm import words
 from scorewright.llm.common import map_slices, text_bytes
 
 WINDOW = 10
 #: Text bytes of the benchmark that one block of queries holds.
 BLOCK_BYTES = 4 << 20
-HASH_BYTES = 1 << 20
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 32
-_WORD = np.zeros(256, bool)
-for _a, _b in ((0x30, 0x3A), (0x61, 0x7B), (0x80, 0x100)):
-    _WORD[_a:_b] = True
-_VALUE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15
-_POWER = np.cumprod(np.full(HASH_BYTES + (1 << 16), _BASE, np.uint64), dtype=np.uint64)
-_UNPOWER = np.cumprod(np.full(HASH_BYTES + (1 << 16), pow(_BASE, -1, 1 << 64), np.uint64), dtype=np.uint64)
 
 
 def tokens(body: bytes, offsets: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of concatenated UTF-8 texts: a 64-bit hash of each word, the start byte of each, and the first word of each text (n + 1)."""
-    low = _LOWER[np.frombuffer(body, np.uint8)]
-    word = _WORD[low]
-    cut = np.zeros(len(low) + 1, bool)
-    cut[np.asarray(offsets, np.int64)] = True
-    before = np.concatenate([[False], word[:-1]]) if len(word) else word
-    starts = np.flatnonzero(word & (~before | cut[:-1]))
-    after = np.concatenate([word[1:], [False]]) if len(word) else word
-    ends = np.flatnonzero(word & (~after | cut[1:])) + 1
-    hashes = np.zeros(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        j = max(int(np.searchsorted(ends, starts[i] + HASH_BYTES, "right")), i + 1)
-        a, b = int(starts[i]), int(ends[j - 1])
-        if b - a > len(_POWER):  # one word of over a megabyte
-            hashes[i] = int.from_bytes(hashlib.blake2b(low[a:b].tobytes(), digest_size=8).digest(), "little")
-        else:
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[low[a:b]] * _POWER[: b - a], dtype=np.uint64)])
-            hashes[i:j] = (sums[ends[i:j] - a] - sums[starts[i:j] - a]) * _UNPOWER[starts[i:j] - a]
-        i = j
-    return hashes, starts, np.searchsorted(starts, np.asarray(offsets, np.int64))
+    return words.tokens(body, offsets, words.LOWER, words.ALNUM)
 
 
 class Queries:

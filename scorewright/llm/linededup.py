@@ -26,12 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.llm.common import map_slices, stored
+from scorewright.llm.graph import bitmap, may
 
 DEPTH = 3
 MIN_DOCS = 10
 CONSTANT = 0.5
-#: Bits of the map of leaves that enough documents reach; its size does not grow with the input.
-BITS = 1 << 24
 _DIGIT = re.compile(r"\d")
 
 
@@ -67,30 +66,17 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
 
     reached = map_slices(docs, leaves, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
     reached = stored(spark, reached.select("leaf"), "leaves")
-    bit = F.pmod(F.col("leaf"), F.lit(BITS))
-    bitmap = np.zeros(BITS // 8, np.uint8)
-    for r in reached.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).toLocalIterator():
-        # Bucket k holds bits (k - 1) * 32768 + 1 ... k * 32768, bucket 0 the bit 0.
-        m = np.frombuffer(r["m"], np.uint8)
-        at = (r["k"] - 1) * 4096 if r["k"] > 0 else -4096
-        if at >= 0:
-            bitmap[at : at + 4096] |= m[: len(bitmap) - at]
-    sent = spark.sparkContext.broadcast(bitmap)
+    sent = spark.sparkContext.broadcast(bitmap(reached, F.col("leaf")))
 
     def lines():
-        known = sent.value
-
-        def may(leaf: int) -> bool:
-            k = leaf % BITS - 1  # as Spark numbers bits, from 1 in bucket 1
-            return k < 0 or bool(known[k >> 3] >> (k & 7) & 1)
-
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for key, t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 found: dict[str, tuple[int, list[str], list[int]]] = {}
-                for i, s in enumerate(t.split("\n")):
-                    p = parse(s, depth)
-                    if p and may(p[0]):
+                parsed = [(i, p) for i, p in ((i, parse(s, depth)) for i, s in enumerate(t.split("\n"))) if p]
+                known = may(sent.value, np.array([p[0] for _, p in parsed], np.int64)).tolist()
+                for (i, p), k in zip(parsed, known, strict=True):
+                    if k:
                         found.setdefault(" ".join(p[1]), (*p, []))[2].append(i)
                 rows += [(leaf, _hash(s), key, d, tokens, at) for s, (leaf, tokens, at) in found.items()]
             cols = list(zip(*rows, strict=True)) or [[]] * 6
