@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -48,27 +48,33 @@ def item_pairs(df: DataFrame, keys: list[str], pred: str = "pred", truth: str =
 def assign(pairs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """Rows of pairs (keys, i, j, sim, n_pred, n_truth, ...) in a maximum-total assignment and at the threshold or above.
 
-    All pairs take part in the assignment; the threshold comes after it. One-sided and 2 x 2 records have closed forms;
-    the others are solved from one row that holds the record's pairs.
+    All pairs take part in the assignment; the threshold comes after it. A record's pairs are gathered into one row.
+    One-sided and 2 x 2 records have closed forms there; only the others send their similarities to the solver.
     """
-    one = (F.col("n_pred") == 1) | (F.col("n_truth") == 1)
-    two = (F.col("n_pred") == 2) & (F.col("n_truth") == 2)
-    best = Window.partitionBy(*keys).orderBy(F.desc("sim"), "i", "j")
-    single = pairs.where(one).withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
-    straight = F.sum(F.when(F.col("i") == F.col("j"), F.col("sim")).otherwise(-F.col("sim"))).over(Window.partitionBy(*keys))
-    double = pairs.where(two).withColumn("_d", straight).where((F.col("_d") >= 0) == (F.col("i") == F.col("j"))).drop("_d")
     rest = [c for c in pairs.columns if c not in (*keys, "i", "j")]
-    hard = pairs.where(~one & ~two).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "j", *rest))).alias("_x"))
-    hard = hard.withColumn("_to", _partners(F.transform("_x", lambda x: x["sim"].cast("double")), F.get("_x", F.lit(0))["n_pred"]))
-    solved = hard.select(*keys, F.inline(F.filter("_x", lambda x: F.get("_to", x["i"]) == x["j"]))).select(*pairs.columns)
-    return single.unionByName(double).unionByName(solved).where(F.col("sim") >= threshold)
+    d = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "j", *rest))).alias("_x"))
+    d = d.withColumns({"_n": F.get("_x", F.lit(0))["n_pred"], "_m": F.get("_x", F.lit(0))["n_truth"]})
+    one, two = (F.col("_n") == 1) | (F.col("_m") == 1), (F.col("_n") == 2) & (F.col("_m") == 2)
+    straight = F.aggregate("_x", F.lit(0.0), lambda a, x: a + F.when(x["i"] == x["j"], x["sim"]).otherwise(-x["sim"])) >= 0
+    d = d.withColumns(
+        {
+            "_best": F.array_min(F.transform("_x", lambda x: F.struct((-x["sim"]).alias("s"), x["i"].alias("i"), x["j"].alias("j")))),
+            "_straight": straight,
+            "_to": _partners(F.when(~one & ~two, F.transform("_x", lambda x: x["sim"].cast("double"))), "_n"),
+        }
+    )
+    chosen = lambda x: F.when(one, (x["i"] == F.col("_best.i")) & (x["j"] == F.col("_best.j"))).when(two, (x["i"] == x["j"]) == F.col("_straight")).otherwise(F.get("_to", x["i"]) == x["j"])
+    return d.select(*keys, F.inline(F.filter("_x", lambda x: chosen(x) & (x["sim"] >= threshold)))).select(*pairs.columns)
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def _partners(sims: pd.Series, n_pred: pd.Series) -> pd.Series:
-    """Column of each row of the records' matrices, -1 without one."""
+    """Column of each row of the records' matrices, -1 without one; null for null."""
     out = []
     for flat, n in zip(sims, n_pred, strict=True):
+        if flat is None:
+            out.append(None)
+            continue
         to = [-1] * n
         for i, j in solve(np.asarray(flat, float).reshape(n, -1)):
             to[i] = j

@@ -40,17 +40,23 @@ def _f1(p: Column, r: Column) -> Column:
 
 
 def merge_bonus(left: DataFrame, keys: list[str], threshold: float = LIST) -> DataFrame:
-    """keys, extra_pred, extra_truth from the items that the assignment left (left_pred, left_truth).
+    """left with extra_pred and extra_truth, from the items that the assignment left (left_pred, left_truth).
 
     All left on one side, joined in order, against any left on the other; joined truth is tried first.
     """
+    ready = lambda c: sorted_tokens(normalize_text(c))
 
-    def tried(one: str, many: str, name: str) -> DataFrame:
-        rows = left.where((F.size(many) > 1) & (F.size(one) > 0)).select(*keys, F.size(many).alias("n"), F.array_join(many, " ").alias("m"), F.explode(one).alias("x"))
-        return rows.where(token_sort_ratio("x", "m") >= threshold).groupBy(*keys).agg(F.max("n").alias(name))
+    def tries(one: str, many: str, kind: int):
+        rows = F.transform(one, lambda x: F.struct(F.lit(kind).alias("kind"), ready(x).alias("a"), ready(F.array_join(many, " ")).alias("b")))
+        return F.when(F.size(many) > 1, rows).otherwise(F.array().cast("array<struct<kind:int,a:string,b:string>>"))
 
-    both = tried("left_pred", "left_truth", "by_truth").join(tried("left_truth", "left_pred", "by_pred"), keys, "full")
-    return both.select(*keys, F.when(F.col("by_truth").isNotNull(), 1).otherwise(F.col("by_pred")).alias("extra_pred"), F.coalesce("by_truth", F.lit(1)).alias("extra_truth"))
+    d = left.withColumn("_try", F.explode_outer(F.concat(tries("left_pred", "left_truth", 0), tries("left_truth", "left_pred", 1))))
+    d = d.withColumn("_hit", token_ratio(F.coalesce("_try.a", F.lit("")), F.coalesce("_try.b", F.lit(" "))) >= threshold)
+    own = [c for c in left.columns if c not in keys]
+    hit = lambda kind: F.coalesce(F.max(F.when(F.col("_hit") & (F.col("_try.kind") == kind), True)), F.lit(False))
+    d = d.groupBy(*keys).agg(*(F.first(c).alias(c) for c in own), hit(0).alias("_t"), hit(1).alias("_p"))
+    extra = lambda on_truth, on_pred: F.when(F.col("_t"), on_truth).when(F.col("_p"), on_pred).otherwise(0)
+    return d.withColumns({"extra_pred": extra(F.lit(1), F.size("left_pred")), "extra_truth": extra(F.size("left_truth"), F.lit(1))}).drop("_t", "_p")
 
 
 def match_lists(df: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", threshold: float = LIST) -> DataFrame:
@@ -64,9 +70,8 @@ def match_lists(df: DataFrame, keys: list[str], pred: str = "pred", truth: str =
     d = d.join(hits, keys, "left").withColumns({"is": F.coalesce("is", none), "js": F.coalesce("js", none)})
     rest = lambda items, used: F.filter(items, lambda x, k: ~F.array_contains(used, k))
     d = d.withColumns({"left_pred": rest("pred", "is"), "left_truth": rest("truth", "js")})
-    d = d.join(merge_bonus(d, keys, threshold), keys, "left")
-    tp = F.size("is")
-    d = d.select(*keys, F.size("pred").alias("n_pred"), F.size("truth").alias("n_truth"), tp.alias("tp"), F.coalesce("extra_pred", F.lit(0)).alias("extra_pred"), F.coalesce("extra_truth", F.lit(0)).alias("extra_truth"))
+    d = merge_bonus(d, keys, threshold)
+    d = d.select(*keys, F.size("pred").alias("n_pred"), F.size("truth").alias("n_truth"), F.size("is").alias("tp"), "extra_pred", "extra_truth")
     p = F.when(F.col("n_pred") == 0, 1.0).otherwise((F.col("tp") + F.col("extra_pred")) / F.col("n_pred"))
     r = F.when(F.col("n_truth") == 0, 1.0).otherwise((F.col("tp") + F.col("extra_truth")) / F.col("n_truth"))
     return d.withColumns({"precision": p, "recall": r}).withColumn("f1", _f1(F.col("precision"), F.col("recall")))
