@@ -56,6 +56,26 @@ def a9_upsert(spark, sf_dir):
     return tables.upserted(d.select(*cols, "v"), new.select(*cols, (F.col("v") + 100).alias("v")), cols)
 
 
+STORED = twin("SELECT image_id, model_key, condition, content FROM done", ANSWERS, RESPONSES, CACHED, DONE)
+
+
+@query(STORED)
+def a4_read_responses(spark, sf_dir):
+    """Successful answers written as JSON records under tier and model, and read back with the fixed schema."""
+    path = tables.scratch(spark, "responses")
+    S.successes(cached(spark, sf_dir)).withColumn("model", F.col("model_key")).write.partitionBy("model").json(path)
+    return tables.read_responses(spark, path, one_a_file=False).select("image_id", "model_key", "condition", "content")
+
+
+@query(twin("SELECT image_id, model_key, condition, CAST(v AS DOUBLE) / 10 AS f1 FROM answers", ANSWERS))
+def a8_read_scored(spark, sf_dir):
+    """Scores written as CSV and read back; ids keep their leading zeros."""
+    path = tables.scratch(spark, "scored")
+    d = rows(spark, sf_dir, "answers", ANSWERS).select("image_id", "model_key", "condition", (F.col("v").cast("double") / 10).alias("f1"))
+    tables.write_table(d, path, "csv")
+    return tables.read_scored(spark, path, "image_id string, model_key string, condition string, f1 double")
+
+
 @query(twin("SELECT tier, model_key, image_id, condition, input_tokens, output_tokens, round(input_tokens / 1e6 * price_in + output_tokens / 1e6 * price_out, 6) AS cost_usd FROM ledger WHERE input_tokens + output_tokens > 0", LEDGER))
 def a10_ledger(spark, sf_dir):
     from scorewright.functions.text import cost_usd

@@ -283,6 +283,22 @@ def k2_loop_guard(spark, sf_dir):
     return C.assemble(chunks(spark, sf_dir)).select("response_id", F.md5(F.encode("content", "utf-8")).alias("content"), "finish_reason")
 
 
+@query(twin("SELECT image_id, model_key, condition, content IS NOT NULL AND v <> 11 AS json_valid FROM responses WHERE error IS NULL", ANSWERS, RESPONSES))
+def k3_score_incrementally(spark, sf_dir):
+    """Answers that arrive in files are scored by a stream and upserted; failed ones come a second time and stay out."""
+    from scorewright.operators.parse import parse
+    from scorewright.sources.tables import scratch
+
+    d = rows(spark, sf_dir, "responses", ANSWERS, RESPONSES).select("image_id", "model_key", "condition", "content", "error")
+    source, path, keys = scratch(spark, "arriving"), scratch(spark, "scores"), ["image_id", "model_key", "condition"]
+    for part in ("model_key = 'm0'", "model_key <> 'm0'"):
+        d.where(part).write.mode("append").parquet(source)
+    score = lambda batch: parse(batch.where("error IS NULL")).select(*keys, (F.col("content").isNotNull() & ~F.col("parse_failed")).alias("json_valid"))
+    stream = spark.readStream.schema(d.schema).parquet(source)
+    C.score_incrementally(stream, score, path, scratch(spark, "progress"), keys).awaitTermination()
+    return spark.read.parquet(path).select(*keys, "json_valid")
+
+
 @query(twin("SELECT model_key, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(input_tokens / 1e6 * price_in + output_tokens / 1e6 * price_out), 4) AS cost_usd FROM ledger GROUP BY model_key", LEDGER))
 def k4_running_spend(spark, sf_dir):
     d = C.running_spend(ledger(spark, sf_dir))

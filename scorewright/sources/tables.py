@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,15 @@ FIELD_KEY = ["image_id", "model_key", "condition", "field"]
 IMAGE_KEY = ["image_id", "model_key", "condition"]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; a temporary one only where the cluster names none."""
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        where = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", where)
+    return f"{where}/{name}-{uuid.uuid4().hex}"
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """One strict record for each JSON file; the id is the file's name without its ending.
 
@@ -44,9 +56,9 @@ def list_images(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)\.jpeg$", 1).alias("image_id"), F.col("path").alias("image_path")).orderBy("image_id")
 
 
-def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Cached answers, one JSON record a file, under tier/model/ folders."""
-    return spark.read.schema(RESPONSES).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+def read_responses(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
+    """Cached answers under tier/model/ folders: one JSON record a file, or one a line."""
+    return spark.read.schema(RESPONSES).option("multiLine", one_a_file).option("recursiveFileLookup", True).json(path)
 
 
 def read_models(spark: SparkSession, path: str) -> DataFrame:
@@ -94,7 +106,11 @@ def upsert_scored(new: DataFrame, path: str, keys: list[str], partitions: tuple[
         old = None
     if old is not None:
         old = old.withColumns({p: F.col(p).cast(new.schema[p].dataType) for p in partitions}).join(F.broadcast(touched) if touched.limit(10_001).count() <= 10_000 else touched, list(partitions), "left_semi")
-    merged = upserted(old, new, keys).checkpoint() if old is not None else upserted(None, new, keys)
+    merged = upserted(old, new, keys)
+    if old is not None:  # what is read is about to be overwritten
+        copy = scratch(spark, "upsert")
+        merged.write.parquet(copy)
+        merged = spark.read.schema(merged.schema).parquet(copy)
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
