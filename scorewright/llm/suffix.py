@@ -4,14 +4,15 @@ Every string of `length` bytes holds a gram of 20 bytes that is least by a fixed
 equals; equal strings choose the same gram at the same place. So suffixes need to be sorted only where a gram was chosen.
 
 1. Chosen grams, as hashes in sorted blocks by hash range, are counted by slices of documents; those that two documents
-   hold set bits in a map of fixed size. It only saves work: a bit set in vain costs a comparison.
+   hold set bits in a map of fixed size. Such maps only save work: a bit set in vain costs a comparison.
 2. The strings that chose one gram lie in a row and make a record: the bytes that they cover. Records with known grams
-   are grouped by content with the least document id, so thousands of copies are one row, and range-partitioned by
-   their suffix from the gram on, at splitters that Spark samples. Equal suffixes never straddle a boundary; a gram
-   with very many different records is split further, into its strings, by their whole content.
-3. Each partition is sorted by multikey quicksort: by the first eight bytes, then ties alone by the next eight. Runs of
-   equal grams with two or more records are expanded to their strings, which are sorted likewise; the least document of
-   a run of equal strings keeps it.
+   are compared by hash first, with their least document. Where all records of a gram are the same, that document keeps
+   them; thousands of copies are one row here.
+3. The other records are range-partitioned by their suffix from the gram on, at splitters that Spark samples. Equal
+   suffixes never straddle a boundary; a gram with very many different records is split further, into its strings, by
+   their whole content. Each partition is sorted by multikey quicksort: by the first eight bytes, then ties alone by the
+   next eight. Runs of equal grams with two or more records are expanded to their strings, which are sorted likewise;
+   the least document of a run of equal strings keeps it.
 4. Only keepers are told: a row for each record that its least document keeps, with a bit for each string. A document
    then removes each byte of every string in a known record that it isn't told to keep.
 
@@ -21,20 +22,23 @@ strings. Null and empty texts, and texts shorter than `length`, lose nothing. On
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.llm.common import stored, text_bytes
+from scorewright.llm.graph import bitmap, may
 from scorewright.llm.words import mixed
 
 LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM + 1
+#: Mark of a string that was split off.
+SPLIT = 128
 #: Bits of the map of shared grams (16 MB); a power of 2.
 MAP_BITS = 27
 #: Records of one gram above which it is split into its strings.
@@ -44,12 +48,14 @@ PART_BYTES = 4 << 20
 SLICE = 1 << 20
 NO_ID = (1 << 63) - 1
 _VALUE = np.random.default_rng(4321).integers(1, 1 << 63, 256, dtype=np.uint64)
-_C = np.uint64(0x9E3779B97F4A7C15)
+_C = 0x9E3779B97F4A7C15
+#: Records that a task gathers before it passes them on, so that copies within it are one row.
+GATHER = 150_000
 
 
 def _rolled(b: np.ndarray, n: int) -> np.ndarray:
     """64-bit hash of every n bytes in a row, for n the sum of at most a few powers of 2."""
-    power, width, h = _C, 1, _VALUE[b]
+    power, width, h = np.array([_C], np.uint64), 1, _VALUE[b]
     out, done = None, 0
     while True:
         if n & width:
@@ -100,13 +106,13 @@ class Records:
 
 
 def _content(body: bytes, r: Records, k: int) -> bytes:
-    """A record: the offset of its gram, then its bytes."""
+    """A record: the place of its gram, then its bytes."""
     a = int(r.first[k])
     return bytes([int(r.place[k]) - a]) + body[a : int(r.last[k]) + LENGTH]
 
 
 def _name(content: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little", signed=True)
+    return xxhash.xxh3_64_intdigest(content) - (1 << 63)
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +152,7 @@ def keepers(contents: list[bytes], docs: np.ndarray) -> list[int]:
     size = np.array([len(c) for c in contents], np.int64)
     flat = np.frombuffer(b"".join(contents), np.uint8)
     at = np.cumsum(size) - size
-    off = flat[at].astype(np.int64)
+    off = flat[at].astype(np.int64) & (SPLIT - 1)
     count = size - 1 - LENGTH + 1
     masks = (np.int64(1) << count) - 1
     order, run = multikey_order(_padded(np.lib.stride_tricks.sliding_window_view(flat, GRAM)[at + 1 + off]))
@@ -192,11 +198,14 @@ def shared_grams(docs: DataFrame) -> np.ndarray:
             bucket = (g >> np.uint64(64 - bits)).astype(np.int64)
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(g) else []
             spans = list(zip(cut, [*cut[1:], len(g)], strict=True)) if cut else []
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i]) for i, _ in spans], pa.int64()), pa.array([g[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([several[i:j].tobytes() for i, j in spans], pa.binary())], ["bucket", "grams", "several"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i]) for i, _ in spans], pa.int64()), pa.array([g[i:j].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i, j in spans], pa.binary()), pa.array([np.packbits(several[i:j]).tobytes() for i, j in spans], pa.binary())], ["bucket", "grams", "several"])
 
     def shared(group: pa.Table) -> pa.Table:
-        g = np.frombuffer(b"".join(group["grams"].to_pylist()), np.uint64)
-        several = np.frombuffer(b"".join(group["several"].to_pylist()), bool)
+        raw = np.frombuffer(b"".join(group["grams"].to_pylist()), np.uint8).reshape(-1, 6)  # the upper 48 bits
+        g = np.zeros((len(raw), 8), np.uint8)
+        g[:, :6] = raw
+        g = g.view(">u8").ravel().astype(np.uint64)
+        several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(y) // 6) for x, y in zip(group["several"].to_pylist(), group["grams"].to_pylist(), strict=True)]).astype(bool)
         order = np.argsort(g, kind="stable")
         g, several = g[order], several[order]
         again = np.concatenate([g[1:] == g[:-1], [False]]) | several
@@ -218,67 +227,101 @@ def _known(grams: np.ndarray, of: np.ndarray) -> np.ndarray:
     return (grams[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def keeps(docs: DataFrame, sent) -> DataFrame:
-    """id, told (array of struct name, mask): the records of which a document keeps strings. sent: broadcast shared_grams()."""
+def _gathered(batches: Iterator[pa.RecordBatch], rows_of, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows (key..., least document) of slices, with equal keys in a task's stretch of rows made one."""
+    least: dict[tuple, int] = {}
+
+    def flush() -> pa.RecordBatch:
+        cols = list(zip(*((*k, d) for k, d in least.items()), strict=True)) or [[]] * len(schema)
+        out = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+        least.clear()
+        return out
+
+    for part, body, offsets in _slices(batches):
+        ids = part.column(0).to_pylist()
+        for key, doc in rows_of(body, offsets):
+            d = ids[doc]
+            if d < least.get(key, NO_ID + 1):
+                least[key] = d
+        if len(least) >= GATHER:
+            yield flush()
+    yield flush()
+
+
+def _strings(content: bytes) -> list[bytes]:
+    """The strings of a record, as records of their own; the high bit of the first byte marks them."""
+    return [bytes([SPLIT + content[0] - i]) + content[1 + i : 1 + i + LENGTH] for i in range(len(content) - LENGTH)]
+
+
+def keeps(docs: DataFrame, sent) -> tuple[DataFrame, object]:
+    """doc, told (array of struct name, mask): the records of which a document keeps strings; and the broadcast map of
+    grams that were split. sent: broadcast shared_grams()."""
     spark = docs.sparkSession
+    context = spark.sparkContext
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, body, offsets in _slices(batches):
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(body: bytes, offsets: list[int]):
             r = Records(body, offsets)
-            ids = part.column(0).to_pylist()
-            least: dict[bytes, int] = {}
+            gram = r.hash.view(np.int64)
             for k in np.flatnonzero(_known(sent.value, r.hash)).tolist():
-                c, d = _content(body, r, k), ids[r.doc[k]]
-                if d < least.get(c, NO_ID + 1):
-                    least[c] = d
-            yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.binary()), pa.array(list(least.values()), pa.int64())], ["content", "doc"])
-
-    found = docs.mapInArrow(records, "content binary, doc long").groupBy("content").agg(F.min("doc").alias("doc"))
-    off = F.conv(F.hex(F.substring("content", 1, 1)), 16, 10).cast("int")
-    suffix: Column = F.expr(f"substring(content, conv(hex(substring(content, 1, 1)), 16, 10) + 2, {GRAM})")
-    found = stored(spark, found.withColumn("suffix", suffix).withColumn("off", off), "records")
-    hot = found.groupBy("suffix").count().where(F.col("count") > HOT).select("suffix", F.lit(True).alias("hot"))
-    hot = stored(spark, hot, "hot-grams")
-    marked = found
-    if hot.limit(1).count():
-        marked = found.join(hot, "suffix", "left")
-        strings = marked.where("hot").select(F.explode(F.expr(f"transform(sequence(0, octet_length(content) - {LENGTH + 1}), i -> concat(unhex(lpad(hex(off - i), 2, '0')), substring(content, i + 2, {LENGTH})))")).alias("content"), "doc").groupBy("content").agg(F.min("doc").alias("doc"))
-        strings = strings.select("content", "doc", F.substring("content", 2, LENGTH).alias("suffix"))
-        marked = marked.where("hot is null").select("content", "doc", "suffix").unionByName(strings)
-    total = found.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
+                yield (int(gram[k]), _name(_content(body, r, k))), r.doc[k]
+
+        yield from _gathered(batches, rows_of, pa.schema([("gram", pa.int64()), ("name", pa.int64()), ("doc", pa.int64())]))
+
+    names = docs.mapInArrow(named, "gram long, name long, doc long").repartition("gram").groupBy("gram", "name").agg(F.min("doc").alias("doc"))
+    grams = names.groupBy("gram").agg(F.count("*").alias("n"), F.first("name").alias("name"), F.first("doc").alias("doc"))
+    grams = stored(spark, grams.select("gram", "n", F.when(F.col("n") == 1, F.col("name")).alias("name"), F.when(F.col("n") == 1, F.col("doc")).alias("doc")), "grams")
+    mixed_grams = context.broadcast(bitmap(grams.where("n > 1"), F.col("gram")))
+    hot = context.broadcast(bitmap(grams.where(F.col("n") > HOT), F.col("gram")))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows_of(body: bytes, offsets: list[int]):
+            r = Records(body, offsets)
+            gram = r.hash.view(np.int64)
+            split = may(hot.value, gram)
+            for k in np.flatnonzero(_known(sent.value, r.hash) & may(mixed_grams.value, gram)).tolist():
+                content = _content(body, r, k)
+                for c in _strings(content) if split[k] else (content,):
+                    yield (c,), r.doc[k]
+
+        yield from _gathered(batches, rows_of, pa.schema([("content", pa.binary()), ("doc", pa.int64())]))
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contents, docs = [], []
+        least: dict[bytes, int] = {}
         for b in batches:
-            contents += b.column(0).to_pylist()
-            docs.append(b.column(1).to_numpy())
-        if not contents:
-            return
-        docs = np.concatenate(docs)
+            for c, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if d < least.get(c, NO_ID + 1):
+                    least[c] = d
+        contents, docs = list(least), np.array(list(least.values()), np.int64)
         masks = keepers(contents, docs)
         some = [k for k, m in enumerate(masks) if m]
         for k in range(0, len(some), 20_000):
             part = some[k : k + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array(docs[part], pa.int64()), pa.array([_name(contents[i]) for i in part], pa.int64()), pa.array([masks[i] for i in part], pa.int64())], ["doc", "name", "mask"])
 
+    # A split string is placed by its first bytes, another record by its gram and what follows.
+    first = "CAST(conv(hex(substring(content, 1, 1)), 16, 10) AS int)"
+    suffix = F.expr(f"substring(content, IF({first} >= {SPLIT}, 0, {first}) + 2, {GRAM})")
+    total = grams.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))).first()[0] * (LENGTH + SPAN // 2)
     parts = max(8, -(-total // PART_BYTES))
-    return marked.select("content", "doc", "suffix").repartitionByRange(parts, "suffix").select("content", "doc").mapInArrow(sort, "doc long, name long, mask long").groupBy("doc").agg(F.collect_list(F.struct("name", "mask")).alias("told"))
+    found = docs.mapInArrow(records, "content binary, doc long").repartitionByRange(parts, suffix).mapInArrow(sort, "doc long, name long, mask long")
+    alone = grams.where("n = 1").select("doc", "name", F.lit(-1).cast("long").alias("mask"))
+    return alone.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("name", "mask")).alias("told")), hot
 
 
-def _removed(body: bytes, offsets: list[int], told: list[dict[int, int]], grams: np.ndarray) -> np.ndarray:
+def _removed(body: bytes, offsets: list[int], told: list[dict[int, int]], grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Which bytes go."""
     r = Records(body, offsets)
     edge = np.zeros(len(body) + 1, np.int32)
+    split = may(hot, r.hash.view(np.int64))
     for k in np.flatnonzero(_known(grams, r.hash)).tolist():
         c = _content(body, r, k)
         mine = told[r.doc[k]]
         a, n = int(r.first[k]), len(c) - LENGTH
-        keep = mine.get(_name(c))
-        if keep is None:
-            keep = 0
-            if mine.get(None):  # strings of a gram that was split stand for themselves
-                for i in range(n):
-                    keep |= (_name(bytes([(c[0] - i) % 256]) + c[1 + i : 1 + i + LENGTH]) in mine) << i
+        keep = mine.get(_name(c), 0)
+        if split[k]:
+            for i, x in enumerate(_strings(c)):
+                keep |= (_name(x) in mine) << i
         lost = ~keep & ((1 << n) - 1)
         i = 0
         while lost >> i:
@@ -298,14 +341,13 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"))
     grams = shared_grams(docs)
     sent = df.sparkSession.sparkContext.broadcast(grams)
-    joined = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc")).join(keeps(docs, sent), "doc", "left").select("id", "text", "told")
+    told, hot = keeps(docs, sent)
+    joined = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc")).join(told, "doc", "left").select("id", "text", "told")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, body, offsets in _slices(batches):
             told = [{x["name"]: x["mask"] for x in t or ()} for t in part.column(2).to_pylist()]
-            for t in told:
-                t[None] = any(m == 1 for m in t.values())
-            gone = _removed(body, offsets, told, sent.value)
+            gone = _removed(body, offsets, told, sent.value, hot.value)
             raw = np.frombuffer(body, np.uint8)
             rows = []
             for i, j in zip(offsets[:-1], offsets[1:], strict=True):
