@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +39,8 @@ GRAM = 20
 SPAN = LENGTH - GRAM + 1
 #: Mark of a string that was split off.
 SPLIT = 128
-#: Bits of the map of shared grams (16 MB); a power of 2.
-MAP_BITS = 27
+#: Bits of the map of shared grams (32 MB); a power of 2.
+MAP_BITS = 28
 #: Records of one gram above which it is split into its strings.
 HOT = 20_000
 #: Bytes of records in a partition, and of gram hashes in a block group.
@@ -49,6 +49,8 @@ SLICE = 1 << 20
 NO_ID = (1 << 63) - 1
 _VALUE = np.random.default_rng(4321).integers(1, 1 << 63, 256, dtype=np.uint64)
 _C = 0x9E3779B97F4A7C15
+_POWER = np.cumprod(np.full(SLICE + 256, _C, np.uint64), dtype=np.uint64)
+_UNPOWER = np.cumprod(np.full(SLICE + 256, pow(_C, -1, 1 << 64), np.uint64), dtype=np.uint64)
 #: Records that a task gathers before it passes them on, so that copies within it are one row.
 GATHER = 150_000
 
@@ -111,8 +113,18 @@ def _content(body: bytes, r: Records, k: int) -> bytes:
     return bytes([int(r.place[k]) - a]) + body[a : int(r.last[k]) + LENGTH]
 
 
-def _name(content: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(content) - (1 << 63)
+def _names(raw: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """64-bit names of records: of the bytes start..end (starts in order) and the place of the gram among them."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        a = int(start[i])
+        j = int(np.searchsorted(start, a + SLICE))
+        b = int(end[i:j].max())
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[raw[a:b]] * _POWER[: b - a], dtype=np.uint64)])
+        out[i:j] = (sums[end[i:j] - a] - sums[start[i:j] - a]) * _UNPOWER[start[i:j] - a]
+        i = j
+    return mixed(out ^ mixed(((end - start) * 256 + place + 1).astype(np.uint64))).view(np.int64)
 
 
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -260,13 +272,24 @@ def keeps(docs: DataFrame, sent) -> tuple[DataFrame, object]:
     context = spark.sparkContext
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_of(body: bytes, offsets: list[int]):
-            r = Records(body, offsets)
-            gram = r.hash.view(np.int64)
-            for k in np.flatnonzero(_known(sent.value, r.hash)).tolist():
-                yield (int(gram[k]), _name(_content(body, r, k))), r.doc[k]
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            gram, name, doc = (np.concatenate(x) if held else np.zeros(0, np.int64) for x in (zip(*held, strict=True) if held else [[]] * 3))
+            held.clear()
+            order = np.lexsort((doc, name, gram))
+            gram, name, doc = gram[order], name[order], doc[order]
+            first = np.concatenate([[True], (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])])[: len(gram)]
+            return pa.RecordBatch.from_arrays([pa.array(x[first], pa.int64()) for x in (gram, name, doc)], ["gram", "name", "doc"])
 
-        yield from _gathered(batches, rows_of, pa.schema([("gram", pa.int64()), ("name", pa.int64()), ("doc", pa.int64())]))
+        for part, body, offsets in _slices(batches):
+            r = Records(body, offsets)
+            k = np.flatnonzero(_known(sent.value, r.hash))
+            name = _names(np.frombuffer(body, np.uint8), r.first[k], r.last[k] + LENGTH, r.place[k] - r.first[k])
+            held.append((r.hash.view(np.int64)[k], name, part.column(0).to_numpy(zero_copy_only=False)[r.doc[k]]))
+            if sum(len(x[0]) for x in held) >= 2 * GATHER:
+                yield flush()
+        yield flush()
 
     names = docs.mapInArrow(named, "gram long, name long, doc long").repartition("gram").groupBy("gram", "name").agg(F.min("doc").alias("doc"))
     grams = names.groupBy("gram").agg(F.count("*").alias("n"), F.first("name").alias("name"), F.first("doc").alias("doc"))
@@ -293,11 +316,13 @@ def keeps(docs: DataFrame, sent) -> tuple[DataFrame, object]:
                 if d < least.get(c, NO_ID + 1):
                     least[c] = d
         contents, docs = list(least), np.array(list(least.values()), np.int64)
-        masks = keepers(contents, docs)
-        some = [k for k, m in enumerate(masks) if m]
+        masks = np.array(keepers(contents, docs), np.int64)
+        size = np.array([len(c) for c in contents], np.int64)
+        flat, at = np.frombuffer(b"".join(contents), np.uint8), np.cumsum(size) - size
+        name = _names(flat, at + 1, at + size, flat[at].astype(np.int64)) if contents else masks
+        some = np.flatnonzero(masks)
         for k in range(0, len(some), 20_000):
-            part = some[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(docs[part], pa.int64()), pa.array([_name(contents[i]) for i in part], pa.int64()), pa.array([masks[i] for i in part], pa.int64())], ["doc", "name", "mask"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[some[k : k + 20_000]], pa.int64()) for x in (docs, name, masks)], ["doc", "name", "mask"])
 
     # A split string is placed by its first bytes, another record by its gram and what follows.
     first = "CAST(conv(hex(substring(content, 1, 1)), 16, 10) AS int)"
@@ -309,32 +334,55 @@ def keeps(docs: DataFrame, sent) -> tuple[DataFrame, object]:
     return alone.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("name", "mask")).alias("told")), hot
 
 
-def _removed(body: bytes, offsets: list[int], told: list[dict[int, int]], grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """Which bytes go."""
-    r = Records(body, offsets)
+def _keyed(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
+    return mixed(name.view(np.uint64) ^ mixed(doc.astype(np.uint64) + np.uint64(1)))
+
+
+def _removed(body: bytes, offsets: list[int], told: pa.Array, grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which bytes go. told: for each document of the slice its (name, mask)."""
+    r, raw = Records(body, offsets), np.frombuffer(body, np.uint8)
+    size = pc.fill_null(pc.list_value_length(told), 0).to_numpy(zero_copy_only=False)
+    flat = told.flatten()
+    key = _keyed(np.repeat(np.arange(len(size)), size), flat.field("name").to_numpy(zero_copy_only=False).astype(np.int64))
+    order = np.argsort(key)
+    key, mask = key[order], flat.field("mask").to_numpy(zero_copy_only=False).astype(np.int64)[order]
+
+    def heard(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
+        if not len(key):
+            return np.zeros(len(doc), np.int64)
+        want = _keyed(doc, name)
+        i = np.minimum(np.searchsorted(key, want), len(key) - 1)
+        return np.where(key[i] == want, mask[i], 0)
+
+    k = np.flatnonzero(_known(grams, r.hash))
+    first, last, place, doc = r.first[k], r.last[k], r.place[k] - r.first[k], r.doc[k]
+    keep = heard(doc, _names(raw, first, last + LENGTH, place))
+    count = last - first + 1
+    split = np.flatnonzero(may(hot, r.hash.view(np.int64)[k])) if len(k) else k
+    if len(split):  # strings that were split off are told of one by one
+        row, nth = _spread(split, count)
+        at = first[row] + nth
+        said = heard(doc[row], _names(raw, at, at + LENGTH, SPLIT + place[row] - nth)) != 0
+        np.bitwise_or.at(keep, row, said.astype(np.int64) << nth)
+    full = (np.int64(1) << count) - 1
+    lost = ~keep & full
     edge = np.zeros(len(body) + 1, np.int32)
-    split = may(hot, r.hash.view(np.int64))
-    for k in np.flatnonzero(_known(grams, r.hash)).tolist():
-        c = _content(body, r, k)
-        mine = told[r.doc[k]]
-        a, n = int(r.first[k]), len(c) - LENGTH
-        keep = mine.get(_name(c), 0)
-        if split[k]:
-            for i, x in enumerate(_strings(c)):
-                keep |= (_name(x) in mine) << i
-        lost = ~keep & ((1 << n) - 1)
-        i = 0
-        while lost >> i:
-            i += ((lost >> i) & -(lost >> i)).bit_length() - 1
-            j = i
-            while lost >> j & 1:
-                j += 1
-            edge[a + i] += 1
-            edge[a + j - 1 + LENGTH] -= 1
-            i = j
+    whole = lost == full
+    np.add.at(edge, first[whole], 1)
+    np.add.at(edge, last[whole] + LENGTH, -1)
+    row, nth = _spread(np.flatnonzero(~whole & (lost != 0)), count)
+    at = (first[row] + nth)[(lost[row] >> nth) & 1 == 1]
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + LENGTH, -1)
     return np.cumsum(edge)[:-1] > 0
 
 
+def _spread(rows: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of the rows count times, and the numbers from 0 within each."""
+    n = count[rows]
+    return np.repeat(rows, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id_col, n_bytes, kept (binary), n_removed, n_spans (maximal removed runs)."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -346,8 +394,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, body, offsets in _slices(batches):
-            told = [{x["name"]: x["mask"] for x in t or ()} for t in part.column(2).to_pylist()]
-            gone = _removed(body, offsets, told, sent.value, hot.value)
+            gone = _removed(body, offsets, part.column(2), sent.value, hot.value)
             raw = np.frombuffer(body, np.uint8)
             rows = []
             for i, j in zip(offsets[:-1], offsets[1:], strict=True):
