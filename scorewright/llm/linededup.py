@@ -2,9 +2,13 @@
 
 A line is parsed down a tree of fixed depth: its number of tokens, then its first tokens; a token with a digit is a
 variable field and becomes <*>. Below such a leaf a token stays in the template if it stands at that place in at least
-min_docs lines of different documents, and is generalised to <*> else. A template that min_docs documents share, with
-at least `constant` of its tokens fixed, is recurring: its lines are dropped from every document but the first (the
-smallest id) in which it occurs, so that nothing is lost altogether.
+min_docs lines of different documents, and is generalised to <*> else. A template that min_docs documents share is
+recurring: its lines are dropped from every document but the first (the smallest id) in which it occurs. Lines that
+differ in words are different content, so a template has at least `constant` of its tokens fixed and besides fields with
+digits at most one variable field, in a line that is otherwise equal: WORDS of the tokens are fixed then, and the field
+is not the last token of a line of fewer than LONG tokens.
+
+Support counts documents by id. Only for the choice of fixed tokens, rows that repeat an id count one by one.
 
 Distinct lines are counted before anything is spread over places, so that a line in a third of all documents is one row.
 Only leaves that enough documents reach are worked on; a bitmap of fixed size keeps other lines from being shuffled, and
@@ -31,6 +35,9 @@ from scorewright.llm.graph import bitmap, may
 DEPTH = 3
 MIN_DOCS = 10
 CONSTANT = 0.5
+#: Share of fixed tokens, and tokens of a line that may end in its field, where a field without a digit varies.
+WORDS = 0.8
+LONG = 8
 _DIGIT = re.compile(r"\d")
 
 
@@ -78,36 +85,49 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
                 for (i, p), k in zip(parsed, known, strict=True):
                     if k:
                         found.setdefault(" ".join(p[1]), (*p, []))[2].append(i)
-                rows += [(leaf, _hash(s), key, d, tokens, at) for s, (leaf, tokens, at) in found.items()]
-            cols = list(zip(*rows, strict=True)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), b.column(2).type, pa.list_(pa.string()), pa.list_(pa.int32())]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["leaf", "line", "_key", "d", "tokens", "at"])
+                held, several = set(), Counter(leaf for leaf, _, _ in found.values())
+                for s, (leaf, tokens, at) in found.items():
+                    again = []
+                    if several[leaf] > 1:  # places of tokens that an earlier line of the document has too
+                        again = [p for p, x in enumerate(tokens) if (leaf, p, x) in held]
+                        held.update((leaf, p, x) for p, x in enumerate(tokens))
+                    rows.append((leaf, _hash(s), key, d, tokens, again, at))
+            cols = list(zip(*rows, strict=True)) or [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), b.column(2).type, pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["leaf", "line", "_key", "d", "tokens", "again", "at"])
 
         return one
 
-    found = map_slices(docs, lines, f"leaf long, line long, _key long, d {kind}, tokens array<string>, at array<int>")
+    found = map_slices(docs, lines, f"leaf long, line long, _key long, d {kind}, tokens array<string>, again array<int>, at array<int>")
     found = stored(spark, found, "lines")
-    distinct = found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("d").alias("first"), F.first("tokens").alias("tokens")).join(reached, "leaf", "left_semi")
+    distinct = found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")).join(reached, "leaf", "left_semi")
     distinct = stored(spark, distinct, "distinct-lines")
-    places = distinct.select("leaf", "line", "n", "first", F.posexplode("tokens").alias("p", "token"))
-    fixed = places.groupBy("leaf", "p", "token").agg(F.sum("n").alias("m")).where(F.col("m") >= min_docs).select("leaf", "p", "token", F.lit(True).alias("fixed"))
+    places = distinct.select("leaf", "line", "n", F.posexplode("tokens").alias("p", "token"))
+    again = found.where("size(again) > 0").select("leaf", "tokens", F.explode("again").alias("p")).select("leaf", "p", F.get("tokens", F.col("p")).alias("token"), F.lit(-1).cast("long").alias("n"))
+    fixed = places.select("leaf", "p", "token", "n").unionByName(again).groupBy("leaf", "p", "token").agg(F.sum("n").alias("m")).where(F.col("m") >= min_docs).select("leaf", "p", "token", F.lit(True).alias("fixed"))
+    word = F.col("token") != "<*>"
+    varies = F.col("fixed").isNull() & word
+    ok = (F.col("n_fixed") >= constant * F.col("size")) & ((F.col("n_open") == 0) | ((F.col("n_open") == 1) & (F.col("n_fixed") >= WORDS * F.col("size")) & ((F.col("place") < F.col("size") - 1) | (F.col("size") >= LONG))))
     template = (
         places.join(fixed, ["leaf", "p", "token"], "left")
         .groupBy("leaf", "line")
         .agg(
             F.array_sort(F.collect_list(F.struct("p", F.when(F.col("fixed"), F.col("token")).otherwise("<*>").alias("x")))).alias("x"),
             F.count("*").alias("size"),
-            F.count_if(F.col("fixed") & (F.col("token") != "<*>")).alias("n_fixed"),
+            F.count_if(F.col("fixed") & word).alias("n_fixed"),
+            F.count_if(varies).alias("n_open"),
+            F.max(F.when(varies, F.col("p"))).alias("place"),
             F.first("n").alias("n"),
-            F.first("first").alias("first"),
         )
-        .select("leaf", "line", "n", "first", (F.col("n_fixed") >= constant * F.col("size")).alias("ok"), F.xxhash64("leaf", F.array_join(F.transform("x", lambda x: x["x"]), " ")).alias("template"))
-        .where("ok")
+        .where(ok)
+        .select("leaf", "line", "n", F.xxhash64("leaf", F.array_join(F.transform("x", lambda x: x["x"]), " ")).alias("template"))
     )
     template = stored(spark, template, "templates")
-    often = template.groupBy("template").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_docs)
-    drop = template.select("leaf", "line", "template").join(often.select("template", "first"), "template").select("leaf", "line", "first")
-    dropped = found.select("leaf", "line", "_key", "d", "at").join(drop, ["leaf", "line"]).where(~F.col("d").eqNullSafe(F.col("first")))
+    # Lines are summed first; where they suffice, the documents are counted.
+    likely = template.join(template.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("template"), "template", "left_semi")
+    hits = stored(spark, found.select("leaf", "line", "_key", "d", "at").join(likely.select("leaf", "line", "template"), ["leaf", "line"]).select("template", "_key", "d", "at"), "hits")
+    often = hits.groupBy("template").agg(F.count_distinct(F.xxhash64("d")).alias("n"), F.min("d").alias("first")).where(F.col("n") >= min_docs)
+    dropped = hits.join(often.select("template", "first"), "template").where(~F.col("d").eqNullSafe(F.col("first")))
     return dropped.groupBy("_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("drop"))
 
 

@@ -96,6 +96,27 @@ def test_line_dedup(spark, none):
     assert linededup.transform(none).count() == 0
 
 
+def dropped_lines(spark, rows, **parameters):
+    out = linededup.transform(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **parameters)
+    return {r["doc_id"]: r["n_dropped"] for r in out.collect()}
+
+
+def test_line_dedup_keeps_different_content(spark):
+    ends = ["see old Anna", "buy fresh bread", "sell his horse", "find warm shelter", "meet our uncle", "ask good questions", "watch tall ships", "paint white fences", "hear loud music", "read long novels", "cook plain soup", "catch river trout"]
+    rows = [(i, f"He went to {e}\nShe came to {e.split()[0]}\nWe walked to the {e.split()[2]}") for i, e in enumerate(ends)]
+    # A template with a field inside a line that is otherwise equal, or with digits, still goes from all but the first.
+    rows += [(20 + i, f"shared by user {e.split()[2]} on the site\nPage {i} of 90") for i, e in enumerate(ends)]
+    got = dropped_lines(spark, rows)
+    assert [got[i] for i in range(12)] == [0] * 12 and [got[20 + i] for i in range(12)] == [0] + [2] * 11
+
+
+def test_line_dedup_counts_documents(spark):
+    many = "\n".join(f"shared by user {x} on the site" for x in "abcdefghi")
+    rows = [(1, many), (2, "shared by user j on the site"), (3, "other words"), (3, "shared by user k on the site")]
+    assert dropped_lines(spark, rows) == {1: 0, 2: 0, 3: 0}
+    assert dropped_lines(spark, rows, min_docs=3) != {1: 0, 2: 0, 3: 0}
+
+
 def brute_windows(docs, items, window=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = []
