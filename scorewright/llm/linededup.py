@@ -8,11 +8,14 @@ differ in words are different content, so a template has at least `constant` of
 digits at most one variable field, in a line that is otherwise equal: WORDS of the tokens are fixed then, and the field
 is not the last token of a line of fewer than LONG tokens.
 
+A line that repeats word for word needs no template: EXACT_DOCS documents suffice, whatever its length. Its words are
+counted by a 64-bit hash. Where min_docs is given, it is the support of both.
+
 Support counts documents by id. Only for the choice of fixed tokens, rows that repeat an id count one by one.
 
 Distinct lines are counted before anything is spread over places, so that a line in a third of all documents is one row.
-Only leaves that enough documents reach are worked on; a bitmap of fixed size keeps other lines from being shuffled, and
-an exact join follows it.
+Only leaves and lines that enough documents reach are worked on; bitmaps of fixed size keep other lines from being
+shuffled, and exact counts follow them.
 
 Null and empty texts have no lines to drop; blank lines stay and match nothing. A null id sorts last. Rows that repeat
 an id and text get the same result, each. In transform() columns other than the text pass through unchanged.
@@ -34,6 +37,7 @@ from scorewright.llm.graph import bitmap, may
 
 DEPTH = 3
 MIN_DOCS = 10
+EXACT_DOCS = 2
 CONSTANT = 0.5
 #: Share of fixed tokens, and tokens of a line that may end in its field, where a field without a digit varies.
 WORDS = 0.8
@@ -51,28 +55,37 @@ def parse(line: str, depth: int = DEPTH) -> tuple[int, list[str]] | None:
     return _hash(f"{len(tokens)} {' '.join(tokens[:depth])}"), tokens
 
 
+def exact(line: str) -> int:
+    return _hash("\n" + " ".join(line.split()))
+
+
 def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
-def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int = MIN_DOCS, constant: float = CONSTANT) -> DataFrame:
+def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int | None = None, constant: float = CONSTANT) -> DataFrame:
     """Lines to drop: _key (hash of id and text), drop (sorted array of line numbers from 0)."""
     spark = df.sparkSession
+    exact_docs, min_docs = (EXACT_DOCS, MIN_DOCS) if min_docs is None else (min_docs, min_docs)
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("t"), F.col(id_col).alias("d")).where("t is not null and t <> ''")
 
     def leaves():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            c = Counter()
+            c, e = Counter(), Counter()
             for t in b.column(1).to_pylist():
-                parsed = (parse(s, depth) for s in set(t.split("\n")))
+                said = set(t.split("\n"))
+                parsed = (parse(s, depth) for s in said)
                 c.update(leaf for leaf, _ in {(p[0], " ".join(p[1])) for p in parsed if p})
-            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()), pa.array(list(c.values()), pa.int64())], ["leaf", "n"])
+                e.update({exact(s) for s in said if s.strip()})
+            return pa.RecordBatch.from_arrays([pa.array([*c, *e], pa.int64()), pa.array([False] * len(c) + [True] * len(e)), pa.array([*c.values(), *e.values()], pa.int64())], ["leaf", "exact", "n"])
 
         return one
 
-    reached = map_slices(docs, leaves, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs)
-    reached = stored(spark, reached.select("leaf"), "leaves")
+    reached = map_slices(docs, leaves, "leaf long, exact boolean, n long").groupBy("leaf", "exact").agg(F.sum("n").alias("n"))
+    reached = stored(spark, reached.where(F.col("n") >= F.when(F.col("exact"), exact_docs).otherwise(min_docs)).select("leaf", "exact"), "leaves")
+    same = spark.sparkContext.broadcast(bitmap(reached.where("exact"), F.col("leaf")))
+    reached = reached.where("not exact").select("leaf")
     sent = spark.sparkContext.broadcast(bitmap(reached, F.col("leaf")))
 
     def lines():
@@ -80,11 +93,17 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
             rows = []
             for key, t, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 found: dict[str, tuple[int, list[str], list[int]]] = {}
-                parsed = [(i, p) for i, p in ((i, parse(s, depth)) for i, s in enumerate(t.split("\n"))) if p]
+                said = t.split("\n")
+                parsed = [(i, p) for i, p in ((i, parse(s, depth)) for i, s in enumerate(said)) if p]
                 known = may(sent.value, np.array([p[0] for _, p in parsed], np.int64)).tolist()
                 for (i, p), k in zip(parsed, known, strict=True):
                     if k:
                         found.setdefault(" ".join(p[1]), (*p, []))[2].append(i)
+                word: dict[int, list[int]] = {}
+                for i, _ in parsed:
+                    word.setdefault(exact(said[i]), []).append(i)
+                repeats = may(same.value, np.array(list(word), np.int64)).tolist()
+                rows += [(leaf, None, key, d, None, None, at) for (leaf, at), k in zip(word.items(), repeats, strict=True) if k]
                 held, several = set(), Counter(leaf for leaf, _, _ in found.values())
                 for s, (leaf, tokens, at) in found.items():
                     again = []
@@ -100,7 +119,7 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
 
     found = map_slices(docs, lines, f"leaf long, line long, _key long, d {kind}, tokens array<string>, again array<int>, at array<int>")
     found = stored(spark, found, "lines")
-    distinct = found.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")).join(reached, "leaf", "left_semi")
+    distinct = found.where("line is not null").groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")).join(reached, "leaf", "left_semi")
     distinct = stored(spark, distinct, "distinct-lines")
     places = distinct.select("leaf", "line", "n", F.posexplode("tokens").alias("p", "token"))
     again = found.where("size(again) > 0").select("leaf", "tokens", F.explode("again").alias("p")).select("leaf", "p", F.get("tokens", F.col("p")).alias("token"), F.lit(-1).cast("long").alias("n"))
@@ -120,13 +139,15 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
             F.first("n").alias("n"),
         )
         .where(ok)
+        .where("n_fixed < size")  # others repeat word for word
         .select("leaf", "line", "n", F.xxhash64("leaf", F.array_join(F.transform("x", lambda x: x["x"]), " ")).alias("template"))
     )
     template = stored(spark, template, "templates")
     # Lines are summed first; where they suffice, the documents are counted.
     likely = template.join(template.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("template"), "template", "left_semi")
     hits = stored(spark, found.select("leaf", "line", "_key", "d", "at").join(likely.select("leaf", "line", "template"), ["leaf", "line"]).select("template", "_key", "d", "at"), "hits")
-    often = hits.groupBy("template").agg(F.count_distinct(F.xxhash64("d")).alias("n"), F.min("d").alias("first")).where(F.col("n") >= min_docs)
+    hits = hits.withColumn("need", F.lit(min_docs)).unionByName(found.where("line is null").select(F.col("leaf").alias("template"), "_key", "d", "at", F.lit(exact_docs).alias("need")))
+    often = hits.groupBy("template", "need").agg(F.count_distinct(F.xxhash64("d")).alias("n"), F.min("d").alias("first")).where("n >= need")
     dropped = hits.join(often.select("template", "first"), "template").where(~F.col("d").eqNullSafe(F.col("first")))
     return dropped.groupBy("_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("drop"))
 

@@ -110,6 +110,13 @@ def test_line_dedup_keeps_different_content(spark):
     assert [got[i] for i in range(12)] == [0] * 12 and [got[20 + i] for i in range(12)] == [0] + [2] * 11
 
 
+def test_line_dedup_drops_rare_repeats(spark):
+    passage = " ".join(f"word{chr(97 + i % 26)}{i}" for i in range(60))
+    rows = [(1, f"first of all\n{passage}"), (2, f"{passage}\nsecond"), (3, "Short one\nthird"), (4, " Short  one"), (4, "Own\nOwn"), (5, "in 1998 it rained"), (6, "in 1999 it rained")]
+    got = sorted(tuple(r) for r in linededup.transform(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "text", "n_dropped").collect())
+    assert got == sorted([(1, rows[0][1], 0), (2, "second", 1), (3, rows[2][1], 0), (4, "", 1), (4, "Own\nOwn", 0), (5, rows[5][1], 0), (6, rows[6][1], 0)])
+
+
 def test_line_dedup_counts_documents(spark):
     many = "\n".join(f"shared by user {x} on the site" for x in "abcdefghi")
     rows = [(1, many), (2, "shared by user j on the site"), (3, "other words"), (3, "shared by user k on the site")]
