@@ -1,7 +1,7 @@
 """Training-corpus pipeline: stages over the table documents, each written as Parquet and read again by the next.
 
-Quality rules drop rejected documents; line dedup drops recurring template lines from all documents but the first; the
-n-gram join keeps one document of each near-duplicate group; decontamination drops documents that hold a window of the
+Quality rules drop rejected documents; line dedup drops recurring lines from all documents but the first, and documents
+that have no words left by it; the n-gram join keeps one document of each near-duplicate group; decontamination drops documents that hold a window of the
 benchmark; the last stage encodes and decodes what is left. n_chars follows the text. Input columns other than doc_id,
 text, lang, source and n_chars are left behind.
 """
@@ -25,7 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = linededup.transform(docs.select(*COLUMNS))
+    """Texts without their recurring lines. Documents that lost all their words go: each line stays in another one."""
+    cut = linededup.transform(docs.select(*COLUMNS)).where(~((F.col("n_dropped") > 0) & ~F.col("text").rlike(r"\S")))
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 

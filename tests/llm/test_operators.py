@@ -238,3 +238,32 @@ def test_pipeline(spark, tmp_path):
     assert sorted(x["doc_id"] for x in got.collect()) == list(range(12))
     assert [n for n, _ in C.STAGES] == ["quality rules", "line dedup", "near duplicates", "decontamination", "encoding"]
     assert got.select(F.min("n_tokens")).first()[0] > 0
+
+
+def test_pipeline_of_many_copies(spark, tmp_path):
+    """Groups of over ten copies and near copies against a plain version; no document is left without words."""
+    import corpus_pipeline as C
+
+    r = np.random.default_rng(8)
+    vocabulary = ["".join(r.choice(list("abcdefghij"), 6)) for _ in range(500)]
+    text = lambda n: " ".join(r.choice(vocabulary, n))
+    page, near, passage = "\n".join(text(40) for _ in range(3)), text(150), text(30)
+    rows = [(i, page) for i in range(12)] + [(20 + i, f"{near} {text(2)}") for i in range(12)] + [(40 + i, f"{text(120)}\n{page.split(chr(10))[0]}") for i in range(3)]
+    rows += [(50, f"{text(60)} {passage} {text(60)}"), (51, "few words"), (52, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    first, left = {}, []
+    for i, t in sorted((i, t) for i, t in rows if t and len(t.split()) > 2):
+        kept = [s for s in t.split("\n") if first.setdefault(s, i) == i]
+        if kept:
+            left.append((i, "\n".join(kept)))
+    grams = lambda t, n: {tuple(t.split()[k : k + n]) for k in range(len(t.split()) - n + 1)}
+    heads = []
+    for i, t in left:
+        if all(len(grams(t, 5) & grams(u, 5)) < 0.8 * len(grams(t, 5) | grams(u, 5)) for _, u in heads):
+            heads.append((i, t))
+    want = [i for i, t in heads if not grams(t, 10) & grams(passage, 10)]
+    got = {x["doc_id"]: x["n_tokens"] for x in C.run(spark, str(tmp_path)).collect()}
+    assert sorted(got) == want == [0, 20, 40, 41, 42] and min(got.values()) > 0
