@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.llm.common import stored, text_bytes
@@ -265,6 +265,12 @@ def _strings(content: bytes) -> list[bytes]:
     return [bytes([SPLIT + content[0] - i]) + content[1 + i : 1 + i + LENGTH] for i in range(len(content) - LENGTH)]
 
 
+def _placed() -> Column:
+    """Where a record is placed: a split string by all its bytes, so that a hot gram spreads; another by its gram."""
+    first = "CAST(conv(hex(substring(content, 1, 1)), 16, 10) AS int)"
+    return F.expr(f"IF({first} >= {SPLIT}, substring(content, 2, {LENGTH}), substring(content, {first} + 2, {GRAM}))")
+
+
 def keeps(docs: DataFrame, sent) -> tuple[DataFrame, object]:
     """doc, told (array of struct name, mask): the records of which a document keeps strings; and the broadcast map of
     grams that were split. sent: broadcast shared_grams()."""
@@ -324,12 +330,9 @@ def keeps(docs: DataFrame, sent) -> tuple[DataFrame, object]:
         for k in range(0, len(some), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[some[k : k + 20_000]], pa.int64()) for x in (docs, name, masks)], ["doc", "name", "mask"])
 
-    # A split string is placed by its first bytes, another record by its gram and what follows.
-    first = "CAST(conv(hex(substring(content, 1, 1)), 16, 10) AS int)"
-    suffix = F.expr(f"substring(content, IF({first} >= {SPLIT}, 0, {first}) + 2, {GRAM})")
     total = grams.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))).first()[0] * (LENGTH + SPAN // 2)
     parts = max(8, -(-total // PART_BYTES))
-    found = docs.mapInArrow(records, "content binary, doc long").repartitionByRange(parts, suffix).mapInArrow(sort, "doc long, name long, mask long")
+    found = docs.mapInArrow(records, "content binary, doc long").repartitionByRange(parts, _placed()).mapInArrow(sort, "doc long, name long, mask long")
     alone = grams.where("n = 1").select("doc", "name", F.lit(-1).cast("long").alias("mask"))
     return alone.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("name", "mask")).alias("told")), hot
 

@@ -70,6 +70,17 @@ def test_suffix_removal_of_split_grams(spark, monkeypatch):
     assert sorted(got, key=str) == brute_suffix(rows)
 
 
+def test_suffix_hot_gram_spreads(spark):
+    r = random.Random(4)
+    gram = b"the hottest gram of all"[: suffix.GRAM]
+    rest = [bytes(r.choice(b"abcdefgh") for _ in range(suffix.LENGTH - suffix.GRAM)) for _ in range(800)]
+    rows = [(bytearray(c),) for x in rest for c in suffix._strings(bytes([0]) + gram + x)]
+    placed = spark.createDataFrame(rows * 2, "content binary").repartitionByRange(8, suffix._placed())
+    parts = [{bytes(x["content"]) for x in p} for p in placed.rdd.glom().collect()]
+    assert sum(map(len, parts)) == len({bytes(x) for (x,) in rows})  # equal strings meet
+    assert max(map(len, parts)) < 200
+
+
 def test_suffix_empty(spark):
     assert suffix.remove(spark.createDataFrame([], SCHEMA)).count() == 0
 
