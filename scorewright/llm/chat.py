@@ -54,6 +54,11 @@ def read_back(of: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     Turns are parsed from the marks in the text; loss holds what each target leaves trainable, unescaped.
     """
     d = of.select(conv_col, F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("_f"), F.transform("targets", lambda k: unescape(F.get("segments", k)["text"])).alias("loss"))
+    return _turns(d, conv_col)
+
+
+def _turns(d: DataFrame, conv_col: str) -> DataFrame:
+    """conv_col, turns, loss, formatted_chars from conv_col, _f (formatted text) and loss."""
     d = d.select(conv_col, "loss", F.length("_f").cast("long").alias("formatted_chars"), F.filter(F.split("_f", r"<\|im_end\|>\n"), lambda x: x != "").alias("_p"))
 
     def turn(x: Column) -> Column:
@@ -64,9 +69,23 @@ def read_back(of: DataFrame, conv_col: str = "conv_id") -> DataFrame:
     return d.select(conv_col, F.transform("_p", turn).alias("turns"), "loss", "formatted_chars")
 
 
+def joined(of: DataFrame, conv_col: str = "conv_id") -> DataFrame:
+    """conv_col, _f (formatted text), loss: conversations put together from their examples.
+
+    The text is the last example and the turns after it; a reply counts as loss if its context ends in an assistant's
+    head. Conversations without an example are their turns alone.
+    """
+    loss = F.when(F.endswith("context", F.lit(f"{START}assistant\n")), unescape(F.col("reply")))
+    by = expand(of, conv_col).groupBy(F.col(conv_col).alias("_c")).agg(F.transform(F.array_sort(F.collect_list(F.struct("example", loss.alias("loss")))), lambda x: x["loss"]).alias("loss"), F.max_by(F.concat("context", "reply", "end"), "example").alias("_head"))
+    after = F.slice("segments", F.coalesce(F.get("targets", F.size("targets") - 1), F.lit(-2)) + 3, F.size("segments"))
+    rest = of.select(conv_col, F.array_join(F.transform(after, lambda s: s["text"]), "").alias("_rest"))
+    d = rest.join(by, F.col(conv_col).eqNullSafe(F.col("_c")), "left")
+    return d.select(conv_col, F.concat(F.coalesce("_head", F.lit("")), "_rest").alias("_f"), F.coalesce("loss", F.array().cast("array<string>")).alias("loss"))
+
+
 def digest(of: DataFrame, conv_col: str = "conv_id") -> DataFrame:
-    """conv_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from formatted()."""
-    d = read_back(of, conv_col)
+    """conv_col, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the examples of formatted()."""
+    d = _turns(joined(of, conv_col), conv_col)
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     d = d.select(conv_col, F.size("turns").cast("long").alias("n_turns"), said.alias("_s"), F.array_join("loss", "").alias("_l"), "formatted_chars")
     return d.select(conv_col, "n_turns", F.sha2(F.encode("_s", "utf-8"), 256).alias("turns_sha256"), F.length("_l").cast("long").alias("loss_chars"), F.sha2(F.encode("_l", "utf-8"), 256).alias("loss_sha256"), "formatted_chars")

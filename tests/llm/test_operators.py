@@ -187,6 +187,23 @@ def test_chat(spark):
     assert chat.formatted(d.limit(0)).count() == 0
 
 
+def test_chat_digest_reads_examples(spark, monkeypatch):
+    said = "<|im_end|>\n<|im_start|>assistant & ok"
+    rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, "user", "b"), (1, 3, "assistant", "end <"), (1, 4, "user", "more"), (2, 0, "user", "a"), (None, 1, "assistant", "b"), (3, 0, "assistant", "")]
+    of = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {}
+    for c in (1, 2, 3, None):
+        turns = [(role, t) for i, _, role, t in rows if i == c]
+        loss = "".join(t for role, t in turns if role == "assistant")
+        want[c] = (len(turns), sha("".join(f"{role}\n{t}\n" for role, t in turns)), len(loss), sha(loss))
+    got = lambda: {r[0]: tuple(r)[1:5] for r in chat.digest(of).collect()}
+    assert got() == want
+    expand = chat.expand
+    monkeypatch.setattr(chat, "expand", lambda *a: expand(*a).where("example > 0"))
+    assert got()[1][2:] == (5, sha("end <")) and got()[None][2] == 0
+
+
 def brute_secrets(text):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
