@@ -1,10 +1,11 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 Each slice of documents becomes an index segment: for every term the sorted list of its positions. A query phrase takes
-the list of its rarest term in the segment, shifts it by the term's offset in the phrase, and intersects it with the
-shifted lists of the other terms, rarest first; what is left are exact occurrences. near() asks for all terms of an item
-within a distance instead. Documents are never moved: queries go to the segments, in blocks of bounded size, so that a
-large benchmark is neither broadcast whole nor cut.
+the list of its rarest term in the segment, shifts it by the term's offset in the phrase, and keeps the places where the
+other terms, rarest first, stand in the segment's words; what is left are exact occurrences. near() asks for all terms of
+an item within a distance instead, from their lists. Segments are transient: each block of queries builds them anew.
+Documents are never moved: queries go to the segments, in blocks of bounded size, so that a large benchmark is neither
+broadcast whole nor cut.
 
 Words are runs of digits, lower-cased ASCII letters and non-ASCII characters. A null or empty text has no words and no
 hits. A benchmark row with a null item_id or no words is no item. Rows of documents that repeat are each judged; rows of
@@ -27,6 +28,8 @@ from scorewright.llm.common import map_slices, text_bytes
 WINDOW = 10
 #: Text bytes of the benchmark that one block of queries holds.
 BLOCK_BYTES = 4 << 20
+#: Words of a proximity match, as a multiple of the item's words.
+SLACK = 2
 
 
 def tokens(body: bytes, offsets: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,6 +102,12 @@ class Segment:
         if not len(count) or count.min() == 0:
             return np.zeros(0, np.int64)
         lists = [self.positions[s : s + c] for s, c in sorted(zip(start.tolist(), count.tolist(), strict=True), key=lambda x: x[1])]
+        docs = np.unique(self.doc[lists[0]])
+        for x in lists[1:]:  # documents with all terms; few are left for the search of stretches
+            docs = docs[np.searchsorted(x, self.first[docs]) < np.searchsorted(x, self.first[docs + 1])]
+            if not len(docs):
+                return docs
+        lists[0] = lists[0][np.isin(self.doc[lists[0]], docs)]
         out = set()
         for back in range(within):  # the rarest term's place in the stretch
             left = lists[0] - back
@@ -138,6 +147,15 @@ def _spans(segment: Segment, q: Queries) -> tuple[list[list[tuple[int, int]]], l
     return spans, items
 
 
+def _near(segment: Segment, q: Queries, slack: int) -> list[set[int]]:
+    """Of each document: items whose terms all lie in a stretch of slack times the item's words, in any order."""
+    items: list[set[int]] = [set() for _ in range(len(segment.first) - 1)]
+    for name, terms in q.terms:
+        for d in segment.near(terms, slack * len(terms)).tolist():
+            items[d].add(name)
+    return items
+
+
 def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str]]] | object:
     """The items in blocks of about block_bytes, one after the other; only one block is on the driver at a time."""
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
@@ -146,10 +164,13 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
         yield n, [tuple(r) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]
 
 
-def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per document: id_col, n_words, spans (array of start, end; hit words), items (array of string, sorted)."""
+def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slack: int | None = None) -> DataFrame:
+    """One row per document: id_col, n_words, spans (array of start, end; hit words), items (array of string, sorted).
+
+    With slack, the column near too: the items whose terms lie close together in any order (array of string, sorted).
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, _key string, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
+    schema = f"`{id_col}` {kind}, _key string, n_words long, spans array<struct<start:int,end:int>>, items array<string>" + (", near array<string>" if slack else "")
     found, n_blocks = None, 1
     for n_blocks, block in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -165,7 +186,8 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
                 flat = [s for x in spans for s in x]
                 pairs = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.int32()), pa.array([e for _, e in flat], pa.int32())], ["start", "end"])
                 spans = pa.ListArray.from_arrays(np.cumsum([0, *map(len, spans)]).astype(np.int32), pairs)
-                return pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.string()), pa.array(np.diff(segment.first), pa.int64()), spans, pa.array([sorted(q.names[i] for i in x) for x in items], pa.list_(pa.string()))], [id_col, "_key", "n_words", "spans", "items"])
+                named = [pa.array([sorted(q.names[i] for i in x) for x in found], pa.list_(pa.string())) for found in ((items, _near(segment, q, slack)) if slack else (items,))]
+                return pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.string()), pa.array(np.diff(segment.first), pa.int64()), spans, *named], [id_col, "_key", "n_words", "spans", "items", "near"][: 4 + len(named)])
 
             return one
 
@@ -173,8 +195,9 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
         found = part if found is None else found.unionByName(part)
     if n_blocks == 1:
         return found.drop("_key")
-    merged = found.groupBy(id_col, "_key", "n_words").agg((F.count("*") / n_blocks).cast("int").alias("_n"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select(id_col, F.explode(F.sequence(F.lit(1), "_n")).alias("_k"), "n_words", _merged(F.col("spans")).alias("spans"), "items").drop("_k")
+    names = ["items", "near"] if slack else ["items"]
+    merged = found.groupBy(id_col, "_key", "n_words").agg((F.count("*") / n_blocks).cast("int").alias("_n"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in names))
+    return merged.select(id_col, F.explode(F.sequence(F.lit(1), "_n")).alias("_k"), "n_words", _merged(F.col("spans")).alias("spans"), *names).drop("_k")
 
 
 def _merged(spans):
@@ -195,6 +218,11 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def proximity(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Digest of search() with slack: id_col, n_near, near_sha256."""
+    return found.select(id_col, F.size("near").cast("long").alias("n_near"), F.sha2(F.array_join("near", ","), 256).alias("near_sha256"))
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """The documents, all columns, that hold no window of the benchmark. Each block of queries filters in turn."""
     at = docs.columns.index(text_col)

@@ -162,6 +162,20 @@ def test_near():
     assert s.near(of(b"fox red"), 3).tolist() == [0] and s.near(of(b"fox red"), 10).tolist() == [0, 1] and s.near(of(b"fox cat"), 10).tolist() == []
 
 
+def test_proximity(spark, tmp_path, monkeypatch):
+    from scorewright.llm import queries
+
+    rows = [(1, "lazy dog: the RED fox"), (2, "fox red and so on"), (3, "red " + "a " * 20 + "fox lazy dog the"), (4, None), (5, "the dog lazy fox"), (6, "Red fox")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "the red fox, lazy dog"), (8, "red fox"), (9, None), (8, "cat")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = [(1, 2, sha("7,8")), (2, 1, sha("8")), (3, 0, sha("")), (4, 0, sha("")), (5, 0, sha("")), (6, 1, sha("8"))]
+    got = lambda: sorted(tuple(r) for r in queries.queries()["op4_proximity"](spark, str(tmp_path)).collect())
+    assert got() == want
+    monkeypatch.setattr(decontam.blocks, "__defaults__", ("item_id", "text", 10))
+    assert got() == want
+
+
 def test_language_id(spark, none):
     rows = [(i, "the cat and the dog are with this house", "en") for i in range(20)] + [(i, "der hund und die katze sind mit dem haus", "de") for i in range(20, 40)] + [(50, None, "en"), (51, "x", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
