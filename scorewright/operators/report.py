@@ -63,7 +63,7 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("#", *parts)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def bootstrap(values: DataFrame, groups: list[str], id_col: str, value: str, resamples: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap(values: DataFrame, groups: list[str], id_col: str, value: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """Percentile interval of the mean by hash-driven resampling: draw k of a resample takes row floor(u * n) of its group.
 
     Each row is first numbered within its group by id; draws are generated per resample and joined on the number, so the

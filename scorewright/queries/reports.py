@@ -143,7 +143,7 @@ def h1_bootstrap_ci(spark, sf_dir):
 
 @query()
 def h2_bootstrap_draws(spark, sf_dir):
-    return P.bootstrap_draws(rows(spark, sf_dir, "scores", SCORES), ["model_key", "condition"], "image_id", "score", resamples=2000)
+    return P.bootstrap_draws(rows(spark, sf_dir, "scores", SCORES), ["model_key", "condition"], "image_id", "score", resamples=10_000)
 
 
 MCNEMAR = """tab AS (SELECT a.field, a.model_key AS group_a, b.model_key AS group_b, count(*) AS n, count(*) FILTER (WHERE a.correct = 1 AND b.correct = 0) AS a_only, count(*) FILTER (WHERE a.correct = 0 AND b.correct = 1) AS b_only,
