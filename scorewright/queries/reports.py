@@ -175,6 +175,12 @@ def h5_holm(spark, sf_dir):
     return P.holm(tests, ["field"]).select("field", "group_a", "group_b", R("p_holm").alias("p_holm"), "significant")
 
 
+@query()
+def h8_holm_all(spark, sf_dir):
+    """Stepped down over every test of a stratum, exact or not; the twins of h4 and h5 hold exact tests only."""
+    return P.holm(P.mcnemar_test(tested(spark, sf_dir)), ["field"]).select("field", "group_a", "group_b", "exact", "p_value", "p_holm", "significant")
+
+
 @query()
 def h6_mcnemar_by_field(spark, sf_dir):
     """Per field: exact matches of the scored tables, paired tests between models, stepped down within the field."""
