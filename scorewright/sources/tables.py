@@ -19,13 +19,34 @@ FIELD_KEY = ["image_id", "model_key", "condition", "field"]
 IMAGE_KEY = ["image_id", "model_key", "condition"]
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where the cluster names none."""
+def shared_dir(spark: SparkSession) -> str:
+    """This application's part of the folder that driver and executors share. In local mode without one (tests) a
+    temporary folder is set; a cluster without one is an error, since its machines don't see each other's disks."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where}/{name}-{uuid.uuid4().hex}"
+    return f"{where}/{spark.sparkContext.applicationId}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
+    path = scratch(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete what this application has stored; DataFrames that still read it fail afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
