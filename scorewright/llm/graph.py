@@ -27,12 +27,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state[0] == 0 or state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
-        # Large star: neighbours above a node go to the least of it and its neighbours.
+        # Large star: neighbours above a node go to the least of it and its neighbours. The least are stored, so that
+        # both sides of each join are plain exchanges, of which Spark splits the one with a hub's rows.
         sides = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = sides.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = stored(spark, sides.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
         large = sides.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = stored(spark, large, "large-star")
         # Small star: neighbours below a node, and the node, go to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(spark, large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = stored(spark, small.where("u <> v").distinct(), "edges")
 

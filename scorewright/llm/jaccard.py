@@ -1,17 +1,19 @@
 """N-gram Jaccard self-join with Bayesian candidate pruning.
 
-Documents with the same set of word shingles are one class. MinHash bands of the classes give stars (each member of a
-bucket with its smallest), whose components hold every candidate pair; a component is cut into blocks, and each pair of
-blocks is one task. There MinHash values are compared a few at a time: after each step a pair is dropped if the posterior
-probability (uniform prior) that its similarity reaches the threshold is below the tolerance. What is left is verified
-exactly on the shingle sets. Pairs never leave the task: it returns link counts and the edges of a spanning forest, so a
-group of n near copies costs rows in proportion to n.
+Documents with the same set of word shingles are one class. MinHash bands put classes into buckets; those that share a
+bucket are candidates. Each class goes to the block of its head, the least class that it meets in any bucket; a block of
+very many classes, or of long ones, is split by hash. So near copies lie in few blocks. A task compares the members of a
+block, or those members of two blocks that share a bucket across them: each candidate pair meets in exactly one task.
+There MinHash values are compared a few at a time: after each step a pair is dropped if the posterior probability (uniform
+prior) that its similarity reaches the threshold is below the tolerance. What is left is verified exactly on the shingle
+sets. Pairs never leave the task: it returns link counts and the edges of a spanning forest. A group of n near copies has
+its n * n comparisons spread over tasks, and each of its sets is sent to n / BLOCK of them.
 
 With 42 bands of 6 a pair at similarity 0.8 misses all bands with probability 3e-6, less above.
 
 Words are parted by ASCII white space; a text of fewer than five words, but not none, has one shingle. Null and empty
 texts have none, are linked to nothing, and are classes of their own. Null ids sort last. Rows that repeat are members
-of one class. Only the named columns are read.
+of one class. Ids can have any type that sorts. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import map_slices, stored, text_bytes
+from scorewright.llm.common import fresh, map_slices, row_key, stored, text_bytes
 from scorewright.llm.graph import bitmap, components, may
 from scorewright.llm.words import NOT_SPACE, SAME, mixed, tokens
 
@@ -33,7 +35,9 @@ THRESHOLD = 0.8
 BANDS, ROWS = 42, 6
 STEP = 21
 TOLERANCE = 1e-6
-BLOCK = 256
+#: Classes, and their shingles, of one block at most, but for a single longer class.
+BLOCK = 1024
+BLOCK_SHINGLES = 1 << 20
 _RNG = np.random.default_rng(77)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 _TIMES = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -113,10 +117,11 @@ def links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, th
         i, j, agree = i[ok], j[ok], agree[ok]
         if not len(i):
             return i, j
-    if len(i) <= 64:
+    used = np.unique(np.concatenate([i, j]))
+    # One by one, or all at once by products of the incidence matrix, whichever takes fewer steps.
+    if len(i) <= 64 or len(i) * (size[i] + size[j]).mean() * 50 < float(len(used)) ** 2 * size[used].sum() / 10:
         both = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(i.tolist(), j.tolist(), strict=True)])
     else:
-        used = np.unique(np.concatenate([i, j]))
         row = np.full(len(sets), -1)
         row[used] = np.arange(len(used))
         values, inverse, counts = np.unique(np.concatenate([sets[k] for k in used]), return_inverse=True, return_counts=True)
@@ -171,12 +176,12 @@ def _block_pair(threshold: float, tolerance: float):
 
 
 def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """One row per row of df: id_col, _row (hash of id and text), class_id (least id with the same shingles), n_copies,
+    """One row per row of df: id_col, row_key (of id and text), class_id (least id with the same shingles), n_copies,
     n_links (other classes at the threshold or above), group_id (least id over the links' connected group), keeper
     (whether this row stands for its group)."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.col(id_col), F.col(text_col), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_row"))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("row"))
 
     def sign():
         weights = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -191,19 +196,15 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
                 for k, v in zip(full, values, strict=True):
                     bands[k] = v
             keys = [class_key(s) if len(s) else None for s in sets]
-            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], [id_col, "_row", "key", "bands"])
+            return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "row", "key", "size", "bands"])
 
         return one
 
-    signed = stored(spark, map_slices(docs, sign, f"`{id_col}` {kind}, _row long, key binary, bands array<bigint>"), "signed")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("first")
+    signed = stored(spark, map_slices(docs, sign, f"id {kind}, row binary, key binary, size long, bands array<bigint>"), "signed")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     classes = stored(spark, signed.where("key is not null").groupBy("key").agg(first, F.count("*").alias("n_copies")), "classes")
-    buckets = signed.where("key is not null").select("key", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("bucket", "least")
-    stars = buckets.join(shared, "bucket").where("key <> least").select("key", "least").distinct()
-    part = components(stars, "key", "least")
-    members = stored(spark, part.select(F.col("node").alias("key"), F.col("root").alias("part")).unionByName(part.select(F.col("root").alias("key"), F.col("root").alias("part")).distinct()), "members")
-    known = spark.sparkContext.broadcast(bitmap(members, F.conv(F.substring(F.hex("key"), 1, 16), 16, -10).cast("long")))
+    blocks, tasks = _tasks(signed.where("key is not null").select("key", "size", F.explode("bands").alias("bucket")))
+    known = spark.sparkContext.broadcast(bitmap(blocks, F.conv(F.substring(F.hex("key"), 1, 16), 16, -10).cast("long")))
 
     def again():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -216,23 +217,41 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
         return one
 
     sets = map_slices(docs, again, "key binary, set binary").groupBy("key").agg(F.first("set").alias("set"))
-    blocks = members.groupBy("part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(blocks, "part").join(sets, "key").withColumn("mine", F.pmod(F.hash("key"), F.col("blocks")))
-    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "key", "set")
-    found = spread.groupBy("part", "lo", "hi").applyInArrow(_block_pair(threshold, tolerance), "key binary, n long, root binary")
+    found = tasks.join(sets, "key").groupBy("lo", "hi").applyInArrow(_block_pair(threshold, tolerance), "key binary, n long, root binary")
     found = stored(spark, found, "links")
     n_links = found.groupBy("key").agg(F.sum("n").alias("n_links"))
     group = components(found.where("key <> root").select("key", "root"), "key", "root").select(F.col("node").alias("key"), "root")
     of = classes.join(n_links, "key", "left").join(group, "key", "left").withColumn("root", F.coalesce("root", "key"))
     heads = of.groupBy("root").agg(F.min("first").alias("head"))
     of = of.join(heads, "root").select("key", F.col("first.id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("head.id").alias("group_id"), F.col("head.row").alias("head"))
-    some = signed.select(id_col, "_row", "key").where("key is not null").join(of, "key").select(id_col, "_row", "class_id", "n_copies", "n_links", "group_id", (F.col("_row") == F.col("head")).alias("keeper"))
-    alone = signed.where("key is null").select(id_col, "_row", F.col(id_col).alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("group_id"), F.lit(True).alias("keeper"))
-    return some.unionByName(alone)
+    some = signed.select("id", "row", "key").where("key is not null").join(of, "key").select("id", "row", "class_id", "n_copies", "n_links", "group_id", (F.col("row") == F.col("head")).alias("keeper"))
+    alone = signed.where("key is null").select("id", "row", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("group_id"), F.lit(True).alias("keeper"))
+    return some.unionByName(alone).select(F.col("id").alias(id_col), F.col("row").alias("row_key"), "class_id", "n_copies", "n_links", "group_id", "keeper")
+
+
+def _tasks(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, block of each class that shares a bucket; and lo, hi, mine, key: the members of each task, a pair of blocks
+    (lo = hi within one), with the block that each is of. buckets: key, size, bucket, a row for each document and band."""
+    spark = buckets.sparkSession
+    shared = buckets.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least <> most").select("bucket", "least")
+    within = stored(spark, buckets.join(shared, "bucket").groupBy("bucket", "key").agg(F.first("size").alias("size"), F.first("least").alias("least")), "buckets")
+    heads = within.groupBy("key").agg(F.min("least").alias("head"), F.first("size").alias("size"))
+    loads = stored(spark, heads.groupBy("head").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("slots")), "loads")
+    blocks = stored(spark, heads.join(loads, "head").select("key", F.xxhash64("head", F.pmod(F.hash("key"), "slots")).alias("block")), "blocks")
+    several = blocks.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block")
+    own = blocks.join(several, "block").select(F.col("block").alias("lo"), F.col("block").alias("hi"), F.col("block").alias("mine"), "key")
+    placed = stored(spark, within.select("bucket", "key").join(blocks, "key"), "placed")
+    met = placed.groupBy("bucket").agg(F.min("block").alias("a"), F.max("block").alias("b")).where("a <> b").select("bucket")
+    placed = placed.join(met, "bucket", "left_semi")
+    other = placed.select("bucket", F.col("block").alias("other")).distinct()
+    across = placed.join(other, "bucket").where("block <> other").select(F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.col("block").alias("mine"), "key").distinct()
+    return blocks, own.unionByName(across)
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of df, all columns, that stand for their group; texts without words all stay, a repeated row stays once."""
-    keep = join(df, id_col, text_col, threshold).where("keeper").select("_row").distinct()
-    rows = df.withColumn("_row", F.xxhash64(F.col(id_col), F.col(text_col))).join(keep, "_row", "left_semi")
-    return rows.dropDuplicates(["_row"]).drop("_row")
+    """The rows of df, all columns, that stand for their group; texts without words all stay, a repeated row stays once.
+    Rows are told apart by 128 bits of their id and text."""
+    key = fresh(df, "row_key")
+    keep = join(df, id_col, text_col, threshold).where("keeper").select(F.col("row_key").alias(key)).distinct()
+    rows = df.withColumn(key, row_key(id_col, text_col)).join(keep, key, "left_semi")
+    return rows.dropDuplicates([key]).drop(key)

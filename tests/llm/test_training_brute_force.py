@@ -125,7 +125,7 @@ def test_jaccard_join(spark, monkeypatch):
     rows = corpus(5, 90)
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     want = brute_join(rows)
-    for block in (256, 2):
+    for block in (1024, 2):
         monkeypatch.setattr(jaccard, "BLOCK", block)
         got = [tuple(r) for r in jaccard.join(df).select("doc_id", "class_id", "n_copies", "n_links", "group_id").collect()]
         assert sorted(got, key=str) == want
@@ -145,3 +145,32 @@ def test_jaccard_empty(spark):
 def test_least_agreeing_keeps_likely_pairs():
     for n, m in jaccard.least_agreeing():
         assert m < 0.8 * n
+
+
+def test_jaccard_of_string_ids_and_nulls(spark):
+    rows = [("a", None), (None, "a"), ("b", "one two three four five six"), ("c", "one two three four five six"), (None, None), (None, None)]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id string, text string, row_key string, id string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in jaccard.deduplicate(df).collect()), key=str)
+    assert kept == sorted([("a", None), (None, "a"), ("b", "one two three four five six"), (None, None)], key=str)
+
+
+def test_jaccard_of_many_near_copies(spark, monkeypatch):
+    """One large group whose block is split, long texts, and blocks that meet in a bucket."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.randint(0, 4)):
+            w[r.randrange(len(w))] = word()
+        rows.append((i, " ".join(w), "x", "y"))
+    rows += [(100 + i, " ".join(word() for _ in range(30_000)), "x", "y") for i in range(2)]
+    rows += [(110, rows[-1][1] + " more", "x", "y")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute_join(rows)
+    for block, size in ((1024, 1 << 20), (7, 1 << 20), (1024, 900)):
+        monkeypatch.setattr(jaccard, "BLOCK", block)
+        monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", size)
+        got = [tuple(x) for x in jaccard.join(df).select("doc_id", "class_id", "n_copies", "n_links", "group_id").collect()]
+        assert sorted(got, key=str) == want
