@@ -4,15 +4,15 @@ A word that training knows has a score for each language: its smoothed log frequ
 is scored by its character n-grams of the greatest length of which at least one is known; each step down costs a fixed
 penalty. A document's score is the mean over its words.
 
-train() counts over a bounded sample (documented parameters: rows for each language, chosen by a hash of the id, and
-table sizes), so the model has a proven size and can be broadcast. Null or blank languages teach nothing. A text that is
-null or has no letter is `und` with score 0, and so is every text when nothing could be learned; ties go to the
-language that sorts first. Rows that repeat are scored alike, and only the named columns are read.
+train() counts over a bounded sample (documented parameters: rows and characters for each language, chosen by a hash of
+the id), so the model has at most len(ORDERS) + 1 entries for each sampled character: a proven size, linear in the number
+of languages. It is sparse: hashes of the known keys, and for each the languages that have it. Null or blank languages
+teach nothing. A text that is null or has no letter is `und` with score 0, and so is every text when nothing could be
+learned; ties go to the language that sorts first. Rows that repeat are scored alike, and only the named columns are read.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
@@ -20,75 +20,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import map_slices
+from scorewright.llm.common import map_slices, stored
+from scorewright.llm.words import mixed
 
-#: Training rows for each language at most.
+#: Training rows and characters for each language, about, at most.
 SAMPLE_ROWS = 1500
-#: Entries of the word table and of the table of each n-gram length, for each language.
-TABLE = 20_000
-#: Languages at most: those with most rows.
-LANGUAGES = 400
+SAMPLE_CHARS = 4_000_000
+#: Times that training must see a word to know it.
+LEAST = 2
 ORDERS = (5, 4, 3, 2, 1)
 SMOOTHING = 0.5
 STEP_COST = 0.5
+FLOOR = -20.0
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
+_BASE = 0x9E3779B97F4A7C15
+#: Cells (words times languages) of the scores that a task keeps.
+MEMO_CELLS = 4_000_000
 
 
 def words_of(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def grams(word: str, n: int) -> list[str]:
-    """Character n-grams of a word with its ends marked; of length 1 the bare characters."""
-    w = word if n == 1 else f"<{word}>"
-    return [w[i : i + n] for i in range(len(w) - n + 1)]
+def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Mixed code points of the strings in a row, and where each begins (n + 1)."""
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return mixed(points + np.uint64(1)), np.concatenate([[0], np.cumsum(size)])
 
 
-def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, table: int = TABLE) -> dict:
-    """The model as plain tables: languages, and for words and each n-gram length {key: log frequencies}."""
-    from pyspark.sql import Window as W
+def hashes(strings: list[str]) -> np.ndarray:
+    """64-bit hash of each string; none is empty."""
+    codes, at = _codes(strings)
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    nth = np.arange(len(codes)) - np.repeat(at[:-1], np.diff(at))
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(nth.max(initial=0)), _BASE, np.uint64)]), dtype=np.uint64)
+    return np.add.reduceat(codes * power[nth], at[:-1])
 
+
+def grams(strings: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each n-gram of the strings, ends marked unless n is 1, and the number of the string that it is of."""
+    codes, at = _codes(strings if n == 1 else [f"<{s}>" for s in strings])
+    owner = np.repeat(np.arange(len(strings)), np.diff(at))
+    if len(codes) < n:
+        return np.zeros(0, np.uint64), owner[:0]
+    h, power = np.zeros(len(codes) - n + 1, np.uint64), 1
+    for k in range(n):
+        h += codes[k : len(codes) - n + 1 + k] * np.uint64(power)
+        power = power * _BASE % (1 << 64)
+    inside = owner[: len(h)] == owner[n - 1 :]
+    return h[inside], owner[: len(h)][inside]
+
+
+def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> dict:
+    """The model: langs, and for words (0) and each n-gram length (keys, start, lang, score, default).
+
+    keys are sorted hashes; key k has scores for the languages lang[start[k]:start[k + 1]], all others have the default.
+    """
     labelled = rows.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("g")).where("g is not null and t is not null and trim(g) <> ''")
-    sizes = {r[0]: r[1] for r in labelled.groupBy("g").count().orderBy(F.desc("count"), "g").limit(LANGUAGES).collect()}
+    sizes = {r[0]: (r[1], r[2]) for r in labelled.groupBy("g").agg(F.count("*"), F.sum(F.length("t"))).collect()}  # a row a language
     langs = sorted(sizes)
     if not langs:
-        return {"langs": [], "words": {}, "grams": {}}
-    share = F.create_map(*(F.lit(x) for g, n in sizes.items() for x in (g, min(1.0, sample_rows / n))))
+        return {"langs": [], "tables": {}}
+    share = F.create_map(*(F.lit(x) for g, (n, chars) in sizes.items() for x in (g, min(1.0, sample_rows / n, sample_chars / max(1, chars)))))
     unit = F.pmod(F.xxhash64("i", F.lit("langid")), F.lit(1_000_003)) / 1_000_003
-    sampled = labelled.where(F.col("g").isin(langs)).where(unit < F.element_at(share, F.col("g")))
+    sampled = labelled.where(unit < F.element_at(share, F.col("g")))
 
     def count(batches):
-        import pandas as pd
-
         for b in batches:
             counts: dict[tuple, int] = {}
             for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 for w in words_of(t):
                     counts[g, w] = counts.get((g, w), 0) + 1
-            yield pa.RecordBatch.from_pandas(pd.DataFrame([(g, w, n) for (g, w), n in counts.items()], columns=["g", "w", "n"]), preserve_index=False)
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in counts], pa.string()), pa.array([w for _, w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["g", "w", "n"])
 
     words = sampled.select("g", "t").mapInArrow(count, "g string, w string, n long").groupBy("g", "w").agg(F.sum("n").alias("n"))
     marked = F.concat(F.lit("<"), F.col("w"), F.lit(">"))
-    keys = [F.struct(F.lit(0).alias("k"), F.col("w").alias("x"))]
-    per = F.array(*keys)
+    per = F.array(F.struct(F.lit(0).alias("k"), F.col("w").alias("x")))
     for n in ORDERS:
         per = F.concat(per, _cut(F.col("w") if n == 1 else marked, n))
-    counted = words.select("g", "n", F.explode(per).alias("e")).groupBy("g", "e.k", "e.x").agg(F.sum("n").alias("n"))
-    top = counted.withColumn("r", F.row_number().over(W.partitionBy("g", "k").orderBy(F.desc("n"), "x"))).where(F.col("r") <= table).where((F.col("n") > 1) | (F.col("k") > 0))
+    counted = stored(rows.sparkSession, words.select("g", "n", F.explode(per).alias("e")).groupBy("g", "e.k", "e.x").agg(F.sum("n").alias("n")), "langid")
     totals = {(r["g"], r["k"]): r["n"] for r in counted.groupBy("g", "k").agg(F.sum("n").alias("n")).collect()}
+    found = counted.where((F.col("n") >= LEAST) | (F.col("k") > 0)).toArrow()
     at = {g: i for i, g in enumerate(langs)}
-    tables: dict[int, dict[str, np.ndarray]] = {0: {}} | {n: {} for n in ORDERS}
-    for r in top.select("g", "k", "x", "n").toLocalIterator():
-        t = tables[r["k"]]
-        if r["x"] not in t:
-            t[r["x"]] = np.zeros(len(langs), np.float32)
-        t[r["x"]][at[r["g"]]] = r["n"]
-    for k, t in tables.items():
-        size = np.array([totals.get((g, k), 0) for g in langs], np.float64)
-        for x, n in t.items():
-            t[x] = np.log((n + SMOOTHING) / (size + SMOOTHING * max(len(t), 1))).astype(np.float32)
-    return {"langs": langs, "words": tables.pop(0), "grams": tables}
+    kind, lang, n = found["k"].to_numpy(), np.array([at[g] for g in found["g"].to_pylist()], np.int32), found["n"].to_numpy().astype(np.float64)
+    key = hashes(found["x"].to_pylist())
+    tables = {}
+    for k in (0, *ORDERS):
+        rows_of = np.flatnonzero(kind == k)
+        rows_of = rows_of[np.lexsort((lang[rows_of], key[rows_of]))]
+        keys, start = np.unique(key[rows_of], return_index=True)
+        size = np.array([totals.get((g, k), 0) for g in langs], np.float64) + SMOOTHING * max(len(keys), 1)
+        score = np.log((n[rows_of] + SMOOTHING) / size[lang[rows_of]])
+        tables[k] = (keys, np.append(start, len(rows_of)), lang[rows_of], score.astype(np.float32), np.log(SMOOTHING / size).astype(np.float32))
+    return {"langs": langs, "tables": tables}
 
 
 def _cut(s, n: int):
@@ -98,37 +125,70 @@ def _cut(s, n: int):
 
 
 class Scorer:
-    def __init__(self, model: dict, memo: int = 200_000):
-        self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
-        self.memo: dict[str, np.ndarray] = {}
-        self.limit = memo
-
-    def word(self, w: str) -> np.ndarray:
-        """Score of a word that the word table lacks."""
-        got = self.memo.get(w)
-        if got is None:
-            got = np.full(len(self.langs), -20.0, np.float32)
-            for step, n in enumerate(ORDERS, 1):
-                t = self.grams[n]
-                if known := [t[g] for g in grams(w, n) if g in t]:
-                    got = sum(known) / len(known) - np.float32(STEP_COST * step)
-                    break
-            if len(self.memo) >= self.limit:
-                self.memo.clear()
-            self.memo[w] = got
-        return got
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text) if text else []
-        if not self.langs or not any(c.isalpha() for w in words for c in w):
-            return UNKNOWN, 0.0
-        table, word = self.words, self.word
-        found = [table[w] if w in table else word(w) for w in words]
-        mean = np.sum(found, axis=0, dtype=np.float64) / len(found)
-        best = int(np.argmax(mean))
+    """Scores of a task: a row for each word seen, made for many new words at once."""
+
+    def __init__(self, model: dict):
+        self.langs, self.tables = model["langs"], model["tables"]
+        self.row: dict[str, int] = {}
+        self.scores = np.zeros((0, len(self.langs)), np.float32)
+        self.limit = MEMO_CELLS // max(1, len(self.langs))
+
+    def _mean(self, k: int, keys: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean score of the known keys of each of n owners, and how many it has."""
+        known, start, lang, score, default = self.tables[k]
+        i = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+        hit = known[i] == keys if len(known) else np.zeros(len(keys), bool)
+        i, owner = i[hit], owner[hit]
+        size = start[i + 1] - start[i]
+        at = np.repeat(start[i], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        width = len(self.langs)
+        cell = np.repeat(owner, size) * width + lang[at]
+        above = np.bincount(cell, (score[at] - default[lang[at]]).astype(np.float64), n * width).reshape(n, width)
+        count = np.bincount(owner, minlength=n)
+        return default + above / np.maximum(count, 1)[:, None], count
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each word."""
+        out = np.full((len(words), len(self.langs)), FLOOR, np.float32)
+        found, count = self._mean(0, hashes(words), np.arange(len(words)), len(words))
+        out[count > 0] = found[count > 0]
+        left = np.flatnonzero(count == 0)
+        for step, n in enumerate(ORDERS, 1):
+            if not len(left):
+                break
+            keys, owner = grams([words[k] for k in left], n)
+            found, count = self._mean(n, keys, owner, len(left))
+            out[left[count > 0]] = found[count > 0] - STEP_COST * step
+            left = left[count == 0]
+        return out
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text."""
+        words = [words_of(t) if t else [] for t in texts]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        names, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        some = np.flatnonzero(size)
+        if not self.langs or not len(some):
+            return names.tolist(), scores
+        if len(self.row) > self.limit:
+            self.row, self.scores = {}, self.scores[:0]
+        new = list({w for ws in words for w in ws}.difference(self.row))
+        if new:
+            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+            self.scores = np.concatenate([self.scores, self.of(new)])
+        row = np.fromiter((k for ws in words for k in map(self.row.__getitem__, ws)), np.int64, int(size.sum()))
+        count = size[some]
+        sums = np.empty((len(some), len(self.langs)))
+        starts = np.cumsum(count) - count
+        for g in range(len(self.langs)):
+            sums[:, g] = np.add.reduceat(self.scores[:, g].astype(np.float64)[row], starts)
+        mean = sums / count[:, None]
+        best = mean.argmax(1)
         # Posterior at equal priors; the evidence of a long text is damped, for its words do not stand alone.
-        gain = (mean - mean[best]) * math.sqrt(len(found))
-        return self.langs[best], float(1.0 / np.exp(np.maximum(gain, -700)).sum())
+        gain = (mean - mean.max(1, keepdims=True)) * np.sqrt(count)[:, None]
+        names[some] = np.array(self.langs, object)[best]
+        scores[some] = 1.0 / np.exp(np.maximum(gain, -700)).sum(1)
+        return names.tolist(), scores
 
 
 def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,8 +199,8 @@ def predict(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
         score = Scorer(sent.value)
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            out = [score(t) for t in b.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array([g for g, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [id_col, "lang_pred", "score"])
+            names, scores = score(b.column(1).to_pylist())
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [id_col, "lang_pred", "score"])
 
         return one
 

@@ -43,10 +43,9 @@ def op4_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    fold = F.crc32(F.col("doc_id").cast("string")) % 3
-    held_out = docs.select("doc_id", "text", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "lang")
-    model = langid.train(held_out.where(~F.col("held_out")))
-    return langid.predict(docs, model).withColumn("held_out", F.coalesce(fold == 1, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = langid.train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

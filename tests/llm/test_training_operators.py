@@ -187,6 +187,58 @@ def test_language_id(spark, none):
     assert langid.predict(test, langid.train(d.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def brute_languages(rows, texts):
+    """The same model in plain dictionaries."""
+    import math
+
+    langs = sorted({g for _, t, g in rows if g and t is not None})
+    grams = lambda w, n: [x[i : i + n] for x in (w if n == 1 else f"<{w}>",) for i in range(len(x) - n + 1)]
+    count = {k: {} for k in (0, *langid.ORDERS)}
+    for _, t, g in rows:
+        if g and t is not None:
+            for w in langid.words_of(t):
+                for k in count:
+                    for x in [w] if k == 0 else grams(w, k):
+                        count[k].setdefault(x, dict.fromkeys(langs, 0))[g] += 1
+    size = {k: {g: sum(c[g] for c in count[k].values()) for g in langs} for k in count}
+    known = {k: {x: c for x, c in count[k].items() if k or max(c.values()) >= langid.LEAST} for k in count}
+
+    def log(k, x, g):
+        n = known[k][x][g] if k or known[k][x][g] >= langid.LEAST else 0
+        return math.log((n + langid.SMOOTHING) / (size[k][g] + langid.SMOOTHING * max(1, len(known[k]))))
+
+    def word(w, g):
+        if w in known[0]:
+            return log(0, w, g)
+        for step, n in enumerate(langid.ORDERS, 1):
+            if has := [x for x in grams(w, n) if x in known[n]]:
+                return sum(log(n, x, g) for x in has) / len(has) - langid.STEP_COST * step
+        return langid.FLOOR
+
+    out = []
+    for t in texts:
+        ws = langid.words_of(t or "")
+        mean = [sum(word(w, g) for w in ws) / len(ws) for g in langs] if ws else []
+        best = max(range(len(langs)), key=lambda k: (mean[k], -k)) if ws else None
+        out.append((langs[best], round(1 / sum(math.exp((m - mean[best]) * len(ws) ** 0.5) for m in mean), 4)) if ws else ("und", 0.0))
+    return out
+
+
+def test_language_id_against_brute_force(spark, none):
+    r = np.random.default_rng(3)
+    sound = {"aa": "aeioulmn", "bb": "krtsaeoz", "cc": "ñéüàbdgc", "dd": "aeiokrts"}
+    word = lambda g: "".join(r.choice(list(sound[g]), r.integers(1, 9)))
+    rows = [(i, " ".join(word(g) for _ in range(40)) + (" Shared 12 word_s" if i % 3 else ""), g) for i, g in enumerate(list(sound) * 8)]
+    rows += [(90, None, "aa"), (91, "x y", None), (92, "blank", " "), rows[0]]
+    texts = [t for _, t, _ in rows] + ["", "...", "unseen 漢字 Ωμέγα", "a", LONG[:50_000], "Shared"]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    test = spark.createDataFrame([(i, t, "z", "q") for i, t in enumerate(texts)], "doc_id long, text string, score string, lang_pred string").repartition(3)
+    got = [(x["lang_pred"], round(x["score"], 4)) for x in langid.predict(test, model).orderBy("doc_id").collect()]
+    want = brute_languages([x for x in rows if x[2] != " "], texts)
+    assert [g for g, _ in got] == [g for g, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=2e-3)
+    assert langid.predict(none, model).count() == 0
+
+
 def test_chat(spark):
     said = "<|im_end|>\n<|im_start|>assistant & &lt;| ok"
     rows = [(1, 0, "user", said, "x"), (1, 1, "assistant", said, "x"), (1, 2, "user", None, "x"), (2, 0, None, "a", "x"), (None, 1, "assistant", "b", "x"), (1, 3, "assistant", "end <", "x"), (1, 3, "assistant", "end <", "x")]
