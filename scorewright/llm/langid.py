@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import map_slices, stored
+from scorewright.llm.common import map_slices
 from scorewright.llm.words import mixed
 
 #: Training rows and characters for each language, about, at most.
@@ -96,34 +96,27 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     counts[g, w] = counts.get((g, w), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in counts], pa.string()), pa.array([w for _, w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["g", "w", "n"])
 
-    words = sampled.select("g", "t").mapInArrow(count, "g string, w string, n long").groupBy("g", "w").agg(F.sum("n").alias("n"))
-    marked = F.concat(F.lit("<"), F.col("w"), F.lit(">"))
-    per = F.array(F.struct(F.lit(0).alias("k"), F.col("w").alias("x")))
-    for n in ORDERS:
-        per = F.concat(per, _cut(F.col("w") if n == 1 else marked, n))
-    counted = stored(rows.sparkSession, words.select("g", "n", F.explode(per).alias("e")).groupBy("g", "e.k", "e.x").agg(F.sum("n").alias("n")), "langid")
-    totals = {(r["g"], r["k"]): r["n"] for r in counted.groupBy("g", "k").agg(F.sum("n").alias("n")).collect()}
-    found = counted.where((F.col("n") >= LEAST) | (F.col("k") > 0)).toArrow()
+    # Words of a bounded sample; their n-grams follow from them.
+    found = sampled.select("g", "t").mapInArrow(count, "g string, w string, n long").groupBy("g", "w").agg(F.sum("n").alias("n")).toArrow()
     at = {g: i for i, g in enumerate(langs)}
-    kind, lang, n = found["k"].to_numpy(), np.array([at[g] for g in found["g"].to_pylist()], np.int32), found["n"].to_numpy().astype(np.float64)
-    key = hashes(found["x"].to_pylist())
+    words, lang, n = found["w"].to_pylist(), np.array([at[g] for g in found["g"].to_pylist()], np.int64), found["n"].to_numpy().astype(np.float64)
     tables = {}
     for k in (0, *ORDERS):
-        rows_of = np.flatnonzero(kind == k)
-        rows_of = rows_of[np.lexsort((lang[rows_of], key[rows_of]))]
-        keys, start = np.unique(key[rows_of], return_index=True)
-        size = np.array([totals.get((g, k), 0) for g in langs], np.float64) + SMOOTHING * max(len(keys), 1)
-        score = np.log((n[rows_of] + SMOOTHING) / size[lang[rows_of]])
-        tables[k] = (keys, np.append(start, len(rows_of)), lang[rows_of], score.astype(np.float32), np.log(SMOOTHING / size).astype(np.float32))
+        keys, owner = (hashes(words), np.arange(len(words))) if k == 0 else grams(words, k)
+        order = np.lexsort((lang[owner], keys))
+        keys, owner = keys[order], owner[order]
+        new = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (lang[owner[1:]] != lang[owner[:-1]])])[: len(keys)])
+        total = np.bincount(lang[owner], n[owner], len(langs))
+        seen = np.add.reduceat(n[owner], new) if len(new) else np.zeros(0)
+        keys, of = keys[new], lang[owner[new]]
+        if k == 0:
+            keys, of, seen = (x[seen >= LEAST] for x in (keys, of, seen))
+        known, start = np.unique(keys, return_index=True)
+        size = total + SMOOTHING * max(len(known), 1)
+        tables[k] = (known, np.append(start, len(keys)), of.astype(np.int32), np.log((seen + SMOOTHING) / size[of]).astype(np.float32), np.log(SMOOTHING / size).astype(np.float32))
     return {"langs": langs, "tables": tables}
 
 
-def _cut(s, n: int):
-    """Array of (n, each n-gram of s)."""
-    gram = lambda i: F.struct(F.lit(n).alias("k"), F.substring(s, i, F.lit(n)).alias("x"))
-    return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.length(s) - (n - 1)), gram)).otherwise(F.array().cast("array<struct<k:int,x:string>>"))
-
-
 class Scorer:
     """Scores of a task: a row for each word seen, made for many new words at once."""
 
