@@ -1,73 +1,117 @@
 """Secret scans in DataFrame functions only: fixed patterns, and character Markov models for what they miss.
 
 Two first-order Markov models over printable ASCII, one of random strings and one of ordinary identifiers, are trained
-from labelled samples; a long token is a secret if its mean log-likelihood ratio per character reaches a threshold.
-Spans that the patterns find always stay; model spans that overlap one of them are left out.
+from labelled samples: random are the values of the patterns' matches and digests of the sampled texts in hex and base
+64, ordinary are words, numbers, times, ruled lines, and words joined as identifiers and paths are. A token of 12 characters or more is a
+secret if its log-likelihood ratio reaches a threshold per character and one in all. Spans that the patterns find always
+stay; model spans that overlap one of them are left out.
 
 A null text is empty and has no spans. Rows that repeat get the same result, each. Without samples of both classes the
-model finds nothing. Only id_col and text_col are read.
+model finds nothing. Texts of any length are read whole; the characters U+0001 and U+0002 in them match nothing. Only
+id_col and text_col are read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.functions.columns import let
+
 #: Patterns (fixed values). Runs of a class end where the class does, so a least length in the pattern finds the same runs.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_=-]{12,}"
+#: What a match of ASSIGN holds, in lower case.
+NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "markov")
 #: Symbols of the models: 0 begins a token, then printable ASCII, then everything else.
 SYMBOLS = 97
 SAMPLE_ROWS = 3000
-THRESHOLD = 0.75
-SPAN = "array<struct<start:int,k:int,end:int>>"
+#: Least log-likelihood ratio per character, and of the whole token.
+THRESHOLD = 1.0
+LEAST = 16.0
+#: Weight of the kinds of symbols in a transition's estimate, as a number of observations.
+PRIOR = 100.0
+SPAN = "array<struct<start:int,k:int,end:int,value:string>>"
+#: Parts of a text that one step of _placed() takes; even, so that each step begins outside of a match.
+STEP = 128
+
+
+def _none() -> Column:
+    return F.array().cast(SPAN)
+
+
+def _placed(parts: Column, kind: int, value) -> Column:
+    """Spans of the matches among parts, which alternate: what stands outside of matches, a match, and so on.
 
+    Places are summed up in steps of STEP parts, since an array that grows by an element is copied each time.
+    """
+
+    def one(acc: Column, x: Column) -> Column:
+        end = acc["at"] + F.length(x)
+        span = F.struct(acc["at"].alias("start"), F.lit(kind).alias("k"), end.alias("end"), value(x).alias("value"))
+        return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.lit(False).alias("odd"), _none().alias("out"))
+        some = F.aggregate(F.slice(parts, b * STEP + 1, F.lit(STEP)), start, one)
+        return let(some, lambda s: F.struct(s["at"].alias("at"), F.concat(acc["done"], F.array(s["out"])).alias("done")))
 
-def _found(text: str, pattern: str, kind: int, value: int | None = None) -> tuple[Column, Column]:
-    """Arrays of the matches (struct of all and value) and of what stands around them; null where there is no match."""
-    hit = F.col(text).rlike(pattern)
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(value or 0))
-    return F.when(hit, F.arrays_zip(whole.alias("all"), part.alias("value"))), F.when(hit, F.split(text, pattern, -1))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("done"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / STEP).cast("int")), zero, step, lambda acc: F.flatten(acc["done"]))
 
 
-def _placed(matches: str, around: str, kind: int) -> Column:
-    """Spans (start, k, end, value) of matches, from the lengths of what stands before each."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,k:int,end:int,value:string>>").alias("out"))
+def _found(text: Column, pattern: str, kind: int, value=lambda x: x) -> Column:
+    """Spans of a pattern's matches, from one pass that marks them. text holds neither mark."""
+    marked = F.regexp_replace(text, F.lit(pattern), F.lit("\x01$0\x02"))
+    return let(F.split(marked, "[\x01\x02]", -1), lambda parts: _placed(parts, kind, value))
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.get(around, i))
-        m = F.get(matches, i)
-        end = start + F.length(m["all"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("k"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    placed = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, placed).otherwise(F.array().cast("array<struct<start:int,k:int,end:int,value:string>>"))
+def _base(text: Column) -> Column:
+    low = F.lower(text)
+    named = let(low, lambda x: reduce(lambda a, b: a | b, (F.contains(x, F.lit(n)) for n in NAMES)))
+    assigned = F.filter(_found(text, ASSIGN, 0, lambda x: F.regexp_extract(x, ASSIGN, 2)), lambda s: F.length(s["value"]) >= 6)
+    found = [F.when(named, assigned), F.when(F.contains(text, F.lit("AKIA")), _found(text, ACCESS, 1)), F.when(text.rlike(HEX), _found(text, HEX, 2))]
+    return F.array_sort(F.concat(*(F.coalesce(x, _none()) for x in found)))
+
+
+def _text(c: Column | str) -> Column:
+    return F.translate(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")), "\x01\x02", "\x03\x03")
 
 
 def base_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, _t (the text, null as empty), base (array of start, k, end, value by start, then kind)."""
-    d = df.select(id_col, F.coalesce(text_col, F.lit("")).alias("_t"))
-    names = {0: (ASSIGN, 2), 1: (ACCESS, None), 2: (HEX, None)}
-    for k, (pattern, value) in names.items():
-        m, s = _found("_t", pattern, k, value)
-        d = d.withColumn(f"_m{k}", m).withColumn(f"_s{k}", s)
-    spans = [_placed(f"_m{k}", f"_s{k}", k) for k in names]
-    spans[0] = F.filter(spans[0], lambda s: F.length(s["value"]) >= 6)
-    return d.select(id_col, "_t", F.array_sort(F.concat(*spans)).alias("base"))
+    """id_col, base: the patterns' spans (array of start, k, end, value by start, then kind)."""
+    return df.select(id_col, let(_text(text_col), _base).alias("base"))
 
 
 def _codes(token: Column) -> Column:
     code = lambda c: F.when((F.ascii(c) >= 32) & (F.ascii(c) < 127), F.ascii(c) - 31).otherwise(SYMBOLS - 1)
-    return F.transform(F.split(token, ""), code)
+    return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), code)
+
 
+def _kinds() -> np.ndarray:
+    """Of each symbol: start, lower case, upper case, digit, a kind of its own for other ASCII characters, all else."""
+    text = [chr(k + 31) for k in range(1, SYMBOLS - 1)]
+    of = [1 if c.islower() else 2 if c.isupper() else 3 if c.isdigit() else 4 + k for k, c in enumerate(text)]
+    return np.unique([0, *of, 1000], return_inverse=True)[1]
 
-def train(samples: DataFrame, token_col: str = "token", label_col: str = "random", smoothing: float = 0.5) -> np.ndarray | None:
+
+def _transitions(n: np.ndarray, prior: float) -> np.ndarray:
+    """Log transition probabilities from counts, smoothed by those between kinds of symbols, each symbol of a kind alike."""
+    kind = _kinds()
+    one = np.eye(kind.max() + 1)[kind]
+    between = one.T @ n @ one + 0.5
+    between /= between.sum(1, keepdims=True)
+    expected = between[kind][:, kind] / one.sum(0)[kind]
+    return np.log((n + prior * expected) / (n.sum(1, keepdims=True) + prior))
+
+
+def train(samples: DataFrame, token_col: str = "token", label_col: str = "random", prior: float = PRIOR) -> np.ndarray | None:
     """Log-likelihood ratios of random against ordinary, SYMBOLS x SYMBOLS by (symbol before, symbol), from labelled tokens.
 
     The counts are grouped on the cluster; at most 2 * SYMBOLS^2 of them come to the driver. None without both classes.
@@ -79,45 +123,53 @@ def train(samples: DataFrame, token_col: str = "token", label_col: str = "random
         n[r["y"], r["a"], r["b"]] = r["count"]
     if not n[0].any() or not n[1].any():
         return None
-    n += smoothing
-    return (np.log(n[1] / n[1].sum(1, keepdims=True)) - np.log(n[0] / n[0].sum(1, keepdims=True))).ravel()
-
-
-def samples(of: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Labelled tokens from base_spans(): values of matches are random; words of 5 or more letters elsewhere ordinary.
-
-    Each class comes from at most about `rows` documents, chosen by a hash of the text.
-    """
-    unit = F.pmod(F.xxhash64("_t", F.lit("secrets")), F.lit(1_000_003)) / 1_000_003
-    n = of.agg(F.count_if(F.size("base") > 0), F.count_if(F.size("base") == 0)).first()
-    share = [min(1.0, rows / max(1, x)) for x in n]
-    random = of.where((F.size("base") > 0) & (unit < share[0])).select(F.explode(F.transform("base", lambda s: s["value"])).alias("token"), F.lit(1).alias("random"))
-    words = of.where((F.size("base") == 0) & (unit < share[1])).select(F.explode(F.regexp_extract_all("_t", F.lit("[A-Za-z_][A-Za-z0-9_]{4,}"), F.lit(0))).alias("token"), F.lit(0).alias("random"))
-    return random.unionByName(words)
-
-
-def spans(of: DataFrame, model: np.ndarray | None, id_col: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """base_spans() with `spans`: base and model spans (start, k, end, value) by start, then kind."""
+    return (_transitions(n[1], prior) - _transitions(n[0], prior)).ravel()
+
+
+def samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Labelled tokens (token, random) from about `rows` documents, chosen by a hash of id and text."""
+    share = min(1.0, rows / max(1, df.count()))
+    unit = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("secrets")), F.lit(1_000_003)) / 1_000_003
+    d = df.where((unit < share) & (F.col(text_col) != "")).select(F.col(text_col).alias("t"), let(_text(text_col), _base).alias("base"))
+    digest = F.sha2(F.col("t"), 256)
+    coded = F.base64(F.unhex(digest))
+    drawn = F.array(F.substring(digest, 1, 40), F.rtrim(F.lit("="), coded), F.translate(F.substring(coded, 1, 24), "+/", "-_"), F.upper(F.base64(F.unhex(F.md5("t")))))
+    random = d.select(F.explode(F.concat(F.transform("base", lambda s: s["value"]), drawn)).alias("token"), F.lit(1).alias("random"))
+    words = d.where(F.size("base") == 0).select("t", F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}|[0-9]{2,}"), F.lit(0)).alias("w"))
+    two = lambda i: (F.get("w", i), F.get("w", i + 1))
+    joined = F.transform(F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: i + 1 < F.size("w")), lambda i: F.array(F.concat_ws("_", *two(i)), F.concat_ws("-", *two(i)), F.concat_ws("/", *two(i)), F.concat(*map(F.initcap, two(i)))))
+    when = F.timestamp_seconds(F.pmod(F.xxhash64("t"), F.lit(2_000_000_000)))
+    rules = F.array(*(F.repeat(F.lit(c), F.lit(20)) for c in "-=_+/"), *(F.date_format(when, f) for f in ("yyyy-MM-dd'T'HH", "yyyyMMdd'T'HHmmss'Z'", "dd/MMM/yyyy")))
+    ordinary = words.select(F.explode(F.concat("w", F.flatten(joined), rules)).alias("token"), F.lit(0).alias("random"))
+    return random.unionByName(ordinary)
+
+
+def spans(df: DataFrame, model: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: float = LEAST) -> DataFrame:
+    """id_col, base, and spans: base and model spans (start, k, end, value) by start, then kind."""
     if model is None:
-        return of.withColumn("spans", F.col("base"))
-    m, s = _found("_t", TOKEN, 3)
-    d = of.withColumn("_m", m).withColumn("_s", s).withColumn("_c", _placed("_m", "_s", 3))
+        return base_spans(df, id_col, text_col).withColumn("spans", F.col("base"))
     table = F.lit(model)
 
-    def ratio(token: Column) -> Column:
+    def likely(token: Column) -> Column:
         zero = F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("sum"))
         step = lambda acc, b: F.struct(b.alias("a"), (acc["sum"] + F.get(table, acc["a"] * SYMBOLS + b)).alias("sum"))
-        return F.aggregate(_codes(token), zero, step, lambda acc: acc["sum"]) / F.length(token)
+        return F.aggregate(_codes(token), zero, step, lambda acc: acc["sum"]) >= F.greatest(F.length(token) * threshold, F.lit(least))
+
+    def both(text: Column) -> Column:
+        tokens = F.filter(_found(text, TOKEN, 3), lambda c: likely(c["value"]))
+
+        def joined(base: Column) -> Column:
+            clear = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+            return F.struct(base.alias("base"), F.array_sort(F.concat(base, F.filter(tokens, clear))).alias("spans"))
+
+        return let(_base(text), joined)
 
-    clear = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    found = F.filter("_c", lambda c: clear(c) & (ratio(c["value"]) >= threshold))
-    return d.withColumn("spans", F.array_sort(F.concat("base", found))).drop("_m", "_s", "_c")
+    return df.select(id_col, let(_text(text_col), both).alias("_found")).select(id_col, "_found.base", "_found.spans")
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Train on the table's own base matches and words, then scan all of it: id_col, _t, base, spans."""
-    of = base_spans(df, id_col, text_col)
-    return spans(of, train(samples(of)), id_col, threshold)
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: float = LEAST) -> DataFrame:
+    """Train on samples of the table's own texts, then scan all of it: id_col, base, spans."""
+    return spans(df, train(samples(df, id_col, text_col)), id_col, text_col, threshold, least)
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -286,12 +286,40 @@ def test_secrets(spark, none):
     rows += [(200 + k, "these ordinary words make plain identifiers like other_names and some_values") for k in range(20)]
     d = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], SCHEMA)
     got = {x["doc_id"]: x for x in secrets.report(secrets.scan(d)).collect()}
+    kinds = lambda i: [x.split(":")[0] for x in got[i]["spans"].split(",") if x]
     for i, t in rows:
         assert got[i]["base_sha256"] == hashlib.sha256(brute_secrets(t or "").encode()).hexdigest()
     assert got[105]["spans"] == "markov:6:51"
     assert secrets.scan(none).count() == 0
 
 
+def test_secrets_that_no_pattern_finds(spark):
+    """Planted keys of several alphabets among ordinary text: recall and precision of the model's spans."""
+    import string
+
+    r = np.random.default_rng(11)
+    draw = lambda alphabet, n: "".join(r.choice(list(alphabet), n))
+    syllables = ["ta", "ren", "mo", "li", "ver", "an", "st", "ing", "per", "con", "da", "ul"]
+    word = lambda: "".join(r.choice(syllables, r.integers(1, 7)))
+    rows, planted = [], {}
+    for i in range(400):
+        w = [word() for _ in range(30)] + [f"{word()}_{word()}_value", f"{word()}/{word()}/{word()}", f"{word().title()}{word().title()}Factory", "2024-11-28", draw(string.digits, 16), "-" * 20]
+        if i % 2:
+            key = [draw(string.ascii_letters + string.digits, 24), draw(string.ascii_letters + string.digits + "+/", 40), draw(string.ascii_uppercase + string.digits, 20), draw("0123456789abcdef", 20), draw(string.ascii_letters + string.digits + "-_", 16)][i // 2 % 5]
+            w.insert(int(r.integers(0, 20)), key)
+            planted[i] = key
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame([*rows, (900, "\x01\x02 token: abcdef\x01" + "x" * 3), (901, " ".join(["deadbeef" * 3] * 400))], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: [(s["start"], s["end"]) for s in x["spans"] if s["k"] == 3] for x in secrets.scan(d).collect()}
+    text = dict(rows)
+    hit = sum(planted.get(i) == text[i][a:b] for i in text for a, b in got[i])
+    said = sum(len(got[i]) for i in text)
+    assert hit >= 0.9 * len(planted) and hit >= 0.9 * said
+    long = {x["doc_id"]: x for x in secrets.report(secrets.scan(d)).collect()}
+    assert long[900]["spans"] == "assign:3:16" and long[901]["n_hex"] == 400
+    assert long[901]["base_sha256"] == hashlib.sha256(brute_secrets(" ".join(["deadbeef" * 3] * 400)).encode()).hexdigest()
+
+
 def test_toxicity(spark, none):
     r = np.random.default_rng(1)
     words = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(20) for b in range(10)]
