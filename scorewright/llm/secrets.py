@@ -137,7 +137,7 @@ def samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows:
     random = d.select(F.explode(F.concat(F.transform("base", lambda s: s["value"]), drawn)).alias("token"), F.lit(1).alias("random"))
     words = d.where(F.size("base") == 0).select("t", F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}|[0-9]{2,}"), F.lit(0)).alias("w"))
     two = lambda i: (F.get("w", i), F.get("w", i + 1))
-    joined = F.transform(F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: i + 1 < F.size("w")), lambda i: F.array(F.concat_ws("_", *two(i)), F.concat_ws("-", *two(i)), F.concat_ws("/", *two(i)), F.concat(*map(F.initcap, two(i)))))
+    joined = F.transform(F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: i + 1 < F.size("w")), lambda i: F.array(F.concat_ws("_", *two(i)), F.concat_ws("-", *two(i)), F.concat_ws("/", *two(i)), F.concat(*map(F.initcap, two(i))), F.upper(F.concat_ws("_", *two(i)))))
     when = F.timestamp_seconds(F.pmod(F.xxhash64("t"), F.lit(2_000_000_000)))
     rules = F.array(*(F.repeat(F.lit(c), F.lit(20)) for c in "-=_+/"), *(F.date_format(when, f) for f in ("yyyy-MM-dd'T'HH", "yyyyMMdd'T'HHmmss'Z'", "dd/MMM/yyyy")))
     ordinary = words.select(F.explode(F.concat("w", F.flatten(joined), rules)).alias("token"), F.lit(0).alias("random"))
