@@ -1,11 +1,13 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-Each slice of documents becomes an index segment: for every term the sorted list of its positions. A query phrase takes
-the list of its rarest term in the segment, shifts it by the term's offset in the phrase, and keeps the places where the
-other terms, rarest first, stand in the segment's words; what is left are exact occurrences. near() asks for all terms of
-an item within a distance instead, from their lists. Segments are transient: each block of queries builds them anew.
-Documents are never moved: queries go to the segments, in blocks of bounded size, so that a large benchmark is neither
-broadcast whole nor cut.
+build() stores the index: documents are taken in segments, and for each term of a segment a row holds the sorted list of
+its positions there. Documents of a segment lie one after the other with a gap, so no phrase crosses two of them. Beside
+the postings lie the documents: their segment, first position and number of words.
+
+search() asks the stored postings, in blocks of benchmark text of a bounded size; texts are not read again. The rows of
+the block's terms are gathered by segment. A query phrase takes the list of its rarest term there, shifted by the term's
+offset in the phrase, and intersects it with the shifted lists of the other terms, rarest first: what is left are exact
+occurrences. A proximity match asks for all terms of an item within a distance instead.
 
 Words are runs of digits, lower-cased ASCII letters and non-ASCII characters. A null or empty text has no words and no
 hits. A benchmark row with a null item_id or no words is no item. Rows of documents that repeat are each judged; rows of
@@ -14,8 +16,9 @@ an item that repeat count as one item. Only the named columns are read.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterable
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.llm import words
-from scorewright.llm.common import map_slices, text_bytes
+from scorewright.llm.common import fresh, row_key, slices, stored, text_bytes
 
 WINDOW = 10
 #: Text bytes of the benchmark that one block of queries holds.
 BLOCK_BYTES = 4 << 20
 #: Words of a proximity match, as a multiple of the item's words.
 SLACK = 2
+#: Phrases that are looked up at a time.
+PHRASES = 20_000
+#: Positions between two documents of a segment.
+GAP = 1
 
 
 def tokens(body: bytes, offsets: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -38,130 +45,235 @@ def tokens(body: bytes, offsets: list[int]) -> tuple[np.ndarray, np.ndarray, np.
 
 
 class Queries:
-    """Distinct phrases of a block of benchmark items, by length, with the items that hold them."""
+    """Items of a block of the benchmark: their words in one array, item i's text t at first[t]..first[t + 1]."""
 
-    def __init__(self, items: Iterable[tuple[str, str]], window: int = WINDOW):
-        items = [(i, t) for i, t in items if i is not None]
-        raw = [(t or "").encode() for _, t in items]
-        hashes, _, first = tokens(b"".join(raw), np.cumsum([0, *map(len, raw)]).tolist())
+    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW):
+        items = sorted({(i, t) for i, t in items if i is not None and t is not None})
+        raw = [t.encode() for _, t in items]
+        self.words, _, self.first = tokens(b"".join(raw), np.cumsum([0, *map(len, raw)]).tolist())
         self.names = sorted({i for i, _ in items})
         at = {n: k for k, n in enumerate(self.names)}
-        found: dict[int, dict[tuple, set[int]]] = {}
-        self.terms: list[tuple[int, np.ndarray]] = []
-        for (name, _), i, j in zip(items, first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if j > i:
-                self.terms.append((at[name], hashes[i:j]))
-                n = min(window, j - i)
-                for k in range(i, j - n + 1):
-                    found.setdefault(n, {}).setdefault(tuple(hashes[k : k + n].tolist()), set()).add(at[name])
-        self.phrases = [(n, np.array(list(p), np.uint64), list(map(sorted, p.values()))) for n, p in sorted(found.items())]
+        self.item = np.array([at[i] for i, _ in items], np.int64)
+        self.terms = np.unique(self.words)
+        size = np.diff(self.first)
+        self.lengths = np.minimum(size, window)
+        #: Phrases: places of their first words, by length.
+        self.phrases = []
+        for n in np.unique(self.lengths[self.lengths > 0]).tolist():
+            of = np.flatnonzero(self.lengths == n)
+            count = size[of] - n + 1
+            start = np.repeat(self.first[of] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            self.phrases.append((n, start, np.repeat(self.item[of], count)))
 
 
 class Segment:
-    """Positional inverted index of some documents."""
-
-    def __init__(self, body: bytes, offsets: list[int]):
-        self.words, _, self.first = tokens(body, offsets)
-        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-        self.positions = np.argsort(self.words, kind="stable")
-        ordered = self.words[self.positions]
-        new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-        self.terms, self.start = ordered[new], np.append(new, len(ordered))
-
-    def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length of the posting list of each term."""
-        i = np.searchsorted(self.terms, terms)
-        i[i == len(self.terms)] = 0
-        known = self.terms[i] == terms if len(self.terms) else np.zeros(terms.shape, bool)
-        return np.where(known, self.start[i], 0), np.where(known, self.start[np.minimum(i + 1, len(self.start) - 1)] - self.start[i], 0)
-
-    def phrases(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """terms: phrases of one length, a row each. Row and first position of every exact occurrence."""
-        n = terms.shape[1]
-        start, count = self.lists(terms)
-        rows = np.flatnonzero(count.min(axis=1) > 0)
-        order = np.argsort(count[rows], axis=1, kind="stable")
-        lead = order[:, 0]
-        size = count[rows, lead]
-        row = np.repeat(np.arange(len(rows)), size)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        at = self.positions[start[rows, lead][row] + nth] - lead[row]
-        ok = (at >= 0) & (at + n <= len(self.words))
-        row, at = row[ok], at[ok]
-        ok = self.doc[at] == self.doc[at + n - 1] if len(at) else ok[:0]
-        row, at = row[ok], at[ok]
-        for k in range(1, n):  # a position is in a term's shifted list if that term stands there
-            off = order[row, k]
-            ok = self.words[at + off] == terms[rows[row], off]
-            row, at = row[ok], at[ok]
-        return rows[row], at
-
-    def near(self, terms: np.ndarray, within: int) -> np.ndarray:
-        """Documents (numbers in the segment) with all the terms inside a stretch of `within` words, in any order."""
-        start, count = self.lists(np.unique(terms))
+    """Some terms' postings of one segment: sorted terms, and each one's sorted positions."""
+
+    def __init__(self, terms: np.ndarray, lists: list[bytes]):
+        order = np.argsort(terms)
+        self.terms = terms[order]
+        size = np.array([len(lists[k]) // 4 for k in order], np.int64)
+        self.start = np.concatenate([[0], np.cumsum(size)])
+        self.positions = np.frombuffer(b"".join(lists[k] for k in order), "<i4").astype(np.int64)
+        self.posting = (np.repeat(np.arange(len(size)), size) << 32) | self.positions  # sorted by term, then position
+
+    def number(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each term in the segment, and the length of its list (0 if it has none)."""
+        i = np.minimum(np.searchsorted(self.terms, terms), max(len(self.terms) - 1, 0))
+        known = self.terms[i] == terms if len(self.terms) else np.zeros(len(terms), bool)
+        return i, np.where(known, self.start[i + 1] - self.start[i], 0) if len(self.terms) else np.zeros(len(terms), np.int64)
+
+    def listed(self, number: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """Whether each position is in the list of the term of that number."""
+        want = (number << 32) | position
+        i = np.minimum(np.searchsorted(self.posting, want), len(self.posting) - 1)
+        return (position >= 0) & (self.posting[i] == want)
+
+    def occurrences(self, q: Queries, n: int, start: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of phrases of n words from start on: numbers among start, and positions, of every exact occurrence."""
+        number, count = self.number(q.words)
+        missing = np.concatenate([[0], np.cumsum(count == 0)])
+        possible = np.flatnonzero(missing[start + n] == missing[start])
+        for k in range(0, len(possible), PHRASES):
+            rows = possible[k : k + PHRASES]
+            place = start[rows][:, None] + np.arange(n)
+            order = np.argsort(count[place], axis=1, kind="stable")
+            lead = order[:, 0]
+            word = start[rows] + lead
+            size = count[word]
+            row = np.repeat(np.arange(len(rows)), size)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            at = self.positions[self.start[number[word]][row] + nth] - lead[row]
+            for step in range(1, n):
+                off = order[row, step]
+                ok = self.listed(number[start[rows][row] + off], at + off)
+                row, at = row[ok], at[ok]
+            yield rows[row], at
+
+    def near(self, terms: np.ndarray, within: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Documents (numbers of starts) with all the terms inside a stretch of `within` words, in any order."""
+        number, count = self.number(np.unique(terms))
         if not len(count) or count.min() == 0:
             return np.zeros(0, np.int64)
-        lists = [self.positions[s : s + c] for s, c in sorted(zip(start.tolist(), count.tolist(), strict=True), key=lambda x: x[1])]
-        docs = np.unique(self.doc[lists[0]])
-        for x in lists[1:]:  # documents with all terms; few are left for the search of stretches
-            docs = docs[np.searchsorted(x, self.first[docs]) < np.searchsorted(x, self.first[docs + 1])]
+        lists = [self.positions[self.start[k] : self.start[k + 1]] for k in number[np.argsort(count, kind="stable")].tolist()]
+        docs = np.unique(np.searchsorted(starts, lists[0], "right") - 1)
+        for x in lists[1:]:  # documents with all terms, rarest first
+            docs = docs[np.searchsorted(x, starts[docs]) < np.searchsorted(x, ends[docs])]
             if not len(docs):
                 return docs
-        lists[0] = lists[0][np.isin(self.doc[lists[0]], docs)]
-        out = set()
-        for back in range(within):  # the rarest term's place in the stretch
-            left = lists[0] - back
-            left = left[left >= 0]
-            left = left[self.doc[left] == self.doc[left + back]]
-            right = np.minimum(left + within, self.first[1:][self.doc[left]])
-            for x in lists[1:]:
-                i = np.searchsorted(x, left)
-                ok = (i < len(x)) & (x[np.minimum(i, len(x) - 1)] < right)
-                left, right = left[ok], right[ok]
-            out.update(self.doc[left].tolist())
-        return np.array(sorted(out), np.int64)
-
-
-def _spans(segment: Segment, q: Queries) -> tuple[list[list[tuple[int, int]]], list[set[int]]]:
-    """Of each document: maximal runs of hit words (numbers of words in the document), and items with an occurrence."""
-    docs = len(segment.first) - 1
-    edge = np.zeros(len(segment.words) + 1, np.int32)
-    items: list[set[int]] = [set() for _ in range(docs)]
-    for n, terms, names in q.phrases:
-        for k in range(0, len(terms), 20_000):
-            row, at = segment.phrases(terms[k : k + 20_000])
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + n, -1)
-            pair = np.unique(np.stack([segment.doc[at], row + k], 1), axis=0) if len(at) else ()
-            for d, r in pair:
-                items[d].update(names[r])
-    hit = np.cumsum(edge)[:-1] > 0
-    cut = np.zeros(len(hit) + 1, bool)
-    cut[segment.first] = True
-    a = np.flatnonzero(hit & (~np.concatenate([[False], hit[:-1]]) | cut[:-1])) if len(hit) else np.zeros(0, np.int64)
-    b = np.flatnonzero(hit & (~np.concatenate([hit[1:], [False]]) | cut[1:])) + 1 if len(hit) else a
-    spans: list[list[tuple[int, int]]] = [[] for _ in range(docs)]
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        d = int(segment.doc[x])
-        spans[d].append((x - int(segment.first[d]), y - int(segment.first[d])))
-    return spans, items
-
-
-def _near(segment: Segment, q: Queries, slack: int) -> list[set[int]]:
-    """Of each document: items whose terms all lie in a stretch of slack times the item's words, in any order."""
-    items: list[set[int]] = [set() for _ in range(len(segment.first) - 1)]
-    for name, terms in q.terms:
-        for d in segment.near(terms, slack * len(terms)).tolist():
-            items[d].add(name)
-    return items
-
-
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[list[tuple[str, str]]] | object:
+        # A stretch that ends at one of the positions has every term if the last place of each lies inside.
+        of = np.sort(np.concatenate(lists))
+        doc = np.searchsorted(starts, of, "right") - 1
+        inside = np.isin(doc, docs)
+        of, doc = of[inside], doc[inside]
+        left = np.maximum(of - within + 1, starts[doc])
+        for x in lists:
+            i = np.searchsorted(x, of, "right") - 1
+            ok = (i >= 0) & (x[np.maximum(i, 0)] >= left)
+            of, doc, left = of[ok], doc[ok], left[ok]
+        return np.unique(doc)
+
+
+@dataclass
+class Index:
+    """docs: row (number of the row), id, key (of id and text), segment, first, n_words. postings: segment, term,
+    positions (little-endian 32-bit integers)."""
+
+    docs: DataFrame
+    postings: DataFrame
+
+
+def _part(body: bytes, offsets: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a segment: its terms, the ends of their lists in bytes, the positions, and each document's words (n + 1)."""
+    of, _, first = tokens(body, offsets)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    order = np.argsort(of, kind="stable")
+    ordered = of[order]
+    new = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
+    return ordered[new], np.append(new, len(ordered)) * 4, (order + doc[order] * GAP).astype("<i4"), first
+
+
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
+    """Store the index of documents, each in one row of docs and in the lists of its words."""
+    spark = docs.sparkSession
+    kind = docs.schema[id_col].dataType.simpleString()
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId() << 32
+        for k, b in enumerate(slices(batches)):
+            terms, ends, positions, first = _part(*text_bytes(b.column(1)))
+            n, m, segment = b.num_rows, len(terms), task + k
+            none = lambda count, t: pa.nulls(count, t)
+            lists = pa.Array.from_buffers(pa.binary(), m, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(positions)])
+            base = first[:-1] + np.arange(n) * GAP
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.full(n + m, segment), pa.int64()),
+                    pa.concat_arrays([b.column(0), none(m, b.column(0).type)]),
+                    pa.concat_arrays([b.column(2).cast(pa.binary()), none(m, pa.binary())]),
+                    pa.concat_arrays([pa.array(base, pa.int64()), none(m, pa.int64())]),
+                    pa.concat_arrays([pa.array(np.diff(first), pa.int64()), none(m, pa.int64())]),
+                    pa.concat_arrays([none(n, pa.int64()), pa.array(terms.view(np.int64), pa.int64())]),
+                    pa.concat_arrays([none(n, pa.binary()), lists]),
+                ],
+                ["segment", "id", "key", "first", "n_words", "term", "positions"],
+            )
+
+    rows = stored(spark, d.mapInArrow(index, f"segment long, id {kind}, key binary, first long, n_words long, term long, positions binary"), "postings")
+    return Index(rows.where("n_words is not null").select("segment", "id", "key", "first", "n_words"), rows.where("term is not null").select("segment", "term", "positions"))
+
+
+def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
     """The items in blocks of about block_bytes, one after the other; only one block is on the driver at a time."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct()
     n = max(1, -(-(items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]) // block_bytes))
     for k in range(n):
-        yield n, [tuple(r) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]
+        yield [tuple(r) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k).collect()]
+
+
+HITS = "segment long, first long, start int, end int, item string, near boolean"
+
+
+def hits(index: Index, benchmark: DataFrame, window: int = WINDOW, slack: int | None = None) -> DataFrame:
+    """segment, first (of the document), and start, end, item of each run of hit words of an item; with slack, rows of
+    near = true name the items (start and end null) whose terms lie close together."""
+    spark = benchmark.sparkSession
+    # What a segment's positions mean: a document's first position and words, beside the lists of its terms.
+    lengths = index.docs.where("n_words > 0").groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("first", "n_words"))).alias("docs"))
+    found = None
+    for block in blocks(benchmark):
+        sent = spark.sparkContext.broadcast(block)
+        asked = spark.createDataFrame(pa.table({"term": pa.array(Queries(block, window).terms.view(np.int64), pa.int64())}))  # at most a block's words
+        lists = index.postings.join(asked, "term", "left_semi").select("segment", "term", "positions", F.lit(None).cast("array<struct<first:bigint,n_words:bigint>>").alias("docs"))
+        layout = lengths.select("segment", F.lit(None).cast("long").alias("term"), F.lit(None).cast("binary").alias("positions"), "docs")
+        part = stored(spark, lists.unionByName(layout).groupBy("segment").applyInArrow(_look(sent, window, slack), HITS), "hits")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _look(sent, window: int, slack: int | None):
+    """Function from a segment's rows (its documents, and the block's terms that it holds) to its hits."""
+    block = uuid.uuid4().hex
+
+    def look(group: pa.Table) -> pa.Table:
+        q = _queries(block, sent, window)
+        lists = group.filter(group["term"].is_valid())
+        layout = group.filter(group["term"].is_null())["docs"].to_pylist()
+        starts, size = (np.array([d[c] for d in layout[0]], np.int64) if layout else np.zeros(0, np.int64) for c in ("first", "n_words"))
+        s = Segment(lists["term"].to_numpy().view(np.uint64), lists["positions"].to_pylist())
+        rows = _runs(s, q, starts) + (_near(s, q, starts, starts + size, slack) if slack else [])
+        cols = list(zip(*((group["segment"][0].as_py(), *r) for r in rows), strict=True)) or [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.bool_())
+        return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("segment", "first", "start", "end", "item", "near"), cols, kinds, strict=True)})
+
+    return look
+
+
+def _queries(block: str, sent, window: int) -> Queries:
+    """The block's queries, made once in each Python worker."""
+    kept = _queries.__dict__
+    if kept.get("block") != block:
+        kept.update(block=block, queries=Queries(sent.value, window))
+    return kept["queries"]
+
+
+def _runs(s: Segment, q: Queries, starts: np.ndarray) -> list[tuple]:
+    """(first, start, end, item, near) of every maximal run of an item's hit words in a document."""
+    rows = []
+    for n, start, item in q.phrases:
+        for k, at in s.occurrences(q, n, start):
+            rows.append(np.stack([item[k], at, np.full(len(at), n)]))
+    if not rows:
+        return []
+    item, at, n = np.concatenate(rows, axis=1)
+    order = np.lexsort((at, item))
+    item, at, end = item[order], at[order], (at + n)[order]
+    if not len(at):
+        return []
+    doc = np.searchsorted(starts, at, "right") - 1
+    group = np.cumsum(np.concatenate([[0], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])]))
+    high = np.maximum.accumulate(end + group * (1 << 40)) - group * (1 << 40)  # how far the runs so far reach
+    new = np.concatenate([[True], (group[1:] != group[:-1]) | (at[1:] > high[:-1])])
+    a, b = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(new)) - 1
+    first = starts[doc[a]]
+    return list(zip(first.tolist(), (at[a] - first).tolist(), (high[b] - first).tolist(), [q.names[i] for i in item[a]], [False] * len(a), strict=True))
+
+
+def _near(s: Segment, q: Queries, starts: np.ndarray, ends: np.ndarray, slack: int) -> list[tuple]:
+    """(first, None, None, item, True) where an item's terms lie within slack times its words."""
+    _, count = s.number(q.words)
+    whole = np.flatnonzero(np.diff(q.first) > 0)
+    if not len(whole):
+        return []
+    least = np.minimum.reduceat(count, q.first[whole])
+    rows = set()
+    for t in whole[least > 0].tolist():
+        terms = q.words[q.first[t] : q.first[t + 1]]
+        rows.update((d, q.names[q.item[t]]) for d in s.near(terms, slack * len(terms), starts, ends).tolist())
+    return [(int(starts[d]), None, None, name, True) for d, name in sorted(rows)]
 
 
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, slack: int | None = None) -> DataFrame:
@@ -169,35 +281,14 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
     With slack, the column near too: the items whose terms lie close together in any order (array of string, sorted).
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, _key string, n_words long, spans array<struct<start:int,end:int>>, items array<string>" + (", near array<string>" if slack else "")
-    found, n_blocks = None, 1
-    for n_blocks, block in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def make(sent=sent, several=n_blocks > 1):
-            q = Queries(sent.value, window)
-
-            def one(b: pa.RecordBatch) -> pa.RecordBatch:
-                body, offsets = text_bytes(b.column(1))
-                segment = Segment(body, offsets)
-                spans, items = _spans(segment, q)
-                key = [hashlib.md5(body[x:y]).hexdigest() if several else None for x, y in zip(offsets[:-1], offsets[1:], strict=True)]
-                flat = [s for x in spans for s in x]
-                pairs = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.int32()), pa.array([e for _, e in flat], pa.int32())], ["start", "end"])
-                spans = pa.ListArray.from_arrays(np.cumsum([0, *map(len, spans)]).astype(np.int32), pairs)
-                named = [pa.array([sorted(q.names[i] for i in x) for x in found], pa.list_(pa.string())) for found in ((items, _near(segment, q, slack)) if slack else (items,))]
-                return pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.string()), pa.array(np.diff(segment.first), pa.int64()), spans, *named], [id_col, "_key", "n_words", "spans", "items", "near"][: 4 + len(named)])
-
-            return one
-
-        part = map_slices(docs.select(id_col, text_col), make, schema)
-        found = part if found is None else found.unionByName(part)
-    if n_blocks == 1:
-        return found.drop("_key")
-    names = ["items", "near"] if slack else ["items"]
-    merged = found.groupBy(id_col, "_key", "n_words").agg((F.count("*") / n_blocks).cast("int").alias("_n"), F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in names))
-    return merged.select(id_col, F.explode(F.sequence(F.lit(1), "_n")).alias("_k"), "n_words", _merged(F.col("spans")).alias("spans"), *names).drop("_k")
+    index = build(docs, id_col, text_col)
+    exact = lambda c: F.when(~F.col("near"), c)
+    spans = F.collect_list(exact(F.struct("start", "end")))
+    of = hits(index, benchmark, window, slack).groupBy("segment", "first").agg(_merged(spans).alias("spans"), F.array_sort(F.collect_set(exact(F.col("item")))).alias("items"), F.array_sort(F.collect_set(F.when(F.col("near"), F.col("item")))).alias("near"))
+    words_of = index.docs.where("n_words > 0").join(of, ["segment", "first"], "left").select("id", "n_words", "spans", "items", "near")
+    none = index.docs.where("n_words = 0").select("id", "n_words", *(F.lit(None).cast(of.schema[c].dataType).alias(c) for c in ("spans", "items", "near")))
+    empty = lambda c: F.coalesce(c, F.array().cast(of.schema[c].dataType)).alias(c)
+    return words_of.unionByName(none).select(F.col("id").alias(id_col), "n_words", empty("spans"), empty("items"), *([empty("near")] if slack else []))
 
 
 def _merged(spans):
@@ -209,7 +300,7 @@ def _merged(spans):
         longer = F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))).cast(kind)
         return F.when((F.size(done) > 0) & (last["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), longer)).otherwise(F.concat(done, F.array(s).cast(kind)))
 
-    return F.aggregate(F.array_sort(spans.cast(kind)), F.array().cast(kind), grow)
+    return F.aggregate(F.array_sort(F.array_distinct(spans.cast(kind))), F.array().cast(kind), grow)
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -223,23 +314,13 @@ def proximity(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, F.size("near").cast("long").alias("n_near"), F.sha2(F.array_join("near", ","), 256).alias("near_sha256"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents, all columns, that hold no window of the benchmark. Each block of queries filters in turn."""
-    at = docs.columns.index(text_col)
-    for _, block in blocks(benchmark):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def make(sent=sent):
-            q = Queries(sent.value, window)
-
-            def one(b: pa.RecordBatch) -> pa.RecordBatch:
-                spans, _ = _spans(Segment(*text_bytes(b.column(at))), q)
-                return b.filter(pa.array([not s for s in spans], pa.bool_()))
-
-            return one
-
-        docs = map_slices(docs, make, docs.schema, text=at)
-    return docs
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """The documents, all columns, that hold no window of the benchmark; told apart by 128 bits of id and text."""
+    index = build(docs, id_col, text_col)
+    name = fresh(docs, "row_key")
+    hit = hits(index, benchmark, window).select("segment", "first").distinct()
+    hit = stored(docs.sparkSession, index.docs.where("n_words > 0").join(hit, ["segment", "first"], "left_semi").select(F.col("key").alias(name)).distinct(), "contaminated")
+    return docs.withColumn(name, row_key(id_col, text_col)).join(hit, name, "left_anti").drop(name)
 
 
 ORACLE_SQL = r"""

@@ -155,11 +155,31 @@ def test_decontamination(spark, docs, none, monkeypatch):
     assert decontam.search(none, b).count() == 0 and decontam.search(docs, b.limit(0)).where("size(spans) > 0").count() == 0
 
 
+def segment_of(texts):
+    raw = [t.encode() for t in texts]
+    terms, ends, positions, first = decontam._part(b"".join(raw), np.cumsum([0, *map(len, raw)]).tolist())
+    lists = [positions.tobytes()[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    starts = first[:-1] + np.arange(len(texts)) * decontam.GAP
+    return decontam.Segment(terms, lists), starts, starts + np.diff(first)
+
+
 def test_near():
-    text = b"red fox jumps over the lazy dog while red birds sing of a fox"
-    s = decontam.Segment(text, [0, 33, len(text)])
+    s, starts, ends = segment_of(["red fox jumps over the lazy dog ", "while red birds sing of a fox"])
     of = lambda t: decontam.tokens(t, [0, len(t)])[0]
-    assert s.near(of(b"fox red"), 3).tolist() == [0] and s.near(of(b"fox red"), 10).tolist() == [0, 1] and s.near(of(b"fox cat"), 10).tolist() == []
+    near = lambda t, n: s.near(of(t), n, starts, ends).tolist()
+    assert near(b"fox red", 3) == [0] and near(b"fox red", 10) == [0, 1] and near(b"fox cat", 10) == [] and near(b"dog while", 10) == []
+
+
+def test_near_against_brute_force():
+    r = np.random.default_rng(0)
+    texts = [" ".join(r.choice(list("abcdefg"), r.integers(0, 40))) for _ in range(60)]
+    s, starts, ends = segment_of(texts)
+    some = np.flatnonzero(ends > starts)
+    for _ in range(60):
+        item, within = r.choice(list("abcdefg"), 4), int(r.integers(3, 12))
+        text = " ".join(item).encode()
+        want = [d for d in some if any(set(item) <= set(texts[d].split()[k : k + within]) for k in range(len(texts[d].split())))]
+        assert [some[d] for d in s.near(decontam.tokens(text, [0, len(text)])[0], within, starts[some], ends[some])] == want
 
 
 def test_proximity(spark, tmp_path, monkeypatch):
