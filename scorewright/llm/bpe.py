@@ -1,11 +1,12 @@
 """Byte-pair encoding and decoding with content-defined chunk reuse.
 
 A rolling hash of the last 16 bytes cuts each text into chunks, so a passage that several documents share is cut alike
-in each of them. A chunk's ids are encoded once in a task and taken again for every later document that holds the chunk.
-Ids are certain only between places where any scan of the text must start a new word: before white space that follows
-printable ASCII. Each seam between two chunks is therefore encoded anew over the window from the last such place before
-the cut to the first one after it; where a chunk has no such place the window grows over it. There the ids of both
-sides agree exactly, so the pieces' ids in a row are those of the whole text.
+in each of them. A chunk is encoded as it stands, once for all documents of a task that hold it; a bounded cache keeps the
+chunks used last. A cut can fall inside of a word, so each join is repaired: a window over it is encoded anew, one word
+wider on each side than the join may reach, and its ids there must be those of the chunk on that side. Where they differ
+the windows grow until both sides agree; a window that meets the next join grows over it, at last over the whole text.
+Places where any scan of a text must start a new word, before a space or line feed that follows printable ASCII, bound
+the windows, so ids that agree are those of the whole text.
 
 Nulls and empty texts have no ids. Repeated rows give repeated results; columns other than the two named are not read.
 """
@@ -15,20 +16,23 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from scorewright.llm.common import map_slices, text_bytes
+from scorewright.llm.common import map_slices, slices, text_bytes
 
 #: The byte-level split of this family of vocabularies (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Outside of these, Unicode versions and regular-expression libraries may class a character otherwise.
 ODD = r"[^\t\n\r -~\xa1-\xac\xae-\u017f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u2013\u2014\u2018\u2019\u201c-\u201e\u2026\u20ac\u4e00-\u9fa5]"
 CHUNK_BYTES = 512
-CACHE_BYTES = 24 << 20
+#: Bytes of encoded pieces that a task keeps; the half used last stays when it is full.
+CACHE_BYTES = 32 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -60,8 +64,10 @@ class ChunkCodec:
         self.odd = re.compile(ODD).search
         self.mask = np.uint32((1 << max(4, int(np.log2(chunk_bytes)))) - 1)
         self.gear = np.random.default_rng(12345).integers(0, 1 << 32, 256, dtype=np.uint32)
-        self.chunks: dict[bytes, bytes] = {}
-        self.held = self.encoded = 0
+        self.size = np.array([len(x) for x in self.token_bytes], np.int64)
+        self.new: dict[bytes, tuple[bytes, array]] = {}
+        self.old: dict[bytes, tuple[bytes, array]] = {}
+        self.held = self.encoded = self.asked = self.widened = 0
 
     def _ranked(self, spec: dict, ranks: dict[bytes, int]) -> object | None:
         """A faster encoder of the same vocabulary, where ids follow the order of merges and nothing else alters the text."""
@@ -74,28 +80,24 @@ class ChunkCodec:
             return None
         return tiktoken.Encoding("merges", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
-    def boundaries(self, body: bytes, offsets: list[int]) -> np.ndarray:
-        """Places at which ids may be joined: both ends of each text and of each seam's window."""
+    def places(self, body: bytes, offsets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Where chunks begin, and the places that bound windows; both hold the ends of each text."""
         b = np.frombuffer(body, np.uint8)
-        ends = np.asarray(offsets, np.int64)
+        ends = np.unique(np.asarray(offsets, np.int64))
         if len(b) < 2:
-            return np.unique(ends)
+            return ends, ends
         h = self.gear[b]
         for step, factor in ((1, 0x9E3779B1), (2, 0x85EBCA6B), (4, 0xC2B2AE35), (8, 0x27D4EB2F)):
             h[step:] += h[:-step] * np.uint32(factor)
         cuts = np.flatnonzero((h >> np.uint32(7)) & self.mask == 0) + 1
+        for _ in range(3):  # to the start of a character
+            cuts = cuts + ((cuts < len(b)) & (b[np.minimum(cuts, len(b) - 1)] & 0xC0 == 0x80))
         inner = b[1:] <= 0x20
         inner &= (b[1:] == 0x20) | (b[1:] == 0x0A)
         inner &= (b[:-1] > 0x20) & (b[:-1] < 0x7F)
         inner = np.concatenate([[False], inner, [True]])
         inner[ends] = True
-        safe = np.flatnonzero(inner)
-        i = np.searchsorted(safe, cuts, "left")
-        keep = np.zeros(len(b) + 1, bool)
-        keep[ends] = True
-        keep[safe[i]] = True
-        keep[safe[i - (safe[i] != cuts)]] = True
-        return np.flatnonzero(keep)
+        return np.union1d(ends, cuts), np.flatnonzero(inner)
 
     def encode(self, piece: str) -> bytes:
         """Ids of one piece that starts and ends at boundaries."""
@@ -103,22 +105,89 @@ class ChunkCodec:
             return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(piece, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
-    def encode_all(self, body: bytes, offsets: list[int]) -> list[bytes]:
-        """Ids of each text. Chunks and seams that no earlier document of the task held are encoded, each once."""
-        at = self.boundaries(body, offsets)
-        starts = np.searchsorted(at, offsets).tolist()
-        at = at.tolist()
-        pieces = [body[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-        if self.held > CACHE_BYTES:
-            self.chunks.clear()
-            self.held = 0
-        known = self.chunks
-        for p in pieces:
-            if p not in known:
-                known[p] = ids = self.encode(p.decode())
-                self.held += len(p) + len(ids) + 150
+    def piece(self, text: bytes) -> tuple[bytes, array]:
+        """Ids of a chunk or window as it stands, and the ends of their bytes, from the cache if it is there."""
+        self.asked += 1
+        got = self.new.get(text)
+        if got is None:
+            got = self.old.pop(text, None)
+            if got is None:
                 self.encoded += 1
-        return [b"".join(map(known.__getitem__, pieces[i:j])) for i, j in zip(starts[:-1], starts[1:], strict=True)]
+                ids = self.encode(text.decode())
+                ends = np.cumsum(self.size[np.frombuffer(ids, "<u4")])
+                if len(ends) and ends[-1] != len(text):
+                    raise ValueError("the tokenizer alters the text")
+                got = ids, array("i", ends.astype(np.int32).tobytes())
+            self.new[text] = got
+            self.held += len(text) + 2 * len(got[0]) + 300
+            if self.held > CACHE_BYTES // 2:
+                self.old, self.new, self.held = self.new, {}, 0
+        return got
+
+    def encode_all(self, body: bytes, offsets: list[int]) -> list[bytes]:
+        """Ids of each text, from its chunks and the windows over their joins."""
+        cuts, safe = self.places(body, offsets)
+        first, last = np.searchsorted(cuts, offsets[:-1]).tolist(), np.searchsorted(cuts, offsets[1:]).tolist()
+        after = np.searchsorted(safe, cuts)  # the first place at a cut or after it
+        cuts, after = cuts.tolist(), after.tolist()
+        return [self._text(body, cuts[i : j + 1], after[i : j + 1], safe) if j > i else b"" for i, j in zip(first, last, strict=True)]
+
+    def _text(self, body: bytes, cuts: list[int], after: list[int], safe: np.ndarray) -> bytes:
+        """Ids of the text from the first cut to the last."""
+        width = 1
+        while True:
+            ids = self._joined(body, cuts, after, safe, width)
+            if ids is not None:
+                return ids
+            self.widened += 1
+            width *= 2
+
+    def _joined(self, body: bytes, cuts: list[int], after: list[int], safe: np.ndarray, width: int) -> bytes | None:
+        """Ids with windows that are checked over `width` words on each side; None if a side disagrees.
+
+        A window reads bytes a to b and counts from l to r; both l and r are places where a word starts.
+        """
+        low, high = after[0], after[-1]
+        windows: list[list[int]] = []  # a, l, r, b, and the numbers of the first and last cut inside
+        for n in range(1, len(cuts) - 1):
+            left, right = max(low, after[n] - (safe[after[n]] != cuts[n])), after[n]
+            a, b = int(safe[max(low, left - width)]), int(safe[min(high, right + width)])
+            if windows and a < windows[-1][3]:
+                windows[-1][2:4], windows[-1][5] = [int(safe[right]), b], n
+            else:
+                windows.append([a, int(safe[left]), int(safe[right]), b, n, n])
+        out, done, origin = [], cuts[0], 0
+        before = None
+        for a, l, r, b, first, last in [*windows, [cuts[-1]] * 4 + [len(cuts) - 1] * 2]:
+            at = cuts[origin]
+            chunk = self.piece(body[at : cuts[first]])
+            if before and not self._same(before[0], done - before[1], before[2] - before[1], chunk, done - at, before[2] - at):
+                return None
+            out.append(self._slice(*chunk, done - at, l - at))
+            if first == len(cuts) - 1:
+                break
+            window = self.piece(body[a:b])
+            if (a, b) == (cuts[0], cuts[-1]):  # it has grown over the whole text
+                return window[0]
+            if not self._same(window, 0, l - a, chunk, a - at, l - at):
+                return None
+            out.append(self._slice(*window, l - a, r - a))
+            before, done, origin = (window, a, b), r, last
+        return None if None in out else b"".join(out)
+
+    @staticmethod
+    def _slice(ids: bytes, ends: array, a: int, b: int) -> bytes | None:
+        """The ids of bytes a to b; None if no token begins or ends there."""
+        i = bisect_left(ends, a) + 1 if a else 0
+        j = bisect_left(ends, b) + 1 if b else 0
+        if any(k and (k > len(ends) or ends[k - 1] != x) for k, x in ((i, a), (j, b))):
+            return None
+        return ids[4 * i : 4 * j]
+
+    def _same(self, x: tuple[bytes, array], a: int, b: int, y: tuple[bytes, array], c: int, d: int) -> bool:
+        """Whether ids of x between a and b are those of y between c and d."""
+        p, q = self._slice(*x, a, b), self._slice(*y, c, d)
+        return p is not None and p == q
 
     def decode(self, ids: bytes) -> str:
         """Text of ids, special tokens included; bytes that are no UTF-8 become replacement characters."""
@@ -186,3 +255,15 @@ def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         return one
 
     return map_slices(df.select(id_col, text_col), work, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def reuse(df: DataFrame, path: str, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """How far pieces (chunks and windows) were found encoded, a row a task: asked, encoded, widened."""
+
+    def count(batches):
+        codec = _codec(path, chunk_bytes)()
+        for b in slices(batches, 0):
+            codec.encode_all(*text_bytes(b.column(0)))
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (codec.asked, codec.encoded, codec.widened)], ["asked", "encoded", "widened"])
+
+    return df.select(text_col).mapInArrow(count, "asked long, encoded long, widened long")

@@ -50,10 +50,25 @@ def test_bpe_reuses_chunks():
     n = c.encoded
     both = text + b"new start " + text
     got = c.encode_all(both, [0, len(text), len(both)])
-    assert c.encoded - n < 0.1 * n
+    assert c.encoded - n < 0.1 * n and c.asked > 1.9 * n
     assert [list(np.frombuffer(x, "<u4")) for x in got] == [c.tokenizer.encode(x.decode(), add_special_tokens=False).ids for x in (text, b"new start " + text)]
 
 
+def test_bpe_repairs_joins():
+    """Cuts fall inside words, numbers, spaces, contractions, special tokens and characters; ids are those of whole texts."""
+    r = np.random.default_rng(6)
+    parts = ["word", " ", "  ", "\n", "\n\n \n", "'", "'ll", "'s", "12345", "é", "漢字", "😀", "<|endoftext|>", "...", " x", "\t", "\u00a0", "\u200d", "ñandú", "_", "ab" * 40, "-" * 30]
+    texts = ["".join(r.choice(parts, r.integers(0, 120))) for _ in range(400)] + ["a" * 5000, "\n" * 3000, " " * 3000, "", "é" * 999]
+    c = bpe.ChunkCodec(path(), 16)
+    raw = [t.encode() for t in texts]
+    got = c.encode_all(b"".join(raw), np.cumsum([0, *map(len, raw)]).tolist())
+    for t, ids in zip(texts, got, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == c.tokenizer.encode(t, add_special_tokens=False).ids
+        assert c.decode(ids) == c.tokenizer.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+    cuts, safe = c.places(b"".join(raw), np.cumsum([0, *map(len, raw)]).tolist())
+    assert len(np.setdiff1d(cuts, safe)) > 1000  # cuts that are no word's start
+
+
 def test_quality(docs, none):
     got = {(r["doc_id"], r["n_words"], r["n_repeat_words"], r["kept"]) for r in quality.apply_policy(quality.ledger(docs)).collect()}
     assert {(1, 0, 0, False), (3, 3, 0, False), (4, 30000, 30000, False), (5, 0, 0, False)} <= got
