@@ -26,6 +26,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's bits: every rule that each document fails."""
+    return quality.ledger(table(spark, sf_dir, "documents")).select("doc_id", "failures")
+
+
+def op2_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every versioned policy, rule by rule, from the ledger's bits."""
+    return quality.ablations(quality.ledger(table(spark, sf_dir, "documents")))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of recurring templates dropped from every document but the first: counts and the digest of what is kept."""
     cut = linededup.transform(table(spark, sf_dir, "documents"))
@@ -78,9 +88,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (op1_bpe_codec, op2_quality_rules, op3_line_dedup, op4_decontamination, op4_proximity, op5_language_id, op6_ngram_jaccard_join, op7_chat_format, op8_secret_scan, op9_suffix_dedup, op10_toxicity)
+    all_of = (op1_bpe_codec, op2_quality_rules, op2_ledger, op2_ablation, op3_line_dedup, op4_decontamination, op4_proximity, op5_language_id, op6_ngram_jaccard_join, op7_chat_format, op8_secret_scan, op9_suffix_dedup, op10_toxicity)
     return {f.__name__: f for f in all_of}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op7_chat_format": chat.ORACLE_SQL}
+    return {"op2_quality_rules": quality.ORACLE_SQL, "op2_ledger": quality.LEDGER_SQL, "op2_ablation": quality.ABLATION_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op7_chat_format": chat.ORACLE_SQL}

@@ -77,6 +77,16 @@ def test_quality(docs, none):
     assert rules["few_words"] == (8, 7, 5) and rules["repeated_words"] == (8, 1, 1)
 
 
+def test_quality_policies(spark):
+    text = {1: "- a\n" * 3, 2: "Wait...\nand then\u2026 \nfine.", 3: "ABC DEF ghi", 4: "12 34 56 a", 5: "x" * 10_001, 6: "same line here\nsame line here\nsame line here"}
+    got = {r["doc_id"]: {k for k in quality.RULES if r["failures"] & quality.BIT[k]} for r in quality.ledger(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
+    few = {"few_words"}
+    assert got[1] == few | {"bullet_lines", "duplicate_lines", "repeated_words", "repeated_line_chars", "no_sentence_end", "few_letters", "short_words"}
+    assert got[2] == few | {"ellipsis_lines"} and got[3] == few | {"shouting", "no_sentence_end"}
+    assert got[4] == few | {"few_letters", "no_sentence_end", "short_words"} and got[5] == few | {"long_words", "long_lines", "no_sentence_end"}
+    assert got[6] == few | {"duplicate_lines", "repeated_words", "repeated_line_chars", "no_sentence_end"}
+
+
 def brute_lines(rows, depth=3, min_docs=3, constant=0.5):
     mask = lambda line: ["<*>" if re.search(r"\d", t) else t for t in line.split()]
     seen = {(i, t, tuple(mask(s))) for i, t in rows if t for s in t.split("\n") if s.split()}
