@@ -8,8 +8,8 @@ differ in words are different content, so a template has at least `constant` of
 digits at most one variable field, in a line that is otherwise equal: WORDS of the tokens are fixed then, and the field
 is not the last token of a line of fewer than LONG tokens.
 
-A line that repeats word for word needs no template: EXACT_DOCS documents suffice, whatever its length. Its words are
-counted by a 64-bit hash. Where min_docs is given, it is the support of both.
+A line that repeats word for word needs no template: EXACT_DOCS documents suffice, whatever its length. Lines,
+templates and rows are told apart by 128 bits. Where min_docs is given, it is the support of both.
 
 Support counts documents by id. Only for the choice of fixed tokens, rows that repeat an id count one by one.
 
@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import map_slices, stored
+from scorewright.llm.common import fresh, map_slices, row_key, stored
 from scorewright.llm.graph import bitmap, may
 
 DEPTH = 3
@@ -59,16 +59,21 @@ def exact(line: str) -> int:
     return _hash("\n" + " ".join(line.split()))
 
 
+def _name(s: str) -> bytes:
+    """128 bits that stand for a line."""
+    return xxhash.xxh3_128_digest(s)
+
+
 def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
 def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, min_docs: int | None = None, constant: float = CONSTANT) -> DataFrame:
-    """Lines to drop: _key (hash of id and text), drop (sorted array of line numbers from 0)."""
+    """Lines to drop: _key (row_key of id and text), drop (sorted array of line numbers from 0)."""
     spark = df.sparkSession
     exact_docs, min_docs = (EXACT_DOCS, MIN_DOCS) if min_docs is None else (min_docs, min_docs)
     kind = df.schema[id_col].dataType.simpleString()
-    docs = df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("_key"), F.col(text_col).alias("t"), F.col(id_col).alias("d")).where("t is not null and t <> ''")
+    docs = df.select(row_key(id_col, text_col).alias("_key"), F.col(text_col).alias("t"), F.col(id_col).alias("d")).where("t is not null and t <> ''")
 
     def leaves():
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -99,27 +104,27 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
                 for (i, p), k in zip(parsed, known, strict=True):
                     if k:
                         found.setdefault(" ".join(p[1]), (*p, []))[2].append(i)
-                word: dict[int, list[int]] = {}
+                word: dict[str, list[int]] = {}
                 for i, _ in parsed:
-                    word.setdefault(exact(said[i]), []).append(i)
-                repeats = may(same.value, np.array(list(word), np.int64)).tolist()
-                rows += [(leaf, None, key, d, None, None, at) for (leaf, at), k in zip(word.items(), repeats, strict=True) if k]
+                    word.setdefault(" ".join(said[i].split()), []).append(i)
+                repeats = may(same.value, np.array([_hash("\n" + s) for s in word], np.int64)).tolist()
+                rows += [(None, _name(s), key, d, None, None, at) for (s, at), k in zip(word.items(), repeats, strict=True) if k]
                 held, several = set(), Counter(leaf for leaf, _, _ in found.values())
                 for s, (leaf, tokens, at) in found.items():
                     again = []
                     if several[leaf] > 1:  # places of tokens that an earlier line of the document has too
                         again = [p for p, x in enumerate(tokens) if (leaf, p, x) in held]
                         held.update((leaf, p, x) for p, x in enumerate(tokens))
-                    rows.append((leaf, _hash(s), key, d, tokens, again, at))
+                    rows.append((leaf, _name(s), key, d, tokens, again, at))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), b.column(2).type, pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), b.column(2).type, pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
             return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], ["leaf", "line", "_key", "d", "tokens", "again", "at"])
 
         return one
 
-    found = map_slices(docs, lines, f"leaf long, line long, _key long, d {kind}, tokens array<string>, again array<int>, at array<int>")
+    found = map_slices(docs, lines, f"leaf long, line binary, _key binary, d {kind}, tokens array<string>, again array<int>, at array<int>")
     found = stored(spark, found, "lines")
-    distinct = found.where("line is not null").groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")).join(reached, "leaf", "left_semi")
+    distinct = found.where("leaf is not null").groupBy("leaf", "line").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens")).join(reached, "leaf", "left_semi")
     distinct = stored(spark, distinct, "distinct-lines")
     places = distinct.select("leaf", "line", "n", F.posexplode("tokens").alias("p", "token"))
     again = found.where("size(again) > 0").select("leaf", "tokens", F.explode("again").alias("p")).select("leaf", "p", F.get("tokens", F.col("p")).alias("token"), F.lit(-1).cast("long").alias("n"))
@@ -140,13 +145,13 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
         )
         .where(ok)
         .where("n_fixed < size")  # others repeat word for word
-        .select("leaf", "line", "n", F.xxhash64("leaf", F.array_join(F.transform("x", lambda x: x["x"]), " ")).alias("template"))
+        .select("leaf", "line", "n", F.unhex(F.md5(F.encode(F.concat_ws(" ", F.col("leaf").cast("string"), F.transform("x", lambda x: x["x"])), "utf-8"))).alias("template"))
     )
     template = stored(spark, template, "templates")
     # Lines are summed first; where they suffice, the documents are counted.
     likely = template.join(template.groupBy("template").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("template"), "template", "left_semi")
     hits = stored(spark, found.select("leaf", "line", "_key", "d", "at").join(likely.select("leaf", "line", "template"), ["leaf", "line"]).select("template", "_key", "d", "at"), "hits")
-    hits = hits.withColumn("need", F.lit(min_docs)).unionByName(found.where("line is null").select(F.col("leaf").alias("template"), "_key", "d", "at", F.lit(exact_docs).alias("need")))
+    hits = hits.withColumn("need", F.lit(min_docs)).unionByName(found.where("leaf is null").select(F.col("line").alias("template"), "_key", "d", "at", F.lit(exact_docs).alias("need")))
     often = hits.groupBy("template", "need").agg(F.count_distinct(F.xxhash64("d")).alias("n"), F.min("d").alias("first")).where("n >= need")
     dropped = hits.join(often.select("template", "first"), "template").where(~F.col("d").eqNullSafe(F.col("first")))
     return dropped.groupBy("_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("drop"))
@@ -154,10 +159,11 @@ def recurring(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", dep
 
 def transform(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """df with the text's recurring lines dropped, and the columns n_lines and n_dropped (replaced if they exist)."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    d = df.withColumn("_key", key).join(recurring(df, id_col, text_col, **parameters), "_key", "left")
+    key, gone = fresh(df, "line_key"), fresh(df, "line_numbers")
+    found = recurring(df, id_col, text_col, **parameters).select(F.col("_key").alias(key), F.col("drop").alias(gone))
+    d = df.withColumn(key, row_key(id_col, text_col)).join(found, key, "left")
     lines = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("drop", i)), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
     out = d.withColumn("n_lines", F.coalesce(F.when(F.col(text_col) != "", F.size(lines)), F.lit(0)).cast("long"))
-    out = out.withColumn("n_dropped", F.coalesce(F.size("drop"), F.lit(0)).cast("long")).withColumn(text_col, F.when(F.col("drop").isNotNull(), kept).otherwise(F.col(text_col)))
-    return out.drop("_key", "drop")
+    out = out.withColumn("n_dropped", F.coalesce(F.size(gone), F.lit(0)).cast("long")).withColumn(text_col, F.when(F.col(gone).isNotNull(), kept).otherwise(F.col(text_col)))
+    return out.drop(key, gone)
