@@ -4,7 +4,8 @@ Only confirmed toxic documents count as labelled; the rest of the training rows
 label. With the share of toxic documents (the class prior, from all training labels) the risk of a classifier g is
 prior * E_P[loss(g, 1)] + max(0, E_U[loss(g, 0)] - prior * E_P[loss(g, 0)]): the bracket estimates the loss on clean
 documents and may not fall below zero. A linear model over word counts is trained with numpy on a sample whose size is
-bounded by documented parameters; scoring reads every whole text.
+bounded by documented parameters (documents, drawn by a hash of their ids); its words are all those of the sample that
+enough toxic documents hold and that are clearly more frequent there. Scoring reads every whole text.
 
 Null and empty texts have no words and get the score of the bias alone. Without a confirmed toxic document, or without
 other text, every score is the prior. Repeated label rows of a document count once, toxic if any of them says so. Null
@@ -14,17 +15,19 @@ labels are no labels. Only the named columns are read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import map_slices
+from scorewright.llm.common import map_slices, stored
 
+#: Documents of either sort in the sample, about, at most.
 POSITIVES = 3000
 UNLABELLED = 9000
-FEATURES = 1500
+#: Toxic documents that hold a word, and its z value against the unlabelled ones, at least.
 LEAST_DOCS = 4
 LEAST_Z = 3.0
 EPOCHS = 400
@@ -48,45 +51,57 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     empty = {"words": [], "weights": np.zeros(0), "bias": float(np.log(prior / (1 - prior))), "prior": prior}
     if not n_toxic or not n_rows:
         return empty
-    # At most about `positives` ids, so this side of the join is bounded.
-    toxic = known.where("y > 0").where(_hashed(F.col("i"), min(1.0, positives / n_toxic))).select("i").limit(4 * positives)
-    p = rows.join(F.broadcast(toxic), "i", "left_semi").select(F.lit(1).alias("y"), "t").limit(4 * positives)
-    u = rows.where(_hashed(F.concat_ws("/", F.lit("u"), "i"), min(1.0, unlabelled / n_rows))).select(F.lit(0).alias("y"), "t").limit(4 * unlabelled)
+    spark = docs.sparkSession
+    toxic = stored(spark, known.where("y > 0").where(_hashed(F.col("i"), min(1.0, positives / n_toxic))).select("i"), "toxic-ids")
+    p = rows.join(toxic, "i", "left_semi").select(F.lit(1).alias("y"), "t")
+    u = rows.where(_hashed(F.concat_ws("/", F.lit("u"), F.col("i").cast("string")), min(1.0, unlabelled / n_rows))).select(F.lit(0).alias("y"), "t")
 
     def bags(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sorted(set(_WORDS.findall((t or "").lower()))) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], ["y", "w"])
+            counts = [Counter(_WORDS.findall((t or "").lower())) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))], ["y", "w", "n"])
 
-    sample = p.unionByName(u)
+    sample = stored(spark, p.unionByName(u).mapInArrow(bags, "y int, w array<string>, n array<int>"), "toxicity-sample")
     sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return empty
     a, b = F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b")
-    counted = sample.mapInArrow(bags, "y int, w array<string>").select("y", F.explode("w").alias("w")).groupBy("w").agg(a, b)
+    counted = sample.select("y", F.explode("w").alias("w")).groupBy("w").agg(a, b)
     pa_, pb = F.col("a") / sizes[1], F.col("b") / sizes[0]
     both = (F.col("a") + F.col("b") + 1) / (sizes[0] + sizes[1] + 2)
     z = (pa_ - pb) / F.sqrt(both * (1 - both) * (1 / sizes[0] + 1 / sizes[1]))
-    best = counted.where(F.col("a") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "w").limit(FEATURES)
-    words = [r["w"] for r in best.select("w").collect()]
+    words = sorted(r["w"] for r in counted.where((F.col("a") >= LEAST_DOCS) & (z >= LEAST_Z)).select("w").collect())  # of the bounded sample
     if not words:
         return empty
-    vectorise = vectoriser(words)
+    at = {w: k for k, w in enumerate(words)}
 
     def sparse(batches):
         for x in batches:
-            rows = [vectorise(t) for t in x.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([[k for k, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[v for _, v in r] for r in rows], pa.list_(pa.float32()))], ["y", "k", "v"])
-
-    rows = sample.mapInArrow(sparse, "y int, k array<int>, v array<float>").collect()
-    rows.sort(key=lambda r: (r["y"], r["k"], r["v"]))
-    x = np.zeros((len(rows), len(words)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r["k"]] = r["v"]
-    y = np.array([r["y"] for r in rows])
-    w, bias = fit(x[y == 1], x[y == 0], prior)
+            rows = [sorted((at[w], n) for w, n in zip(ws, ns, strict=True) if w in at) for ws, ns in zip(x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array([[k for k, _ in r] for r in rows], pa.list_(pa.int32())), pa.array([[n for _, n in r] for r in rows], pa.list_(pa.int32()))], ["y", "k", "n"])
+
+    rows = sorted((tuple(r) for r in sample.mapInArrow(sparse, "y int, k array<int>, n array<int>").collect()), key=lambda r: (r[0], r[1], r[2]))
+    w, bias = fit(*(Sparse([(r[1], np.log1p(r[2])) for r in rows if r[0] == y], len(words)) for y in (1, 0)), prior)
     return {"words": words, "weights": w, "bias": bias, "prior": prior}
 
 
+class Sparse:
+    """Rows of (columns, values), multiplied from both sides."""
+
+    def __init__(self, rows: list[tuple[list[int], np.ndarray]], width: int):
+        self.height, self.width = len(rows), width
+        self.row = np.repeat(np.arange(len(rows)), [len(k) for k, _ in rows])
+        self.column = np.array([c for k, _ in rows for c in k], np.int64)
+        self.value = np.concatenate([np.asarray(v, np.float64) for _, v in rows]) if rows else np.zeros(0)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.height)
+
+    def summed(self, d: np.ndarray) -> np.ndarray:
+        """Sum of the rows, each times its d."""
+        return np.bincount(self.column, self.value * d[self.row], self.width)
+
+
 def vectoriser(words: list[str]):
     """Function from a text to its (feature, log1p of the count) pairs."""
     at = {w: i for i, w in enumerate(words)}
@@ -101,15 +116,15 @@ def vectoriser(words: list[str]):
     return of
 
 
-def fit(p: np.ndarray, u: np.ndarray, prior: float, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2) -> tuple[np.ndarray, float]:
+def fit(p: Sparse, u: Sparse, prior: float, epochs: int = EPOCHS, rate: float = RATE, l2: float = L2) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with the logistic loss, by Adam on the whole sample."""
-    w, bias = np.zeros(p.shape[1] + 1), float(np.log(prior / (1 - prior)))
+    w, bias = np.zeros(p.width + 1), float(np.log(prior / (1 - prior)))
     w[-1] = bias
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    grad = lambda x, d: np.append(x.T @ d, d.sum()) / len(x)
+    grad = lambda x, d: np.append(x.summed(d), d.sum()) / x.height
     for step in range(1, epochs + 1):
-        zp, zu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
+        zp, zu = p.times(w[:-1]) + w[-1], u.times(w[:-1]) + w[-1]
         sp, su = sigmoid(zp), sigmoid(zu)
         positive = prior * grad(p, sp - 1)
         negative = grad(u, su) - prior * grad(p, sp)

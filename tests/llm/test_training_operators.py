@@ -149,6 +149,17 @@ def test_line_dedup_counts_documents(spark):
     assert dropped_lines(spark, rows, min_docs=3) != {1: 0, 2: 0, 3: 0}
 
 
+def test_line_dedup_of_clashing_names_and_odd_rows(spark):
+    schema = "doc_id string, text string, drop string, _key string, line_key string, line_numbers int, n_lines int, leaf string"
+    rows = [("a", None), (None, "a"), (None, "same line of text\nown"), ("b", "same line of text\nother"), ("b", "same line of text\nother"), ("c", "word " * 50_000 + "\nsame line of text")]
+    d = spark.createDataFrame([(i, t, "d", "k", "l", 7, 8, "f") for i, t in rows], schema).repartition(3)
+    out = linededup.transform(d)
+    assert set(out.columns) == {*d.columns, "n_dropped"}
+    got = sorted(((r["doc_id"], r["text"], r["n_dropped"], r["drop"], r["_key"], r["line_key"], r["line_numbers"]) for r in out.collect()), key=str)
+    kept = [("a", None, 0), (None, "a", 0), (None, "own", 1), ("b", rows[3][1], 0), ("b", rows[3][1], 0), ("c", "word " * 50_000, 1)]
+    assert got == sorted([(*k, "d", "k", "l", 7) for k in kept], key=str)
+
+
 def brute_windows(docs, items, window=10):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     out = []
@@ -378,6 +389,46 @@ def test_toxicity(spark, none):
     assert toxicity.score(d, toxicity.train(none, labels)).count() == d.count()
 
 
+def test_toxicity_against_brute_force(spark):
+    """The same sample, words and risk in plain Python and dense numpy; repeated rows, ties, clashing names."""
+    r = np.random.default_rng(4)
+    words = ["".join(r.choice(list("abcdefgh"), 4)) for _ in range(60)]
+    rows = [(i, " ".join([*r.choice(words, 30), *(["nasty"] * (i % 4) if i % 5 == 0 else []), *(["vile"] if i % 10 == 0 else [])])) for i in range(300)]
+    rows += [(400, None), (401, ""), rows[0], (402, "nasty " * 20_000)]
+    labels = [(i, int(i % 5 == 0)) for i in range(0, 300, 2)] + [(0, 1), (5, None), (999, 1)]
+    d = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, score string, y string").repartition(3)
+    got = {x["doc_id"]: x["score"] for x in toxicity.score(d, toxicity.train(d, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+
+    known = {}
+    for i, y in labels:
+        if y is not None:
+            known[i] = max(known.get(i, 0), y)
+    prior = sum(known.values()) / len(known)
+    bag = lambda t: {w: (t or "").split().count(w) for w in (t or "").split()}
+    p, u = [bag(t) for i, t in rows if known.get(i)], [bag(t) for _, t in rows]
+    a, b = ({w: sum(w in x for x in of) for of in (s,) for w in {w for x in of for w in x}} for s in (p, u))
+    both = lambda w: (a[w] + b.get(w, 0) + 1) / (len(p) + len(u) + 2)
+    z = lambda w: (a[w] / len(p) - b.get(w, 0) / len(u)) / (both(w) * (1 - both(w)) * (1 / len(p) + 1 / len(u))) ** 0.5
+    chosen = sorted(w for w in a if a[w] >= toxicity.LEAST_DOCS and z(w) >= toxicity.LEAST_Z)
+    assert "nasty" in chosen
+    dense = lambda of: np.array([[np.log1p(x.get(w, 0)) for w in chosen] + [1.0] for x in of])
+    p, u = dense(p), dense(u)
+    w = np.zeros(len(chosen) + 1)
+    w[-1] = np.log(prior / (1 - prior))
+    m, v, s = w * 0, w * 0, lambda x: 1 / (1 + np.exp(-x))
+    for step in range(1, toxicity.EPOCHS + 1):
+        negative = u.T @ s(u @ w) / len(u) - prior * p.T @ s(p @ w) / len(p)
+        risk = np.log1p(np.exp(u @ w)).mean() - prior * np.log1p(np.exp(p @ w)).mean()
+        g = prior * p.T @ (s(p @ w) - 1) / len(p) + negative if risk >= 0 else -negative
+        g = g + toxicity.L2 * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    for i, t in rows:
+        assert abs(got[i] - s(dense([bag(t)]) @ w)[0]) < 1e-6
+    nobody = toxicity.train(d, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(d, nobody).where("score > 0.01").count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 
