@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
+from scorewright.functions.columns import let, once
 from scorewright.functions.text import canonical_nutrient, normalize_text
 
 
@@ -27,39 +30,56 @@ def _common(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+@lru_cache(100_000)
+def _ratio(a: str, b: str) -> float:
+    return 100.0 if a == b else 200.0 * _common(a, b) / (len(a) + len(b))
+
+
+@once
 @F.pandas_udf(DoubleType())
 def token_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Similarity of two columns of sorted tokens."""
-    seen: dict[tuple[str, str], float] = {}
-    out = []
-    for pair in zip(a, b, strict=True):
-        if pair not in seen:
-            x, y = pair
-            seen[pair] = 100.0 if x == y else 200.0 * _common(x, y) / (len(x) + len(y))
-        out.append(seen[pair])
-    return pd.Series(out, dtype="float64")
+    """Similarity of two columns of sorted tokens; null for null."""
+    return pd.Series([None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """token_ratio of sorted tokens; equal texts never reach Python."""
+    other = a != b
+    return F.coalesce(token_ratio(F.when(other, a), F.when(other, b)), F.lit(100.0))
+
+
+@once
+@F.pandas_udf(ArrayType(DoubleType()))
+def pair_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Similarities of every text of one array with every one of another, row by row; null for null."""
+    return pd.Series([None if x is None or y is None else [_ratio(p, t) for p in x for t in y] for x, y in zip(a, b, strict=True)])
 
 
 def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
     """Similarity 0 to 100 of two raw texts; two empty texts have 100."""
-    return token_ratio(sorted_tokens(normalize_text(a)), sorted_tokens(normalize_text(b)))
+    return ratio(sorted_tokens(normalize_text(a)), sorted_tokens(normalize_text(b)))
 
 
 def native_token_sort_ratio(a: Column | str, b: Column | str) -> Column:
     """The same without Python, for short texts: the table of the recurrence row by row in nested aggregates."""
-    x, y = sorted_tokens(normalize_text(a)), sorted_tokens(normalize_text(b))
-    chars = lambda s: F.filter(F.split(s, ""), lambda c: c != "")
+    side = lambda c: F.filter(F.split(sorted_tokens(normalize_text(c)), ""), lambda x: x != "")
+
+    def common(x: Column, y: Column) -> Column:
+        def row(before: Column, c: Column) -> Column:
+            def cell(acc: Column, k: Column) -> Column:
+                up, left = F.get(before, k), F.element_at(acc, -1)
+                corner = F.when(k > 0, F.get(before, k - 1)).otherwise(0) + 1
+                return F.concat(acc, F.array(F.greatest(up, left, F.when(F.get(x, k) == c, corner).otherwise(0))))
+
+            return F.slice(F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), F.array(F.lit(0)), cell), F.lit(2), F.size(x))
 
-    def row(before: Column, c: Column) -> Column:
-        def cell(acc: Column, k: Column) -> Column:
-            up, left = F.get(before, k), F.element_at(acc, -1)
-            corner = F.when(k > 0, F.get(before, k - 1)).otherwise(0) + 1
-            return F.concat(acc, F.array(F.greatest(up, left, F.when(F.get(chars(x), k) == c, corner).otherwise(0))))
+        return F.element_at(F.aggregate(y, F.array_repeat(F.lit(0), F.size(x)), row), -1)
 
-        return F.slice(F.aggregate(F.sequence(F.lit(0), F.length(x) - 1), F.array(F.lit(0)), cell), F.lit(2), F.length(x))
+    def of(s: Column) -> Column:
+        x, y = s["x"], s["y"]
+        return F.when(x == y, 100.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(200.0 * common(x, y) / (F.size(x) + F.size(y)))
 
-    common = F.element_at(F.aggregate(chars(y), F.array_repeat(F.lit(0), F.length(x)), row), -1)
-    return F.when(x == y, 100.0).when((F.length(x) == 0) | (F.length(y) == 0), 0.0).otherwise(200.0 * common / (F.length(x) + F.length(y)))
+    return let(F.struct(side(a).alias("x"), side(b).alias("y")), of)
 
 
 def name_similarity(a: Column | str, b: Column | str) -> Column:

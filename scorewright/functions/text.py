@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from scorewright.functions.columns import let, once
 
 # Fixed values.
 QUOTES_FROM = "“”„‟«»‘’‚‛"
@@ -36,6 +39,7 @@ NUTRIENT_NAMES = {
 }
 #: Texts inside these ranges hold no combining mark and are in composed form as they stand.
 COMPOSED = r"[^\x{0}-\x{2ff}\x{1e00}-\x{1eff}\x{2010}-\x{2027}\x{20ac}]"
+#: Patterns of white space and numbers (fixed values).
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]+"
 NUMBER = r"[-+]?\d[\d.,]*"
 
@@ -54,11 +58,25 @@ def normalize_text(c: Column | str) -> Column:
     return F.lower(F.trim(F.regexp_replace(s, "[.!?]+$", "")))
 
 
-def composed(df: DataFrame, *cols: str) -> DataFrame:
-    """df with the columns in Unicode composed form. Only rows with characters outside COMPOSED pass through Python."""
-    odd = reduce(lambda a, b: a | b, (F.coalesce(F.col(c).rlike(COMPOSED), F.lit(False)) for c in cols))
-    nfc = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x)), "string")
-    return df.where(~odd).unionByName(df.where(odd).withColumns({c: nfc(c) for c in cols}))
+@once
+@F.pandas_udf(StringType())
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+def composed(df: DataFrame, *cols: str, to: tuple[str, ...] | None = None) -> DataFrame:
+    """df with the columns, strings or arrays and structs of them, in Unicode composed form (under the names of to, if
+    given). One pass: only values with characters outside COMPOSED reach Python."""
+
+    def form(c: str) -> Column:
+        kind = df.schema[c].dataType
+        plain = kind.simpleString() == "string"
+        text = F.col(c) if plain else F.to_json(c)
+        odd = F.coalesce(text.rlike(COMPOSED), F.lit(False))
+        made = _nfc(F.when(odd, text))
+        return F.when(odd, made if plain else F.from_json(made, kind)).otherwise(F.col(c))
+
+    return df.withColumns({n: form(c) for n, c in zip(to or cols, cols, strict=True)})
 
 
 def _marks() -> tuple[str, str]:
@@ -145,4 +163,13 @@ def condition_parts(c: Column | str) -> Column:
 
 def has_loop(c: Column | str, tail: int = 800, least: int = 8, most: int = 200, copies: int = 5) -> Column:
     """Whether the text's tail ends in `copies` repeats of one unit of least to most characters."""
-    return F.coalesce(F.right(_c(c), F.lit(tail)).rlike(rf"(?s)(.{{{least},{most}}})\1{{{copies - 1}}}\z"), F.lit(False))
+
+    def of(t: Column) -> Column:
+        n = F.length(t)
+        # The end repeats with period p if it equals what stands p characters before it.
+        repeats = lambda p: F.right(t, p * (copies - 1)) == F.left(F.right(t, p * copies), p * (copies - 1))
+        # Most texts end at once: the last characters must stand there again within the longest period.
+        near = F.position(F.right(t, F.lit(least)), F.substr(t, F.greatest(n - most - least + 1, F.lit(1)), F.least(n - 1, F.lit(most + least - 1)))) > 0
+        return F.when((n >= least * copies) & near, F.exists(F.sequence(F.lit(least), F.least(F.lit(most), F.floor(n / copies).cast("int"))), repeats)).otherwise(False)
+
+    return F.coalesce(let(F.right(_c(c), F.lit(tail)), of), F.lit(False))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
+from scorewright.functions.columns import once
+
 
 def solve(sim: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of a maximum-total assignment of a matrix, by shortest augmenting paths; rows in order, lowest column first."""
@@ -45,28 +47,30 @@ def item_pairs(df: DataFrame, keys: list[str], pred: str = "pred", truth: str =
     return left.select(*keys, "n_pred", "n_truth", "i", "p", F.posexplode(truth).alias("j", "t"))
 
 
-def assign(pairs: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    """Rows of pairs (keys, i, j, sim, n_pred, n_truth, ...) in a maximum-total assignment and at the threshold or above.
+def assigned(sims: Column, n: Column, m: Column, threshold: float) -> Column:
+    """Array of (i, j, sim): a maximum-total assignment of n to m items, those at the threshold or above.
 
-    All pairs take part in the assignment; the threshold comes after it. A record's pairs are gathered into one row.
-    One-sided and 2 x 2 records have closed forms there; only the others send their similarities to the solver.
+    sims holds the n * m similarities, by i, then j; null stands for equal arrays, which are assigned as they lie. All
+    pairs take part in the assignment; the threshold comes after it. One-sided and 2 x 2 records have closed forms; only
+    the others send their similarities to the solver. Nothing leaves the record's row.
     """
-    rest = [c for c in pairs.columns if c not in (*keys, "i", "j")]
-    d = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "j", *rest))).alias("_x"))
-    d = d.withColumns({"_n": F.get("_x", F.lit(0))["n_pred"], "_m": F.get("_x", F.lit(0))["n_truth"]})
-    one, two = (F.col("_n") == 1) | (F.col("_m") == 1), (F.col("_n") == 2) & (F.col("_m") == 2)
-    straight = F.aggregate("_x", F.lit(0.0), lambda a, x: a + F.when(x["i"] == x["j"], x["sim"]).otherwise(-x["sim"])) >= 0
-    d = d.withColumns(
-        {
-            "_best": F.array_min(F.transform("_x", lambda x: F.struct((-x["sim"]).alias("s"), x["i"].alias("i"), x["j"].alias("j")))),
-            "_straight": straight,
-            "_to": _partners(F.when(~one & ~two, F.transform("_x", lambda x: x["sim"].cast("double"))), "_n"),
-        }
+    one, two = (n == 1) | (m == 1), (n == 2) & (m == 2)
+    at = lambda k: F.get(sims, F.lit(k))
+    best = (F.array_position(sims, F.array_max(sims)) - 1).cast("int")
+    straight = at(0) - at(1) - at(2) + at(3) >= 0
+    count = F.sequence(F.lit(0), n - 1)
+    to = (
+        F.when((n == 0) | (m == 0), F.array().cast("array<int>"))
+        .when(sims.isNull(), count)
+        .when(one, F.transform(count, lambda i: F.when(F.floor(best / m) == i, best % m).otherwise(-1)))
+        .when(two, F.when(straight, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1), F.lit(0))))
+        .otherwise(_partners(F.when(~one & ~two & (n > 0) & (m > 0), sims), n))
     )
-    chosen = lambda x: F.when(one, (x["i"] == F.col("_best.i")) & (x["j"] == F.col("_best.j"))).when(two, (x["i"] == x["j"]) == F.col("_straight")).otherwise(F.get("_to", x["i"]) == x["j"])
-    return d.select(*keys, F.inline(F.filter("_x", lambda x: chosen(x) & (x["sim"] >= threshold)))).select(*pairs.columns)
+    hits = F.transform(to, lambda j, i: F.struct(i.alias("i"), j.cast("int").alias("j"), F.coalesce(F.get(sims, i * m + j), F.lit(100.0)).alias("sim")))
+    return F.filter(hits, lambda h: (h["j"] >= 0) & (h["sim"] >= threshold))
 
 
+@once
 @F.pandas_udf(ArrayType(IntegerType()))
 def _partners(sims: pd.Series, n_pred: pd.Series) -> pd.Series:
     """Column of each row of the records' matrices, -1 without one; null for null."""
@@ -75,8 +79,8 @@ def _partners(sims: pd.Series, n_pred: pd.Series) -> pd.Series:
         if flat is None:
             out.append(None)
             continue
-        to = [-1] * n
-        for i, j in solve(np.asarray(flat, float).reshape(n, -1)):
+        to = [-1] * int(n)
+        for i, j in solve(np.asarray(flat, float).reshape(int(n), -1)):
             to[i] = j
         out.append(to)
     return pd.Series(out)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from scorewright.functions.columns import let
-from scorewright.functions.similarity import sorted_tokens, token_ratio, token_sort_ratio
-from scorewright.functions.text import canonical_nutrient, normalize_date, normalize_text, number_unit, strip_diacritics
-from scorewright.operators.assign import assign, item_pairs
+from scorewright.functions.columns import let, once
+from scorewright.functions.similarity import _ratio, pair_ratios, sorted_tokens, token_ratio
+from scorewright.functions.text import canonical_nutrient, composed, normalize_date, normalize_text, number_unit, strip_diacritics
+from scorewright.operators.assign import assigned
 
+#: Thresholds of similarity (fixed values).
 LENIENT, LIST, NAME = 90.0, 80.0, 75.0
 SCALARS = ("product_name", "origin", "net_weight", "mfg_date", "expiry_date")
 LISTS = ("ingredient", "additive", "warning")
@@ -23,55 +26,68 @@ def close(p: Column, g: Column) -> Column:
 def match_scalars(df: DataFrame, field: str = "field", pred: str = "pred", truth: str = "truth") -> DataFrame:
     """df with strict, lenient, similarity and diacritic_only of its (field, pred, truth) rows.
 
-    Weights with close numbers and no unit against them, and equal dates, match in full; else the text decides.
+    Weights with close numbers and no unit against them, and equal dates, match in full; else the text decides. Texts
+    are compared in composed form.
     """
-    d = df.withColumns({"_p": normalize_text(pred), "_g": normalize_text(truth), "_pn": number_unit(pred), "_gn": number_unit(truth)})
+    d = composed(df, pred, truth, to=("_cp", "_cg"))
+    d = d.withColumns({"_p": normalize_text("_cp"), "_g": normalize_text("_cg"), "_pn": number_unit("_cp"), "_gn": number_unit("_cg")})
     units = F.col("_pn.unit").isNull() | F.col("_gn.unit").isNull() | (F.col("_pn.unit") == F.col("_gn.unit"))
     weight = (F.col(field) == "net_weight") & close(F.col("_pn.number"), F.col("_gn.number")) & units
-    date = F.col(field).isin(*DATES) & (normalize_date(pred) == normalize_date(truth)) & (normalize_date(truth) != "")
-    d = d.withColumns({"_full": F.coalesce(weight | date, F.lit(False)), "_same": F.col("_p") == F.col("_g"), "_sim": token_sort_ratio(pred, truth)})
-    strict = F.col("_full") | F.col("_same")
-    d = d.withColumns({"strict": strict, "lenient": strict | (F.col("_sim") >= LENIENT), "similarity": F.when(strict, 100.0).otherwise(F.col("_sim"))})
-    return d.withColumn("diacritic_only", ~strict & (F.col("_g") != "") & (strip_diacritics("_p") == strip_diacritics("_g"))).drop("_p", "_g", "_pn", "_gn", "_full", "_same", "_sim")
+    date = F.col(field).isin(*DATES) & (normalize_date("_cp") == normalize_date("_cg")) & (normalize_date("_cg") != "")
+    d = d.withColumn("_strict", F.coalesce(weight | date, F.lit(False)) | (F.col("_p") == F.col("_g")))
+    tokens = lambda c: F.when(~F.col("_strict"), sorted_tokens(F.col(c)))
+    d = d.withColumn("_sim", F.coalesce(token_ratio(tokens("_p"), tokens("_g")), F.lit(100.0)))
+    d = d.withColumns({"strict": F.col("_strict"), "lenient": F.col("_strict") | (F.col("_sim") >= LENIENT), "similarity": F.when(F.col("_strict"), 100.0).otherwise(F.col("_sim"))})
+    return d.withColumn("diacritic_only", ~F.col("_strict") & (F.col("_g") != "") & (strip_diacritics("_p") == strip_diacritics("_g"))).drop("_cp", "_cg", "_p", "_g", "_pn", "_gn", "_strict", "_sim")
 
 
 def _f1(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
 
 
-def merge_bonus(left: DataFrame, keys: list[str], threshold: float = LIST) -> DataFrame:
+@once
+@F.pandas_udf(DoubleType())
+def _nearest(text: pd.Series, items: pd.Series) -> pd.Series:
+    """Greatest similarity of a text to any of the items; null for null."""
+    return pd.Series([None if t is None or x is None else max((_ratio(t, y) for y in x), default=0.0) for t, x in zip(text, items, strict=True)], dtype="float64")
+
+
+def merge_bonus(left: DataFrame, threshold: float = LIST) -> DataFrame:
     """left with extra_pred and extra_truth, from the items that the assignment left (left_pred, left_truth).
 
-    All left on one side, joined in order, against any left on the other; joined truth is tried first.
+    All left on one side, joined in order, against any left on the other; joined truth is tried first. Only records with
+    items left on both sides, and several on one, reach Python.
     """
     ready = lambda c: sorted_tokens(normalize_text(c))
+    some = (F.size("left_pred") > 0) & (F.size("left_truth") > 0)
 
-    def tries(one: str, many: str, kind: int):
-        rows = F.transform(one, lambda x: F.struct(F.lit(kind).alias("kind"), ready(x).alias("a"), ready(F.array_join(many, " ")).alias("b")))
-        return F.when(F.size(many) > 1, rows).otherwise(F.array().cast("array<struct<kind:int,a:string,b:string>>"))
+    def meets(one: str, many: str) -> Column:
+        ask = some & (F.size(many) > 1)
+        near = _nearest(F.when(ask, ready(F.array_join(many, " "))), F.when(ask, F.transform(one, ready)))
+        return F.coalesce(near >= threshold, F.lit(False))
 
-    d = left.withColumn("_try", F.explode_outer(F.concat(tries("left_pred", "left_truth", 0), tries("left_truth", "left_pred", 1))))
-    d = d.withColumn("_hit", token_ratio(F.coalesce("_try.a", F.lit("")), F.coalesce("_try.b", F.lit(" "))) >= threshold)
-    own = [c for c in left.columns if c not in keys]
-    hit = lambda kind: F.coalesce(F.max(F.when(F.col("_hit") & (F.col("_try.kind") == kind), True)), F.lit(False))
-    d = d.groupBy(*keys).agg(*(F.first(c).alias(c) for c in own), hit(0).alias("_t"), hit(1).alias("_p"))
+    d = left.withColumns({"_t": meets("left_pred", "left_truth"), "_p": meets("left_truth", "left_pred")})
     extra = lambda on_truth, on_pred: F.when(F.col("_t"), on_truth).when(F.col("_p"), on_pred).otherwise(0)
     return d.withColumns({"extra_pred": extra(F.lit(1), F.size("left_pred")), "extra_truth": extra(F.size("left_truth"), F.lit(1))}).drop("_t", "_p")
 
 
+def _ratios(p: Column, t: Column) -> Column:
+    """pair_ratios, or null where both arrays are the same."""
+    other = ~p.eqNullSafe(t)
+    return pair_ratios(F.when(other, p), F.when(other, t))
+
+
 def match_lists(df: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", threshold: float = LIST) -> DataFrame:
-    """One row per record: keys, n_pred, n_truth, tp, extra_pred, extra_truth, precision, recall, f1."""
+    """One row per record: keys, n_pred, n_truth, tp, extra_pred, extra_truth, precision, recall, f1, from its own row."""
     d = df.select(*keys, F.coalesce(pred, F.array().cast("array<string>")).alias("pred"), F.coalesce(truth, F.array().cast("array<string>")).alias("truth"))
-    # Items are normalised before the pairs are spread out, once each.
-    ready = d.withColumns({c: F.transform(c, lambda x: sorted_tokens(normalize_text(x))) for c in ("pred", "truth")})
-    pairs = item_pairs(ready, keys).withColumn("sim", token_ratio("p", "t"))
-    hits = assign(pairs, keys, threshold).groupBy(*keys).agg(F.collect_list("i").alias("is"), F.collect_list("j").alias("js"))
-    none = F.array().cast("array<int>")
-    d = d.join(hits, keys, "left").withColumns({"is": F.coalesce("is", none), "js": F.coalesce("js", none)})
-    rest = lambda items, used: F.filter(items, lambda x, k: ~F.array_contains(used, k))
-    d = d.withColumns({"left_pred": rest("pred", "is"), "left_truth": rest("truth", "js")})
-    d = merge_bonus(d, keys, threshold)
-    d = d.select(*keys, F.size("pred").alias("n_pred"), F.size("truth").alias("n_truth"), F.size("is").alias("tp"), "extra_pred", "extra_truth")
+    d = composed(d, "pred", "truth")
+    ready = lambda c: F.transform(c, lambda x: sorted_tokens(normalize_text(x)))
+    d = d.withColumns({"_p": ready("pred"), "_t": ready("truth"), "n_pred": F.size("pred"), "n_truth": F.size("truth")})
+    d = d.withColumn("_sims", _ratios(F.col("_p"), F.col("_t")))
+    d = d.withColumn("_hits", assigned(F.col("_sims"), F.col("n_pred"), F.col("n_truth"), threshold))
+    rest = lambda items, side: F.filter(items, lambda x, k: ~F.array_contains(F.transform("_hits", lambda h: h[side]), k))
+    d = merge_bonus(d.withColumns({"left_pred": rest("pred", "i"), "left_truth": rest("truth", "j")}), threshold)
+    d = d.select(*keys, "n_pred", "n_truth", F.size("_hits").alias("tp"), "extra_pred", "extra_truth")
     p = F.when(F.col("n_pred") == 0, 1.0).otherwise((F.col("tp") + F.col("extra_pred")) / F.col("n_pred"))
     r = F.when(F.col("n_truth") == 0, 1.0).otherwise((F.col("tp") + F.col("extra_truth")) / F.col("n_truth"))
     return d.withColumns({"precision": p, "recall": r}).withColumn("f1", _f1(F.col("precision"), F.col("recall")))
@@ -94,21 +110,25 @@ def match_nutrition(df: DataFrame, keys: list[str], pred: str = "pred", truth: s
     pred and truth are arrays of (name, value). A wrong value that fits another true row is a pairing error.
     """
     none = F.array().cast("array<struct<name:string,value:string>>")
-    d = df.select(*keys, F.coalesce(pred, none).alias("pred"), F.coalesce(truth, none).alias("truth"))
+    d = composed(df.select(*keys, F.coalesce(pred, none).alias("pred"), F.coalesce(truth, none).alias("truth")), "pred", "truth")
+
     def item(e: Column) -> Column:
         return F.struct(canonical_nutrient(e["name"]).alias("name"), sorted_tokens(normalize_text(e["name"])).alias("tokens"), number_unit(e["value"]).alias("nu"), normalize_text(e["value"]).alias("text"))
 
-    ready = d.withColumns({c: F.transform(c, item) for c in ("pred", "truth")})
-    pairs = item_pairs(ready, keys).withColumn("fits", _fits(F.col("p"), F.col("t")))
-    same = F.col("p.name") == F.col("t.name")
-    fits_other = pairs.where("fits").groupBy(*keys, "i").agg(F.collect_set("j").alias("fitting"))
-    sim = F.when(same, 100.0).otherwise(token_ratio("p.tokens", "t.tokens"))
-    pairs = pairs.withColumn("sim", sim).select(*keys, "n_pred", "n_truth", "i", "j", "sim", "fits")
-    hits = assign(pairs, keys, threshold).join(fits_other, [*keys, "i"], "left")
-    wrong = ~F.col("fits") & (F.size(F.array_remove(F.coalesce("fitting", F.array().cast("array<int>")), F.col("j"))) > 0)
-    hits = hits.groupBy(*keys).agg(F.count("*").alias("n_matched"), F.count_if("fits").alias("n_correct"), F.count_if(wrong).alias("n_pairing_errors"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    d = d.select(*keys, F.size("pred").alias("n_pred"), F.size("truth").alias("n_truth")).join(hits, keys, "left").select(*keys, "n_pred", "n_truth", zero("n_matched"), zero("n_correct"), zero("n_pairing_errors"))
+    d = d.withColumns({"_p": F.transform("pred", item), "_t": F.transform("truth", item), "n_pred": F.size("pred"), "n_truth": F.size("truth")})
+    part = lambda c, f: F.transform(c, lambda x: x[f])
+    whole = part("_p", "name").eqNullSafe(part("_t", "name"))  # name by name the same nutrients
+    raw = pair_ratios(F.when(~whole, part("_p", "tokens")), F.when(~whole, part("_t", "tokens")))
+    d = d.withColumn("_raw", raw)
+    same = F.flatten(F.transform("_p", lambda p: F.transform("_t", lambda t: p["name"] == t["name"])))
+    d = d.withColumn("_sims", F.when(F.col("_raw").isNotNull(), F.zip_with("_raw", same, lambda x, y: F.when(y, 100.0).otherwise(x))))
+    d = d.withColumn("_hits", assigned(F.col("_sims"), F.col("n_pred"), F.col("n_truth"), threshold))
+    of = lambda c, k: F.get(c, k)
+    fits = lambda h: _fits(of("_p", h["i"]), of("_t", h["j"]))
+    other = lambda h: F.exists(F.sequence(F.lit(0), F.col("n_truth") - 1), lambda j: (j != h["j"]) & _fits(of("_p", h["i"]), of("_t", j)))
+    d = d.withColumn("_right", F.transform("_hits", fits))
+    wrong = F.filter(F.arrays_zip(F.col("_hits").alias("h"), F.col("_right").alias("ok")), lambda x: ~x["ok"] & other(x["h"]))
+    d = d.select(*keys, "n_pred", "n_truth", F.size("_hits").cast("long").alias("n_matched"), F.size(F.filter("_right", lambda x: x)).cast("long").alias("n_correct"), F.size(wrong).cast("long").alias("n_pairing_errors"))
     n, m, g = F.col("n_pred"), F.col("n_matched"), F.col("n_truth")
     d = d.withColumns({"name_precision": F.when(n == 0, 1.0).otherwise(m / n), "name_recall": F.when(g == 0, 1.0).otherwise(m / g)})
     return d.withColumns(

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from scorewright.functions.columns import let
+from scorewright.functions.columns import let, once
 
 SCALARS_IN_ORDER = ("product_name", "origin", "net_weight", "mfg_date", "expiry_date")
 LIST_FIELDS = ("ingredient", "additive", "warning")
@@ -84,17 +84,17 @@ def mend(text: str) -> str | None:
     return None
 
 
-def _mended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches with the last column, the spans, mended."""
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([mend(s) for s in b.columns[-1].to_pylist()], pa.string())], schema=b.schema)
+@once
+@F.pandas_udf(StringType())
+def _mended(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else mend(x))
 
 
 def parse(responses: DataFrame, content: str = "content") -> DataFrame:
     """responses with data (variant), stage, parse_failed and used_repair.
 
-    The ladder: the trimmed text, the fenced block, the span of braces, mending. Only objects count. Rows that every
-    strict step refuses go through one Arrow-batched function; the others never leave the JVM.
+    The ladder: the trimmed text, the fenced block, the span of braces, mending. Only objects count. One pass:
+    spans that every strict step refuses reach an Arrow-batched function, other rows send it null.
     """
     text = F.regexp_replace(F.regexp_replace(F.col(content), r"^(?U)\s+", ""), r"(?U)\s+$", "")
     found = lambda data, stage, rest=None: F.struct(data.alias("data"), stage.alias("stage"), (F.lit(None).cast("string") if rest is None else rest).alias("rest"))
@@ -102,12 +102,10 @@ def parse(responses: DataFrame, content: str = "content") -> DataFrame:
     by_fence = lambda f: let(strict_object(f), lambda x: F.when(x.isNotNull(), found(x, F.lit("fenced"))).otherwise(let(open_span(f), by_span)))
     by_text = lambda t: let(strict_object(t), lambda x: F.when(x.isNotNull(), found(x, F.lit("text"))).otherwise(let(strip_fence(t), by_fence)))
     d = responses.withColumn("_x", let(text, by_text)).select(*responses.columns, F.col("_x.data").alias("data"), F.col("_x.stage").alias("stage"), F.col("_x.rest").alias("_s"))
-    stuck = F.col("data").isNull() & F.col("_s").isNotNull()
-    left = d.where(stuck).select(*responses.columns, "_s")
-    left = left.mapInArrow(_mended, left.schema).withColumn("data", F.try_parse_json("_s"))
-    left = left.withColumn("stage", F.when(F.col("data").isNotNull(), "mended"))
-    d = d.where(~stuck).unionByName(left).drop("_s")
-    return d.withColumns({"stage": F.coalesce("stage", F.lit("failed")), "parse_failed": F.col("data").isNull(), "used_repair": F.coalesce(F.col("stage") == "mended", F.lit(False))})
+    d = d.withColumn("_m", _mended(F.when(F.col("data").isNull(), F.col("_s"))))
+    mended = F.try_parse_json("_m")
+    d = d.withColumns({"stage": F.coalesce(F.col("stage"), F.when(mended.isNotNull(), "mended"), F.lit("failed")), "data": F.when(F.col("data").isNull(), mended).otherwise(F.col("data"))}).drop("_s", "_m")
+    return d.withColumns({"parse_failed": F.col("data").isNull(), "used_repair": F.col("stage") == "mended"})
 
 
 def _kind(v: Column) -> Column:
@@ -221,6 +219,5 @@ def structural_issues(coerced: DataFrame) -> DataFrame:
 def audit(parsed: DataFrame) -> DataFrame:
     """Rate of each stage of the ladder by model and condition."""
     n = parsed.groupBy("model_key", "condition", "stage").agg(F.count("*").alias("n"))
-    total = parsed.groupBy("model_key", "condition").agg(F.count("*").alias("total"))
-    return n.join(total, ["model_key", "condition"]).withColumn("rate", F.col("n") / F.col("total"))
-
+    total = F.sum("n").over(Window.partitionBy("model_key", "condition"))  # a few stages each
+    return n.withColumns({"total": total, "rate": F.col("n") / total})

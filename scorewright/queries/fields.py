@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.functions import text as T
-from scorewright.functions.similarity import name_similarity, native_token_sort_ratio, token_sort_ratio
+from scorewright.functions.similarity import name_similarity, native_token_sort_ratio, pair_ratios, sorted_tokens, token_sort_ratio
 from scorewright.operators import match, parse, score
-from scorewright.operators.assign import assign, item_pairs
+from scorewright.operators.assign import assigned, item_pairs
 from scorewright.plans.bridges import ANSWERS, GT, NUTRITION, RESPONSES, SPARK_LISTS, rows, twin
 from scorewright.queries import duck as D
 from scorewright.queries.registry import query
@@ -209,8 +209,10 @@ def e3_score_pairs(spark, sf_dir):
 
 @query(twin("SELECT image_id, model_key, i::INT AS i, j::INT AS j, round(sim, 6) AS sim FROM c", *LISTS, ITEM_PAIRS, CHOSEN))
 def e4_assign(spark, sf_dir):
-    d = item_pairs(rows(spark, sf_dir, "lists", *LISTS), KEYS).withColumn("sim", token_sort_ratio("p", "t"))
-    return assign(d, KEYS, 80.0).select("image_id", "model_key", "i", "j", R("sim").alias("sim"))
+    ready = lambda c: F.transform(c, lambda x: sorted_tokens(T.normalize_text(x)))
+    d = rows(spark, sf_dir, "lists", *LISTS).withColumn("sims", pair_ratios(ready("pred"), ready("truth")))
+    d = d.select("image_id", "model_key", F.inline(assigned(F.col("sims"), F.size("pred"), F.size("truth"), 80.0)))
+    return d.select("image_id", "model_key", "i", "j", R("sim").alias("sim"))
 
 
 LONG = f"""x AS (SELECT a.image_id, a.model_key, a.condition, unnest([{{'field': 'product_name', 'pred': a.product_name, 'truth': g.product_name}}, {{'field': 'origin', 'pred': a.origin, 'truth': g.origin}},

@@ -49,3 +49,9 @@ def test_token_sort_ratio(spark, ratio):
     d = spark.createDataFrame([("b a", "a b"), ("", ""), ("", "x"), ("140 mg", "140 g"), ("viet nam", "việt nam")], "a string, b string")
     got = [round(r[0], 1) for r in d.coalesce(1).select(ratio("a", "b")).collect()]
     assert got == [100.0, 100.0, 0.0, 90.9, 87.5]
+
+
+def test_composed_nested(spark):
+    d = spark.createDataFrame([(["é", "é", None], [("é", "x")]), (None, [])], "a array<string>, n array<struct<name:string,value:string>>")
+    got = T.composed(d, "a", "n").collect()
+    assert got[0]["a"] == ["é", "é", None] and got[0]["n"][0]["name"] == "é" and got[1]["a"] is None and got[1]["n"] == []
