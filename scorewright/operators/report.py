@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import erfc, factorial, sqrt
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
+from scorewright.functions.columns import once
 from scorewright.functions.text import condition_parts
 
 FIELDS = ("product_name", "ingredient", "additive", "warning", "nutrition", "origin", "net_weight", "mfg_date", "expiry_date")
@@ -67,7 +74,8 @@ def bootstrap(values: DataFrame, groups: list[str], id_col: str, value: str, res
     """Percentile interval of the mean by hash-driven resampling: draw k of a resample takes row floor(u * n) of its group.
 
     Each row is first numbered within its group by id; draws are generated per resample and joined on the number, so the
-    work is one equi-join and two partial aggregations whatever the number of groups.
+    work is one equi-join and two partial aggregations whatever the number of groups. It draws n numbers for each resample:
+    for tables of up to millions of rows. poisson_bootstrap() needs no numbers and no join.
     """
     v = values.where(F.col(value).isNotNull())
     numbered = v.select(*groups, F.col(value).alias("_v"), (F.row_number().over(Window.partitionBy(*groups).orderBy(id_col)) - 1).alias("_k"))
@@ -79,24 +87,132 @@ def bootstrap(values: DataFrame, groups: list[str], id_col: str, value: str, res
     return sizes.join(ci, groups)
 
 
-def bootstrap_draws(values: DataFrame, groups: list[str], id_col: str, value: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """The same interval from numpy's generator, its seed set anew in each group; for groups that fit in a task."""
+#: Cumulative Poisson(1) probabilities of 0, 1, 2, ...
+_POISSON = np.cumsum([np.exp(-1.0) / factorial(k) for k in range(12)])
+#: Resamples that one row of partial sums holds.
+BLOCK = 500
 
-    def of_group(rows: pd.DataFrame) -> pd.DataFrame:
-        x = rows.sort_values(id_col)[value].dropna().to_numpy()
-        rng, means = np.random.default_rng(seed), []
-        for _ in range(0, resamples, 500):  # in blocks, so the matrix of indices stays small
-            means.append(x[rng.integers(0, len(x), (min(500, resamples), len(x)))].mean(axis=1))
-        lo, hi = np.quantile(np.concatenate(means), [0.025, 0.975]) if len(x) else (None, None)
-        return pd.DataFrame([{**{g: rows[g].iloc[0] for g in groups}, "n": len(x), "mean": x.mean() if len(x) else None, "lo": lo, "hi": hi}])
 
+def poisson_bootstrap(values: DataFrame, groups: list[str], id_col: str, value: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """groups, n, mean, lo, hi: percentile interval of the mean by Poisson weights.
+
+    In each resample a row counts as often as a Poisson(1) number drawn from a hash of its id says, whatever the
+    partitioning. A task adds up its rows' weights and weighted values for blocks of resamples, so what is shuffled is a
+    row for each task, group and block, not rows of values; no row is numbered, joined or gathered. Rows of equal ids
+    draw alike.
+    """
     kinds = ", ".join(f"{g} {values.schema[g].dataType.simpleString()}" for g in groups)
-    return values.select(*groups, id_col, value).groupBy(*groups).applyInPandas(of_group, f"{kinds}, n long, mean double, lo double, hi double")
+    v = values.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("_h"))
+
+    def sums(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            key = pd.DataFrame({g: b.column(k).to_pandas() for k, g in enumerate(groups)}).astype(object)
+            key = key.where(key.notna(), None)
+            x, h = b.column(len(groups)).to_numpy(), b.column(len(groups) + 1).to_numpy().astype(np.uint64)
+            for name, rows in key.groupby(groups, dropna=False, sort=False).indices.items():
+                name = name if isinstance(name, tuple) else (name,)
+                total = held.setdefault(tuple(None if n != n else n for n in name), np.zeros((2, resamples)))
+                for k in range(0, resamples, BLOCK):
+                    at = np.arange(k, min(k + BLOCK, resamples), dtype=np.uint64)
+                    for part in range(0, len(rows), 2000):
+                        some = rows[part : part + 2000]
+                        w = _weights(h[some], at)
+                        total[0, k : k + len(at)] += w.sum(0)
+                        total[1, k : k + len(at)] += x[some] @ w
+        for name, total in held.items():
+            n = -(-resamples // BLOCK)
+            cut = [total[:, k * BLOCK : (k + 1) * BLOCK].tolist() for k in range(n)]
+            columns = [*([g] * n for g in name), list(range(n)), [c[0] for c in cut], [c[1] for c in cut]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+    schema = to_arrow_schema(StructType([values.schema[g] for g in groups] + [StructField("_b", IntegerType()), StructField("_w", ArrayType(DoubleType())), StructField("_x", ArrayType(DoubleType()))]))
+    part = v.mapInArrow(sums, f"{kinds}, _b int, _w array<double>, _x array<double>")
+    each = part.select(*groups, "_b", F.posexplode(F.arrays_zip("_w", "_x")).alias("_k", "_p"))
+    means = each.groupBy(*groups, "_b", "_k").agg(F.sum("_p._w").alias("_w"), F.sum("_p._x").alias("_x")).where("_w > 0").withColumn("_m", F.col("_x") / F.col("_w"))
+    ci = means.groupBy(*groups).agg(F.percentile("_m", 0.025).alias("lo"), F.percentile("_m", 0.975).alias("hi"))
+    same = reduce(lambda a, b: a & b, (F.col(f"s.{g}").eqNullSafe(F.col(f"c.{g}")) for g in groups))
+    sizes = v.groupBy(*groups).agg(F.count("*").alias("n"), F.avg("_v").alias("mean"))
+    return sizes.alias("s").join(ci.alias("c"), same).select(*(F.col(f"s.{g}").alias(g) for g in groups), "n", "mean", "lo", "hi")
+
+
+def _weights(h: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Poisson(1) numbers of rows (hashes) in resamples b."""
+    x = h[:, None] ^ (b[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return np.searchsorted(_POISSON, (x >> np.uint64(11)).astype(np.float64) / (1 << 53), "right").astype(np.float64)
+
+
+def bootstrap_draws(values: DataFrame, groups: list[str], id_col: str, value: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """The interval from numpy's generator, its seed set anew in each group: groups, n, mean, lo, hi.
+
+    The generator's numbers are a row's order in its group, so the group's values are sorted by id and held in one array
+    of a row; each block of resamples is a task of its own, which skips to its place in the generator's stream.
+    """
+    v = values.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), F.col(value).cast("double").alias("v")))), lambda x: x["v"]).alias("_v"))
+    blocks = v.select(*groups, "_v", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // BLOCK) - 1))).alias("_b"))
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def drawn(x: pd.Series, b: pd.Series) -> pd.Series:
+        out, place, last = [], 0, None
+        for v, k in zip(x, b, strict=True):
+            if last is None or k < place or len(v) != len(last) or (v != last).any():
+                rng, place, last = np.random.default_rng(seed), 0, v
+            while True:  # the numbers before this block's are drawn and left
+                m = v[rng.integers(0, len(v), (min(BLOCK, resamples - place * BLOCK), len(v)))].mean(axis=1)
+                place += 1
+                if place > k:
+                    break
+            out.append(m)
+        return pd.Series(out)
+
+    means = blocks.repartition(*groups, "_b").select(*groups, F.size("_v").cast("long").alias("n"), F.aggregate("_v", F.lit(0.0), lambda a, x: a + x).alias("sum"), F.explode(drawn("_v", "_b")).alias("_m"))
+    return means.groupBy(*groups, "n").agg((F.first("sum") / F.col("n")).alias("mean"), F.percentile("_m", 0.025).alias("lo"), F.percentile("_m", 0.975).alias("hi"))
+
+
+def bootstrap_table(values: DataFrame, groups: list[str], id_col: str, metrics: list[str], resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """groups, metric, n, mean, ci_low, ci_high of each metric."""
+    long = values.select(*groups, id_col, F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics))))
+    d = poisson_bootstrap(long, [*groups, "metric"], id_col, "value", resamples, seed)
+    return d.withColumnsRenamed({"lo": "ci_low", "hi": "ci_high"})
+
+
+def leaderboard(images: DataFrame, value: str = "macro_field_f1", resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """Models by their mean, best first: model_key, place, mean, ci_low, ci_high and the half-widths below and above."""
+    ci = bootstrap_table(images, ["model_key"], "image_id", [value], resamples, seed)
+    place = F.rank().over(Window.orderBy(F.desc("mean")))  # one row per model
+    return ci.select("model_key", place.alias("place"), "n", "mean", "ci_low", "ci_high", (F.col("mean") - F.col("ci_low")).alias("below"), (F.col("ci_high") - F.col("mean")).alias("above")).orderBy("place", "model_key")
+
+
+def field_matrix(summary: DataFrame) -> DataFrame:
+    """Model by field F1 from model_field_summary(), best mean over the fields first; fields in their fixed order."""
+    wide = summary.groupBy("model_key").pivot("field", list(FIELDS)).agg(F.first("f1")).join(summary.groupBy("model_key").agg(F.avg("f1").alias("mean_f1")), "model_key")
+    return wide.select("model_key", "mean_f1", *FIELDS).orderBy(F.desc("mean_f1"), "model_key")
+
+
+def nutrition_summary(fields: DataFrame) -> DataFrame:
+    return fields.where("field = 'nutrition'").groupBy("model_key").agg(F.avg("f1").alias("f1"), F.avg("pairing_accuracy").alias("pairing_accuracy"), F.avg("value_accuracy").alias("value_accuracy"))
+
+
+def agreement(images: DataFrame) -> DataFrame:
+    """Means over the double-labelled records."""
+    return images.agg(F.count("*").alias("n"), F.avg("macro_field_f1").alias("macro_field_f1"), F.avg("macro_field_f1_strict").alias("macro_field_f1_strict"), F.avg("pairing_accuracy").alias("pairing_accuracy"))
 
 
 def mcnemar_table(binaries: DataFrame, strata: list[str], id_col: str = "image_id", group: str = "model_key", correct: str = "correct") -> DataFrame:
-    """Per stratum and unordered pair of groups, over ids present in both: n, a_only, b_only, both_correct, both_wrong."""
-    d = binaries.select(*strata, id_col, F.col(group).alias("g"), F.col(correct).cast("int").alias("c")).groupBy(*strata, id_col).agg(F.array_sort(F.collect_list(F.struct("g", "c"))).alias("x"))
+    """Per stratum and unordered pair of groups, over ids with a value in both: n, a_only, b_only, both_correct, both_wrong.
+
+    Rows without a value count as absent. A group that has an id twice in a stratum is an error, raised when the rows are read.
+    """
+    d = binaries.select(*strata, F.col(id_col).alias("i"), F.col(group).alias("g"), F.col(correct).cast("int").alias("c")).where("c is not null and g is not null and i is not null")
+    d = d.groupBy(*strata, "i").agg(F.array_sort(F.collect_list(F.struct("g", "c"))).alias("x"))
+    names = F.transform("x", lambda a: a["g"])
+    twice = F.raise_error(F.concat(F.lit("more than one row of a group for id "), F.col("i").cast("string"))).cast(d.schema["x"].dataType)
+    d = d.withColumn("x", F.when(F.size(F.array_distinct(names)) < F.size(names), twice).otherwise(F.col("x")))
     # Groups of one id are few (the models), so its pairs are taken from its own row instead of a self-join.
     pairs = F.flatten(F.transform("x", lambda a: F.transform(F.filter("x", lambda b: b["g"] > a["g"]), lambda b: F.struct(a["g"].alias("group_a"), b["g"].alias("group_b"), a["c"].alias("a"), b["c"].alias("b")))))
     d = d.select(*strata, F.inline(pairs))
@@ -104,21 +220,26 @@ def mcnemar_table(binaries: DataFrame, strata: list[str], id_col: str = "image_i
     return d.groupBy(*strata, "group_a", "group_b").agg(F.count("*").alias("n"), n(1, 0).alias("a_only"), n(0, 1).alias("b_only"), n(1, 1).alias("both_correct"), n(0, 0).alias("both_wrong"))
 
 
+@once
+@F.pandas_udf(DoubleType())
+def _tail(x: pd.Series) -> pd.Series:
+    """Survival function of chi-square with one degree of freedom; null for null."""
+    return x.map(lambda v: None if v is None or v != v else erfc(sqrt(v / 2))).astype("float64")
+
+
 def mcnemar_test(table: DataFrame) -> DataFrame:
     """table with exact (fewer than 25 discordant pairs), statistic and p_value."""
-    from math import erfc, sqrt
-
-    tail = F.pandas_udf(lambda x: x.map(lambda v: erfc(sqrt(v / 2))), "double")
     b, c = F.col("a_only"), F.col("b_only")
-    n, low = (b + c).cast("int"), F.least(b, c).cast("int")
+    exact = b + c < 25
+    n, low = F.when(exact, b + c).otherwise(0).cast("int"), F.least(b, c)
     term = lambda acc, k: F.struct((acc["t"] * (n - k + 1) / k).alias("t"), (acc["s"] + acc["t"] * (n - k + 1) / k).alias("s"))
     first = F.struct(F.pow(F.lit(0.5), n.cast("double")).alias("t"), F.pow(F.lit(0.5), n.cast("double")).alias("s"))
-    steps = F.when(low > 0, F.sequence(F.lit(1), low)).otherwise(F.array().cast("array<int>"))
+    steps = F.when(exact & (low > 0), F.sequence(F.lit(1), F.when(exact, low).otherwise(1).cast("int"))).otherwise(F.array().cast("array<int>"))
     below = F.aggregate(steps, first, term, lambda acc: acc["s"])
-    chi = F.pow(F.abs(b - c) - 1, 2) / (b + c)
-    d = table.withColumn("exact", n < 25).withColumn("statistic", F.when(F.col("exact"), low.cast("double")).otherwise(chi))
-    few = d.where("exact").withColumn("p_value", F.least(F.lit(1.0), 2 * below))
-    return few.unionByName(d.where("not exact").withColumn("p_value", tail("statistic")))
+    chi = F.pow(F.abs(b - c) - 1, 2) / F.when(~exact, b + c)
+    d = table.withColumn("exact", exact).withColumn("statistic", F.when(exact, low.cast("double")).otherwise(chi))
+    d = d.withColumn("_p", _tail(F.when(~exact, F.col("statistic"))))
+    return d.withColumn("p_value", F.when(exact, F.least(F.lit(1.0), 2 * below)).otherwise(F.col("_p"))).drop("_p")
 
 
 def holm(tests: DataFrame, strata: list[str], p: str = "p_value", tie: tuple[str, ...] = ("group_a", "group_b"), alpha: float = 0.05) -> DataFrame:

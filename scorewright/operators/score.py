@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.operators.match import SCALARS
+from scorewright.functions.text import composed, list_text, nutrition_text
+from scorewright.operators.match import LISTS, SCALARS, match_lists, match_nutrition, match_scalars
+from scorewright.operators.parse import coerce, parse, structural_issues
 
 KEYS = ["image_id", "model_key", "condition"]
 
@@ -34,3 +36,77 @@ def field_scores(scalars: DataFrame, lists: DataFrame, nutrition: DataFrame | No
 def image_scores(fields: DataFrame) -> DataFrame:
     """KEYS with the mean f1 over fields, the same with strict scalars, and the pairing accuracy (1 without nutrition)."""
     return fields.groupBy(*KEYS).agg(F.avg("f1").alias("macro_field_f1"), F.avg(F.coalesce("strict_f1", "f1")).alias("macro_field_f1_strict"), F.coalesce(F.max("pairing_accuracy"), F.lit(1.0)).alias("pairing_accuracy"))
+
+
+FIELDS = (*SCALARS, *LISTS, "nutrition")
+FLAGS = ["json_valid", "api_error", "structural_issues"]
+
+
+def read_answers(responses: DataFrame) -> DataFrame:
+    """KEYS, the nine coerced fields and FLAGS of raw responses (content, error, finish_reason). An answer that can't be
+    read is an empty record, so empty fields of the truth count as right for it."""
+    return structural_issues(coerce(parse(responses))).select(*KEYS, *FIELDS, "json_valid", F.col("error").alias("api_error"), "structural_issues")
+
+
+def score_records(answers: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row per answer to a labelled record and field: KEYS, field, field_type, pred_value and gt_value (as text), FLAGS,
+    and the columns of the matchers, null where a field's type lacks them. Answers without FLAGS count as valid.
+
+    The nine fields of an answer become nine rows of its own partition; no matcher shuffles them.
+    """
+    for name, value in (("json_valid", F.lit(True)), ("api_error", F.lit(None).cast("string")), ("structural_issues", F.array().cast("array<string>"))):
+        if name not in answers.columns:
+            answers = answers.withColumn(name, value)
+    flat = lambda c: F.coalesce(c, F.lit(""))
+    a = composed(answers.select(*KEYS, *FLAGS, F.struct(*FIELDS).alias("_a")), "_a")
+    d = a.join(composed(truth.select("image_id", F.struct(*FIELDS).alias("_g")), "_g"), "image_id")
+    none, pairs = F.lit(None).cast("array<string>"), F.lit(None).cast("array<struct<name:string,value:string>>")
+    text = F.lit(None).cast("string")
+    side = lambda c, f: (flat(F.col(f"{c}.{f}")), none, pairs) if f in SCALARS else (text, F.col(f"{c}.{f}"), pairs) if f in LISTS else (text, none, F.col(f"{c}.{f}"))
+    kind = lambda f: "scalar" if f in SCALARS else "list" if f in LISTS else "nutrition"
+
+    def row(f: str):
+        p, g = side("_a", f), side("_g", f)
+        return F.struct(F.lit(f).alias("field"), F.lit(kind(f)).alias("field_type"), *(x.alias(n) for n, x in zip(("pred", "pred_list", "pred_pairs", "truth", "truth_list", "truth_pairs"), (*p, *g), strict=True)))
+
+    d = d.select(*KEYS, *FLAGS, F.inline(F.array(*map(row, FIELDS))))
+    # A row has values for one matcher alone; the others see nulls.
+    d = match_scalars(d)
+    said = lambda c: F.coalesce(F.col(c), list_text(f"{c}_list"), nutrition_text(f"{c}_pairs"), F.lit(""))
+    keep = [*KEYS, "field", "field_type", *FLAGS, "strict", "lenient", "similarity", "diacritic_only", "pred", "truth", "pred_value", "gt_value"]
+    d = d.withColumns({"pred_value": said("pred"), "gt_value": said("truth")})
+    d = match_lists(d, [*keep, "pred_pairs", "truth_pairs"], "pred_list", "truth_list").withColumnsRenamed({"n_pred": "list_pred", "n_truth": "list_truth", "precision": "list_precision", "recall": "list_recall", "f1": "list_f1"})
+    lists = ["list_pred", "list_truth", "list_precision", "list_recall", "list_f1"]
+    d = match_nutrition(d, [*keep, *lists], "pred_pairs", "truth_pairs")
+    is_ = lambda k: F.col("field_type") == k
+    by = lambda s, l, n: F.when(is_("scalar"), s).when(is_("list"), l).otherwise(n)
+    hit = F.col("lenient").cast("double")
+    only = lambda k, c: F.when(is_(k), F.col(c))
+    return d.select(
+        *KEYS, "field", "field_type", "pred", "truth", "pred_value", "gt_value", *FLAGS,
+        by(hit, F.col("list_precision"), F.col("name_precision")).alias("precision"),
+        by(hit, F.col("list_recall"), F.col("name_recall")).alias("recall"),
+        by(hit, F.col("list_f1"), F.col("name_f1")).alias("f1"),
+        only("scalar", "strict").alias("strict"), only("scalar", "lenient").alias("lenient"),
+        F.when(is_("scalar"), F.col("strict").cast("double")).alias("strict_f1"),
+        only("scalar", "similarity").alias("similarity"), only("scalar", "diacritic_only").alias("diacritic_only_mismatch"),
+        only("nutrition", "pairing_accuracy").alias("pairing_accuracy"), only("nutrition", "value_accuracy").alias("value_accuracy"),
+        by(F.lit(None).cast("int"), F.col("list_pred"), F.col("n_pred")).alias("n_pred"), by(F.lit(None).cast("int"), F.col("list_truth"), F.col("n_truth")).alias("n_truth"),
+    )
+
+
+def field_table(scored: DataFrame) -> DataFrame:
+    """The field score table of score_records()."""
+    return scored.select(*KEYS, "field", "field_type", "precision", "recall", "f1", "strict_f1", "similarity", "diacritic_only_mismatch", "pairing_accuracy", "value_accuracy", "json_valid", "api_error")
+
+
+def image_table(scored: DataFrame) -> DataFrame:
+    """The image score table of score_records(): means over the nine fields, lenient and with strict scalars."""
+    return scored.groupBy(*KEYS).agg(
+        F.avg("f1").alias("macro_field_f1"),
+        F.avg(F.coalesce("strict_f1", "f1")).alias("macro_field_f1_strict"),
+        F.coalesce(F.max("pairing_accuracy"), F.lit(1.0)).alias("pairing_accuracy"),
+        F.bool_and("json_valid").alias("json_valid"),
+        F.max("api_error").alias("api_error"),
+        F.max(F.size("structural_issues")).alias("n_structural_issues"),
+    )

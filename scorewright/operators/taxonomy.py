@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.functions.text import normalize_text, number_unit
+from scorewright.functions.text import composed, normalize_text, number_unit
 from scorewright.operators.match import close
 
 LOW_CONFIDENCE = ("hallucination",)
@@ -67,6 +67,25 @@ def incorrect_scalars(scored: DataFrame) -> DataFrame:
     return scored.where("not lenient").withColumn("score", F.col("similarity") / 100)
 
 
+def incorrect_fields(scored: DataFrame) -> DataFrame:
+    """Rows of score_records() that are wrong, with their score and category."""
+    c = F.col
+    wrong = F.when(c("field_type") == "scalar", ~c("lenient")).when(c("field_type") == "list", c("f1") < 1).otherwise((c("f1") < 1) | (c("pairing_accuracy") < 1) | (c("value_accuracy") < 1))
+    scalar = scalar_category(c("field"), c("pred"), c("truth"), c("similarity"), c("diacritic_only_mismatch"))
+    of_list = list_category(*map(c, ("field", "n_pred", "n_truth", "precision", "recall")))
+    nutrition = nutrition_category(*map(c, ("n_pred", "n_truth", "pairing_accuracy", "value_accuracy", "precision", "recall")))
+    category = classify(c("json_valid"), c("structural_issues"), c("field_type"), scalar, of_list, nutrition)
+    return scored.where(wrong).withColumns({"score": F.when(c("field_type") == "scalar", c("similarity") / 100).otherwise(c("f1")), "error_category": category})
+
+
+def error_rows(incorrect: DataFrame) -> DataFrame:
+    """The 14 columns of the error table, from incorrect_fields()."""
+    return incorrect.select(
+        "image_id", "model_key", "condition", "field", "field_type", F.bround("score", 3).alias("score"), "pred_value", "gt_value", "json_valid", F.coalesce("api_error", F.lit("")).alias("api_error"),
+        F.array_join("structural_issues", "; ").alias("structural_issues"), "error_category", low_confidence("error_category").alias("low_confidence"), F.lit("").alias("notes"),
+    )
+
+
 def low_confidence(category: Column | str) -> Column:
     return (F.col(category) if isinstance(category, str) else category).isin(*LOW_CONFIDENCE)
 
@@ -78,6 +97,7 @@ def label_conflicts(labels: DataFrame) -> DataFrame:
 
 def dates_in_warnings(labels: DataFrame) -> DataFrame:
     """Labels that repeat a date text among the warnings: image_id."""
+    labels = composed(labels, "warning", "mfg_date", "expiry_date")
     said = F.transform("warning", lambda w: normalize_text(w))
     hit = lambda f: (normalize_text(f) != "") & F.array_contains(said, normalize_text(f))
     return labels.where(hit("mfg_date") | hit("expiry_date")).select("image_id")

@@ -149,3 +149,44 @@ def test_assembly_streams_alike(spark, tmp_path):
         if r["response_id"] not in last or r["n_chunks"] >= last[r["response_id"]][-1]:
             last[r["response_id"]] = tuple(r)[1:]
     assert last == {r["response_id"]: tuple(r)[1:] for r in chunks.assemble(spark.createDataFrame(rows, CHUNK)).collect()}
+
+
+def test_composed_and_decomposed_answers_match(spark):
+    import unicodedata
+
+    nfd = lambda s: unicodedata.normalize("NFD", s)
+    assert scalar(spark, [("origin", nfd("Việt Nam"), "Việt Nam"), ("mfg_date", nfd("Ngày sản xuất"), "Ngày sản xuất.")]) == [(True, True, False)] * 2
+    assert lists(spark, [nfd("Đường"), nfd("Bột mì")], ["Bột mì", "Đường"]) == (2, 1, 1)
+    e = "array<struct<name:string,value:string>>"
+    d = spark.createDataFrame([(1, [(nfd("Chất béo"), "5 g")], [("Chất béo", "5 g")])], f"k int, pred {e}, truth {e}")
+    assert match.match_nutrition(d, ["k"]).first()["n_correct"] == 1
+    labels = spark.createDataFrame([("1", [nfd("Hết hạn ở đáy")], "", "Hết hạn ở đáy.")], "image_id string, warning array<string>, mfg_date string, expiry_date string")
+    assert taxonomy.dates_in_warnings(labels).count() == 1
+
+
+def test_paired_tables_drop_nulls_and_refuse_duplicates(spark):
+    rows = [("s", "1", "a", 1), ("s", "1", "b", 0), ("s", "2", "a", 1), ("s", "2", "b", None), ("s", "3", None, 1)]
+    d = spark.createDataFrame(rows, "s string, image_id string, model_key string, correct int")
+    r = report.mcnemar_table(d, ["s"]).collect()
+    assert [(x["group_a"], x["group_b"], x["n"], x["a_only"]) for x in r] == [("a", "b", 1, 1)]
+    with pytest.raises(Exception, match="more than one row"):
+        report.mcnemar_table(d.unionByName(d), ["s"]).collect()
+
+
+def test_bootstraps(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"{i:04d}", g, float(x)) for g, n in (("a", 300), (None, 200)) for i, x in enumerate(rng.normal(0.6, 0.2, n))] + [("x", "a", None), ("y", "c", None)]
+    d = spark.createDataFrame(rows, "image_id string, g string, v double")
+    poisson = {r["g"]: r for r in report.poisson_bootstrap(d.repartition(3), ["g"], "image_id", "v", 2000).collect()}
+    drawn = {r["g"]: r for r in report.bootstrap_draws(d.repartition(2), ["g"], "image_id", "v", 2000).collect()}
+    assert set(poisson) == set(drawn) == {"a", None}
+    for g in poisson:
+        v = np.array([x for i, h, x in sorted(rows, key=lambda r: r[0]) if h == g and x is not None])
+        r, m = np.random.default_rng(42), []
+        for _ in range(4):
+            m.append(v[r.integers(0, len(v), (500, len(v)))].mean(axis=1))
+        assert np.allclose(np.quantile(np.concatenate(m), [0.025, 0.975]), [drawn[g]["lo"], drawn[g]["hi"]])
+        se = v.std() / len(v) ** 0.5
+        assert poisson[g]["n"] == len(v) and abs(poisson[g]["lo"] - (v.mean() - 1.96 * se)) < 0.25 * se and abs(poisson[g]["hi"] - (v.mean() + 1.96 * se)) < 0.25 * se
+    again = {r["g"]: r["lo"] for r in report.poisson_bootstrap(d.repartition(5), ["g"], "image_id", "v", 2000).collect()}
+    assert all(abs(again[g] - poisson[g]["lo"]) < 1e-12 for g in again)
