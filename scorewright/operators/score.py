@@ -73,8 +73,8 @@ def score_records(answers: DataFrame, truth: DataFrame) -> DataFrame:
     # A row has values for one matcher alone; the others see nulls.
     d = match_scalars(d)
     said = lambda c: F.coalesce(F.col(c), list_text(f"{c}_list"), nutrition_text(f"{c}_pairs"), F.lit(""))
-    keep = [*KEYS, "field", "field_type", *FLAGS, "strict", "lenient", "similarity", "diacritic_only", "pred", "truth", "pred_value", "gt_value"]
-    d = d.withColumns({"pred_value": said("pred"), "gt_value": said("truth")})
+    keep = [*KEYS, "field", "field_type", *FLAGS, "strict", "lenient", "similarity", "diacritic_only", "scalar_pred", "scalar_truth", "pred_value", "gt_value"]
+    d = d.withColumns({"pred_value": said("pred"), "gt_value": said("truth")}).withColumnsRenamed({"pred": "scalar_pred", "truth": "scalar_truth"})
     d = match_lists(d, [*keep, "pred_pairs", "truth_pairs"], "pred_list", "truth_list").withColumnsRenamed({"n_pred": "list_pred", "n_truth": "list_truth", "precision": "list_precision", "recall": "list_recall", "f1": "list_f1"})
     lists = ["list_pred", "list_truth", "list_precision", "list_recall", "list_f1"]
     d = match_nutrition(d, [*keep, *lists], "pred_pairs", "truth_pairs")
@@ -83,7 +83,7 @@ def score_records(answers: DataFrame, truth: DataFrame) -> DataFrame:
     hit = F.col("lenient").cast("double")
     only = lambda k, c: F.when(is_(k), F.col(c))
     return d.select(
-        *KEYS, "field", "field_type", "pred", "truth", "pred_value", "gt_value", *FLAGS,
+        *KEYS, "field", "field_type", F.col("scalar_pred").alias("pred"), F.col("scalar_truth").alias("truth"), "pred_value", "gt_value", *FLAGS,
         by(hit, F.col("list_precision"), F.col("name_precision")).alias("precision"),
         by(hit, F.col("list_recall"), F.col("name_recall")).alias("recall"),
         by(hit, F.col("list_f1"), F.col("name_f1")).alias("f1"),

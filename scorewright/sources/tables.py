@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 SCALARS = ("product_name", "origin", "net_weight", "mfg_date", "expiry_date")
 LISTS = ("ingredient", "additive", "warning")
+LABEL = "image_id string, product_name string, origin string, net_weight string, mfg_date string, expiry_date string, ingredient array<string>, additive array<string>, warning array<string>, nutrition array<struct<name:string,value:string>>"
 NUTRITION = "array<struct<name:string,value:string>>"
 RESPONSES = "tier string, model_key string, model_slug string, image_id string, condition string, content string, input_tokens bigint, output_tokens bigint, cost_usd double, latency_s double, error string, finish_reason string, cached_at timestamp"
 FIELD_SCORES = "image_id string, model_key string, condition string, field string, field_type string, precision double, recall double, f1 double, strict_f1 double, similarity double, diacritic_only_mismatch boolean, pairing_accuracy double, value_accuracy double, json_valid boolean, api_error string"
