@@ -3,21 +3,23 @@
 Every string of `length` bytes holds a gram of 20 bytes that is least by a fixed hash among those in it, the leftmost of
 equals; equal strings choose the same gram at the same place. So suffixes need to be sorted only where a gram was chosen.
 
-1. Chosen grams, as hashes in sorted blocks by hash range, are counted by slices of documents; those that two documents
-   hold set bits in a map of fixed size. Such maps only save work: a bit set in vain costs a comparison.
-2. The strings that chose one gram lie in a row and make a record: the bytes that they cover. Records with known grams
-   are compared by hash first, with their least document. Where all records of a gram are the same, that document keeps
-   them; thousands of copies are one row here.
-3. The other records are range-partitioned by their suffix from the gram on, at splitters that Spark samples. Equal
-   suffixes never straddle a boundary; a gram with very many different records is split further, into its strings, by
-   their whole content. Each partition is sorted by multikey quicksort: by the first eight bytes, then ties alone by the
-   next eight. Runs of equal grams with two or more records are expanded to their strings, which are sorted likewise;
-   the least document of a run of equal strings keeps it.
-4. Only keepers are told: a row for each record that its least document keeps, with a bit for each string. A document
-   then removes each byte of every string in a known record that it isn't told to keep.
-
-Ids are integers; a null id counts as the largest. Equal ids are one document here: they don't remove each other's
-strings. Null and empty texts, and texts shorter than `length`, lose nothing. Only the named columns are read.
+1. Chosen grams, as hashes in sorted blocks by hash range, are counted by tasks; those that two documents hold set bits in
+   a map of fixed size. The map only saves work: a bit set in vain costs a comparison.
+2. The strings that chose one gram lie in a row and make a record: the bytes that they cover. Records with known grams are
+   stored, equal bytes of a task once, with their least document: these are the suffixes to sort, each with its context.
+3. They are range-partitioned by their leading tokens, the gram and then all their bytes, at splitters that Spark samples,
+   so that a gram with very many records is cut too. Each partition is sorted by three-way multikey quicksort on words of
+   eight bytes. Runs of equal grams are expanded to their strings, which are sorted likewise; the least document of a run
+   of equal strings keeps it. All of this compares bytes.
+4. The first and last gram of a partition can go on in the next. What its records keep so far is compared across
+   boundaries: these strings are range-partitioned by all their bytes and sorted again.
+5. Only keepers are told: a row for each record that its least document keeps, with a bit for each string. A document
+   then removes each byte of every string in a known record that it isn't told to keep. Within one document its records
+   are told apart by 64 bits.
+
+Ids are integers (others are a TypeError); a null id counts as the largest. Equal ids are one document here: they don't
+remove each other's strings. Null and empty texts, and texts shorter than `length`, lose nothing. Only the named columns
+are read.
 """
 
 from __future__ import annotations
@@ -31,18 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.llm.common import stored, text_bytes
-from scorewright.llm.graph import bitmap, may
 from scorewright.llm.words import mixed
 
 LENGTH = 50
 GRAM = 20
 SPAN = LENGTH - GRAM + 1
-#: Mark of a string that was split off.
-SPLIT = 128
 #: Bits of the map of shared grams (32 MB); a power of 2.
 MAP_BITS = 28
-#: Records of one gram above which it is split into its strings.
-HOT = 20_000
 #: Bytes of records in a partition, and of gram hashes in a block group.
 PART_BYTES = 4 << 20
 SLICE = 1 << 20
@@ -51,8 +48,11 @@ _VALUE = np.random.default_rng(4321).integers(1, 1 << 63, 256, dtype=np.uint64)
 _C = 0x9E3779B97F4A7C15
 _POWER = np.cumprod(np.full(SLICE + 256, _C, np.uint64), dtype=np.uint64)
 _UNPOWER = np.cumprod(np.full(SLICE + 256, pow(_C, -1, 1 << 64), np.uint64), dtype=np.uint64)
-#: Records that a task gathers before it passes them on, so that copies within it are one row.
+#: Records, and hashes of grams, that a task gathers before it passes them on, so that copies within it are one row.
 GATHER = 150_000
+HASHES = 2_000_000
+#: Rows that the quicksort leaves to a plain sort.
+LEAF = 1024
 
 
 def _rolled(b: np.ndarray, n: int) -> np.ndarray:
@@ -107,12 +107,6 @@ class Records:
         return [starts[new], starts[last], place[new], gram[place[new]], owner[new]]
 
 
-def _content(body: bytes, r: Records, k: int) -> bytes:
-    """A record: the place of its gram, then its bytes."""
-    a = int(r.first[k])
-    return bytes([int(r.place[k]) - a]) + body[a : int(r.last[k]) + LENGTH]
-
-
 def _names(raw: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
     """64-bit names of records: of the bytes start..end (starts in order) and the place of the gram among them."""
     out = np.empty(len(start), np.uint64)
@@ -130,22 +124,28 @@ def _names(raw: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarra
 def multikey_order(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of rows of big-endian words, and the number of each row's run of equals in that order.
 
-    Rows are sorted by their first word; only runs that tie there are sorted by the next, and so on.
+    Three-way multikey quicksort: rows part into those below, at and above a pivot's word; only those at it go on to the
+    next word. Short stretches are sorted by what words are left.
     """
     n, width = words.shape
-    order = np.argsort(words[:, 0], kind="stable")
-    run = np.cumsum(np.concatenate([[0], words[order[1:], 0] != words[order[:-1], 0]])) if n else np.zeros(0, np.int64)
-    for k in range(1, width):
-        size = np.bincount(run) if n else run
-        tied = np.flatnonzero(size[run] > 1)
-        if not len(tied):
-            break
-        rows = order[tied]
-        order[tied] = rows[np.lexsort((words[rows, k], run[tied]))]
-        value = words[order, k]
-        step = np.concatenate([[0], (run[1:] != run[:-1]) | ((size[run[1:]] > 1) & (value[1:] != value[:-1]))])
-        run = np.cumsum(step)
-    return order, run
+    order = np.arange(n)
+    todo = [(0, n, 0)]
+    while todo:
+        lo, hi, k = todo.pop()
+        if hi - lo < 2 or k == width:
+            continue
+        rows = order[lo:hi]
+        if hi - lo <= LEAF:
+            order[lo:hi] = rows[np.lexsort(words[rows, k:].T[::-1])]
+            continue
+        word = words[rows, k]
+        pivot = np.sort(word[[0, (hi - lo) // 4, (hi - lo) // 2, 3 * (hi - lo) // 4, -1]])[2]
+        low, same = word < pivot, word == pivot
+        order[lo:hi] = np.concatenate([rows[low], rows[same], rows[~low & ~same]])
+        a, b = lo + int(low.sum()), lo + int(low.sum() + same.sum())
+        todo += [(lo, a, k), (a, b, k + 1), (b, hi, k)]
+    new = (words[order[1:]] != words[order[:-1]]).any(axis=1)
+    return order, np.cumsum(np.concatenate([[0], new]))[:n]
 
 
 def _padded(raw: np.ndarray) -> np.ndarray:
@@ -156,29 +156,40 @@ def _padded(raw: np.ndarray) -> np.ndarray:
     return out.view(">u8").astype(np.uint64)
 
 
-def keepers(contents: list[bytes], docs: np.ndarray) -> list[int]:
-    """For each different record, with its least document: a bit for every string that this document keeps."""
+def _least(words: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether each row's document is the least one of the rows with equal words."""
+    order, run = multikey_order(words)
+    mine = np.zeros(len(docs), bool)
+    if len(docs):
+        least = np.full(run[-1] + 1, NO_ID, np.int64)
+        np.minimum.at(least, run, docs[order])
+        mine[order] = least[run] == docs[order]
+    return mine
+
+
+def keepers(contents: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each different record, with its least document: a bit for every string that this document keeps among these
+    records; and whether its gram is the first or last one of the sorted records, which can have more elsewhere."""
     n = len(contents)
     if not n:
-        return []
+        return np.zeros(0, np.int64), np.zeros(0, bool)
     size = np.array([len(c) for c in contents], np.int64)
     flat = np.frombuffer(b"".join(contents), np.uint8)
     at = np.cumsum(size) - size
-    off = flat[at].astype(np.int64) & (SPLIT - 1)
+    off = flat[at].astype(np.int64)
     count = size - 1 - LENGTH + 1
     masks = (np.int64(1) << count) - 1
     order, run = multikey_order(_padded(np.lib.stride_tricks.sliding_window_view(flat, GRAM)[at + 1 + off]))
-    several = order[np.bincount(run)[run] > 1] if n else order
+    edge = np.zeros(n, bool)
+    edge[order] = (run == 0) | (run == run[-1])
+    several = order[np.bincount(run)[run] > 1]
     if len(several):
         row = np.repeat(several, count[several])
         nth = np.arange(len(row)) - np.repeat(np.cumsum(count[several]) - count[several], count[several])
-        order, run = multikey_order(_padded(np.lib.stride_tricks.sliding_window_view(flat, LENGTH)[at[row] + 1 + nth]))
-        least = np.full(run[-1] + 1, NO_ID, np.int64)
-        np.minimum.at(least, run, docs[row[order]])
-        mine = least[run] == docs[row[order]]
+        mine = _least(_padded(np.lib.stride_tricks.sliding_window_view(flat, LENGTH)[at[row] + 1 + nth]), docs[row])
         masks[several] = 0
-        np.bitwise_or.at(masks, row[order], mine.astype(np.int64) << nth[order])
-    return masks.tolist()
+        np.bitwise_or.at(masks, row, mine.astype(np.int64) << nth)
+    return masks, edge
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bytes, list[int]]]:
@@ -199,18 +210,29 @@ def shared_grams(docs: DataFrame) -> np.ndarray:
     bits = max(5, min(MAP_BITS - 3, int(np.ceil(np.log2(max(1, total / 13 * 8 / PART_BYTES))))))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, body, offsets in _slices(batches):
-            r = Records(body, offsets)
-            order = np.argsort(r.hash, kind="stable")
-            g, ids = r.hash[order], part.column(0).to_numpy(zero_copy_only=False)[r.doc[order]]
-            new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else order
-            other = np.concatenate([[False], (g[1:] == g[:-1]) & (ids[1:] != ids[:-1])]) if len(g) else np.zeros(0, bool)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            g, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(g, kind="stable")
+            g, ids = g[order], ids[order]
+            new = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])[: len(g)])
+            other = np.concatenate([[False], (g[1:] == g[:-1]) & (ids[1:] != ids[:-1])])[: len(g)]
             several = np.logical_or.reduceat(other, new) if len(g) else other
             g = g[new]
             bucket = (g >> np.uint64(64 - bits)).astype(np.int64)
-            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])).tolist() if len(g) else []
+            cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(g)]).tolist()
             spans = list(zip(cut, [*cut[1:], len(g)], strict=True)) if cut else []
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[i]) for i, _ in spans], pa.int64()), pa.array([g[i:j].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i, j in spans], pa.binary()), pa.array([np.packbits(several[i:j]).tobytes() for i, j in spans], pa.binary())], ["bucket", "grams", "several"])
+            return pa.RecordBatch.from_arrays([pa.array([int(bucket[i]) for i, _ in spans], pa.int64()), pa.array([g[i:j].astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i, j in spans], pa.binary()), pa.array([np.packbits(several[i:j]).tobytes() for i, j in spans], pa.binary())], ["bucket", "grams", "several"])
+
+        for part, body, offsets in _slices(batches):
+            r = Records(body, offsets)
+            held.append((r.hash, part.column(0).to_numpy(zero_copy_only=False)[r.doc]))
+            if sum(len(g) for g, _ in held) >= HASHES:
+                yield flush()
+        if held:
+            yield flush()
 
     def shared(group: pa.Table) -> pa.Table:
         raw = np.frombuffer(b"".join(group["grams"].to_pylist()), np.uint8).reshape(-1, 6)  # the upper 48 bits
@@ -239,82 +261,30 @@ def _known(grams: np.ndarray, of: np.ndarray) -> np.ndarray:
     return (grams[k >> 3] >> (k & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], rows_of, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Rows (key..., least document) of slices, with equal keys in a task's stretch of rows made one."""
-    least: dict[tuple, int] = {}
-
-    def flush() -> pa.RecordBatch:
-        cols = list(zip(*((*k, d) for k, d in least.items()), strict=True)) or [[]] * len(schema)
-        out = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
-        least.clear()
-        return out
-
-    for part, body, offsets in _slices(batches):
-        ids = part.column(0).to_pylist()
-        for key, doc in rows_of(body, offsets):
-            d = ids[doc]
-            if d < least.get(key, NO_ID + 1):
-                least[key] = d
-        if len(least) >= GATHER:
-            yield flush()
-    yield flush()
-
-
-def _strings(content: bytes) -> list[bytes]:
-    """The strings of a record, as records of their own; the high bit of the first byte marks them."""
-    return [bytes([SPLIT + content[0] - i]) + content[1 + i : 1 + i + LENGTH] for i in range(len(content) - LENGTH)]
-
-
-def _placed() -> Column:
-    """Where a record is placed: a split string by all its bytes, so that a hot gram spreads; another by its gram."""
-    first = "CAST(conv(hex(substring(content, 1, 1)), 16, 10) AS int)"
-    return F.expr(f"IF({first} >= {SPLIT}, substring(content, 2, {LENGTH}), substring(content, {first} + 2, {GRAM}))")
-
-
-def keeps(docs: DataFrame, sent) -> tuple[DataFrame, object]:
-    """doc, told (array of struct name, mask): the records of which a document keeps strings; and the broadcast map of
-    grams that were split. sent: broadcast shared_grams()."""
+def keeps(docs: DataFrame, sent) -> DataFrame:
+    """doc, told (array of struct name, mask): the records of which a document keeps strings. sent: broadcast shared_grams()."""
     spark = docs.sparkSession
-    context = spark.sparkContext
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, int] = {}
 
         def flush() -> pa.RecordBatch:
-            gram, name, doc = (np.concatenate(x) if held else np.zeros(0, np.int64) for x in (zip(*held, strict=True) if held else [[]] * 3))
-            held.clear()
-            order = np.lexsort((doc, name, gram))
-            gram, name, doc = gram[order], name[order], doc[order]
-            first = np.concatenate([[True], (gram[1:] != gram[:-1]) | (name[1:] != name[:-1])])[: len(gram)]
-            return pa.RecordBatch.from_arrays([pa.array(x[first], pa.int64()) for x in (gram, name, doc)], ["gram", "name", "doc"])
+            out = pa.RecordBatch.from_arrays([pa.array(list(least), pa.binary()), pa.array(list(least.values()), pa.int64())], ["content", "doc"])
+            least.clear()
+            return out
 
         for part, body, offsets in _slices(batches):
+            ids = part.column(0).to_pylist()
             r = Records(body, offsets)
             k = np.flatnonzero(_known(sent.value, r.hash))
-            name = _names(np.frombuffer(body, np.uint8), r.first[k], r.last[k] + LENGTH, r.place[k] - r.first[k])
-            held.append((r.hash.view(np.int64)[k], name, part.column(0).to_numpy(zero_copy_only=False)[r.doc[k]]))
-            if sum(len(x[0]) for x in held) >= 2 * GATHER:
+            for first, end, off, doc in zip(r.first[k].tolist(), (r.last[k] + LENGTH).tolist(), (r.place[k] - r.first[k]).tolist(), r.doc[k].tolist(), strict=True):
+                content, d = _PLACE[off] + body[first:end], ids[doc]
+                if d < least.get(content, NO_ID + 1):
+                    least[content] = d
+            if len(least) >= GATHER:
                 yield flush()
         yield flush()
 
-    names = docs.mapInArrow(named, "gram long, name long, doc long").repartition("gram").groupBy("gram", "name").agg(F.min("doc").alias("doc"))
-    grams = names.groupBy("gram").agg(F.count("*").alias("n"), F.first("name").alias("name"), F.first("doc").alias("doc"))
-    grams = stored(spark, grams.select("gram", "n", F.when(F.col("n") == 1, F.col("name")).alias("name"), F.when(F.col("n") == 1, F.col("doc")).alias("doc")), "grams")
-    mixed_grams = context.broadcast(bitmap(grams.where("n > 1"), F.col("gram")))
-    hot = context.broadcast(bitmap(grams.where(F.col("n") > HOT), F.col("gram")))
-
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows_of(body: bytes, offsets: list[int]):
-            r = Records(body, offsets)
-            gram = r.hash.view(np.int64)
-            split = may(hot.value, gram)
-            for k in np.flatnonzero(_known(sent.value, r.hash) & may(mixed_grams.value, gram)).tolist():
-                content = _content(body, r, k)
-                for c in _strings(content) if split[k] else (content,):
-                    yield (c,), r.doc[k]
-
-        yield from _gathered(batches, rows_of, pa.schema([("content", pa.binary()), ("doc", pa.int64())]))
-
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[bytes, int] = {}
         for b in batches:
@@ -322,26 +292,64 @@ def keeps(docs: DataFrame, sent) -> tuple[DataFrame, object]:
                 if d < least.get(c, NO_ID + 1):
                     least[c] = d
         contents, docs = list(least), np.array(list(least.values()), np.int64)
-        masks = np.array(keepers(contents, docs), np.int64)
+        if not contents:
+            return
+        masks, edge = keepers(contents, docs)
         size = np.array([len(c) for c in contents], np.int64)
         flat, at = np.frombuffer(b"".join(contents), np.uint8), np.cumsum(size) - size
-        name = _names(flat, at + 1, at + size, flat[at].astype(np.int64)) if contents else masks
-        some = np.flatnonzero(masks)
+        name = _names(flat, at + 1, at + size, flat[at].astype(np.int64))
+        some = np.flatnonzero((masks != 0) & ~edge)
         for k in range(0, len(some), 20_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[some[k : k + 20_000]], pa.int64()) for x in (docs, name, masks)], ["doc", "name", "mask"])
+            rows = some[k : k + 20_000]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[rows], pa.int64()) for x in (docs, name, masks)), pa.nulls(len(rows), pa.binary())], ["doc", "name", "mask", "string"])
+        out: list[tuple] = []
+        for k in np.flatnonzero((masks != 0) & edge).tolist():  # strings of the records at the boundaries
+            c, m = contents[k], int(masks[k])
+            out += [(docs[k], name[k], 1 << i, c[1 + i : 1 + i + LENGTH]) for i in range(len(c) - LENGTH) if m >> i & 1]
+            if len(out) >= 20_000:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        docs, name, mask = (np.concatenate([b.column(k).to_numpy() for b in held]) if held else np.zeros(0, np.int64) for k in range(3))
+        if len(docs):
+            mine = _least(_padded(np.frombuffer(b"".join(x for b in held for x in b.column(3).to_pylist()), np.uint8).reshape(-1, LENGTH)), docs)
+            yield pa.RecordBatch.from_arrays([pa.array(x[mine], pa.int64()) for x in (docs, name, mask)], ["doc", "name", "mask"])
+
+    stored_records = stored(spark, docs.mapInArrow(records, "content binary, doc long"), "records")
+    parts = _parts(stored_records.agg(F.sum(F.length("content"))).first()[0])
+    schema = "doc long, name long, mask long, string binary"
+    found = stored(spark, stored_records.repartitionByRange(parts, _leading(), "content").mapInArrow(sort, schema), "keepers")
+    edges = found.where("string is not null")
+    edges = edges.repartitionByRange(_parts(edges.agg(F.sum(F.length("string") + 24)).first()[0]), "string").mapInArrow(across, "doc long, name long, mask long")
+    joined = edges.groupBy("doc", "name").agg(F.bit_or("mask").alias("mask"))
+    return found.where("string is null").select("doc", "name", "mask").unionByName(joined).groupBy("doc").agg(F.collect_list(F.struct("name", "mask")).alias("told"))
+
+
+_PLACE = [bytes([k]) for k in range(SPAN)]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    doc, name, mask, string = zip(*rows, strict=True) if rows else ([], [], [], [])
+    return pa.RecordBatch.from_arrays([*(pa.array(list(map(int, x)), pa.int64()) for x in (doc, name, mask)), pa.array(list(string), pa.binary())], ["doc", "name", "mask", "string"])
+
+
+def _parts(total: int | None) -> int:
+    return max(8, -(-(total or 0) // PART_BYTES))
+
 
-    total = grams.agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))).first()[0] * (LENGTH + SPAN // 2)
-    parts = max(8, -(-total // PART_BYTES))
-    found = docs.mapInArrow(records, "content binary, doc long").repartitionByRange(parts, _placed()).mapInArrow(sort, "doc long, name long, mask long")
-    alone = grams.where("n = 1").select("doc", "name", F.lit(-1).cast("long").alias("mask"))
-    return alone.unionByName(found).groupBy("doc").agg(F.collect_list(F.struct("name", "mask")).alias("told")), hot
+def _leading() -> Column:
+    """The gram of a record, which its first byte places."""
+    return F.expr(f"substring(content, CAST(conv(hex(substring(content, 1, 1)), 16, 10) AS int) + 2, {GRAM})")
 
 
 def _keyed(doc: np.ndarray, name: np.ndarray) -> np.ndarray:
     return mixed(name.view(np.uint64) ^ mixed(doc.astype(np.uint64) + np.uint64(1)))
 
 
-def _removed(body: bytes, offsets: list[int], told: pa.Array, grams: np.ndarray, hot: np.ndarray) -> np.ndarray:
+def _removed(body: bytes, offsets: list[int], told: pa.Array, grams: np.ndarray) -> np.ndarray:
     """Which bytes go. told: for each document of the slice its (name, mask)."""
     r, raw = Records(body, offsets), np.frombuffer(body, np.uint8)
     size = pc.fill_null(pc.list_value_length(told), 0).to_numpy(zero_copy_only=False)
@@ -361,12 +369,6 @@ def _removed(body: bytes, offsets: list[int], told: pa.Array, grams: np.ndarray,
     first, last, place, doc = r.first[k], r.last[k], r.place[k] - r.first[k], r.doc[k]
     keep = heard(doc, _names(raw, first, last + LENGTH, place))
     count = last - first + 1
-    split = np.flatnonzero(may(hot, r.hash.view(np.int64)[k])) if len(k) else k
-    if len(split):  # strings that were split off are told of one by one
-        row, nth = _spread(split, count)
-        at = first[row] + nth
-        said = heard(doc[row], _names(raw, at, at + LENGTH, SPLIT + place[row] - nth)) != 0
-        np.bitwise_or.at(keep, row, said.astype(np.int64) << nth)
     full = (np.int64(1) << count) - 1
     lost = ~keep & full
     edge = np.zeros(len(body) + 1, np.int32)
@@ -389,15 +391,17 @@ def _spread(rows: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id_col, n_bytes, kept (binary), n_removed, n_spans (maximal removed runs)."""
     kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids must be integers, not {kind}")
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(text_col, F.lit("")).alias("text"))
     grams = shared_grams(docs)
     sent = df.sparkSession.sparkContext.broadcast(grams)
-    told, hot = keeps(docs, sent)
+    told = keeps(docs, sent)
     joined = df.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc")).join(told, "doc", "left").select("id", "text", "told")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, body, offsets in _slices(batches):
-            gone = _removed(body, offsets, part.column(2), sent.value, hot.value)
+            gone = _removed(body, offsets, part.column(2), sent.value)
             raw = np.frombuffer(body, np.uint8)
             rows = []
             for i, j in zip(offsets[:-1], offsets[1:], strict=True):

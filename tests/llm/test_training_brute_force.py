@@ -63,22 +63,41 @@ def test_suffix_removal(spark):
     assert sorted(got, key=str) == brute_suffix(rows)
 
 
-def test_suffix_removal_of_split_grams(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT", 2)
+def test_suffix_removal_across_boundaries(spark, monkeypatch):
+    """Partitions so small that grams go on in the next: their strings are compared across boundaries."""
+    monkeypatch.setattr(suffix, "PART_BYTES", 400)
     rows = corpus(8, 80)
     got = [tuple(r) for r in suffix.report(suffix.remove(spark.createDataFrame(rows, SCHEMA).repartition(3))).collect()]
     assert sorted(got, key=str) == brute_suffix(rows)
 
 
-def test_suffix_hot_gram_spreads(spark):
+def test_suffix_hot_gram(spark, monkeypatch):
+    """A gram in every document, in different surroundings, and partitions of a few records."""
+    monkeypatch.setattr(suffix, "PART_BYTES", 2000)
     r = random.Random(4)
-    gram = b"the hottest gram of all"[: suffix.GRAM]
-    rest = [bytes(r.choice(b"abcdefgh") for _ in range(suffix.LENGTH - suffix.GRAM)) for _ in range(800)]
-    rows = [(bytearray(c),) for x in rest for c in suffix._strings(bytes([0]) + gram + x)]
-    placed = spark.createDataFrame(rows * 2, "content binary").repartitionByRange(8, suffix._placed())
-    parts = [{bytes(x["content"]) for x in p} for p in placed.rdd.glom().collect()]
-    assert sum(map(len, parts)) == len({bytes(x) for (x,) in rows})  # equal strings meet
-    assert max(map(len, parts)) < 200
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    tails = [word(40) for _ in range(6)]
+    rows = [(i, word(r.randint(0, 40)) + "the hottest gram of all" + r.choice(tails)[: r.randint(5, 40)] + word(r.randint(0, 30)), "x", "y") for i in range(150)]
+    got = [tuple(x) for x in suffix.report(suffix.remove(spark.createDataFrame(rows, SCHEMA).repartition(3))).collect()]
+    assert sorted(got, key=str) == brute_suffix(rows)
+
+
+def test_suffix_long_texts(monkeypatch):
+    """The records of a text that is read in stretches are those of the whole text."""
+    r = random.Random(1)
+    body = "".join(r.choice("abcd ") for _ in range(30_000)).encode()
+    whole = suffix.Records(body, [0, len(body)])
+    monkeypatch.setattr(suffix, "SLICE", 1000)
+    cut = suffix.Records(body, [0, len(body)])
+    string = lambda x: sorted({(p, k) for a, b, p in zip(x.first.tolist(), x.last.tolist(), x.place.tolist(), strict=True) for k in range(a, b + 1)})
+    assert string(whole) == string(cut) and len(cut.first) > len(whole.first)
+
+
+def test_suffix_refuses_other_ids(spark):
+    import pytest
+
+    with pytest.raises(TypeError, match="integers"):
+        suffix.remove(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
 
 
 def test_suffix_empty(spark):
