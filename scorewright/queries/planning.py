@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorewright.plans import selection as S
+from scorewright.operators.score import FIELDS as S9
 from scorewright.plans.bridges import ANSWERS, LEDGER, RESPONSES, rows, twin
+from scorewright.queries.records import BASE, ERRORS, SCORED, _duck, _spark, truth
 from scorewright.queries.registry import query
 from scorewright.sources import tables
 
@@ -178,3 +180,101 @@ def c11_cost_usd(spark, sf_dir):
     return d.groupBy("tier", "model_key").agg(F.round(F.sum(cost_usd("input_tokens", "output_tokens", "price_in", "price_out")), 4).alias("cost_usd"))
 
 
+
+
+@query(twin(f"SELECT t.image_id, product_name, origin, net_weight, mfg_date, expiry_date, array_to_string(ingredient, ' | ') AS ingredient, array_to_string(warning, ' | ') AS warning, len(nutrition) AS n_nutrition FROM truth t", *map(_duck, BASE)))
+def a1_read_labels(spark, sf_dir):
+    """The truth of every record as JSON, read strictly."""
+    return _labels(truth(spark, sf_dir))
+
+
+@query(twin(f"SELECT s.image_id, product_name, origin, net_weight, mfg_date, expiry_date, array_to_string(ingredient, ' | ') AS ingredient, array_to_string(warning, ' | ') AS warning, len(nutrition) AS n_nutrition FROM said s WHERE model_key = 'm1'", *map(_duck, BASE)))
+def a7_read_control_labels(spark, sf_dir):
+    """A second annotation, read alike."""
+    return _labels(rows(spark, sf_dir, "said", *map(_spark, BASE)).where("model_key = 'm1'"))
+
+
+def _labels(written):
+    d = tables.labels_of(written.select("image_id", F.to_json(F.struct(*S9)).alias("value")))
+    return d.select("image_id", "product_name", "origin", "net_weight", "mfg_date", "expiry_date", F.array_join("ingredient", " | ").alias("ingredient"), F.array_join("warning", " | ").alias("warning"), F.size("nutrition").cast("long").alias("n_nutrition"))
+
+
+@query("SELECT lpad(n_nationkey::VARCHAR, 4, '0') AS image_id, lpad(n_nationkey::VARCHAR, 4, '0') || '.jpeg' AS name FROM nation")
+def a2_list_images(spark, sf_dir):
+    """A file for each nation, among others of another ending, listed without reading it."""
+    path = tables.scratch(spark, "images")
+    d = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lpad(F.col("n_nationkey").cast("string"), 4, "0").alias("id"), "n_nationkey", F.col("n_name").alias("body"))
+    files = d.select(F.concat("id", F.lit(".jpeg")).alias("name"), "body").unionByName(d.where("n_nationkey % 5 = 0").select(F.concat("id", F.lit(".png")).alias("name"), "body"))
+    tables.write_files(files, path)
+    return tables.list_images(spark, path).select("image_id", F.regexp_extract("image_path", "[^/]+$", 0).alias("name"))
+
+
+@query("SELECT lower(replace(r_name, ' ', '-')) AS key, 'vendor/' || lower(replace(r_name, ' ', '-')) AS slug, r_regionkey % 2 = 0 AS open_weight, CASE WHEN r_regionkey > 0 THEN r_regionkey * 0.5 END AS price_input_per_m, 'https://example.org/v1' AS base_url FROM region")
+def a5_read_models(spark, sf_dir):
+    """A registry in YAML, one model for each region."""
+    path = tables.scratch(spark, "models")
+    key = F.lower(F.replace("r_name", F.lit(" "), F.lit("-")))
+    line = F.concat(F.lit("  "), key, F.lit(": {slug: vendor/"), key, F.lit(", endpoint: e, open_weight: "), F.when(F.col("r_regionkey") % 2 == 0, "true").otherwise("false"), F.coalesce(F.concat(F.lit(", price_input_per_m: "), F.when(F.col("r_regionkey") > 0, F.col("r_regionkey") * 0.5).cast("string")), F.lit("")), F.lit("}"))
+    head = "endpoints:\n  e: {base_url: 'https://example.org/v1', api_key_env: E_KEY}\nmodels:\n"
+    d = spark.read.parquet(f"{sf_dir}/region.parquet").agg(F.concat(F.lit(head), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("body"))
+    tables.write_files(d.select(F.lit("models.yaml").alias("name"), "body"), path)
+    return tables.read_models(spark, path).select("key", "slug", "open_weight", "price_input_per_m", "base_url")
+
+
+@query(twin("SELECT image_id FROM items WHERE p_partkey % 11 = 0", ITEMS))
+def a6_read_pinned_subset(spark, sf_dir):
+    """The pinned list written as JSON and read back; b5 lets it win over a sample."""
+    path = tables.scratch(spark, "subset")
+    d = items(spark, sf_dir).where("p_partkey % 11 = 0").agg(F.count("*").cast("int").alias("size"), F.lit(42).alias("seed"), F.array_sort(F.collect_list("image_id")).alias("image_ids"))
+    d.write.json(path)
+    return tables.read_pinned_subset(spark, path)
+
+
+@query(twin("SELECT model_key, condition, count(*) AS n FROM answers GROUP BY ALL", ANSWERS))
+def a12_write_summary(spark, sf_dir):
+    """A small table written over an older one."""
+    path = tables.scratch(spark, "summary")
+    d = rows(spark, sf_dir, "answers", ANSWERS)
+    tables.write_table(d.select("model_key", "condition", F.lit(0).cast("long").alias("n")), path)
+    tables.write_table(d.groupBy("model_key", "condition").agg(F.count("*").alias("n")), path)
+    return spark.read.parquet(path)
+
+
+@query(twin("SELECT image_id, model_key, field, error_category FROM errors ORDER BY md5('42#' || model_key || '#' || image_id || '#' || field), model_key, image_id, field LIMIT 300", *map(_duck, BASE), *SCORED, ERRORS))
+def a13_write_error_table(spark, sf_dir):
+    """The error table written as CSV with its 14 columns and read back with ids as strings."""
+    from scorewright.queries.records import i7_error_table
+
+    path, d = tables.scratch(spark, "errors"), i7_error_table(spark, sf_dir)
+    tables.write_table(d, path, "csv")
+    return tables.read_scored(spark, path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema)).select("image_id", "model_key", "field", "error_category")
+
+
+@query(twin("SELECT tier, model_key, count(*) AS n, round(sum(input_tokens / 1e6 * price_in + output_tokens / 1e6 * price_out), 3) AS cost_usd FROM ledger WHERE input_tokens + output_tokens > 0 GROUP BY ALL", LEDGER))
+def a10_append_ledger(spark, sf_dir):
+    """The ledger appended to in two runs and read back."""
+    from scorewright.functions.text import cost_usd
+
+    path = tables.scratch(spark, "ledger")
+    d = rows(spark, sf_dir, "ledger", LEDGER).withColumn("cost_usd", cost_usd("input_tokens", "output_tokens", "price_in", "price_out"))
+    for part in ("model_key < 'B'", "model_key >= 'B'"):
+        tables.append_ledger(d.where(part), path)
+    return tables.read_scored(spark, path, tables.LEDGER).groupBy("tier", "model_key").agg(F.count("*").alias("n"), F.round(F.sum("cost_usd"), 3).alias("cost_usd"))
+
+
+@query(twin("SELECT image_id, model_key, condition, CASE WHEN p_partkey % 2 = 0 THEN v + 200 ELSE v END AS v FROM answers", ANSWERS))
+def a9_upsert_last_wins(spark, sf_dir):
+    """New rows that come twice: the later arrival stays."""
+    d = rows(spark, sf_dir, "answers", ANSWERS).select("image_id", "model_key", "condition", "v", "p_partkey")
+    some = d.where("p_partkey % 2 = 0")
+    new = some.withColumns({"v": F.col("v") + 200, "at": F.lit(2)}).unionByName(some.withColumns({"v": F.col("v") + 900, "at": F.lit(1)}))
+    cols = ["image_id", "model_key", "condition"]
+    return tables.upserted(d.select(*cols, "v", F.lit(0).alias("at")), new.select(*cols, "v", "at"), cols, arrival="at").drop("at")
+
+
+@query(twin("SELECT image_id, model_key, content FROM done", ANSWERS, RESPONSES, CACHED, DONE))
+def a11_save_responses(spark, sf_dir):
+    """Answers saved by tier and model and read back; failures are not among them."""
+    path = tables.scratch(spark, "saved")
+    tables.save_responses(cached(spark, sf_dir), path)
+    return spark.read.schema("image_id string, condition string, content string, error string, tier string, model_key string").parquet(path).select("image_id", "model_key", "content")

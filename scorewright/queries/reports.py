@@ -309,3 +309,44 @@ def k3_score_incrementally(spark, sf_dir):
 def k4_running_spend(spark, sf_dir):
     d = C.running_spend(ledger(spark, sf_dir))
     return d.select("model_key", "input_tokens", "output_tokens", F.round("cost_usd", 4).alias("cost_usd"))
+
+
+def _timed(d):
+    """Chunks with the time at which they came, a second apart."""
+    return d.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("seq")))
+
+
+def _arriving(d, files: int):
+    """The rows of d in several files of a new folder, and their schema."""
+    from scorewright.sources.tables import scratch
+
+    path = scratch(d.sparkSession, "arriving")
+    d.repartition(files).write.parquet(path)
+    return path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema)
+
+
+K1_SQL = "SELECT response_id, md5(string_agg(delta, '' ORDER BY seq)) AS content, arg_max(finish_reason, seq) FILTER (WHERE finish_reason IS NOT NULL) AS finish_reason, coalesce(arg_max(completion_tokens, seq) FILTER (WHERE completion_tokens IS NOT NULL), count(*) FILTER (WHERE delta <> '')) AS output_tokens FROM chunks GROUP BY response_id"
+
+
+@query(twin(K1_SQL, CHUNKS))
+def k1_assemble_streamed(spark, sf_dir):
+    """Chunks that arrive in files, in any order, through the stateful stream."""
+    d = C.assemble_files(*_arriving(_timed(chunks(spark, sf_dir)), 3), guard=False)
+    return d.select("response_id", F.md5(F.encode("content", "utf-8")).alias("content"), "finish_reason", "output_tokens")
+
+
+@query(twin("""SELECT response_id, md5(string_agg(delta, '' ORDER BY seq) FILTER (WHERE stop IS NULL OR seq <= stop)) AS content, CASE WHEN max(stop) IS NOT NULL THEN 'loop_cutoff' ELSE arg_max(finish_reason, seq) FILTER (WHERE finish_reason IS NOT NULL) END AS finish_reason
+FROM (SELECT *, min(CASE WHEN looped THEN seq END) OVER (PARTITION BY response_id) AS stop FROM
+  (SELECT *, coalesce(list_bool_or(list_transform(range(8, least(200, length(tail) // 5) + 1), lambda p: right(tail, (5 * p)::INT) = repeat(right(tail, p::INT), 5))), false) AS looped FROM
+    (SELECT *, right(string_agg(delta, '') OVER (PARTITION BY response_id ORDER BY seq), 800) AS tail FROM chunks))) GROUP BY response_id""", CHUNKS))
+def k2_loop_guard_streamed(spark, sf_dir):
+    d = C.assemble_files(*_arriving(_timed(chunks(spark, sf_dir)), 3))
+    return d.select("response_id", F.md5(F.encode("content", "utf-8")).alias("content"), "finish_reason")
+
+
+@query(twin("SELECT model_key, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(input_tokens / 1e6 * price_in + output_tokens / 1e6 * price_out), 2) AS cost_usd FROM ledger GROUP BY model_key", LEDGER))
+def k4_spend_streamed(spark, sf_dir):
+    """Totals by model as ledger files land."""
+    d = C.spend_of_files(spark, *_arriving(ledger(spark, sf_dir).select("model_key", "input_tokens", "output_tokens", "cost_usd"), 4))
+    return d.select("model_key", "input_tokens", "output_tokens", F.round("cost_usd", 2).alias("cost_usd"))
+

@@ -56,7 +56,12 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     Nulls are empty; a missing list is empty; a missing scalar, a wrong type or text that is no object raises.
     """
     raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
-    d = raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("image_id"), F.try_parse_json("value").alias("v"), F.json_object_keys("value").alias("keys"))
+    return labels_of(raw.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "").alias("image_id"), "value"))
+
+
+def labels_of(raw: DataFrame) -> DataFrame:
+    """read_labels() of records that are a table already: image_id, value (JSON)."""
+    d = raw.select("image_id", F.try_parse_json("value").alias("v"), F.json_object_keys("value").alias("keys"))
     bad = lambda what: F.raise_error(F.concat(F.lit("label "), F.col("image_id"), F.lit(f": {what}")))
     kind = lambda f: F.schema_of_variant(F.try_variant_get("v", f"$.{f}", "variant"))
 
@@ -106,19 +111,30 @@ def read_scored(spark: SparkSession, path: str, schema: str = FIELD_SCORES) -> D
 
 
 def upserted(existing: DataFrame | None, new: DataFrame, keys: list[str], arrival: str | None = None) -> DataFrame:
-    """existing with the rows of new in place of those of the same keys. Among rows of one key the last arrival wins."""
+    """existing with the rows of new in place of those of the same keys. Among rows of one key the last by the arrival
+    column wins; without one, the greatest by its other columns, so that the choice doesn't hang on the partitioning."""
 
     def last(df: DataFrame) -> DataFrame:
-        order = [F.col(arrival).desc()] if arrival else [F.monotonically_increasing_id().desc()]
-        return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
+        order = [F.col(arrival)] if arrival else [F.col(c) for c in df.columns if c not in keys]
+        r = fresh(df, "arrival_rank")
+        return df.withColumn(r, F.row_number().over(Window.partitionBy(*keys).orderBy(*(c.desc_nulls_last() for c in order or [F.lit(0)])))).where(f"{r} = 1").drop(r)
 
     new = last(new)
     return new if existing is None else last(existing.join(new.select(*keys), keys, "left_anti")).unionByName(new, allowMissingColumns=True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def upsert_scored(new: DataFrame, path: str, keys: list[str], partitions: tuple[str, ...] = ("model_key", "condition")) -> None:
     """Upsert into a Parquet table laid out by partitions; only partitions that new rows touch are read and rewritten."""
     spark = new.sparkSession
+    new = stored(spark, new, "arrived")  # it is read several times
     touched = new.select(*partitions).distinct()
     try:
         old = spark.read.parquet(path)
@@ -152,3 +168,19 @@ def save_responses(responses: DataFrame, path: str) -> None:
 
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.mode("overwrite").option("header", True).format(kind).save(path)
+
+
+def write_files(df: DataFrame, path: str) -> None:
+    """A file for each row of df (name, body), written by tasks through Spark's text writer, one partition folder a file
+    name being flattened away: for small sets of files that readers want one by one."""
+    df.select("name", F.col("body").alias("value")).write.partitionBy("name").text(f"{path}.parts")
+    spark = df.sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(f"{path}.parts")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(fs_path(path))
+    for folder in fs.listStatus(root):
+        name = folder.getPath().getName()
+        if name.startswith("name="):
+            for f in fs.listStatus(folder.getPath()):
+                fs.rename(f.getPath(), fs_path(path, name[len("name=") :]))

@@ -1,4 +1,5 @@
-"""Assembly of streamed answers with a loop guard: a batch form and a streaming form with the same results."""
+"""Assembly of streamed answers with a loop guard: a batch form and a streaming form with the same results. Chunks of one
+response have different seq."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scorewright.functions.text import has_loop
-from scorewright.sources.tables import upsert_scored
+from scorewright.sources.tables import scratch, upsert_scored
 
 OUT = "response_id string, content string, finish_reason string, prompt_tokens bigint, output_tokens bigint, n_chunks bigint"
 TAIL = 800
@@ -52,42 +53,82 @@ def assemble(chunks: DataFrame, guard: bool = True) -> DataFrame:
 
 
 class Assembler(StatefulProcessor):
-    """Chunks of one response: those out of order wait in state until their predecessors are there; the text is kept in
-    pieces, the guard looks at a bounded tail, and nothing is taken after a loop."""
+    """Chunks of one response wait in state by their seq; each batch the text is read in seq order over all chunks that
+    are there, as in the batch form: a gap or a first seq other than 0 holds nothing up, and a chunk that comes late takes
+    its place. The guard looks at a bounded tail. With event times, a response whose last chunk the watermark has left
+    behind by idle_ms is dropped from state."""
+
+    def __init__(self, guard: bool, idle_ms: int | None):
+        self.guard, self.idle = guard, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "seq bigint", "delta string, finish_reason string, prompt_tokens bigint, completion_tokens bigint")
-        self.pieces = handle.getListState("pieces", "text string")
-        self.now = handle.getValueState("now", "next bigint, tail string, reason string, prompt bigint, completion bigint, texts bigint, chunks bigint, closed boolean")
+        self.handle = handle
+        self.chunks = handle.getMapState("chunks", "seq bigint", "delta string, finish_reason string, prompt_tokens bigint, completion_tokens bigint")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
-        at, tail, reason, prompt, completion, texts, chunks, closed = self.now.get() if self.now.exists() else (0, "", None, None, None, 0, 0, False)
         none = lambda v: None if v is None or v != v else v
+        latest = 0
         for part in rows:
             for r in part.itertuples():
-                if not closed and r.seq >= at:
-                    self.waiting.updateValue((int(r.seq),), (none(r.delta), none(r.finish_reason), *(int(x) if none(x) is not None else None for x in (r.prompt_tokens, r.completion_tokens))))
-        while not closed and self.waiting.containsKey((at,)):
-            delta, ended, p, c = self.waiting.getValue((at,))
-            self.waiting.removeKey((at,))
-            at, chunks = at + 1, chunks + 1
+                self.chunks.updateValue((int(r.seq),), (none(r.delta), none(r.finish_reason), *(int(x) if none(x) is not None else None for x in (r.prompt_tokens, r.completion_tokens))))
+            latest = max(latest, int(part["ts"].max().timestamp() * 1000)) if self.idle else latest
+        if self.idle:
+            old = list(self.handle.listTimers())
+            for t in old:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(max([*old, latest + self.idle, timer.getCurrentWatermarkInMs() + 1]))
+        tail, reason, prompt, completion, pieces, n = "", None, None, None, [], 0
+        for _, (delta, ended, p, c) in sorted((k[0], v) for k, v in self.chunks.iterator()):
+            n += 1
             reason, prompt, completion = ended or reason, p if p is not None else prompt, c if c is not None else completion
             if delta:
-                self.pieces.appendValue((delta,))
-                tail, texts = (tail + delta)[-TAIL:], texts + 1
-                if _LOOP.search(tail):
-                    reason, closed = "loop_cutoff", True
-        self.now.update((at, tail, reason, prompt, completion, texts, chunks, closed))
-        content = "".join(x[0] for x in self.pieces.get()) if texts else None
-        yield pd.DataFrame({"response_id": [key[0]], "content": [content], "finish_reason": [reason], "prompt_tokens": [prompt], "output_tokens": [completion if completion is not None else texts], "n_chunks": [chunks]})
+                pieces.append(delta)
+                tail = (tail + delta)[-TAIL:]
+                if self.guard and _LOOP.search(tail):
+                    reason = "loop_cutoff"
+                    break
+        yield pd.DataFrame({"response_id": [key[0]], "content": ["".join(pieces) or None], "finish_reason": [reason], "prompt_tokens": [prompt], "output_tokens": [completion if completion is not None else len(pieces)], "n_chunks": [n]})
+
+    def handleExpiredTimer(self, key: Any, timer: Any, expired: Any) -> Iterator[pd.DataFrame]:
+        self.chunks.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
-def assemble_stream(chunks: DataFrame) -> DataFrame:
-    """A streaming DataFrame of each response as far as it has come, seq counting from 0; needs the RocksDB state store."""
-    return chunks.groupBy("response_id").transformWithStateInPandas(Assembler(), OUT, "Update", "None")
+#: Milliseconds of event time after which a silent response is dropped from state, and the watermark's delay.
+IDLE_MS = 600_000
+
+
+def assemble_stream(chunks: DataFrame, guard: bool = True, idle_ms: int = IDLE_MS) -> DataFrame:
+    """A streaming DataFrame of each response as far as it has come, in update mode; needs the RocksDB state store. State
+    expires by the event time ts where chunks have it; without it all responses stay."""
+    timed = "ts" in chunks.columns
+    if timed:
+        chunks = chunks.withWatermark("ts", f"{idle_ms} milliseconds")
+    return chunks.groupBy("response_id").transformWithStateInPandas(Assembler(guard, idle_ms if timed else None), OUT, "Update", "EventTime" if timed else "None")
+
+
+def assemble_files(source: str, schema: str, guard: bool = True, files_at_a_time: int = 1) -> DataFrame:
+    """What assemble_stream() says last of each response, for chunk files (Parquet) that are there; one stream to its end."""
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    path = scratch(spark, "assembled")
+    try:
+        out = assemble_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_a_time).parquet(source), guard)
+        write = lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("append").parquet(path)
+        query = out.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    said = spark.read.parquet(path)
+    last = said.groupBy("response_id").agg(F.max_by(F.struct(*said.columns), "batch").alias("x"))
+    return last.select("x.*").drop("batch")
 
 
 def score_incrementally(responses: DataFrame, score, path: str, checkpoint: str, keys: list[str]):
@@ -98,3 +139,12 @@ def score_incrementally(responses: DataFrame, score, path: str, checkpoint: str,
 def running_spend(ledger: DataFrame) -> DataFrame:
     """Totals by model, for batch and streaming input alike."""
     return ledger.groupBy("model_key").agg(F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"), F.sum("cost_usd").alias("cost_usd"))
+
+
+def spend_of_files(spark, source: str, schema: str) -> DataFrame:
+    """The last totals that a running_spend() stream over ledger files (Parquet) says, in complete mode."""
+    path = scratch(spark, "spend")
+    write = lambda batch, k: batch.write.mode("overwrite").parquet(path)
+    stream = running_spend(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source))
+    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path)
