@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.sources.tables import stored
+from scorewright.sources.tables import fresh, stored
 
 __all__ = ["fresh", "map_slices", "row_key", "slices", "stored", "table", "text_bytes"]
 
@@ -31,14 +31,6 @@ def row_key(*cols: Column | str) -> Column:
     return F.unhex(F.md5(F.encode(F.concat(*parts), "utf-8")))
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def slices(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into slices of few rows and few text bytes; a single longer text is a slice of its own."""
     for b in batches:
