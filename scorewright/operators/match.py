@@ -23,13 +23,13 @@ def close(p: Column, g: Column) -> Column:
     return F.abs(p - g) <= F.greatest(0.05 * F.abs(g), F.lit(0.05))
 
 
-def match_scalars(df: DataFrame, field: str = "field", pred: str = "pred", truth: str = "truth") -> DataFrame:
+def match_scalars(df: DataFrame, field: str = "field", pred: str = "pred", truth: str = "truth", compose: bool = True) -> DataFrame:
     """df with strict, lenient, similarity and diacritic_only of its (field, pred, truth) rows.
 
     Weights with close numbers and no unit against them, and equal dates, match in full; else the text decides. Texts
-    are compared in composed form.
+    are compared in composed form; with compose = False they are taken to be in it.
     """
-    d = composed(df, pred, truth, to=("_cp", "_cg"))
+    d = composed(df, pred, truth, to=("_cp", "_cg")) if compose else df.withColumns({"_cp": F.col(pred), "_cg": F.col(truth)})
     d = d.withColumns({"_p": normalize_text("_cp"), "_g": normalize_text("_cg"), "_pn": number_unit("_cp"), "_gn": number_unit("_cg")})
     units = F.col("_pn.unit").isNull() | F.col("_gn.unit").isNull() | (F.col("_pn.unit") == F.col("_gn.unit"))
     weight = (F.col(field) == "net_weight") & close(F.col("_pn.number"), F.col("_gn.number")) & units
@@ -77,10 +77,10 @@ def _ratios(p: Column, t: Column) -> Column:
     return pair_ratios(F.when(other, p), F.when(other, t))
 
 
-def match_lists(df: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", threshold: float = LIST) -> DataFrame:
+def match_lists(df: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", threshold: float = LIST, compose: bool = True) -> DataFrame:
     """One row per record: keys, n_pred, n_truth, tp, extra_pred, extra_truth, precision, recall, f1, from its own row."""
     d = df.select(*keys, F.coalesce(pred, F.array().cast("array<string>")).alias("pred"), F.coalesce(truth, F.array().cast("array<string>")).alias("truth"))
-    d = composed(d, "pred", "truth")
+    d = composed(d, "pred", "truth") if compose else d
     ready = lambda c: F.transform(c, lambda x: sorted_tokens(normalize_text(x)))
     d = d.withColumns({"_p": ready("pred"), "_t": ready("truth"), "n_pred": F.size("pred"), "n_truth": F.size("truth")})
     d = d.withColumn("_sims", _ratios(F.col("_p"), F.col("_t")))
@@ -104,13 +104,14 @@ def value_matches(pred: Column | str, truth: Column | str) -> Column:
     return let(F.struct(side(pred).alias("p"), side(truth).alias("g")), lambda x: _fits(x["p"], x["g"]))
 
 
-def match_nutrition(df: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", threshold: float = NAME) -> DataFrame:
+def match_nutrition(df: DataFrame, keys: list[str], pred: str = "pred", truth: str = "truth", threshold: float = NAME, compose: bool = True) -> DataFrame:
     """One row per record: keys, n_pred, n_truth, n_matched, n_correct, n_pairing_errors and the accuracies.
 
     pred and truth are arrays of (name, value). A wrong value that fits another true row is a pairing error.
     """
     none = F.array().cast("array<struct<name:string,value:string>>")
-    d = composed(df.select(*keys, F.coalesce(pred, none).alias("pred"), F.coalesce(truth, none).alias("truth")), "pred", "truth")
+    d = df.select(*keys, F.coalesce(pred, none).alias("pred"), F.coalesce(truth, none).alias("truth"))
+    d = composed(d, "pred", "truth") if compose else d
 
     def item(e: Column) -> Column:
         return F.struct(canonical_nutrient(e["name"]).alias("name"), sorted_tokens(normalize_text(e["name"])).alias("tokens"), number_unit(e["value"]).alias("nu"), normalize_text(e["value"]).alias("text"))

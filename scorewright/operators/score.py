@@ -71,13 +71,13 @@ def score_records(answers: DataFrame, truth: DataFrame) -> DataFrame:
 
     d = d.select(*KEYS, *FLAGS, F.inline(F.array(*map(row, FIELDS))))
     # A row has values for one matcher alone; the others see nulls.
-    d = match_scalars(d)
+    d = match_scalars(d, compose=False)
     said = lambda c: F.coalesce(F.col(c), list_text(f"{c}_list"), nutrition_text(f"{c}_pairs"), F.lit(""))
     keep = [*KEYS, "field", "field_type", *FLAGS, "strict", "lenient", "similarity", "diacritic_only", "scalar_pred", "scalar_truth", "pred_value", "gt_value"]
     d = d.withColumns({"pred_value": said("pred"), "gt_value": said("truth")}).withColumnsRenamed({"pred": "scalar_pred", "truth": "scalar_truth"})
-    d = match_lists(d, [*keep, "pred_pairs", "truth_pairs"], "pred_list", "truth_list").withColumnsRenamed({"n_pred": "list_pred", "n_truth": "list_truth", "precision": "list_precision", "recall": "list_recall", "f1": "list_f1"})
+    d = match_lists(d, [*keep, "pred_pairs", "truth_pairs"], "pred_list", "truth_list", compose=False).withColumnsRenamed({"n_pred": "list_pred", "n_truth": "list_truth", "precision": "list_precision", "recall": "list_recall", "f1": "list_f1"})
     lists = ["list_pred", "list_truth", "list_precision", "list_recall", "list_f1"]
-    d = match_nutrition(d, [*keep, *lists], "pred_pairs", "truth_pairs")
+    d = match_nutrition(d, [*keep, *lists], "pred_pairs", "truth_pairs", compose=False)
     is_ = lambda k: F.col("field_type") == k
     by = lambda s, l, n: F.when(is_("scalar"), s).when(is_("list"), l).otherwise(n)
     hit = F.col("lenient").cast("double")
