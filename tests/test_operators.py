@@ -123,12 +123,13 @@ CHUNK = "response_id string, seq bigint, delta string, finish_reason string, pro
 
 def chunk_rows():
     loop = [("loop", k, "say it again, ", None, 5, None) for k in range(8)]
-    return [("one", 1, "b", "stop", 3, 9), ("one", 0, "a", None, 3, None), ("none", 0, None, "stop", 1, None), *loop]
+    return [("one", 1, "b", "stop", 3, 9), ("one", 0, "a", None, 3, None), ("none", 0, None, "stop", 1, None), ("gap", 7, "late", "stop", 4, None), ("gap", 3, "first ", None, 4, None), *loop]
 
 
 def test_assembly(spark):
     got = {r["response_id"]: tuple(r)[1:] for r in chunks.assemble(spark.createDataFrame(chunk_rows(), CHUNK)).collect()}
     assert got["one"] == ("ab", "stop", 3, 9, 2) and got["none"] == (None, "stop", 1, 0, 1)
+    assert got["gap"] == ("first late", "stop", 4, 2, 2)
     assert got["loop"] == ("say it again, " * 5, "loop_cutoff", 5, 5, 5)
 
 
