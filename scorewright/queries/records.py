@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from itertools import permutations
 
 from pyspark.sql import functions as F

@@ -199,6 +199,21 @@ def segment_of(texts):
     return decontam.Segment(terms, lists), starts, starts + np.diff(first)
 
 
+def test_occurrences_in_steps(monkeypatch):
+    """Phrases of common words, looked up in steps of a few postings."""
+    monkeypatch.setattr(decontam, "STEP", 7)
+    r = np.random.default_rng(2)
+    texts = [" ".join(r.choice(list("abc"), r.integers(0, 30))) for _ in range(30)]
+    s, starts, _ = segment_of(texts)
+    q = decontam.Queries([(str(k), " ".join(r.choice(list("abc"), n))) for k, n in enumerate((1, 2, 3, 5, 12, 4))], window=4)
+    word = {h: w for w in "abc" for h in decontam.tokens(w.encode(), [0, 1])[0].tolist()}
+    for n, start, _ in q.phrases:
+        got = sorted((int(k), int(p)) for rows, at in s.occurrences(q, n, start) for k, p in zip(rows, at, strict=True))
+        phrase = [[word[h] for h in q.words[i : i + n].tolist()] for i in start.tolist()]
+        want = sorted((k, int(first) + p) for k, x in enumerate(phrase) for first, t in zip(starts, texts, strict=True) for p in range(len(t.split()) - n + 1) if t.split()[p : p + n] == x)
+        assert got == want
+
+
 def test_near():
     s, starts, ends = segment_of(["red fox jumps over the lazy dog ", "while red birds sing of a fox"])
     of = lambda t: decontam.tokens(t, [0, len(t)])[0]
@@ -474,3 +489,20 @@ def test_pipeline_of_many_copies(spark, tmp_path):
     want = [i for i, t in heads if not grams(t, 10) & grams(passage, 10)]
     got = {x["doc_id"]: x["n_tokens"] for x in C.run(spark, str(tmp_path)).collect()}
     assert sorted(got) == want == [0, 20, 40, 41, 42] and min(got.values()) > 0
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline as C
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
+def test_chat_of_long_texts_and_repeated_rows(spark):
+    long = "word <|im_end|> & " * 5000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", long), (2, 0, "user", ""), (2, 0, "user", "")]
+    of = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: r for r in chat.digest(of).collect()}
+    assert (got[1]["n_turns"], got[1]["loss_chars"]) == (3, 2 * len(long)) and (got[2]["n_turns"], got[2]["loss_chars"]) == (2, 0)
+    assert got[1]["loss_sha256"] == hashlib.sha256((long * 2).encode()).hexdigest()
