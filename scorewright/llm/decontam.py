@@ -33,8 +33,8 @@ WINDOW = 10
 BLOCK_BYTES = 4 << 20
 #: Words of a proximity match, as a multiple of the item's words.
 SLACK = 2
-#: Phrases that are looked up at a time.
-PHRASES = 20_000
+#: Postings that are looked at in one step.
+STEP = 200_000
 #: Positions between two documents of a segment.
 GAP = 1
 
@@ -94,19 +94,25 @@ class Segment:
         number, count = self.number(q.words)
         missing = np.concatenate([[0], np.cumsum(count == 0)])
         possible = np.flatnonzero(missing[start + n] == missing[start])
-        for k in range(0, len(possible), PHRASES):
-            rows = possible[k : k + PHRASES]
-            place = start[rows][:, None] + np.arange(n)
-            order = np.argsort(count[place], axis=1, kind="stable")
-            lead = order[:, 0]
-            word = start[rows] + lead
+        # Leads: the rarest word of each phrase. A step takes as many phrases as have about STEP postings in all.
+        lead = np.zeros(len(possible), np.int64)
+        least = count[start[possible]]
+        for k in range(1, n):
+            rarer = count[start[possible] + k] < least
+            lead[rarer], least = k, np.minimum(least, count[start[possible] + k])
+        cuts = np.unique(np.concatenate([np.searchsorted(np.cumsum(least), np.arange(STEP, least.sum() + STEP, STEP)) + 1, [len(possible)]]))
+        for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+            rows, off = possible[a:b], lead[a:b]
+            if not len(rows):
+                continue
+            order = np.argsort(count[start[rows][:, None] + np.arange(n)], axis=1, kind="stable")
+            word = start[rows] + off
             size = count[word]
             row = np.repeat(np.arange(len(rows)), size)
-            nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-            at = self.positions[self.start[number[word]][row] + nth] - lead[row]
+            at = self.positions[np.repeat(self.start[number[word]] - (np.cumsum(size) - size), size) + np.arange(size.sum())] - off[row]
             for step in range(1, n):
-                off = order[row, step]
-                ok = self.listed(number[start[rows][row] + off], at + off)
+                other = order[row, step]
+                ok = self.listed(number[start[rows][row] + other], at + other)
                 row, at = row[ok], at[ok]
             yield rows[row], at
 
