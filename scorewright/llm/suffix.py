@@ -5,17 +5,20 @@ equals; equal strings choose the same gram at the same place. So suffixes need t
 
 1. Chosen grams, as hashes in sorted blocks by hash range, are counted by tasks; those that two documents hold set bits in
    a map of fixed size. The map only saves work: a bit set in vain costs a comparison.
-2. The strings that chose one gram lie in a row and make a record: the bytes that they cover. Records with known grams are
-   stored, equal bytes of a task once, with their least document: these are the suffixes to sort, each with its context.
-3. They are range-partitioned by their leading tokens, the gram and then all their bytes, at splitters that Spark samples,
-   so that a gram with very many records is cut too. Each partition is sorted by three-way multikey quicksort on words of
-   eight bytes. Runs of equal grams are expanded to their strings, which are sorted likewise; the least document of a run
-   of equal strings keeps it. All of this compares bytes.
+2. The strings that chose one gram lie in a row and make a record: the bytes that they cover. Records with known grams
+   get names of 64 bits. A gram all of whose records have one name (128 bits with the gram's own hash) is the same record
+   everywhere, and its least document keeps it: thousands of copies are one row here. Tasks make a gram with several names
+   one row too, so that a hot gram is a row a task.
+3. The other records are stored, equal bytes of a task once, with their least document: these are the suffixes to sort,
+   each with its context. They are range-partitioned by their leading tokens, the gram and then all their bytes, at
+   splitters that Spark samples, so that a gram with very many records is cut too. Each partition is sorted by three-way
+   multikey quicksort on words of eight bytes. Runs of equal grams are expanded to their strings, which are sorted
+   likewise; the least document of a run of equal strings keeps it. All of this compares bytes.
 4. The first and last gram of a partition can go on in the next. What its records keep so far is compared across
    boundaries: these strings are range-partitioned by all their bytes and sorted again.
 5. Only keepers are told: a row for each record that its least document keeps, with a bit for each string. A document
    then removes each byte of every string in a known record that it isn't told to keep. Within one document its records
-   are told apart by 64 bits.
+   are told apart by their names.
 
 Ids are integers (others are a TypeError); a null id counts as the largest. Equal ids are one document here: they don't
 remove each other's strings. Null and empty texts, and texts shorter than `length`, lose nothing. Only the named columns
@@ -33,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.llm.common import stored, text_bytes
+from scorewright.llm.graph import bitmap, may
 from scorewright.llm.words import mixed
 
 LENGTH = 50
@@ -50,7 +54,9 @@ _POWER = np.cumprod(np.full(SLICE + 256, _C, np.uint64), dtype=np.uint64)
 _UNPOWER = np.cumprod(np.full(SLICE + 256, pow(_C, -1, 1 << 64), np.uint64), dtype=np.uint64)
 #: Records, and hashes of grams, that a task gathers before it passes them on, so that copies within it are one row.
 GATHER = 150_000
-HASHES = 2_000_000
+HASHES = 1_000_000
+#: Strings that are sorted at a time, about.
+STRINGS = 100_000
 #: Rows that the quicksort leaves to a plain sort.
 LEAF = 1024
 
@@ -182,12 +188,17 @@ def keepers(contents: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.nda
     order, run = multikey_order(_padded(np.lib.stride_tricks.sliding_window_view(flat, GRAM)[at + 1 + off]))
     edge = np.zeros(n, bool)
     edge[order] = (run == 0) | (run == run[-1])
-    several = order[np.bincount(run)[run] > 1]
-    if len(several):
-        row = np.repeat(several, count[several])
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(count[several]) - count[several], count[several])
+    many = np.bincount(run)[run] > 1
+    several, of = order[many], run[many]
+    # Equal strings have equal grams, so whole runs of grams are expanded a few at a time.
+    step = np.cumsum(count[several]) // STRINGS
+    step = step[np.searchsorted(of, of)] if len(of) else step
+    for k in np.unique(step).tolist():
+        some = several[step == k]
+        row = np.repeat(some, count[some])
+        nth = np.arange(len(row)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
         mine = _least(_padded(np.lib.stride_tricks.sliding_window_view(flat, LENGTH)[at[row] + 1 + nth]), docs[row])
-        masks[several] = 0
+        masks[some] = 0
         np.bitwise_or.at(masks, row, mine.astype(np.int64) << nth)
     return masks, edge
 
@@ -265,6 +276,31 @@ def keeps(docs: DataFrame, sent) -> DataFrame:
     """doc, told (array of struct name, mask): the records of which a document keeps strings. sent: broadcast shared_grams()."""
     spark = docs.sparkSession
 
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            gram, name, doc = (np.concatenate(x) for x in zip(*held, strict=True)) if held else [np.zeros(0, np.int64)] * 3
+            held.clear()
+            order = np.argsort(gram, kind="stable")
+            gram, name, doc = gram[order], name[order], doc[order]
+            new = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)])
+            of = [f.reduceat(x, new) if len(new) else x for f, x in ((np.minimum, name), (np.maximum, name), (np.minimum, doc))]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (gram[new], *of)], ["gram", "lo", "hi", "doc"])
+
+        for part, body, offsets in _slices(batches):
+            r = Records(body, offsets)
+            k = np.flatnonzero(_known(sent.value, r.hash))
+            name = _names(np.frombuffer(body, np.uint8), r.first[k], r.last[k] + LENGTH, r.place[k] - r.first[k])
+            held.append((r.hash.view(np.int64)[k], name, part.column(0).to_numpy(zero_copy_only=False)[r.doc[k]]))
+            if sum(len(x[0]) for x in held) >= 2 * GATHER:
+                yield flush()
+        yield flush()
+
+    grams = docs.mapInArrow(named, "gram long, lo long, hi long, doc long").groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("doc").alias("doc"))
+    grams = stored(spark, grams.select("gram", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("name"), F.when(F.col("lo") == F.col("hi"), F.col("doc")).alias("doc")), "grams")
+    several = spark.sparkContext.broadcast(bitmap(grams.where("name is null"), F.col("gram")))
+
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[bytes, int] = {}
 
@@ -276,7 +312,7 @@ def keeps(docs: DataFrame, sent) -> DataFrame:
         for part, body, offsets in _slices(batches):
             ids = part.column(0).to_pylist()
             r = Records(body, offsets)
-            k = np.flatnonzero(_known(sent.value, r.hash))
+            k = np.flatnonzero(_known(sent.value, r.hash) & may(several.value, r.hash.view(np.int64)))
             for first, end, off, doc in zip(r.first[k].tolist(), (r.last[k] + LENGTH).tolist(), (r.place[k] - r.first[k]).tolist(), r.doc[k].tolist(), strict=True):
                 content, d = _PLACE[off] + body[first:end], ids[doc]
                 if d < least.get(content, NO_ID + 1):
@@ -325,7 +361,8 @@ def keeps(docs: DataFrame, sent) -> DataFrame:
     edges = found.where("string is not null")
     edges = edges.repartitionByRange(_parts(edges.agg(F.sum(F.length("string") + 24)).first()[0]), "string").mapInArrow(across, "doc long, name long, mask long")
     joined = edges.groupBy("doc", "name").agg(F.bit_or("mask").alias("mask"))
-    return found.where("string is null").select("doc", "name", "mask").unionByName(joined).groupBy("doc").agg(F.collect_list(F.struct("name", "mask")).alias("told"))
+    alone = grams.where("name is not null").select("doc", "name", F.lit(-1).cast("long").alias("mask"))
+    return alone.unionByName(found.where("string is null").select("doc", "name", "mask")).unionByName(joined).groupBy("doc").agg(F.collect_list(F.struct("name", "mask")).alias("told"))
 
 
 _PLACE = [bytes([k]) for k in range(SPAN)]
