@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import bpe, chat, decontam, jaccard, langid, linededup, quality, secrets, simhash, suffix, toxicity, trie
+from scorewright.llm import bpe, chat, decontam, jaccard, langid, linededup, negatives, quality, secrets, simhash, suffix, toxicity, trie
 from scorewright.llm.common import table
 
 
@@ -87,6 +87,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(trie.rebuilt(trie.conversations(table(spark, sf_dir, "conversations"))))
 
@@ -96,9 +102,9 @@ def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    all_of = (op1_bpe_codec, op2_quality_rules, op2_ledger, op2_ablation, op3_line_dedup, op4_decontamination, op4_proximity, op5_language_id, op6_ngram_jaccard_join, op7_chat_format, op8_secret_scan, op9_suffix_dedup, op10_toxicity, op12_prefix_trie, op13_simhash)
+    all_of = (op1_bpe_codec, op2_quality_rules, op2_ledger, op2_ablation, op3_line_dedup, op4_decontamination, op4_proximity, op5_language_id, op6_ngram_jaccard_join, op7_chat_format, op8_secret_scan, op9_suffix_dedup, op10_toxicity, op11_hard_negatives, op12_prefix_trie, op13_simhash)
     return {f.__name__: f for f in all_of}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality.ORACLE_SQL, "op2_ledger": quality.LEDGER_SQL, "op2_ablation": quality.ABLATION_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op7_chat_format": chat.ORACLE_SQL, "op12_prefix_trie": trie.ORACLE_SQL}
+    return {"op2_quality_rules": quality.ORACLE_SQL, "op2_ledger": quality.LEDGER_SQL, "op2_ablation": quality.ABLATION_SQL, "op4_decontamination": decontam.ORACLE_SQL, "op7_chat_format": chat.ORACLE_SQL, "op11_hard_negatives": negatives.ORACLE_SQL, "op12_prefix_trie": trie.ORACLE_SQL}
