@@ -9,7 +9,7 @@ from scorewright.operators.score import FIELDS as S9
 from scorewright.plans.bridges import ANSWERS, LEDGER, RESPONSES, rows, twin
 from scorewright.queries.records import BASE, ERRORS, SCORED, _duck, _spark, truth
 from scorewright.queries.registry import query
-from scorewright.sources import tables
+from scorewright.sources import tables, versioned
 
 ITEMS = "items AS (SELECT lpad(CAST(p_partkey AS string), 6, '0') AS image_id, p_partkey FROM part)"
 MODELS = "models AS (SELECT lower(replace(r_name, ' ', '-')) AS key, concat('vendor/', lower(replace(r_name, ' ', '-'))) AS slug, r_regionkey FROM region)"
@@ -272,6 +272,23 @@ def a9_upsert_last_wins(spark, sf_dir):
     return tables.upserted(d.select(*cols, "v", F.lit(0).alias("at")), new.select(*cols, "v", "at"), cols, arrival="at").drop("at")
 
 
+VERSIONED = """first AS (SELECT image_id, CASE WHEN model_key <> 'm2' THEN model_key END AS model_key, CASE WHEN p_partkey % 6 > 0 THEN condition END AS condition, v, p_partkey FROM answers)"""
+
+
+@query(twin("SELECT image_id, model_key, condition, CASE WHEN model_key IS NULL AND p_partkey % 4 = 0 THEN v + 300 WHEN p_partkey % 2 = 0 THEN v + 200 ELSE v END AS v, CASE WHEN model_key IS NULL AND p_partkey % 4 = 0 THEN 3 WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS wrote FROM first UNION ALL SELECT image_id, 'm9', condition, v + 300, 3 FROM first WHERE model_key = 'm0' AND p_partkey % 4 = 0", ANSWERS, VERSIONED))
+def a9_versioned_upsert(spark, sf_dir):
+    """Three writes to one path, read back: null models and conditions, keys that come twice in a batch, new partitions."""
+    d = rows(spark, sf_dir, "first", ANSWERS, VERSIONED)
+    path, keys = tables.scratch(spark, "versioned"), ["image_id", "model_key", "condition"]
+    write = lambda x, add, n: x.select(*keys, (F.col("v") + add).alias("v"), F.lit(n).alias("wrote"))
+    versioned.upsert(write(d, 0, 1), path, keys)
+    some = d.where("p_partkey % 2 = 0")
+    versioned.upsert(write(some, 900, 9).withColumn("at", F.lit(1)).unionByName(write(some, 200, 2).withColumn("at", F.lit(2))), path, keys, arrival="at")
+    some = d.where("p_partkey % 4 = 0")
+    versioned.upsert(write(some.where("model_key IS NULL").unionByName(some.where("model_key = 'm0'").withColumn("model_key", F.lit("m9"))), 300, 3), path, keys)
+    return versioned.read(spark, path).select(*keys, "v", "wrote")
+
+
 @query(twin("SELECT image_id, model_key, content FROM done", ANSWERS, RESPONSES, CACHED, DONE))
 def a11_save_responses(spark, sf_dir):
     """Answers saved by tier and model and read back; failures are not among them."""

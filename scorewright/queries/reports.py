@@ -293,6 +293,7 @@ def k2_loop_guard(spark, sf_dir):
 def k3_score_incrementally(spark, sf_dir):
     """Answers that arrive in files are scored by a stream and upserted; failed ones come a second time and stay out."""
     from scorewright.operators.parse import parse
+    from scorewright.sources import versioned
     from scorewright.sources.tables import scratch
 
     d = rows(spark, sf_dir, "responses", ANSWERS, RESPONSES).select("image_id", "model_key", "condition", "content", "error")
@@ -302,7 +303,7 @@ def k3_score_incrementally(spark, sf_dir):
     score = lambda batch: parse(batch.where("error IS NULL")).select(*keys, (F.col("content").isNotNull() & ~F.col("parse_failed")).alias("json_valid"))
     stream = spark.readStream.schema(d.schema).parquet(source)
     C.score_incrementally(stream, score, path, scratch(spark, "progress"), keys).awaitTermination()
-    return spark.read.parquet(path).select(*keys, "json_valid")
+    return versioned.read(spark, path).select(*keys, "json_valid")
 
 
 @query(twin("SELECT model_key, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(input_tokens / 1e6 * price_in + output_tokens / 1e6 * price_out), 4) AS cost_usd FROM ledger GROUP BY model_key", LEDGER))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -131,24 +132,29 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def upsert_scored(new: DataFrame, path: str, keys: list[str], partitions: tuple[str, ...] = ("model_key", "condition")) -> None:
-    """Upsert into a Parquet table laid out by partitions; only partitions that new rows touch are read and rewritten."""
+def upsert_scored(new: DataFrame, path: str, keys: list[str], partitions: tuple[str, ...] = ("model_key", "condition"), arrival: str | None = None) -> None:
+    """Upsert into a plain Parquet table laid out by partitions, null ones too; only partitions that new rows touch are read
+    and rewritten. Of new rows of one key the last by the arrival column stays, without one the last in the order of the
+    DataFrame. A write that dies midway can lose a partition; versioned.upsert() can't."""
     spark = new.sparkSession
-    new = stored(spark, new, "arrived")  # it is read several times
-    touched = new.select(*partitions).distinct()
+    place = arrival or fresh(new, "arrival_place")
+    new = stored(spark, new if arrival else new.withColumn(place, F.monotonically_increasing_id()), "arrived")  # it is read several times
+    new = new.withColumn(fresh(new, "r_"), F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last(place))))
+    new = new.where(F.col(new.columns[-1]) == 1).drop(new.columns[-1], *([] if arrival else [place]))
     try:
         old = spark.read.parquet(path)
     except Exception as e:  # the first write
         if "PATH_NOT_FOUND" not in str(e):
             raise
         old = None
-    if old is not None:
-        old = old.withColumns({p: F.col(p).cast(new.schema[p].dataType) for p in partitions}).join(F.broadcast(touched) if touched.limit(10_001).count() <= 10_000 else touched, list(partitions), "left_semi")
-    merged = upserted(old, new, keys)
-    if old is not None:  # what is read is about to be overwritten
-        copy = scratch(spark, "upsert")
-        merged.write.parquet(copy)
-        merged = spark.read.schema(merged.schema).parquet(copy)
+    if old is None:
+        return new.write.partitionBy(*partitions).parquet(path)
+    old = old.withColumns({p: F.col(p).cast(new.schema[p].dataType) for p in partitions})
+    same = lambda cols, right: reduce(lambda a, b: a & b, (old[c].eqNullSafe(right[c]) for c in cols))
+    touched = new.select(*partitions).distinct()
+    old = old.join(F.broadcast(touched) if touched.limit(10_001).count() <= 10_000 else touched, same(partitions, touched), "left_semi")
+    merged = old.join(new, same(keys, new), "left_anti").unionByName(new, allowMissingColumns=True)
+    merged = stored(spark, merged, "upsert")  # what is read is about to be overwritten
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 

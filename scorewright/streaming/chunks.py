@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from scorewright.functions.text import has_loop
-from scorewright.sources.tables import scratch, upsert_scored
+from scorewright.sources import versioned
+from scorewright.sources.tables import scratch
 
 OUT = "response_id string, content string, finish_reason string, prompt_tokens bigint, output_tokens bigint, n_chunks bigint"
 TAIL = 800
@@ -132,8 +133,9 @@ def assemble_files(source: str, schema: str, guard: bool = True, files_at_a_time
 
 
 def score_incrementally(responses: DataFrame, score, path: str, checkpoint: str, keys: list[str]):
-    """A query that scores new response files as they come and upserts the scores; failed answers simply come again."""
-    return responses.writeStream.foreachBatch(lambda batch, _: upsert_scored(score(batch), path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """A query that scores new response files as they come and upserts the scores into a versioned table, a version a batch;
+    failed answers simply come again. A batch that is run again after a crash puts the same rows in place once more."""
+    return responses.writeStream.foreachBatch(lambda batch, _: versioned.upsert(score(batch), path, keys)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_spend(ledger: DataFrame) -> DataFrame:
