@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import erfc, factorial, sqrt
+from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from scorewright.functions.columns import once
+from scorewright.functions.special import chi2_tail
 from scorewright.functions.text import condition_parts
 
 FIELDS = ("product_name", "ingredient", "additive", "warning", "nutrition", "origin", "net_weight", "mfg_date", "expiry_date")
@@ -220,13 +220,6 @@ def mcnemar_table(binaries: DataFrame, strata: list[str], id_col: str = "image_i
     return d.groupBy(*strata, "group_a", "group_b").agg(F.count("*").alias("n"), n(1, 0).alias("a_only"), n(0, 1).alias("b_only"), n(1, 1).alias("both_correct"), n(0, 0).alias("both_wrong"))
 
 
-@once
-@F.pandas_udf(DoubleType())
-def _tail(x: pd.Series) -> pd.Series:
-    """Survival function of chi-square with one degree of freedom; null for null."""
-    return x.map(lambda v: None if v is None or v != v else erfc(sqrt(v / 2))).astype("float64")
-
-
 def mcnemar_test(table: DataFrame) -> DataFrame:
     """table with exact (fewer than 25 discordant pairs), statistic and p_value."""
     b, c = F.col("a_only"), F.col("b_only")
@@ -238,8 +231,7 @@ def mcnemar_test(table: DataFrame) -> DataFrame:
     below = F.aggregate(steps, first, term, lambda acc: acc["s"])
     chi = F.pow(F.abs(b - c) - 1, 2) / F.when(~exact, b + c)
     d = table.withColumn("exact", exact).withColumn("statistic", F.when(exact, low.cast("double")).otherwise(chi))
-    d = d.withColumn("_p", _tail(F.when(~exact, F.col("statistic"))))
-    return d.withColumn("p_value", F.when(exact, F.least(F.lit(1.0), 2 * below)).otherwise(F.col("_p"))).drop("_p")
+    return d.withColumn("p_value", F.when(exact, F.least(F.lit(1.0), 2 * below)).otherwise(chi2_tail(F.col("statistic"))))
 
 
 def holm(tests: DataFrame, strata: list[str], p: str = "p_value", tie: tuple[str, ...] = ("group_a", "group_b"), alpha: float = 0.05) -> DataFrame:

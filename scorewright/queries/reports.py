@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scorewright.functions.special import erfc_sql
 from scorewright.functions.text import cost_usd
 from scorewright.operators import report as P
+from scorewright.operators import resample as B
 from scorewright.operators import taxonomy as X
 from scorewright.plans.bridges import ANSWERS, GT, LEDGER, NUTRITION, RESPONSES, SCORES, rows, twin
 from scorewright.plans.selection import unlabelled
@@ -143,7 +145,21 @@ def h1_bootstrap_ci(spark, sf_dir):
 
 @query()
 def h2_bootstrap_draws(spark, sf_dir):
-    return P.bootstrap_draws(rows(spark, sf_dir, "scores", SCORES), ["model_key", "condition"], "image_id", "score", resamples=10_000)
+    return B.bootstrap_parity(rows(spark, sf_dir, "scores", SCORES), ["model_key", "condition"], "image_id", "score", resamples=10_000)
+
+
+@query(twin("SELECT s.model_key, s.condition, n, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM sizes s JOIN ci c ON s.model_key = c.model_key AND s.condition = c.condition", *SCORED, B.histogram_sql("image_scores", "model_key, condition", "macro_field_f1")))
+def h1_histogram_bootstrap(spark, sf_dir):
+    """10,000 resamples, drawn for each distinct value of a group instead of each row."""
+    d = B.histogram_bootstrap(Q.image_scores(spark, sf_dir), ["model_key", "condition"], "macro_field_f1")
+    return d.select("model_key", "condition", "n", R("mean").alias("mean"), R("lo").alias("lo"), R("hi").alias("hi"))
+
+
+@query(twin("SELECT s.model_key, rank() OVER (ORDER BY round(mean, 9) DESC)::INT AS place, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM sizes s JOIN ci c ON s.model_key = c.model_key", *SCORED, B.histogram_sql("image_scores", "model_key", "macro_field_f1")))
+def g9_leaderboard_ranked(spark, sf_dir):
+    """Models by their mean with an interval of 10,000 resamples."""
+    d = B.ranked_intervals(Q.image_scores(spark, sf_dir))
+    return d.select("model_key", "place", R("mean").alias("mean"), R("lo").alias("lo"), R("hi").alias("hi"))
 
 
 MCNEMAR = """tab AS (SELECT a.field, a.model_key AS group_a, b.model_key AS group_b, count(*) AS n, count(*) FILTER (WHERE a.correct = 1 AND b.correct = 0) AS a_only, count(*) FILTER (WHERE a.correct = 0 AND b.correct = 1) AS b_only,
@@ -175,12 +191,42 @@ def h5_holm(spark, sf_dir):
     return P.holm(tests, ["field"]).select("field", "group_a", "group_b", R("p_holm").alias("p_holm"), "significant")
 
 
+def _all(tab: str) -> str:
+    """Every test of a table of pairs: exact under 25 discordant pairs, else by the tail of chi-square."""
+    return f"""tests AS (SELECT field, group_a, group_b, a_only, b_only, a_only + b_only < 25 AS exact, CASE WHEN a_only + b_only < 25 THEN least(1.0, 2 * {BINOMIAL}) ELSE {erfc_sql("r")} END AS p
+  FROM (SELECT *, a_only + b_only AS m, sqrt(power(abs(a_only - b_only) - 1, 2) / greatest(a_only + b_only, 1) / 2.0) AS r FROM {tab})),
+holm AS (SELECT *, max(q) OVER (PARTITION BY field ORDER BY k) AS p_holm FROM (SELECT *, least(1.0, (count(*) OVER (PARTITION BY field) - k + 1) * round(p, 12)) AS q FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY round(p, 12), group_a, group_b) AS k FROM tests)))"""
+
+
+def _stepped(tests):
+    return P.holm(tests.withColumn("p_value", F.round("p_value", 12)), ["field"])
+
+
+@query(twin("SELECT field, group_a, group_b, exact, round(p, 9) AS p_value FROM tests", SCORES, CORRECT, MCNEMAR, _all("tab")))
+def h4_mcnemar_all(spark, sf_dir):
+    """Every pair of models in every stratum, whatever the number of discordant pairs."""
+    return P.mcnemar_test(tested(spark, sf_dir)).select("field", "group_a", "group_b", "exact", F.round("p_value", 9).alias("p_value"))
+
+
+@query(twin("SELECT field, group_a, group_b, exact, round(p_holm, 9) AS p_holm, p_holm < 0.05 AS significant FROM holm", SCORES, CORRECT, MCNEMAR, _all("tab")))
+def h5_holm_all(spark, sf_dir):
+    return _stepped(P.mcnemar_test(tested(spark, sf_dir))).select("field", "group_a", "group_b", "exact", F.round("p_holm", 9).alias("p_holm"), "significant")
+
+
 @query()
 def h8_holm_all(spark, sf_dir):
     """Stepped down over every test of a stratum, exact or not; the twins of h4 and h5 hold exact tests only."""
     return P.holm(P.mcnemar_test(tested(spark, sf_dir)), ["field"]).select("field", "group_a", "group_b", "exact", "p_value", "p_holm", "significant")
 
 
+@query(twin("SELECT field, group_a, group_b, a_only, b_only, exact, round(p, 9) AS p_value, round(p_holm, 9) AS p_holm, p_holm < 0.05 AS significant FROM holm", *SCORED, "paired AS (SELECT image_id, model_key, field, (f1 >= 0.999)::INT AS correct FROM field_scores)", MCNEMAR, _all("tab")))
+def h6_mcnemar_of_fields(spark, sf_dir):
+    """Exact matches of each field between models, all tests of a field stepped down together."""
+    binary = Q.field_scores(spark, sf_dir).select("image_id", "model_key", "field", P.exact("f1").alias("correct"))
+    d = _stepped(P.mcnemar_test(P.mcnemar_table(binary, ["field"])))
+    return d.select("field", "group_a", "group_b", "a_only", "b_only", "exact", F.round("p_value", 9).alias("p_value"), F.round("p_holm", 9).alias("p_holm"), "significant")
+
+
 @query()
 def h6_mcnemar_by_field(spark, sf_dir):
     """Per field: exact matches of the scored tables, paired tests between models, stepped down within the field."""
