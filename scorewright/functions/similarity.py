@@ -5,12 +5,12 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from scorewright.functions.columns import let, once
-from scorewright.functions.text import canonical_nutrient, normalize_text
+from scorewright.functions.text import canonical_nutrient, compose, normalize_text
 
 
 def sorted_tokens(normalized: Column) -> Column:
@@ -56,12 +56,16 @@ def pair_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def token_sort_ratio(a: Column | str, b: Column | str) -> Column:
-    """Similarity 0 to 100 of two raw texts; two empty texts have 100."""
+    """Similarity 0 to 100 of two raw texts in any Unicode form; two empty texts have 100."""
+    return _of_composed(compose(a), compose(b))
+
+
+def _of_composed(a: Column, b: Column) -> Column:
     return ratio(sorted_tokens(normalize_text(a)), sorted_tokens(normalize_text(b)))
 
 
 def native_token_sort_ratio(a: Column | str, b: Column | str) -> Column:
-    """The same without Python, for short texts: the table of the recurrence row by row in nested aggregates."""
+    """The same without Python, for short texts in composed form: the table of the recurrence row by row in nested aggregates."""
     side = lambda c: F.filter(F.split(sorted_tokens(normalize_text(c)), ""), lambda x: x != "")
 
     def common(x: Column, y: Column) -> Column:
@@ -83,5 +87,38 @@ def native_token_sort_ratio(a: Column | str, b: Column | str) -> Column:
 
 
 def name_similarity(a: Column | str, b: Column | str) -> Column:
-    """100 for names of the same nutrient, else token_sort_ratio."""
-    return F.when(canonical_nutrient(a) == canonical_nutrient(b), 100.0).otherwise(token_sort_ratio(a, b))
+    """100 for names of the same nutrient, else token_sort_ratio; raw texts in any Unicode form."""
+    a, b = compose(a), compose(b)
+    return F.when(canonical_nutrient(a) == canonical_nutrient(b), 100.0).otherwise(_of_composed(a, b))
+
+
+def length_bound(a: Column, b: Column) -> Column:
+    """The greatest similarity that texts of these lengths can have."""
+    la, lb = F.length(a), F.length(b)
+    return F.when(la + lb > 0, 200.0 * F.least(la, lb) / (la + lb)).otherwise(100.0)
+
+
+def distinct_ratios(df: DataFrame, a: str, b: str, to: str = "sim", threshold: float | None = None) -> DataFrame:
+    """df with the similarity of two columns of raw texts in composed form, each different pair compared once in the job.
+
+    Pairs go into a table of distinct ones, in either order the same, and what is found is joined back. With a threshold
+    only pairs whose lengths let them reach it are compared, and the others' similarity is null; so are those below it.
+    A pair may be that of very many rows: each of SALT parts of the rows meets its own copy of the table.
+    """
+    d = df.withColumns({"_a": sorted_tokens(normalize_text(a)), "_b": sorted_tokens(normalize_text(b))})
+    d = d.withColumns({"_x": F.least("_a", "_b"), "_y": F.greatest("_a", "_b")})
+    ask = F.col("_x") != F.col("_y")
+    if threshold is not None:
+        ask = ask & (length_bound(F.col("_x"), F.col("_y")) >= threshold)
+    pairs = d.where(ask).select("_x", "_y").distinct().withColumn("_found", token_ratio("_x", "_y"))
+    pairs = pairs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    part = F.when(ask, F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
+    sim = F.when(F.col("_x") == F.col("_y"), 100.0).otherwise(F.col("_found"))
+    if threshold is not None:
+        sim = F.when(sim >= threshold, sim)
+    d = d.withColumn("_part", part).join(pairs, ["_x", "_y", "_part"], "left")
+    return d.withColumn(to, sim).select(*df.columns, to)
+
+
+#: Parts into which the rows of one pair of texts are salted.
+SALT = 8

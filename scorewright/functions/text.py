@@ -64,6 +64,12 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def compose(c: Column | str) -> Column:
+    """A text in Unicode composed form; only texts with characters outside COMPOSED reach Python."""
+    odd = F.coalesce(_c(c).rlike(COMPOSED), F.lit(False))
+    return F.when(odd, _nfc(F.when(odd, _c(c)))).otherwise(_c(c))
+
+
 def composed(df: DataFrame, *cols: str, to: tuple[str, ...] | None = None) -> DataFrame:
     """df with the columns, strings or arrays and structs of them, in Unicode composed form (under the names of to, if
     given). One pass: only values with characters outside COMPOSED reach Python."""
@@ -79,19 +85,50 @@ def composed(df: DataFrame, *cols: str, to: tuple[str, ...] | None = None) -> Da
     return df.withColumns({n: form(c) for n, c in zip(to or cols, cols, strict=True)})
 
 
-def _marks() -> tuple[str, str]:
-    """Latin letters with marks, and their base letters, derived from Unicode's decompositions."""
-    pairs = {}
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
-        base = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(x) != "Mn"))
-        if len(base) == 1 and base != chr(code):
-            pairs[chr(code)] = base
-    pairs |= {"đ": "d", "Đ": "D"}
-    return "".join(pairs), "".join(pairs.values())
+def _marks() -> tuple[str, str, str]:
+    """From all code points of Unicode: characters and what they become without their marks, one for one, then the marks
+    themselves, which have no counterpart and are dropped; and a class of those that take more than a look-up: characters
+    that become several, and those that compose with a neighbour once marks between them are gone."""
+    pairs, gone, odd = {"đ": "d", "Đ": "D"}, [], []
+    for code in [*range(0xD800), *range(0xE000, 0x110000)]:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if kind == "Mn":
+            gone.append(c)
+        elif kind not in ("Cn", "Co") and not unicodedata.is_normalized("NFD", c):
+            base = unicodedata.normalize("NFC", "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"))
+            pairs |= {c: base} if len(base) == 1 and base != c and c not in pairs else {}
+            odd += [c] if len(base) > 1 else []
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.category(last := chr(int(parts[1], 16))) != "Mn":
+            odd.append(last)  # the second part of a composition that isn't a mark, as some vowel signs
+    odd += map(chr, range(0x1161, 0x11C3))  # vowels and finals of Hangul
+    return "".join([*pairs, *gone]), "".join(pairs.values()), "[" + "".join(f"\\x{{{ord(c):x}}}" for c in odd) + "]"
+
+
+MARKED, BARE, RESIDUE = _marks()
 
 
 def strip_diacritics(c: Column | str) -> Column:
-    return F.regexp_replace(F.translate(_c(c), *_marks()), r"\p{Mn}", "")
+    """The text without marks, by one look-up a character in tables made from Unicode's decompositions; đ is d.
+
+    Text in composed form is right as a whole but for RESIDUE: a few characters that become several, and letters that
+    join once a mark between them is gone, as vowels of Hangul do. stripped() takes these as well.
+    """
+    return F.translate(_c(c), MARKED, BARE)
+
+
+@once
+@F.pandas_udf(StringType())
+def _stripped(s: pd.Series) -> pd.Series:
+    bare = lambda x: unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", x.replace("đ", "d").replace("Đ", "D")) if unicodedata.category(c) != "Mn"))
+    return s.map(lambda x: None if x is None else bare(x))
+
+
+def stripped(c: Column | str) -> Column:
+    """strip_diacritics() of any text in any form; only texts with a character of RESIDUE reach Python."""
+    odd = F.coalesce(_c(c).rlike(RESIDUE), F.lit(False))
+    return F.when(odd, _stripped(F.when(odd, _c(c)))).otherwise(strip_diacritics(c))
 
 
 def _number_of(token: Column) -> Column:

@@ -48,8 +48,16 @@ def _f1(p: Column, r: Column) -> Column:
 @once
 @F.pandas_udf(DoubleType())
 def _nearest(text: pd.Series, items: pd.Series) -> pd.Series:
-    """Greatest similarity of a text to any of the items; null for null."""
-    return pd.Series([None if t is None or x is None else max((_ratio(t, y) for y in x), default=0.0) for t, x in zip(text, items, strict=True)], dtype="float64")
+    """Greatest similarity of a text to any of the items; null for null. Items too long or short to beat the best are skipped."""
+
+    def nearest(t: str, items) -> float:
+        best = 0.0
+        for y in items:
+            if t == y or 200.0 * min(len(t), len(y)) > best * (len(t) + len(y)):
+                best = max(best, _ratio(t, y))
+        return best
+
+    return pd.Series([None if t is None or x is None else nearest(t, x) for t, x in zip(text, items, strict=True)], dtype="float64")
 
 
 def merge_bonus(left: DataFrame, threshold: float = LIST) -> DataFrame:

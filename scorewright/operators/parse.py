@@ -221,3 +221,21 @@ def audit(parsed: DataFrame) -> DataFrame:
     n = parsed.groupBy("model_key", "condition", "stage").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("model_key", "condition"))  # a few stages each
     return n.withColumns({"total": total, "rate": F.col("n") / total})
+
+
+def issue_rates(issues: DataFrame) -> DataFrame:
+    """How many answers have each structural issue: model_key, condition, issue, n, total, rate, level.
+
+    issues is structural_issues() of answers. Levels are the model under a condition, the model, and all answers, as
+    grouping sets over one explosion, so one shuffle of partial counts; model_key and condition are null where a level
+    sums over them. An answer counts once for an issue. Issues that no answer has are not listed; valid is whether the
+    JSON could be read.
+    """
+    each = F.array_distinct(F.concat("structural_issues", F.array(F.when(F.col("json_valid"), "valid").otherwise("invalid"), F.lit(None).cast("string"))))
+    d = issues.select("model_key", "condition", F.explode(each).alias("issue"))  # the null row counts the answer itself
+    sets = [["model_key", "condition", "issue"], ["model_key", "issue"], ["issue"]]
+    cells = d.groupingSets([[F.col(c) for c in s] for s in sets], F.col("model_key"), F.col("condition"), F.col("issue")).agg(F.count("*").alias("n"), F.grouping_id().alias("_level"))
+    by = Window.partitionBy("model_key", "condition", "_level")  # a few issues each
+    cells = cells.withColumn("total", F.max(F.when(F.col("issue").isNull(), F.col("n"))).over(by)).where("issue is not null")
+    level = F.when(F.col("_level") == 0, "condition").when(F.col("_level") == 2, "model").otherwise("all")
+    return cells.select("model_key", "condition", "issue", "n", "total", (F.col("n") / F.col("total")).alias("rate"), level.alias("level"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.functions import text as T
-from scorewright.functions.similarity import name_similarity, native_token_sort_ratio, pair_ratios, sorted_tokens, token_sort_ratio
+from scorewright.functions.similarity import distinct_ratios, name_similarity, native_token_sort_ratio, pair_ratios, sorted_tokens, token_sort_ratio
 from scorewright.operators import match, parse, score
 from scorewright.operators.assign import assigned, item_pairs
 from scorewright.plans.bridges import ANSWERS, GT, NUTRITION, RESPONSES, SPARK_LISTS, rows, twin
@@ -176,6 +176,19 @@ def d11_parse_audit(spark, sf_dir):
     return d.select("model_key", "condition", "stage", "n", R("rate").alias("rate"))
 
 
+ISSUES = f"""listed AS (SELECT model_key, condition, list_distinct(list_concat(list_filter([CASE WHEN finish_reason = 'length' THEN 'output_truncated' END, CASE WHEN content IS NULL THEN 'api_error' WHEN stage = 'failed' THEN 'json_parse_failed' WHEN stage = 'mended' THEN 'json_repair_used' END,
+  CASE WHEN stage = 'failed' THEN 'root: expected object, got NoneType; using empty record' END, CASE WHEN content IS NOT NULL AND stage <> 'failed' THEN 'valid' ELSE 'invalid' END], lambda x: x IS NOT NULL), {MISSING.removeprefix("array_to_string(").removesuffix(", '; ')")})) AS x FROM (SELECT *, {STAGE} AS stage FROM responses)),
+n AS (SELECT model_key, condition, issue, count(*) AS n, grouping(model_key, condition) AS g FROM (SELECT model_key, condition, unnest(x) AS issue FROM listed) GROUP BY GROUPING SETS ((model_key, condition, issue), (model_key, issue), (issue))),
+t AS (SELECT model_key, condition, count(*) AS total, grouping(model_key, condition) AS g FROM listed GROUP BY GROUPING SETS ((model_key, condition), (model_key), ()))"""
+
+
+@query(f"WITH {ANSWERS}, {RESPONSES}, {ISSUES} SELECT n.model_key, n.condition, issue, n, total, round(n / total, 6) AS rate, CASE n.g WHEN 0 THEN 'condition' WHEN 1 THEN 'model' ELSE 'all' END AS level FROM n JOIN t ON n.g = t.g AND n.model_key IS NOT DISTINCT FROM t.model_key AND n.condition IS NOT DISTINCT FROM t.condition")
+def d11_issue_rates(spark, sf_dir):
+    """Issues of the parse audit by model and condition, by model, and over all answers."""
+    d = parse.issue_rates(parse.structural_issues(coerced(spark, sf_dir)))
+    return d.select("model_key", "condition", "issue", "n", "total", R("rate").alias("rate"), "level")
+
+
 PAIR = f"WITH {GT}, {ANSWERS}, p AS (SELECT a.image_id, a.model_key, {D.tokens(D.norm('a.product_name'))} AS a, {D.tokens(D.norm('g.product_name'))} AS b FROM answers a JOIN gt g ON a.image_id = g.image_id)"
 
 
@@ -207,6 +220,13 @@ def e3_score_pairs(spark, sf_dir):
     return d.select("image_id", "model_key", "i", "j", R(token_sort_ratio("p", "t")).alias("sim"))
 
 
+@query(twin("SELECT image_id, model_key, i::INT AS i, j::INT AS j, CASE WHEN sim >= 80 THEN round(sim, 6) END AS sim FROM s", *LISTS, ITEM_PAIRS))
+def e3_distinct_pairs(spark, sf_dir):
+    """Each different pair of items compared once, and only where their lengths let them reach the threshold."""
+    d = distinct_ratios(item_pairs(rows(spark, sf_dir, "lists", *LISTS), KEYS), "p", "t", threshold=match.LIST)
+    return d.select("image_id", "model_key", "i", "j", R("sim").alias("sim"))
+
+
 @query(twin("SELECT image_id, model_key, i::INT AS i, j::INT AS j, round(sim, 6) AS sim FROM c", *LISTS, ITEM_PAIRS, CHOSEN))
 def e4_assign(spark, sf_dir):
     ready = lambda c: F.transform(c, lambda x: sorted_tokens(T.normalize_text(x)))
