@@ -122,7 +122,10 @@ def d3_parse_responses(spark, sf_dir):
     return parse.parse(rows(spark, sf_dir, "responses", ANSWERS, RESPONSES)).select("image_id", "model_key", "stage", "parse_failed", "used_repair")
 
 
-@query()
+QUOTED = """array_to_string(list_transform(string_split(product_name, ' '), lambda x: '"' || x || '"'), ',')"""
+
+
+@query(twin(f"""SELECT image_id, model_key, 'mended' AS stage, '{{"ingredient":[' || {QUOTED} || '],"net_weight":"' || net_weight || '","origin":"' || origin || '","product_name":"' || product_name || '"}}' AS data FROM answers WHERE v IN (9, 10)""", ANSWERS))
 def d4_salvage(spark, sf_dir):
     d = parse.parse(rows(spark, sf_dir, "responses", ANSWERS, RESPONSES, tail="WHERE v IN (9, 10)"))
     return d.select("image_id", "model_key", "stage", F.to_json("data").alias("data"))
@@ -132,17 +135,21 @@ def coerced(spark, sf_dir):
     return parse.coerce(parse.parse(rows(spark, sf_dir, "responses", ANSWERS, RESPONSES)))
 
 
-@query()
+READ = f"read AS (SELECT a.*, coalesce({STAGE.replace('v ', 'r.v ')} = 'failed', false) AS failed FROM responses r JOIN answers a ON r.image_id = a.image_id AND r.model_key = a.model_key)"
+
+
+@query(twin("SELECT image_id, model_key, CASE WHEN failed THEN '' ELSE product_name END AS product_name, CASE WHEN failed THEN '' ELSE origin END AS origin, CASE WHEN failed THEN '' ELSE net_weight END AS net_weight, '' AS mfg_date, '' AS expiry_date FROM read", ANSWERS, RESPONSES, READ))
 def d5_coerce_scalars(spark, sf_dir):
     return coerced(spark, sf_dir).select("image_id", "model_key", "product_name", "origin", "net_weight", "mfg_date", "expiry_date")
 
 
-@query()
+@query(twin("SELECT image_id, model_key, CASE WHEN failed THEN '' ELSE array_to_string(string_split(product_name, ' '), ' | ') END AS ingredient, '' AS additive, '' AS warning, failed::INT AS n_type_issues FROM read", ANSWERS, RESPONSES, READ))
 def d6_coerce_lists(spark, sf_dir):
     return coerced(spark, sf_dir).select("image_id", "model_key", T.list_text("ingredient").alias("ingredient"), T.list_text("additive").alias("additive"), T.list_text("warning").alias("warning"), F.size("type_issues").alias("n_type_issues"))
 
 
-@query()
+@query(twin("""SELECT l_orderkey, CASE WHEN l_orderkey % 7 > 0 THEN string_agg(name || '=' || CASE WHEN l_orderkey % 3 > 0 THEN pred ELSE '' END, '; ' ORDER BY k) ELSE '' END AS nutrition,
+  coalesce(string_agg(CASE WHEN l_orderkey % 7 = 0 THEN 'nutrition[' || (k - 1) || ']: missing ''name''; skipped' WHEN l_orderkey % 3 = 0 THEN 'nutrition[' || (k - 1) || ']: missing ''value''; defaulted to ''''' END, '; ' ORDER BY k), '') AS issues FROM nutrition GROUP BY l_orderkey""", NUTRITION))
 def d7_coerce_nutrition(spark, sf_dir):
     d = rows(spark, sf_dir, "nutrition", NUTRITION).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("k", "name", F.when(F.col("l_orderkey") % 3 > 0, F.col("pred")).alias("value")))).alias("x"))
     content = F.to_json(F.struct(F.transform("x", lambda e: F.struct(F.when(F.col("l_orderkey") % 7 > 0, e["name"]).alias("name"), e["value"].alias("value"))).alias("nutrition")))
