@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.functions.columns import let
 from scorewright.llm.common import fresh, map_slices, row_key, stored
 from scorewright.llm.graph import bitmap, may
 
@@ -164,8 +165,8 @@ def transform(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **p
     d = df.withColumn(key, row_key(id_col, text_col)).join(found, key, "left")
     lines = F.split(F.col(text_col), "\n")
     # By numbers, so that the work stays in proportion to the lines of a text.
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
-    kept = F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n")
+    rest = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone))
+    kept = let(lines, lambda x: F.array_join(F.transform(rest(x), lambda i: F.get(x, i)), "\n"))
     out = d.withColumn("n_lines", F.coalesce(F.when(F.col(text_col) != "", F.size(lines)), F.lit(0)).cast("long"))
     out = out.withColumn("n_dropped", F.coalesce(F.size(gone), F.lit(0)).cast("long")).withColumn(text_col, F.when(F.col(gone).isNotNull(), kept).otherwise(F.col(text_col)))
     return out.drop(key, gone)

@@ -8,8 +8,10 @@ from scorewright.llm import linededup
 def test_many_recurring_lines(spark):
     """200,000 lines that recur, in one text of 6 MB, go in seconds."""
     text = "\n".join(f"this is the line number {k}" for k in range(200_000))
-    df = spark.createDataFrame([(1, text), (2, text + "\nand one of its own"), (3, "other")], "doc_id long, text string")
+    own = "\n".join(f"{k * k:x} is only here" for k in range(200_000))
+    df = spark.createDataFrame([(1, text), (2, text + "\nand one of its own"), (3, "other"), (4, own + "\nthis is the line number 7")], "doc_id long, text string")
     start = time.time()
     got = {r["doc_id"]: r for r in linededup.transform(df).collect()}
     assert time.time() - start < 90
     assert got[1]["text"] == text and got[2]["text"] == "and one of its own" and got[2]["n_dropped"] == 200_000 and got[3]["n_lines"] == 1
+    assert (got[4]["text"], got[4]["n_dropped"]) == (own, 1)
