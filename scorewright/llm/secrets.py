@@ -111,39 +111,66 @@ def _transitions(n: np.ndarray, prior: float) -> np.ndarray:
     return np.log((n + prior * expected) / (n.sum(1, keepdims=True) + prior))
 
 
-def train(samples: DataFrame, token_col: str = "token", label_col: str = "random", prior: float = PRIOR) -> np.ndarray | None:
+def train(samples: DataFrame, token_col: str = "token", label_col: str = "random", count_col: str = "n", prior: float = PRIOR) -> np.ndarray | None:
     """Log-likelihood ratios of random against ordinary, SYMBOLS x SYMBOLS by (symbol before, symbol), from labelled tokens.
 
-    The counts are grouped on the cluster; at most 2 * SYMBOLS^2 of them come to the driver. None without both classes.
+    Equal tokens are counted before they are taken apart, on the cluster; at most 2 * SYMBOLS^2 of them come to the driver. None without both classes.
     """
-    pairs = samples.where(F.length(token_col) > 0).select(F.col(label_col).cast("int").alias("y"), _codes(F.col(token_col)).alias("c"))
-    pairs = pairs.select("y", F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("c", 1, F.size("c") - 1)).alias("a"), F.col("c").alias("b"))).alias("p"))
+    tokens = samples.where(F.length(token_col) > 0).groupBy(F.col(label_col).cast("int").alias("y"), F.col(token_col).alias("token")).agg(F.sum(count_col).alias("n"))
+    pairs = tokens.where("y in (0, 1)").select("y", "n", _codes(F.col("token")).alias("c"))
+    pairs = pairs.select("y", "n", F.explode(F.arrays_zip(F.concat(F.array(F.lit(0)), F.slice("c", 1, F.size("c") - 1)).alias("a"), F.col("c").alias("b"))).alias("p"))
     n = np.zeros((2, SYMBOLS, SYMBOLS))
-    for r in pairs.groupBy("y", "p.a", "p.b").count().where("y in (0, 1)").collect():
-        n[r["y"], r["a"], r["b"]] = r["count"]
+    for r in pairs.groupBy("y", "p.a", "p.b").agg(F.sum("n").alias("n")).collect():
+        n[r["y"], r["a"], r["b"]] = r["n"]
     if not n[0].any() or not n[1].any():
         return None
     return (_transitions(n[1], prior) - _transitions(n[0], prior)).ravel()
 
 
 def samples(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Labelled tokens (token, random) from about `rows` documents, chosen by a hash of id and text."""
+    """Labelled tokens (token, random, n: how often) from about `rows` documents, chosen by a hash of id and text."""
     share = min(1.0, rows / max(1, df.count()))
     unit = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit("secrets")), F.lit(1_000_003)) / 1_000_003
     d = df.where((unit < share) & (F.col(text_col) != "")).select(F.col(text_col).alias("t"), let(_text(text_col), _base).alias("base"))
     digest = F.sha2(F.col("t"), 256)
     coded = F.base64(F.unhex(digest))
     drawn = F.array(F.substring(digest, 1, 40), F.rtrim(F.lit("="), coded), F.translate(F.substring(coded, 1, 24), "+/", "-_"), F.upper(F.base64(F.unhex(F.md5("t")))))
-    random = d.select(F.explode(F.concat(F.transform("base", lambda s: s["value"]), drawn)).alias("token"), F.lit(1).alias("random"))
-    words = d.where(F.size("base") == 0).select("t", F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}|[0-9]{2,}"), F.lit(0)).alias("w"))
-    two = lambda i: (F.get("w", i), F.get("w", i + 1))
-    joined = F.transform(F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: i + 1 < F.size("w")), lambda i: F.array(F.concat_ws("_", *two(i)), F.concat_ws("-", *two(i)), F.concat_ws("/", *two(i)), F.concat(*map(F.initcap, two(i))), F.upper(F.concat_ws("_", *two(i)))))
+    clean = d.where(F.size("base") == 0)
+    words = F.regexp_extract_all("t", F.lit("[A-Za-z]{2,}|[0-9]{2,}"), F.lit(0))
+    words = clean.select(F.explode(let(words, lambda w: F.arrays_zip(w.alias("a"), F.slice(w, 2, F.size(w)).alias("b")))).alias("w"))
+    words = words.groupBy("w.a", "w.b").agg(F.count("*").alias("n"))  # b: the word after a
+    two = ("a", "b")
+    joined = F.array(F.concat_ws("_", *two), F.concat_ws("-", *two), F.concat_ws("/", *two), F.concat(*map(F.initcap, two)), F.upper(F.concat_ws("_", *two)))
+    named = F.concat(F.array("a"), F.when(F.col("b").isNotNull(), joined).otherwise(F.array().cast("array<string>")))
     when = F.timestamp_seconds(F.pmod(F.xxhash64("t"), F.lit(2_000_000_000)))
     rules = F.array(*(F.repeat(F.lit(c), F.lit(20)) for c in "-=_+/"), *(F.date_format(when, f) for f in ("yyyy-MM-dd'T'HH", "yyyyMMdd'T'HHmmss'Z'", "dd/MMM/yyyy")))
-    ordinary = words.select(F.explode(F.concat("w", F.flatten(joined), rules)).alias("token"), F.lit(0).alias("random"))
+    one = F.lit(1).cast("long").alias("n")
+    ordinary = words.select(F.explode(named).alias("token"), F.lit(0).alias("random"), "n").unionByName(clean.select(F.explode(rules).alias("token"), F.lit(0).alias("random"), one))
+    random = d.select(F.explode(F.concat(F.transform("base", lambda s: s["value"]), drawn)).alias("token"), F.lit(1).alias("random"), one)
     return random.unionByName(ordinary)
 
 
+def _ranks(tokens: Column, base: Column, token_place: str, base_place: str, ties: int) -> Column:
+    """Of each token in order: how many base spans have base_place before its token_place; ties=1 counts equal places too.
+
+    Tokens don't overlap, so the n-th token among the sorted places is the n-th token, and what stands before it are n
+    tokens and the base spans asked for.
+    """
+    place = lambda spans, name, kind: F.transform(spans, lambda s: F.struct(s[name].alias("at"), F.lit(kind).alias("kind")))
+    places = F.array_sort(F.concat(place(tokens, token_place, ties), place(base, base_place, 1 - ties)))
+    numbered = F.transform(places, lambda x, i: F.struct(x["kind"].alias("kind"), i.alias("i")))
+    return F.transform(F.filter(numbered, lambda x: x["kind"] == ties), lambda x, n: x["i"] - n)
+
+
+def _clear(tokens: Column, base: Column) -> Column:
+    """Tokens that overlap no base span: as many base spans end before a token begins as begin before it ends.
+
+    Two sorts of the places instead of a comparison of each token with each base span.
+    """
+    begun, ended = _ranks(tokens, base, "end", "start", 0), _ranks(tokens, base, "start", "end", 1)
+    return let(F.struct(begun.alias("begun"), ended.alias("ended")), lambda r: F.filter(tokens, lambda t, n: F.get(r["begun"], n) == F.get(r["ended"], n)))
+
+
 def spans(df: DataFrame, model: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, least: float = LEAST) -> DataFrame:
     """id_col, base, and spans: base and model spans (start, k, end, value) by start, then kind."""
     if model is None:
@@ -159,8 +186,8 @@ def spans(df: DataFrame, model: np.ndarray | None, id_col: str = "doc_id", text_
         tokens = F.filter(_found(text, TOKEN, 3), lambda c: likely(c["value"]))
 
         def joined(base: Column) -> Column:
-            clear = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-            return F.struct(base.alias("base"), F.array_sort(F.concat(base, F.filter(tokens, clear))).alias("spans"))
+            added = F.when(F.size(base) == 0, tokens).otherwise(let(tokens, lambda t: _clear(t, base)))
+            return F.struct(base.alias("base"), F.array_sort(F.concat(base, added)).alias("spans"))
 
         return let(_base(text), joined)
 
