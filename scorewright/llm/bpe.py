@@ -5,8 +5,11 @@ in each of them. A chunk is encoded as it stands, once for all documents of a ta
 chunks used last. A cut can fall inside of a word, so each join is repaired: a window over it is encoded anew, one word
 wider on each side than the join may reach, and its ids there must be those of the chunk on that side. Where they differ
 the windows grow until both sides agree; a window that meets the next join grows over it, at last over the whole text.
-Places where any scan of a text must start a new word, before a space or line feed that follows printable ASCII, bound
-the windows, so ids that agree are those of the whole text.
+Places where any scan of a text must start a new word bound the windows, so ids that agree are those of the whole text.
+They follow from the split pattern for every script: a run of letters, of numbers or of other characters ends where the
+next character is of another kind, apart from apostrophes, which may join the letters after them. Characters whose kind
+differs between versions of Unicode, and places inside a special token, bound nothing. Vocabularies with another split
+have such places only before a space or line feed that follows printable ASCII.
 
 Nulls and empty texts have no ids. Repeated rows give repeated results; columns other than the two named are not read.
 """
@@ -16,9 +19,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 from array import array
 from bisect import bisect_left
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,55 @@ ODD = r"[^\t\n\r -~\xa1-\xac\xae-\u017f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u
 CHUNK_BYTES = 512
 #: Bytes of encoded pieces that a task keeps; the half used last stays when it is full.
 CACHE_BYTES = 32 << 20
+#: Kinds of characters. APOSTROPHE is an OTHER that may begin "'s" or "'ll"; SPACE holds ASCII white space only.
+UNSURE, LETTER, NUMBER, OTHER, SPACE, APOSTROPHE = range(6)
+#: Bytes whose characters are classed at a time.
+CLASS_BYTES = 1 << 20
+
+
+@lru_cache(1)
+def kinds() -> np.ndarray:
+    """Kind of each code point below 2^17; those whose general category isn't the same in an old Unicode version are unsure."""
+    by_category = {"L": LETTER, "N": NUMBER, "P": OTHER, "S": OTHER, "M": OTHER}
+    out = np.zeros(1 << 17, np.uint8)
+    for c in range(0x21, len(out)):
+        kind = by_category.get(unicodedata.category(chr(c))[0], UNSURE)
+        if kind and by_category.get(unicodedata.ucd_3_2_0.category(chr(c))[0]) == kind:
+            out[c] = kind
+    out[[9, 10, 13, 32]] = SPACE
+    out[0x27] = APOSTROPHE
+    return out
+
+
+@lru_cache(1)
+def boundaries() -> np.ndarray:
+    """[kind before, kind after]: whether a word of the split pattern ends between them in any scan."""
+    out = np.zeros((6, 6), bool)
+    out[LETTER, [NUMBER, OTHER, SPACE, APOSTROPHE]] = True
+    out[NUMBER, [LETTER, OTHER, SPACE, APOSTROPHE]] = True
+    out[OTHER, [LETTER, NUMBER, SPACE]] = True
+    out[APOSTROPHE, [NUMBER, SPACE]] = True
+    return out
+
+
+def kind_boundaries(body: bytes) -> np.ndarray:
+    """Whether each byte of UTF-8 text begins a word in any scan of a text, by its kind and that of the character before."""
+    out = np.zeros(len(body), bool)
+    bytes_, before, at = np.frombuffer(body, np.uint8), UNSURE, 0
+    while at < len(body):
+        end = min(at + CLASS_BYTES, len(body))
+        while end < len(body) and bytes_[end] & 0xC0 == 0x80:
+            end += 1
+        part = bytes_[at:end]
+        starts = np.flatnonzero(part & 0xC0 != 0x80)
+        if len(starts) == len(part):
+            kind = kinds()[part]
+        else:
+            points = np.frombuffer(body[at:end].decode().encode("utf-32-le"), "<u4")
+            kind = np.where(points < len(kinds()), kinds()[np.minimum(points, len(kinds()) - 1)], UNSURE)
+        out[at + starts] = boundaries()[np.concatenate([[before], kind[:-1]]), kind]
+        before, at = int(kind[-1]), end
+    return out
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -55,7 +109,10 @@ class ChunkCodec:
         if any(c.isspace() for s in self.special for c in s):
             raise ValueError("a special token with white space could span a cut")
         alphabet = byte_alphabet()
+        self.special_bytes = [t.encode() for t in self.special]
         spec = json.loads(self.tokenizer.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        self.by_kind = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and bool(pre.get("use_regex"))
         vocab = spec["model"]["vocab"]
         self.token_bytes = [b""] * self.tokenizer.get_vocab_size()
         for token, i in self.tokenizer.get_vocab().items():
@@ -67,15 +124,15 @@ class ChunkCodec:
         self.size = np.array([len(x) for x in self.token_bytes], np.int64)
         self.new: dict[bytes, tuple[bytes, array]] = {}
         self.old: dict[bytes, tuple[bytes, array]] = {}
-        self.held = self.encoded = self.asked = self.widened = 0
+        self.held = self.encoded = self.encoded_bytes = self.asked = self.widened = 0
 
     def _ranked(self, spec: dict, ranks: dict[bytes, int]) -> object | None:
         """A faster encoder of the same vocabulary, where ids follow the order of merges and nothing else alters the text."""
         import tiktoken
 
-        model, pre = spec["model"], spec["pre_tokenizer"] or {}
+        model = spec["model"]
         merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
-        plain = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex") and not model.get("dropout") and not model.get("ignore_merges")
+        plain = self.by_kind and not spec["pre_tokenizer"].get("add_prefix_space") and not model.get("dropout") and not model.get("ignore_merges")
         if not plain or merged != list(range(256, 256 + len(merged))) or len(ranks) != 256 + len(merged):
             return None
         return tiktoken.Encoding("merges", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
@@ -92,10 +149,17 @@ class ChunkCodec:
         cuts = np.flatnonzero((h >> np.uint32(7)) & self.mask == 0) + 1
         for _ in range(3):  # to the start of a character
             cuts = cuts + ((cuts < len(b)) & (b[np.minimum(cuts, len(b) - 1)] & 0xC0 == 0x80))
-        inner = b[1:] <= 0x20
-        inner &= (b[1:] == 0x20) | (b[1:] == 0x0A)
-        inner &= (b[:-1] > 0x20) & (b[:-1] < 0x7F)
-        inner = np.concatenate([[False], inner, [True]])
+        if self.by_kind:
+            inner = np.append(kind_boundaries(body), True)
+            for token in self.special_bytes:
+                at = body.find(token)
+                while at >= 0:
+                    inner[at + 1 : at + len(token)] = False
+                    at = body.find(token, at + 1)
+        else:
+            inner = (b[1:] == 0x20) | (b[1:] == 0x0A)
+            inner &= (b[:-1] > 0x20) & (b[:-1] < 0x7F)
+            inner = np.concatenate([[False], inner, [True]])
         inner[ends] = True
         return np.union1d(ends, cuts), np.flatnonzero(inner)
 
@@ -113,6 +177,7 @@ class ChunkCodec:
             got = self.old.pop(text, None)
             if got is None:
                 self.encoded += 1
+                self.encoded_bytes += len(text)
                 ids = self.encode(text.decode())
                 ends = np.cumsum(self.size[np.frombuffer(ids, "<u4")])
                 if len(ends) and ends[-1] != len(text):
@@ -258,12 +323,12 @@ def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def reuse(df: DataFrame, path: str, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """How far pieces (chunks and windows) were found encoded, a row a task: asked, encoded, widened."""
+    """How far pieces (chunks and windows) were found encoded, a row a task: asked, encoded, widened, encoded_bytes."""
 
     def count(batches):
         codec = _codec(path, chunk_bytes)()
         for b in slices(batches, 0):
             codec.encode_all(*text_bytes(b.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (codec.asked, codec.encoded, codec.widened)], ["asked", "encoded", "widened"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (codec.asked, codec.encoded, codec.widened, codec.encoded_bytes)], ["asked", "encoded", "widened", "encoded_bytes"])
 
-    return df.select(text_col).mapInArrow(count, "asked long, encoded long, widened long")
+    return df.select(text_col).mapInArrow(count, "asked long, encoded long, widened long, encoded_bytes long")

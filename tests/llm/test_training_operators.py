@@ -54,11 +54,26 @@ def test_bpe_reuses_chunks():
     assert [list(np.frombuffer(x, "<u4")) for x in got] == [c.tokenizer.encode(x.decode(), add_special_tokens=False).ids for x in (text, b"new start " + text)]
 
 
+@pytest.mark.parametrize("alphabet, gap, stop", [("abcdefghijklmnopqrstuvwxyz", " ", ". "), ("абвгдежзийклмнопрст", " ", ". "), ("कखगघचछजझटठडढतथदधनि्", " ", "। "), ("的一是不了人我在有他这中大来上国", "", "，"), ("กขคฆงจฉชซฌญ", " ", " ")])
+def test_bpe_reuses_chunks_of_every_script(alphabet, gap, stop):
+    """Six texts that share a passage of 3,000 words are encoded little more than once."""
+    r = np.random.default_rng(8)
+    word = lambda: "".join(r.choice(list(alphabet), r.integers(2, 9)))
+    passage = "".join(word() + (stop if k % 9 == 8 else gap) for k in range(3000))
+    texts = [f"{k} {word()}{gap}{word()}{stop}{passage}{gap.join(word() for _ in range(20))}" for k in range(6)]
+    c = bpe.ChunkCodec(path())
+    raw = [t.encode() for t in texts]
+    got = c.encode_all(b"".join(raw), np.cumsum([0, *map(len, raw)]).tolist())
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [c.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert c.encoded_bytes < 0.35 * sum(map(len, raw))
+
+
 def test_bpe_repairs_joins():
     """Cuts fall inside words, numbers, spaces, contractions, special tokens and characters; ids are those of whole texts."""
     r = np.random.default_rng(6)
     parts = ["word", " ", "  ", "\n", "\n\n \n", "'", "'ll", "'s", "12345", "é", "漢字", "😀", "<|endoftext|>", "...", " x", "\t", "\u00a0", "\u200d", "ñandú", "_", "ab" * 40, "-" * 30]
-    texts = ["".join(r.choice(parts, r.integers(0, 120))) for _ in range(400)] + ["a" * 5000, "\n" * 3000, " " * 3000, "", "é" * 999]
+    parts += ["привет", "Слово,", "हिन्दी", "भाषा।", "ไทย", "عربى", "。", "「引用」", "اً", "é", "٣٤", "Ⅷ", "　", " ", "", "᠎", "​", "", "’s", "!'s", "9's", "я'll", "𐐷", "🧿", "<|endo", "ftext|>"]
+    texts = ["".join(r.choice(parts, r.integers(0, 120))) for _ in range(900)] + ["a" * 5000, "\n" * 3000, " " * 3000, "", "é" * 999]
     c = bpe.ChunkCodec(path(), 16)
     raw = [t.encode() for t in texts]
     got = c.encode_all(b"".join(raw), np.cumsum([0, *map(len, raw)]).tolist())
