@@ -1,8 +1,9 @@
 """Byte-pair encoding and decoding with content-defined chunk reuse.
 
 A rolling hash of the last 16 bytes cuts each text into chunks, so a passage that several documents share is cut alike
-in each of them. A chunk is encoded as it stands, once for all documents of a task that hold it; a bounded cache keeps the
-chunks used last. A cut can fall inside of a word, so each join is repaired: a window over it is encoded anew, one word
+in each of them. Chunks are counted by 64-bit names over all tasks; those that several tasks hold are encoded once and
+sent to all tasks as a table of bounded size, the most useful ones first (`shared_chunks`). Any other chunk is encoded as
+it stands, once for all documents of a task that hold it; a bounded cache keeps the chunks used last. A cut can fall inside of a word, so each join is repaired: a window over it is encoded anew, one word
 wider on each side than the join may reach, and its ids there must be those of the chunk on that side. Where they differ
 the windows grow until both sides agree; a window that meets the next join grows over it, at last over the whole text.
 Places where any scan of a text must start a new word bound the windows, so ids that agree are those of the whole text.
@@ -27,7 +28,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from scorewright.llm.common import map_slices, slices, text_bytes
 
@@ -38,6 +41,11 @@ ODD = r"[^\t\n\r -~\xa1-\xac\xae-\u017f\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u
 CHUNK_BYTES = 512
 #: Bytes of encoded pieces that a task keeps; the half used last stays when it is full.
 CACHE_BYTES = 32 << 20
+#: Bounds of the table of chunks that several tasks hold: chunks, and bytes of their texts.
+SHARED_CHUNKS = 1 << 14
+SHARED_BYTES = 4 << 20
+#: Names that a task remembers to count a chunk once; beyond them it may count one again.
+SEEN = 1 << 20
 #: Kinds of characters. APOSTROPHE is an OTHER that may begin "'s" or "'ll"; SPACE holds ASCII white space only.
 UNSURE, LETTER, NUMBER, OTHER, SPACE, APOSTROPHE = range(6)
 #: Bytes whose characters are classed at a time.
@@ -89,6 +97,33 @@ def kind_boundaries(body: bytes) -> np.ndarray:
     return out
 
 
+@lru_cache(1)
+def gear() -> np.ndarray:
+    """A number drawn for each byte, from which the rolling hash is summed up."""
+    return np.random.default_rng(12345).integers(0, 1 << 32, 256, dtype=np.uint32)
+
+
+def chunk_cuts(b: np.ndarray, chunk_bytes: int) -> np.ndarray:
+    """Places, by the last 16 bytes, where chunks begin; each is the start of a character."""
+    mask = np.uint32((1 << max(4, int(np.log2(chunk_bytes)))) - 1)
+    h = gear()[b]
+    for step, factor in ((1, 0x9E3779B1), (2, 0x85EBCA6B), (4, 0xC2B2AE35), (8, 0x27D4EB2F)):
+        h[step:] += h[:-step] * np.uint32(factor)
+    cuts = np.flatnonzero((h >> np.uint32(7)) & mask == 0) + 1
+    for _ in range(3):  # to the start of a character
+        cuts = cuts + ((cuts < len(b)) & (b[np.minimum(cuts, len(b) - 1)] & 0xC0 == 0x80))
+    return cuts
+
+
+def named_chunks(body: bytes, offsets: list[int], chunk_bytes: int) -> dict[int, tuple[int, int]]:
+    """Name of each distinct chunk of some texts -> where it begins and ends."""
+    from xxhash import xxh3_64_intdigest
+
+    ends = np.asarray(offsets, np.int64)
+    cuts = np.union1d(ends, chunk_cuts(np.frombuffer(body, np.uint8), chunk_bytes)).tolist()
+    return {xxh3_64_intdigest(body[x:y]) - (1 << 63): (x, y) for x, y in zip(cuts[:-1], cuts[1:], strict=True)}
+
+
 def byte_alphabet() -> dict[str, int]:
     """Character -> byte of the byte-level alphabet: printable bytes stand for themselves, the others follow from 256."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -99,7 +134,8 @@ def byte_alphabet() -> dict[str, int]:
 class ChunkCodec:
     """Exact encoder and decoder of one task. Ids are kept as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, path: str, chunk_bytes: int = CHUNK_BYTES):
+    def __init__(self, path: str, chunk_bytes: int = CHUNK_BYTES, shared: dict[bytes, bytes] | None = None):
+        """shared: ids of chunks that other tasks hold too."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -119,12 +155,12 @@ class ChunkCodec:
             self.token_bytes[i] = token.encode() if token in self.special else bytes(alphabet[c] for c in token)
         self.fast = self._ranked(spec, {self.token_bytes[i]: i for t, i in vocab.items() if t not in self.special})
         self.odd = re.compile(ODD).search
-        self.mask = np.uint32((1 << max(4, int(np.log2(chunk_bytes)))) - 1)
-        self.gear = np.random.default_rng(12345).integers(0, 1 << 32, 256, dtype=np.uint32)
+        self.chunk_bytes = chunk_bytes
         self.size = np.array([len(x) for x in self.token_bytes], np.int64)
         self.new: dict[bytes, tuple[bytes, array]] = {}
         self.old: dict[bytes, tuple[bytes, array]] = {}
-        self.held = self.encoded = self.encoded_bytes = self.asked = self.widened = 0
+        self.shared = {text: (ids, self._ends(ids)) for text, ids in (shared or {}).items()}
+        self.held = self.given = self.encoded = self.encoded_bytes = self.asked = self.widened = 0
 
     def _ranked(self, spec: dict, ranks: dict[bytes, int]) -> object | None:
         """A faster encoder of the same vocabulary, where ids follow the order of merges and nothing else alters the text."""
@@ -143,12 +179,7 @@ class ChunkCodec:
         ends = np.unique(np.asarray(offsets, np.int64))
         if len(b) < 2:
             return ends, ends
-        h = self.gear[b]
-        for step, factor in ((1, 0x9E3779B1), (2, 0x85EBCA6B), (4, 0xC2B2AE35), (8, 0x27D4EB2F)):
-            h[step:] += h[:-step] * np.uint32(factor)
-        cuts = np.flatnonzero((h >> np.uint32(7)) & self.mask == 0) + 1
-        for _ in range(3):  # to the start of a character
-            cuts = cuts + ((cuts < len(b)) & (b[np.minimum(cuts, len(b) - 1)] & 0xC0 == 0x80))
+        cuts = chunk_cuts(b, self.chunk_bytes)
         if self.by_kind:
             inner = np.append(kind_boundaries(body), True)
             for token in self.special_bytes:
@@ -169,9 +200,16 @@ class ChunkCodec:
             return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(piece, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
+    def _ends(self, ids: bytes) -> array:
+        return array("i", np.cumsum(self.size[np.frombuffer(ids, "<u4")]).astype(np.int32).tobytes())
+
     def piece(self, text: bytes) -> tuple[bytes, array]:
         """Ids of a chunk or window as it stands, and the ends of their bytes, from the cache if it is there."""
         self.asked += 1
+        got = self.shared.get(text)
+        if got is not None:
+            self.given += 1
+            return got
         got = self.new.get(text)
         if got is None:
             got = self.old.pop(text, None)
@@ -179,10 +217,10 @@ class ChunkCodec:
                 self.encoded += 1
                 self.encoded_bytes += len(text)
                 ids = self.encode(text.decode())
-                ends = np.cumsum(self.size[np.frombuffer(ids, "<u4")])
-                if len(ends) and ends[-1] != len(text):
+                ends = self._ends(ids)
+                if ends and ends[-1] != len(text):
                     raise ValueError("the tokenizer alters the text")
-                got = ids, array("i", ends.astype(np.int32).tobytes())
+                got = ids, ends
             self.new[text] = got
             self.held += len(text) + 2 * len(got[0]) + 300
             if self.held > CACHE_BYTES // 2:
@@ -259,19 +297,69 @@ class ChunkCodec:
         return b"".join(map(self.token_bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-def _codec(path: str, chunk_bytes: int) -> Callable[[], ChunkCodec]:
+def shared_chunks(df: DataFrame, path: str, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> Broadcast | None:
+    """Ids of chunks that several tasks hold, by their bytes, as a broadcast table within SHARED_CHUNKS and SHARED_BYTES.
+
+    The chunks that spare most come first; those that find no place are encoded by each task that meets them. One job
+    counts names (8 bytes a chunk are shuffled). A second one encodes each chosen chunk in the first task that holds it;
+    tasks that have none read nothing. If a table is cut into tasks anew in between, chunks may be missed, ids never.
+    None for a stream, or if no chunk is shared.
+    """
+    if df.isStreaming:
+        return None
+    texts = df.select(text_col)
+
+    def names(batches):
+        part, seen = TaskContext.get().partitionId(), set()
+        for b in slices(batches, 0):
+            found = named_chunks(*text_bytes(b.column(0)), chunk_bytes)
+            new = [n for n in found if n not in seen]
+            seen.update(new)
+            if len(seen) > SEEN:
+                seen.clear()
+            sizes = [found[n][1] - found[n][0] for n in new]
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array(sizes, pa.int64()), pa.array([part] * len(new), pa.int32())], ["name", "size", "part"])
+
+    counted = texts.mapInArrow(names, "name long, size long, part int").groupBy("name").agg(F.count("*").alias("n"), F.min("size").alias("size"), F.min("part").alias("part"))
+    useful = counted.where((F.col("n") > 1) & (F.col("size") <= SHARED_BYTES // 64)).orderBy(((F.col("n") - 1) * F.col("size")).desc(), "name").limit(SHARED_CHUNKS)
+    chosen, total = {}, 0
+    for r in useful.collect():
+        total += r["size"]
+        if total > SHARED_BYTES:
+            break
+        chosen.setdefault(r["part"], set()).add(r["name"])
+    if not chosen:
+        return None
+
+    def encoded(batches):
+        wanted = set(chosen.get(TaskContext.get().partitionId(), ()))
+        codec = _codec(path, chunk_bytes)() if wanted else None
+        for b in slices(batches, 0) if wanted else ():
+            body, offsets = text_bytes(b.column(0))
+            here = {n: at for n, at in named_chunks(body, offsets, chunk_bytes).items() if n in wanted}
+            wanted.difference_update(here)
+            chunks = [body[x:y] for x, y in here.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.binary()), pa.array([codec.piece(x)[0] for x in chunks], pa.binary())], ["chunk", "ids"])
+            if not wanted:
+                break
+
+    got = texts.mapInArrow(encoded, "chunk binary, ids binary").collect()
+    return df.sparkSession.sparkContext.broadcast({bytes(r["chunk"]): bytes(r["ids"]) for r in got})
+
+
+def _codec(path: str, chunk_bytes: int, shared: Broadcast | None = None) -> Callable[[], ChunkCodec]:
     def make() -> ChunkCodec:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return ChunkCodec(path, chunk_bytes)
+        return ChunkCodec(path, chunk_bytes, shared.value if shared else None)
 
     return make
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per row of df: id_col, ids (array of int, in order). Null and empty texts give an empty array."""
-    make = _codec(path, chunk_bytes)
+    make = _codec(path, chunk_bytes, shared_chunks(df, path, text_col, chunk_bytes))
 
     def work():
         codec = make()
@@ -304,7 +392,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
 
 def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Encode and decode every text: id_col, n_tokens, ids_sha256, decoded_sha256."""
-    make = _codec(path, chunk_bytes)
+    make = _codec(path, chunk_bytes, shared_chunks(df, path, text_col, chunk_bytes))
 
     def work():
         codec = make()
@@ -323,12 +411,13 @@ def digest(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def reuse(df: DataFrame, path: str, text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """How far pieces (chunks and windows) were found encoded, a row a task: asked, encoded, widened, encoded_bytes."""
+    """How far pieces (chunks and windows) were found encoded, a row a task: asked, given (from the shared table), encoded, widened, encoded_bytes."""
+    shared = shared_chunks(df, path, text_col, chunk_bytes)
 
     def count(batches):
-        codec = _codec(path, chunk_bytes)()
+        codec = _codec(path, chunk_bytes, shared)()
         for b in slices(batches, 0):
             codec.encode_all(*text_bytes(b.column(0)))
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (codec.asked, codec.encoded, codec.widened, codec.encoded_bytes)], ["asked", "encoded", "widened", "encoded_bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (codec.asked, codec.given, codec.encoded, codec.widened, codec.encoded_bytes)], ["asked", "given", "encoded", "widened", "encoded_bytes"])
 
-    return df.select(text_col).mapInArrow(count, "asked long, encoded long, widened long, encoded_bytes long")
+    return df.select(text_col).mapInArrow(count, "asked long, given long, encoded long, widened long, encoded_bytes long")

@@ -68,6 +68,22 @@ def test_bpe_reuses_chunks_of_every_script(alphabet, gap, stop):
     assert c.encoded_bytes < 0.35 * sum(map(len, raw))
 
 
+def test_bpe_shares_chunks_across_tasks(spark):
+    """A passage in documents of eight tasks is encoded once, apart from joins; ids stay those of whole texts."""
+    from tokenizers import Tokenizer
+
+    r = np.random.default_rng(9)
+    word = lambda: "".join(r.choice(list("abcdefghijklmno"), r.integers(2, 9)))
+    passage = " ".join(word() for _ in range(5000))
+    rows = [(k, f"{word()} {passage} {word()}") for k in range(16)] + [(16, None), (17, ""), (18, word())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(8, "doc_id").cache()
+    used = bpe.reuse(df, path()).groupBy().sum().first()
+    assert used["sum(given)"] > 0.4 * used["sum(asked)"] and used["sum(encoded_bytes)"] < 0.2 * sum(len(t or "") for _, t in rows)
+    t = Tokenizer.from_file(path())
+    got = {x["doc_id"]: x["ids"] for x in bpe.encode(df, path()).collect()}
+    assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in rows}
+
+
 def test_bpe_repairs_joins():
     """Cuts fall inside words, numbers, spaces, contractions, special tokens and characters; ids are those of whole texts."""
     r = np.random.default_rng(6)
