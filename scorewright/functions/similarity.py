@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +36,64 @@ def _ratio(a: str, b: str) -> float:
     return 100.0 if a == b else 200.0 * _common(a, b) / (len(a) + len(b))
 
 
+#: Characters of the shorter text of a pair that is compared beside others; characters that lie side by side at a time.
+WORD, CELLS = 64, 1 << 17
+#: Pairs below which a text for itself is quicker, and pairs of rows that are compared in one go.
+FEW, PAIRS = 16, 200_000
+
+
+def _codes(texts: list[str], width: int, pad: int) -> np.ndarray:
+    """Code points of texts as rows of one array."""
+    size = np.array([len(t) for t in texts])
+    out = np.full((len(texts), width), pad, np.int32)
+    out[np.arange(width) < size[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<i4")
+    return out
+
+
+def _common_of(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of longest common subsequences of pairs, a of at most WORD characters: a 64-bit word for each pair, and a
+    step over all pairs for each character of b."""
+    x, y = _codes(a, -(-max(map(len, a)) // 8) * 8, -1), _codes(b, max(map(len, b)), -2)
+    row = np.full(len(a), ~np.uint64(0))
+    seen = np.zeros((len(a), 8), np.uint8)
+    for c in y.T:
+        seen[:, : x.shape[1] // 8] = np.packbits(x == c[:, None], axis=1, bitorder="little")
+        both = row & seen.view("<u8")[:, 0]
+        row = (row + both) | (row - both)  # bits above a's characters stay set
+    return WORD - np.bitwise_count(row).astype(np.int64)
+
+
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """Similarity of each pair of a and b; each different pair is compared once."""
+    number: dict[tuple[str, str], int] = {}
+    which = np.fromiter((number.setdefault(p, len(number)) for p in zip(a, b, strict=True)), np.int64, len(a))
+    pairs = [p if len(p[0]) <= len(p[1]) else p[::-1] for p in number]
+    short, long = (np.array([len(p[k]) for p in pairs], np.int64) for k in range(2))
+    common = np.zeros(len(pairs), np.int64)
+    side = np.flatnonzero((short > 0) & (short <= WORD))
+    side = side[np.argsort(long[side], kind="stable")]
+    # Pairs whose longer texts have lengths of one power of 2 lie side by side, so at most half is padding.
+    part = np.frexp(long[side])[1].astype(np.int64) * (1 << 40) + np.cumsum(long[side]) // CELLS
+    alone = [np.flatnonzero(short > WORD)]
+    for rows in np.split(side, np.flatnonzero(np.diff(part)) + 1):
+        if len(rows) < FEW:
+            alone.append(rows)
+        else:
+            common[rows] = _common_of(*zip(*(pairs[k] for k in rows.tolist()), strict=True))
+    for k in np.concatenate(alone).tolist():
+        common[k] = _common(*pairs[k])
+    total = short + long
+    return np.where(total == 0, 100.0, 200.0 * common / np.maximum(total, 1))[which]
+
+
 @once
 @F.pandas_udf(DoubleType())
 def token_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarity of two columns of sorted tokens; null for null."""
-    return pd.Series([None if x is None or y is None else _ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+    asked = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[asked] = ratios(a[asked].tolist(), b[asked].tolist())
+    return pd.Series(out)
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -52,7 +106,28 @@ def ratio(a: Column, b: Column) -> Column:
 @F.pandas_udf(ArrayType(DoubleType()))
 def pair_ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     """Similarities of every text of one array with every one of another, row by row; null for null."""
-    return pd.Series([None if x is None or y is None else [_ratio(p, t) for p in x for t in y] for x, y in zip(a, b, strict=True)])
+    out: list[np.ndarray | None] = []
+    held: list[tuple[int, list[str], list[str]]] = []
+    waiting = 0
+
+    def flush() -> None:
+        found = ratios([x for _, left, _ in held for x in left], [y for *_, right in held for y in right])
+        ends = np.cumsum([len(left) for _, left, _ in held])
+        for (at, *_), values in zip(held, np.split(found, ends[:-1]), strict=True):
+            out[at] = values
+        held.clear()
+
+    for x, y in zip(a, b, strict=True):
+        if x is not None and y is not None:
+            held.append((len(out), [p for p in x for _ in y], [t for _ in x for t in y]))
+            waiting += len(x) * len(y)
+        out.append(None)
+        if waiting > PAIRS:
+            flush()
+            waiting = 0
+    if held:
+        flush()
+    return pd.Series(out, dtype=object)
 
 
 def token_sort_ratio(a: Column | str, b: Column | str) -> Column:

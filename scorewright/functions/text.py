@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,6 +86,7 @@ def composed(df: DataFrame, *cols: str, to: tuple[str, ...] | None = None) -> Da
     return df.withColumns({n: form(c) for n, c in zip(to or cols, cols, strict=True)})
 
 
+@cache
 def _marks() -> tuple[str, str, str]:
     """From all code points of Unicode: characters and what they become without their marks, one for one, then the marks
     themselves, which have no counterpart and are dropped; and a class of those that take more than a look-up: characters
@@ -106,7 +108,12 @@ def _marks() -> tuple[str, str, str]:
     return "".join([*pairs, *gone]), "".join(pairs.values()), "[" + "".join(f"\\x{{{ord(c):x}}}" for c in odd) + "]"
 
 
-MARKED, BARE, RESIDUE = _marks()
+def __getattr__(name: str) -> str:
+    """MARKED, BARE and RESIDUE, made when first asked for: Python workers import this module and don't need them."""
+    tables = ("MARKED", "BARE", "RESIDUE")
+    if name in tables:
+        return _marks()[tables.index(name)]
+    raise AttributeError(name)
 
 
 def strip_diacritics(c: Column | str) -> Column:
@@ -115,7 +122,8 @@ def strip_diacritics(c: Column | str) -> Column:
     Text in composed form is right as a whole but for RESIDUE: a few characters that become several, and letters that
     join once a mark between them is gone, as vowels of Hangul do. stripped() takes these as well.
     """
-    return F.translate(_c(c), MARKED, BARE)
+    marked, bare, _ = _marks()
+    return F.translate(_c(c), marked, bare)
 
 
 @once
@@ -127,7 +135,7 @@ def _stripped(s: pd.Series) -> pd.Series:
 
 def stripped(c: Column | str) -> Column:
     """strip_diacritics() of any text in any form; only texts with a character of RESIDUE reach Python."""
-    odd = F.coalesce(_c(c).rlike(RESIDUE), F.lit(False))
+    odd = F.coalesce(_c(c).rlike(_marks()[2]), F.lit(False))
     return F.when(odd, _stripped(F.when(odd, _c(c)))).otherwise(strip_diacritics(c))
 
 

@@ -9,7 +9,7 @@ from scorewright.functions import text as T
 from scorewright.functions.similarity import distinct_ratios, name_similarity, native_token_sort_ratio, pair_ratios, sorted_tokens, token_sort_ratio
 from scorewright.operators import match, parse, score
 from scorewright.operators.assign import assigned, item_pairs
-from scorewright.plans.bridges import ANSWERS, GT, NUTRITION, RESPONSES, SPARK_LISTS, rows, twin
+from scorewright.plans.bridges import ANSWERS, GT, NUTRITION, RESPONSES, SPARK_LISTS, rows, spread, twin
 from scorewright.queries import duck as D
 from scorewright.queries.registry import query
 
@@ -20,7 +20,7 @@ KEYS = ["image_id", "model_key", "condition"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

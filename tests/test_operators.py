@@ -191,3 +191,33 @@ def test_bootstraps(spark):
         assert poisson[g]["n"] == len(v) and abs(poisson[g]["lo"] - (v.mean() - 1.96 * se)) < 0.25 * se and abs(poisson[g]["hi"] - (v.mean() + 1.96 * se)) < 0.25 * se
     again = {r["g"]: r["lo"] for r in report.poisson_bootstrap(d.repartition(5), ["g"], "image_id", "v", 2000).collect()}
     assert all(abs(again[g] - poisson[g]["lo"]) < 1e-12 for g in again)
+
+
+def test_similarities_side_by_side():
+    """Pairs compared beside each other have the ratios of single ones: empty, equal, repeated, short, long and wide texts."""
+    import random
+
+    from scorewright.functions import similarity
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abc éñ😀") for _ in range(r.choice([0, 1, 7, 25, 63, 64, 65, 130])))
+    a, b = ([word() for _ in range(800)] for _ in range(2))
+    a, b = [*a, "", "x", "same", *a[:50]], [*b, "", "", "same", *b[:50]]
+    assert similarity.ratios(a, b).tolist() == [similarity._ratio(x, y) for x, y in zip(a, b, strict=True)]
+    assert similarity.ratios([], []).tolist() == []
+
+
+def test_pair_ratios_of_arrays(spark):
+    from scorewright.functions.similarity import pair_ratios
+
+    rows = [(["a b", "c"], ["c", "a x"]), ([], ["a"]), (None, ["a"]), (["q"], ["q"])] * 40
+    got = [r[0] for r in spark.createDataFrame(rows, "a array<string>, b array<string>").select(pair_ratios("a", "b")).collect()]
+    assert got == [[0.0, 200 * 2 / 6, 100.0, 0.0], [], None, [100.0]] * 40
+
+
+def test_spread_of_one_split(spark):
+    from scorewright.plans.bridges import spread
+
+    n = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == n
+    assert spread(spark.range(100, numPartitions=n + 3)).rdd.getNumPartitions() == n + 3
