@@ -70,6 +70,10 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("#", *parts)), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+#: Partitions in which a bootstrap's resamples are drawn.
+DRAWING = 64
+
+
 def bootstrap(values: DataFrame, groups: list[str], id_col: str, value: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """Percentile interval of the mean by hash-driven resampling: draw k of a resample takes row floor(u * n) of its group.
 
@@ -80,9 +84,12 @@ def bootstrap(values: DataFrame, groups: list[str], id_col: str, value: str, res
     v = values.where(F.col(value).isNotNull())
     numbered = v.select(*groups, F.col(value).alias("_v"), (F.row_number().over(Window.partitionBy(*groups).orderBy(id_col)) - 1).alias("_k"))
     sizes = v.groupBy(*groups).agg(F.count("*").alias("n"), F.avg(value).alias("mean"))
-    draws = sizes.select(*groups, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b")).select(*groups, "n", "_b", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("_d"))
+    # The draws grow out of a few rows of sizes, from which the planner takes them for small: each resample draws in its
+    # own partition, and the join shuffles both sides instead of sending all draws through the driver.
+    blocks = sizes.select(*groups, "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_b")).repartition(DRAWING, *groups, "_b")
+    draws = blocks.select(*groups, "n", "_b", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("_d"))
     draws = draws.withColumn("_k", F.floor(uniform(F.lit(seed), F.col("_b"), F.col("_d")) * F.col("n")).cast("int"))
-    means = draws.join(numbered, [*groups, "_k"]).groupBy(*groups, "_b").agg(F.avg("_v").alias("_m"))
+    means = draws.select(*groups, "_b", "_k").hint("merge").join(numbered, [*groups, "_k"]).groupBy(*groups, "_b").agg(F.avg("_v").alias("_m"))
     ci = means.groupBy(*groups).agg(F.percentile("_m", 0.025).alias("lo"), F.percentile("_m", 0.975).alias("hi"))
     return sizes.join(ci, groups)
 

@@ -221,3 +221,12 @@ def test_spread_of_one_split(spark):
     n = spark.sparkContext.defaultParallelism
     assert spread(spark.range(100, numPartitions=1)).rdd.getNumPartitions() == n
     assert spread(spark.range(100, numPartitions=n + 3)).rdd.getNumPartitions() == n + 3
+
+
+def test_bootstrap_sends_no_draws_through_the_driver(spark):
+    """The draws are the larger side by far: they must be shuffled, whatever the planner takes their size for."""
+    d = spark.range(3000).selectExpr("concat('g', id % 2) AS g", "CAST(id AS string) AS image_id", "CAST(id % 7 AS double) AS v")
+    out = report.bootstrap(d, ["g"], "image_id", "v", 20)
+    assert {(r["g"], r["n"]) for r in out.collect()} == {("g0", 1500), ("g1", 1500)}
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin [g" in plan and "_k" not in "".join(x for x in plan.splitlines() if "BroadcastHashJoin" in x)
