@@ -52,47 +52,51 @@ def score_records(answers: DataFrame, truth: DataFrame) -> DataFrame:
     """One row per answer to a labelled record and field: KEYS, field, field_type, pred_value and gt_value (as text), FLAGS,
     and the columns of the matchers, null where a field's type lacks them. Answers without FLAGS count as valid.
 
-    The nine fields of an answer become nine rows of its own partition; no matcher shuffles them.
+    Nutrition is matched on the answer's own row. Then an answer becomes five rows of its own partition, a scalar on each
+    and a list on the first three, for the other two matchers; these five become nine. No matcher shuffles them.
     """
     for name, value in (("json_valid", F.lit(True)), ("api_error", F.lit(None).cast("string")), ("structural_issues", F.array().cast("array<string>"))):
         if name not in answers.columns:
             answers = answers.withColumn(name, value)
     flat = lambda c: F.coalesce(c, F.lit(""))
-    a = composed(answers.select(*KEYS, *FLAGS, F.struct(*FIELDS).alias("_a")), "_a")
-    d = a.join(composed(truth.select("image_id", F.struct(*FIELDS).alias("_g")), "_g"), "image_id")
-    none, pairs = F.lit(None).cast("array<string>"), F.lit(None).cast("array<struct<name:string,value:string>>")
-    text = F.lit(None).cast("string")
-    side = lambda c, f: (flat(F.col(f"{c}.{f}")), none, pairs) if f in SCALARS else (text, F.col(f"{c}.{f}"), pairs) if f in LISTS else (text, none, F.col(f"{c}.{f}"))
-    kind = lambda f: "scalar" if f in SCALARS else "list" if f in LISTS else "nutrition"
-
-    def row(f: str):
-        p, g = side("_a", f), side("_g", f)
-        return F.struct(F.lit(f).alias("field"), F.lit(kind(f)).alias("field_type"), *(x.alias(n) for n, x in zip(("pred", "pred_list", "pred_pairs", "truth", "truth_list", "truth_pairs"), (*p, *g), strict=True)))
-
-    d = d.select(*KEYS, *FLAGS, F.inline(F.array(*map(row, FIELDS))))
-    # A row has values for one matcher alone; the others see nulls.
+    a = composed(answers.select(*KEYS, *FLAGS, F.struct(*FIELDS).alias("_said")), "_said")
+    d = a.join(composed(truth.select("image_id", F.struct(*FIELDS).alias("_true")), "_true"), "image_id")
+    d = match_nutrition(d, [*KEYS, *FLAGS, "_said", "_true"], "_said.nutrition", "_true.nutrition", compose=False)
+    text = lambda of, f: flat(of(F.col(f)))
+    none = lambda kind: F.lit(None).cast(kind)
+
+    def row(field, kind, pred, truth, said, true, precision, recall, f1, n_pred, n_truth, scalar=False, nutrition=False):
+        """A row of the table as a struct; columns that a field's type lacks are null."""
+        of = lambda has, c, kind: (c if has else none(kind))
+        c = F.col
+        return F.struct(
+            field.alias("field"), F.lit(kind).alias("field_type"), pred.alias("pred"), truth.alias("truth"), said.alias("pred_value"), true.alias("gt_value"),
+            precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
+            of(scalar, c("strict"), "boolean").alias("strict"), of(scalar, c("lenient"), "boolean").alias("lenient"), of(scalar, c("strict").cast("double"), "double").alias("strict_f1"),
+            of(scalar, c("similarity"), "double").alias("similarity"), of(scalar, c("diacritic_only"), "boolean").alias("diacritic_only_mismatch"),
+            of(nutrition, c("pairing_accuracy"), "double").alias("pairing_accuracy"), of(nutrition, c("value_accuracy"), "double").alias("value_accuracy"),
+            n_pred.alias("n_pred"), n_truth.alias("n_truth"),
+        )
+
+    nut = row(F.lit("nutrition"), "nutrition", none("string"), none("string"), text(nutrition_text, "_said.nutrition"), text(nutrition_text, "_true.nutrition"), F.col("name_precision"), F.col("name_recall"), F.col("name_f1"), F.col("n_pred"), F.col("n_truth"), nutrition=True)
+
+    def slot(k: int):
+        f, l = SCALARS[k], LISTS[k] if k < len(LISTS) else None
+        side = lambda c: (flat(F.col(f"{c}.{f}")), F.col(f"{c}.{l}") if l else none("array<string>"))
+        (pred, pred_list), (true, true_list) = side("_said"), side("_true")
+        return F.struct(F.lit(f).alias("field"), pred.alias("pred"), true.alias("truth"), F.lit(l).cast("string").alias("list_field"), pred_list.alias("pred_list"), true_list.alias("truth_list"), F.lit(k == 0).alias("first"))
+
+    d = d.withColumn("_nut", nut).select(*KEYS, *FLAGS, "_nut", F.inline(F.array(*map(slot, range(len(SCALARS))))))
     d = match_scalars(d, compose=False)
-    said = lambda c: F.coalesce(F.col(c), list_text(f"{c}_list"), nutrition_text(f"{c}_pairs"), F.lit(""))
-    keep = [*KEYS, "field", "field_type", *FLAGS, "strict", "lenient", "similarity", "diacritic_only", "scalar_pred", "scalar_truth", "pred_value", "gt_value"]
-    d = d.withColumns({"pred_value": said("pred"), "gt_value": said("truth")}).withColumnsRenamed({"pred": "scalar_pred", "truth": "scalar_truth"})
-    d = match_lists(d, [*keep, "pred_pairs", "truth_pairs"], "pred_list", "truth_list", compose=False).withColumnsRenamed({"n_pred": "list_pred", "n_truth": "list_truth", "precision": "list_precision", "recall": "list_recall", "f1": "list_f1"})
-    lists = ["list_pred", "list_truth", "list_precision", "list_recall", "list_f1"]
-    d = match_nutrition(d, [*keep, *lists], "pred_pairs", "truth_pairs", compose=False)
-    is_ = lambda k: F.col("field_type") == k
-    by = lambda s, l, n: F.when(is_("scalar"), s).when(is_("list"), l).otherwise(n)
-    hit = F.col("lenient").cast("double")
-    only = lambda k, c: F.when(is_(k), F.col(c))
-    return d.select(
-        *KEYS, "field", "field_type", F.col("scalar_pred").alias("pred"), F.col("scalar_truth").alias("truth"), "pred_value", "gt_value", *FLAGS,
-        by(hit, F.col("list_precision"), F.col("name_precision")).alias("precision"),
-        by(hit, F.col("list_recall"), F.col("name_recall")).alias("recall"),
-        by(hit, F.col("list_f1"), F.col("name_f1")).alias("f1"),
-        only("scalar", "strict").alias("strict"), only("scalar", "lenient").alias("lenient"),
-        F.when(is_("scalar"), F.col("strict").cast("double")).alias("strict_f1"),
-        only("scalar", "similarity").alias("similarity"), only("scalar", "diacritic_only").alias("diacritic_only_mismatch"),
-        only("nutrition", "pairing_accuracy").alias("pairing_accuracy"), only("nutrition", "value_accuracy").alias("value_accuracy"),
-        by(F.lit(None).cast("int"), F.col("list_pred"), F.col("n_pred")).alias("n_pred"), by(F.lit(None).cast("int"), F.col("list_truth"), F.col("n_truth")).alias("n_truth"),
-    )
+    d = d.withColumns({"said_list": text(list_text, "pred_list"), "true_list": text(list_text, "truth_list")}).withColumnsRenamed({"pred": "scalar_pred", "truth": "scalar_truth"})
+    keep = [*KEYS, *FLAGS, "_nut", "first", "field", "scalar_pred", "scalar_truth", "strict", "lenient", "similarity", "diacritic_only", "list_field", "said_list", "true_list"]
+    d = match_lists(d, keep, "pred_list", "truth_list", compose=False)
+    hit, pred, true = F.col("lenient").cast("double"), F.col("scalar_pred"), F.col("scalar_truth")
+    scalar = row(F.col("field"), "scalar", pred, true, pred, true, hit, hit, hit, none("int"), none("int"), scalar=True)
+    listed = row(F.col("list_field"), "list", none("string"), none("string"), *(F.col(c) for c in ("said_list", "true_list", "precision", "recall", "f1", "n_pred", "n_truth")))
+    d = d.select(*KEYS, *FLAGS, F.inline(F.array_compact(F.array(scalar, F.when(F.col("list_field").isNotNull(), listed), F.when(F.col("first"), F.col("_nut"))))))
+    own = [c for c in d.columns if c not in (*KEYS, *FLAGS)]
+    return d.select(*KEYS, *own[: own.index("gt_value") + 1], *FLAGS, *own[own.index("gt_value") + 1 :])
 
 
 def field_table(scored: DataFrame) -> DataFrame:

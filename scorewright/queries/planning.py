@@ -185,7 +185,7 @@ def c11_cost_usd(spark, sf_dir):
 @query(twin(f"SELECT t.image_id, product_name, origin, net_weight, mfg_date, expiry_date, array_to_string(ingredient, ' | ') AS ingredient, array_to_string(warning, ' | ') AS warning, len(nutrition) AS n_nutrition FROM truth t", *map(_duck, BASE)))
 def a1_read_labels(spark, sf_dir):
     """The truth of every record as JSON, read strictly."""
-    return _labels(truth(spark, sf_dir))
+    return _labels(truth(spark, sf_dir, whole_ids=False))
 
 
 @query(twin(f"SELECT s.image_id, product_name, origin, net_weight, mfg_date, expiry_date, array_to_string(ingredient, ' | ') AS ingredient, array_to_string(warning, ' | ') AS warning, len(nutrition) AS n_nutrition FROM said s WHERE model_key = 'm1'", *map(_duck, BASE)))

@@ -59,13 +59,17 @@ def twin(select: str, *parts: str) -> str:
     return "WITH " + ",\n".join([*map(_duck, BASE), *parts]) + "\n" + select
 
 
-def truth(spark, sf_dir):
-    return rows(spark, sf_dir, "truth", *map(_spark, BASE[:4]))
+def truth(spark, sf_dir, whole_ids=True):
+    return rows(spark, sf_dir, "truth", *map(_spark, BASE[:4]), whole_ids=whole_ids)
+
+
+def said(spark, sf_dir):
+    return rows(spark, sf_dir, "said", *map(_spark, BASE), whole_ids=True)
 
 
 def responses(spark, sf_dir):
     """Raw answers: JSON of all nine fields, some cut off, some refused, some without content."""
-    d = rows(spark, sf_dir, "said", *map(_spark, BASE))
+    d = said(spark, sf_dir)
     whole = F.to_json(F.struct(*S.FIELDS))
     content = F.when(F.col("status") == "ok", whole).when(F.col("status") == "cut", F.expr("substring(j, 1, length(j) - 1)")).when(F.col("status") == "refused", "I cannot read this label.")
     d = d.withColumn("j", whole).withColumn("content", content)
@@ -251,7 +255,7 @@ def g6_crosstab_of_all_types(spark, sf_dir):
 
 def control(spark, sf_dir):
     """A second annotation of every record, some of them unknown to the first."""
-    d = rows(spark, sf_dir, "said", *map(_spark, BASE)).where("model_key = 'm1'")
+    d = said(spark, sf_dir).where("model_key = 'm1'")
     d = d.withColumns({"model_key": F.lit("control_annotator"), "condition": F.lit("agreement")})
     return d.withColumn("image_id", F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("x"), F.col("image_id"))).otherwise(F.col("image_id"))).select(*KEYS, *S.FIELDS)
 
