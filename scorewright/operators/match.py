@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +32,26 @@ def match_scalars(df: DataFrame, field: str = "field", pred: str = "pred", truth
     are compared in composed form; with compose = False they are taken to be in it.
     """
     d = composed(df, pred, truth, to=("_cp", "_cg")) if compose else df.withColumns({"_cp": F.col(pred), "_cg": F.col(truth)})
-    d = d.withColumns({"_p": normalize_text("_cp"), "_g": normalize_text("_cg"), "_pn": number_unit("_cp"), "_gn": number_unit("_cg")})
+    # Numbers are read of weights alone and dates of dates alone.
+    weighs, dated = F.col(field) == "net_weight", F.col(field).isin(*DATES)
+    d = d.withColumns({"_p": normalize_text("_cp"), "_g": normalize_text("_cg"), "_pn": F.when(weighs, number_unit("_cp")), "_gn": F.when(weighs, number_unit("_cg")), "_pd": F.when(dated, normalize_date("_cp")), "_gd": F.when(dated, normalize_date("_cg"))})
     units = F.col("_pn.unit").isNull() | F.col("_gn.unit").isNull() | (F.col("_pn.unit") == F.col("_gn.unit"))
-    weight = (F.col(field) == "net_weight") & close(F.col("_pn.number"), F.col("_gn.number")) & units
-    date = F.col(field).isin(*DATES) & (normalize_date("_cp") == normalize_date("_cg")) & (normalize_date("_cg") != "")
+    weight = weighs & close(F.col("_pn.number"), F.col("_gn.number")) & units
+    date = dated & (F.col("_pd") == F.col("_gd")) & (F.col("_gd") != "")
     d = d.withColumn("_strict", F.coalesce(weight | date, F.lit(False)) | (F.col("_p") == F.col("_g")))
     tokens = lambda c: F.when(~F.col("_strict"), sorted_tokens(F.col(c)))
     d = d.withColumn("_sim", F.coalesce(token_ratio(tokens("_p"), tokens("_g")), F.lit(100.0)))
     d = d.withColumns({"strict": F.col("_strict"), "lenient": F.col("_strict") | (F.col("_sim") >= LENIENT), "similarity": F.when(F.col("_strict"), 100.0).otherwise(F.col("_sim"))})
-    return d.withColumn("diacritic_only", ~F.col("_strict") & (F.col("_g") != "") & (strip_diacritics("_p") == strip_diacritics("_g"))).drop("_cp", "_cg", "_p", "_g", "_pn", "_gn", "_strict", "_sim")
+    return d.withColumn("diacritic_only", ~F.col("_strict") & (F.col("_g") != "") & (strip_diacritics("_p") == strip_diacritics("_g"))).drop("_cp", "_cg", "_p", "_g", "_pn", "_gn", "_pd", "_gd", "_strict", "_sim")
+
+
+def match_distinct(df: DataFrame, field: str = "field", pred: str = "pred", truth: str = "truth") -> DataFrame:
+    """match_scalars() for tables in which fields repeat, as weights, dates and brands do: each different (field, pred,
+    truth) is matched once in the job and what is found is joined back. All rows stay, and nulls meet nulls."""
+    cols = [field, pred, truth]
+    found = match_scalars(df.select(*cols).distinct(), *cols).withColumnsRenamed({c: f"_of_{c}" for c in cols})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cols))
+    return df.join(found, same).drop(*(f"_of_{c}" for c in cols))
 
 
 def _f1(p: Column, r: Column) -> Column:

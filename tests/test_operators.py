@@ -230,3 +230,17 @@ def test_bootstrap_sends_no_draws_through_the_driver(spark):
     assert {(r["g"], r["n"]) for r in out.collect()} == {("g0", 1500), ("g1", 1500)}
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "SortMergeJoin [g" in plan and "_k" not in "".join(x for x in plan.splitlines() if "BroadcastHashJoin" in x)
+
+
+def test_repeated_fields_are_matched_once(spark):
+    """The same rows as match_scalars(), nulls and repeats too, while the matcher sees each different triple once."""
+    from scorewright.operators import match
+
+    some = [("net_weight", "100 g", "100gram"), ("net_weight", "5 kg", "5 g"), ("mfg_date", "1.2.2024", "2024-2-1"), ("product_name", "red tea", "tea rod"), ("product_name", None, "x"), ("origin", "Vietnam", None), ("origin", "100 g", "100 kg")]
+    d = spark.createDataFrame([(k, *x) for k in range(5) for x in some], "id int, field string, pred string, truth string")
+    rows = lambda x: sorted(map(str, x.select("id", "field", "pred", "truth", "strict", "lenient", "similarity", "diacritic_only").collect()))
+    once = match.match_distinct(d)
+    assert rows(once) == rows(match.match_scalars(d)) and once.count() == 35
+    plan = once._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    calls = [k for k, x in enumerate(plan) if "ArrowEvalPython" in x]
+    assert calls and all(any("Aggregate" in y for y in plan[k:]) for k in calls)
