@@ -52,12 +52,12 @@ def sample_subset(items: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return hash_sample(items, n, seed, "image_id")
 
 
-def resolve_subset(items: DataFrame, ids: list[str] | None = None, pinned: DataFrame | None = None, n: int = 120, seed: int = 42) -> DataFrame:
-    """Explicit ids, else the pinned list at the default size and seed, else a fresh sample."""
+def resolve_subset(items: DataFrame, ids: list[str] | None = None, pinned: DataFrame | None = None, n: int = 120, seed: int = 42, key: str | list[str] = "image_id") -> DataFrame:
+    """Explicit ids, else the pinned list (by key) at the default size and seed, else a fresh sample."""
     if ids:
         return select_ids(items, ids)
     if pinned is not None and (n, seed) == (120, 42):
-        return items.join(pinned, "image_id", "left_semi")
+        return items.join(pinned, key, "left_semi")
     return sample_subset(items, n, seed)
 
 
@@ -65,11 +65,13 @@ def labeled_only(items: DataFrame, labels: DataFrame, key: str = "image_id") ->
     return items.join(labels, key, "left_semi")
 
 
-def dataset_index(ids: DataFrame, images: DataFrame, labels: DataFrame) -> DataFrame:
-    """ids with image_path, label_path and has_ground_truth; an id without an image raises when the row is read."""
-    d = ids.join(images, "image_id", "left").join(labels, "image_id", "left")
+def dataset_index(ids: DataFrame, images: DataFrame, labels: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """ids with image_path, label_path and has_ground_truth; an id without an image raises when the row is read. key is
+    what tells items apart, image_id by default."""
+    key = key or ["image_id"]
+    d = ids.join(images, key, "left").join(labels, key, "left")
     checked = F.coalesce("image_path", F.raise_error(F.concat(F.lit("no image for id "), F.col("image_id"))).cast("string"))
-    return d.select("image_id", checked.alias("image_path"), "label_path", F.col("label_path").isNotNull().alias("has_ground_truth"))
+    return d.select(*key, checked.alias("image_path"), "label_path", F.col("label_path").isNotNull().alias("has_ground_truth"))
 
 
 def prompt_conditions(spark: SparkSession) -> DataFrame:
@@ -95,11 +97,11 @@ def run_plan(items: DataFrame, models: DataFrame, conditions: DataFrame, tier: s
     return d.select(F.lit(tier).alias("tier"), "image_id", F.explode("ms").alias("model_key"), "cs").select("tier", "model_key", "image_id", F.explode("cs").alias("condition"))
 
 
-def perturbation_manifest(items: DataFrame, seed: int = 42) -> DataFrame:
-    """Items under every kind and severity: condition, kind, severity, p1, p2, seed (by record)."""
+def perturbation_manifest(items: DataFrame, seed: int = 42, number: str = "image_id") -> DataFrame:
+    """Items under every kind and severity: condition, kind, severity, p1, p2, seed (by record, from its number)."""
     grid = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(s + 1).alias("severity"), F.lit(v[s][0]).cast("double").alias("p1"), F.lit(v[s][1]).cast("double").alias("p2")) for (k, v), s in product(PERTURBATIONS.items(), range(3))))
-    d = items.select("image_id", F.inline(grid))
-    return d.select("image_id", F.concat("kind", F.lit("_s"), F.col("severity").cast("string")).alias("condition"), "kind", "severity", "p1", "p2", (F.lit(seed) + F.col("image_id").cast("long")).alias("seed"))
+    d = items.select("image_id", F.col(number).cast("long").alias("_number"), F.inline(grid))
+    return d.select("image_id", F.concat("kind", F.lit("_s"), F.col("severity").cast("string")).alias("condition"), "kind", "severity", "p1", "p2", (F.lit(seed) + F.col("_number")).alias("seed"))
 
 
 def scope(plan: DataFrame) -> DataFrame:

@@ -39,14 +39,18 @@ def cached(spark, sf_dir):
     return rows(spark, sf_dir, "cached", ANSWERS, RESPONSES, CACHED)
 
 
-def labelled(spark, sf_dir):
-    return items(spark, sf_dir).where("p_partkey % 3 > 0").select("image_id", F.concat(F.lit("labels/"), F.col("image_id"), F.lit(".json")).alias("label_path"))
+def labelled(spark, sf_dir, *keys):
+    return items(spark, sf_dir).where("p_partkey % 3 > 0").select("image_id", *keys, F.concat(F.lit("labels/"), F.col("image_id"), F.lit(".json")).alias("label_path"))
+
+
+#: Items whose numbers have more than six digits share ids, so an item is told by both.
+ITEM = ["image_id", "p_partkey"]
 
 
 @query(twin("SELECT image_id, concat('images/', image_id, '.jpeg') AS image_path, CASE WHEN p_partkey % 3 > 0 THEN concat('labels/', image_id, '.json') END AS label_path, p_partkey % 3 > 0 AS has_ground_truth FROM items", ITEMS))
 def a3_dataset_index(spark, sf_dir):
-    images = items(spark, sf_dir).select("image_id", F.concat(F.lit("images/"), F.col("image_id"), F.lit(".jpeg")).alias("image_path"))
-    return S.dataset_index(items(spark, sf_dir).select("image_id"), images, labelled(spark, sf_dir))
+    images = items(spark, sf_dir).select(*ITEM, F.concat(F.lit("images/"), F.col("image_id"), F.lit(".jpeg")).alias("image_path"))
+    return S.dataset_index(items(spark, sf_dir).select(*ITEM), images, labelled(spark, sf_dir, "p_partkey"), ITEM).drop("p_partkey")
 
 
 
@@ -54,8 +58,8 @@ def a3_dataset_index(spark, sf_dir):
 def a9_upsert(spark, sf_dir):
     d = rows(spark, sf_dir, "answers", ANSWERS)
     new = d.where("p_partkey % 2 = 0").unionByName(d.where("model_key = 'm0' AND p_partkey % 2 = 1").withColumn("model_key", F.lit("m9")))
-    cols = ["image_id", "model_key", "condition"]
-    return tables.upserted(d.select(*cols, "v"), new.select(*cols, (F.col("v") + 100).alias("v")), cols)
+    cols = [*ITEM, "model_key", "condition"]
+    return tables.upserted(d.select(*cols, "v"), new.select(*cols, (F.col("v") + 100).alias("v")), cols).drop("p_partkey")
 
 
 STORED = twin("SELECT image_id, model_key, condition, content FROM done", ANSWERS, RESPONSES, CACHED, DONE)
@@ -113,8 +117,8 @@ def b4_sample_subset(spark, sf_dir):
 
 @query(twin("SELECT image_id FROM items WHERE p_partkey % 11 = 0", ITEMS))
 def b5_resolve_subset(spark, sf_dir):
-    pinned = items(spark, sf_dir).where("p_partkey % 11 = 0").select("image_id")
-    return S.resolve_subset(items(spark, sf_dir), pinned=pinned).select("image_id")
+    pinned = items(spark, sf_dir).where("p_partkey % 11 = 0").select(*ITEM)
+    return S.resolve_subset(items(spark, sf_dir), pinned=pinned, key=ITEM).select("image_id")
 
 
 @query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -138,7 +142,7 @@ def b8_prompt_conditions(spark, sf_dir):
 
 @query(twin("SELECT image_id, concat(kind, '_s', CAST(s AS string)) AS condition, kind, CAST(s AS INT) AS severity, CASE kind WHEN 'blur' THEN [1.5, 3.5, 6.0][s] WHEN 'glare' THEN [0.35, 0.55, 0.75][s] ELSE [5.0, 15.0, 30.0][s] END AS p1, CASE kind WHEN 'glare' THEN [0.18, 0.22, 0.28][s] END AS p2, CAST(42 + p_partkey AS BIGINT) AS seed FROM items, (SELECT unnest(['blur', 'glare', 'rotation']) AS kind), (SELECT unnest([1, 2, 3]) AS s) WHERE p_partkey % 5 = 0", ITEMS))
 def b9_perturbation_manifest(spark, sf_dir):
-    return S.perturbation_manifest(items(spark, sf_dir).where("p_partkey % 5 = 0"))
+    return S.perturbation_manifest(items(spark, sf_dir).where("p_partkey % 5 = 0"), number="p_partkey")
 
 
 @query(twin("SELECT count(DISTINCT image_id) AS n_images, count(DISTINCT model_key) AS n_models, count(DISTINCT condition) AS n_conditions, count(*) AS n_calls FROM plan_", ITEMS, PLAN))
@@ -169,7 +173,7 @@ def b14_shared_tier_reuse(spark, sf_dir):
 
 @query(twin("SELECT count(*) FILTER (WHERE p_partkey % 3 > 0) AS n_labeled, count(*) AS n FROM items", ITEMS))
 def b15_labelled_count(spark, sf_dir):
-    return S.labelled_count(items(spark, sf_dir), labelled(spark, sf_dir))
+    return S.labelled_count(items(spark, sf_dir), labelled(spark, sf_dir, "p_partkey"), "p_partkey")
 
 
 @query(twin("SELECT tier, model_key, round(sum(input_tokens / 1e6 * price_in + output_tokens / 1e6 * price_out), 4) AS cost_usd FROM ledger GROUP BY ALL", LEDGER))
@@ -268,8 +272,8 @@ def a9_upsert_last_wins(spark, sf_dir):
     d = rows(spark, sf_dir, "answers", ANSWERS).select("image_id", "model_key", "condition", "v", "p_partkey")
     some = d.where("p_partkey % 2 = 0")
     new = some.withColumns({"v": F.col("v") + 200, "at": F.lit(2)}).unionByName(some.withColumns({"v": F.col("v") + 900, "at": F.lit(1)}))
-    cols = ["image_id", "model_key", "condition"]
-    return tables.upserted(d.select(*cols, "v", F.lit(0).alias("at")), new.select(*cols, "v", "at"), cols, arrival="at").drop("at")
+    cols = [*ITEM, "model_key", "condition"]
+    return tables.upserted(d.select(*cols, "v", F.lit(0).alias("at")), new.select(*cols, "v", "at"), cols, arrival="at").drop("at", "p_partkey")
 
 
 VERSIONED = """first AS (SELECT image_id, CASE WHEN model_key <> 'm2' THEN model_key END AS model_key, CASE WHEN p_partkey % 6 > 0 THEN condition END AS condition, v, p_partkey FROM answers)"""
@@ -279,14 +283,14 @@ VERSIONED = """first AS (SELECT image_id, CASE WHEN model_key <> 'm2' THEN model
 def a9_versioned_upsert(spark, sf_dir):
     """Three writes to one path, read back: null models and conditions, keys that come twice in a batch, new partitions."""
     d = rows(spark, sf_dir, "first", ANSWERS, VERSIONED)
-    path, keys = tables.scratch(spark, "versioned"), ["image_id", "model_key", "condition"]
+    path, keys = tables.scratch(spark, "versioned"), [*ITEM, "model_key", "condition"]
     write = lambda x, add, n: x.select(*keys, (F.col("v") + add).alias("v"), F.lit(n).alias("wrote"))
     versioned.upsert(write(d, 0, 1), path, keys)
     some = d.where("p_partkey % 2 = 0")
     versioned.upsert(write(some, 900, 9).withColumn("at", F.lit(1)).unionByName(write(some, 200, 2).withColumn("at", F.lit(2))), path, keys, arrival="at")
     some = d.where("p_partkey % 4 = 0")
     versioned.upsert(write(some.where("model_key IS NULL").unionByName(some.where("model_key = 'm0'").withColumn("model_key", F.lit("m9"))), 300, 3), path, keys)
-    return versioned.read(spark, path).select(*keys, "v", "wrote")
+    return versioned.read(spark, path).select("image_id", "model_key", "condition", "v", "wrote")
 
 
 @query(twin("SELECT image_id, model_key, content FROM done", ANSWERS, RESPONSES, CACHED, DONE))
