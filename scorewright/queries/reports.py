@@ -222,7 +222,7 @@ def h8_holm_all(spark, sf_dir):
 @query(twin("SELECT field, group_a, group_b, a_only, b_only, exact, round(p, 9) AS p_value, round(p_holm, 9) AS p_holm, p_holm < 0.05 AS significant FROM holm", *SCORED, "paired AS (SELECT image_id, model_key, field, (f1 >= 0.999)::INT AS correct FROM field_scores)", MCNEMAR, _all("tab")))
 def h6_mcnemar_of_fields(spark, sf_dir):
     """Exact matches of each field between models, all tests of a field stepped down together."""
-    binary = Q.field_scores(spark, sf_dir).select("image_id", "model_key", "field", P.exact("f1").alias("correct"))
+    binary = Q.field_scores(spark, sf_dir, whole_ids=True).select("image_id", "model_key", "field", P.exact("f1").alias("correct"))
     d = _stepped(P.mcnemar_test(P.mcnemar_table(binary, ["field"])))
     return d.select("field", "group_a", "group_b", "a_only", "b_only", "exact", F.round("p_value", 9).alias("p_value"), F.round("p_holm", 9).alias("p_holm"), "significant")
 
@@ -230,7 +230,7 @@ def h6_mcnemar_of_fields(spark, sf_dir):
 @query()
 def h6_mcnemar_by_field(spark, sf_dir):
     """Per field: exact matches of the scored tables, paired tests between models, stepped down within the field."""
-    binary = Q.field_scores(spark, sf_dir).select("image_id", "model_key", "field", P.exact("f1").alias("correct"))
+    binary = Q.field_scores(spark, sf_dir, whole_ids=True).select("image_id", "model_key", "field", P.exact("f1").alias("correct"))
     return P.holm(P.mcnemar_test(P.mcnemar_table(binary, ["field"])), ["field"])
 
 

@@ -40,3 +40,9 @@ def test_a_record_meets_its_own_truth_alone(spark, tables):
 def test_items_that_share_a_cut_id_stay_apart(spark, tables, name):
     got = QUERIES[name](spark, tables)
     assert sorted(str(tuple(r)) for r in got.collect()) == twin(name, tables)
+
+
+def test_paired_tests_tell_records_apart(spark, tables):
+    """A cut id that several records share is no double entry: each of the six counts once in a pair of models."""
+    rows = QUERIES["h6_mcnemar_by_field"](spark, tables).collect()
+    assert len(rows) == 6 * 3 and {r["n"] for r in rows} == {len(KEYS)}
