@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -13,6 +14,7 @@ from scorewright.functions.columns import let, once
 from scorewright.functions.similarity import _ratio, pair_ratios, sorted_tokens, token_ratio
 from scorewright.functions.text import canonical_nutrient, composed, normalize_date, normalize_text, number_unit, strip_diacritics
 from scorewright.operators.assign import assigned
+from scorewright.sources.tables import stored
 
 #: Thresholds of similarity (fixed values).
 LENIENT, LIST, NAME = 90.0, 80.0, 75.0
@@ -54,6 +56,21 @@ def match_distinct(df: DataFrame, field: str = "field", pred: str = "pred", trut
     return df.join(found, same).drop(*(f"_of_{c}" for c in cols))
 
 
+def once_each(df: DataFrame, cols: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with the columns that work() adds to a table of cols, done once in the job for each different value of them.
+
+    df is read twice, so it should be a stored table or columns of one. What is found is stored, so Spark knows its size: a
+    small table goes to every task, and df is not shuffled; for a large one both are. All rows stay, and nulls meet nulls.
+    """
+    spark = df.sparkSession
+    asked = stored(spark, df.select(*cols).distinct(), "asked")
+    slots = spark.sparkContext.defaultParallelism
+    asked = asked if asked.rdd.getNumPartitions() >= slots else asked.repartition(slots)
+    found = stored(spark, work(asked), "found").withColumnsRenamed({c: f"_of_{c}" for c in cols})
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cols))
+    return df.join(found, same).drop(*(f"_of_{c}" for c in cols))
+
+
 def _f1(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
 

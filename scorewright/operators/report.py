@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -94,8 +93,6 @@ def bootstrap(values: DataFrame, groups: list[str], id_col: str, value: str, res
     return sizes.join(ci, groups)
 
 
-#: Cumulative Poisson(1) probabilities of 0, 1, 2, ...
-_POISSON = np.cumsum([np.exp(-1.0) / factorial(k) for k in range(12)])
 #: Resamples that one row of partial sums holds.
 BLOCK = 500
 
@@ -103,30 +100,26 @@ BLOCK = 500
 def poisson_bootstrap(values: DataFrame, groups: list[str], id_col: str, value: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """groups, n, mean, lo, hi: percentile interval of the mean by Poisson weights.
 
-    In each resample a row counts as often as a Poisson(1) number drawn from a hash of its id says, whatever the
-    partitioning. A task adds up its rows' weights and weighted values for blocks of resamples, so what is shuffled is a
-    row for each task, group and block, not rows of values; no row is numbered, joined or gathered. Rows of equal ids
-    draw alike.
+    In each resample a row counts as often as a Poisson(1) number says. Rows of one group and value (to 13 digits, so that
+    the order of a sum before plays no part) are drawn together, as the Poisson(n) number that n such numbers add up to:
+    the draws cost resamples times distinct values, not rows. They hang on the group, the value and the seed alone,
+    whatever the ids and the partitioning. A task adds up its values' weights for blocks of resamples, so what is
+    shuffled is a row for each distinct value, and one for each task, group and block.
     """
     kinds = ", ".join(f"{g} {values.schema[g].dataType.simpleString()}" for g in groups)
-    v = values.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("_h"))
+    v = values.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    hist = v.groupBy(*groups, F.format_string("%.12e", F.col("_v") + 0.0).alias("_d")).agg(F.avg("_v").alias("_v"), F.count("*").alias("_n"))
+    hist = hist.select(*groups, "_v", "_n", F.xxhash64(*groups, "_d", F.lit(seed)).alias("_h")).repartition(DRAWING, "_h")
 
     def sums(batches):
         held: dict[tuple, np.ndarray] = {}
         for b in batches:
-            key = pd.DataFrame({g: b.column(k).to_pandas() for k, g in enumerate(groups)}).astype(object)
-            key = key.where(key.notna(), None)
-            x, h = b.column(len(groups)).to_numpy(), b.column(len(groups) + 1).to_numpy().astype(np.uint64)
-            for name, rows in key.groupby(groups, dropna=False, sort=False).indices.items():
-                name = name if isinstance(name, tuple) else (name,)
-                total = held.setdefault(tuple(None if n != n else n for n in name), np.zeros((2, resamples)))
-                for k in range(0, resamples, BLOCK):
-                    at = np.arange(k, min(k + BLOCK, resamples), dtype=np.uint64)
-                    for part in range(0, len(rows), 2000):
-                        some = rows[part : part + 2000]
-                        w = _weights(h[some], at)
-                        total[0, k : k + len(at)] += w.sum(0)
-                        total[1, k : k + len(at)] += x[some] @ w
+            *names, x, n, h = (c.to_pylist() for c in b.columns)
+            for k, name in enumerate(zip(*names, strict=True)):
+                total = held.setdefault(name, np.zeros((2, resamples)))
+                w = np.random.default_rng(h[k] % (1 << 64)).poisson(n[k], resamples)
+                total[0] += w
+                total[1] += x[k] * w
         for name, total in held.items():
             n = -(-resamples // BLOCK)
             cut = [total[:, k * BLOCK : (k + 1) * BLOCK].tolist() for k in range(n)]
@@ -134,7 +127,7 @@ def poisson_bootstrap(values: DataFrame, groups: list[str], id_col: str, value:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
 
     schema = to_arrow_schema(StructType([values.schema[g] for g in groups] + [StructField("_b", IntegerType()), StructField("_w", ArrayType(DoubleType())), StructField("_x", ArrayType(DoubleType()))]))
-    part = v.mapInArrow(sums, f"{kinds}, _b int, _w array<double>, _x array<double>")
+    part = hist.mapInArrow(sums, f"{kinds}, _b int, _w array<double>, _x array<double>")
     each = part.select(*groups, "_b", F.posexplode(F.arrays_zip("_w", "_x")).alias("_k", "_p"))
     means = each.groupBy(*groups, "_b", "_k").agg(F.sum("_p._w").alias("_w"), F.sum("_p._x").alias("_x")).where("_w > 0").withColumn("_m", F.col("_x") / F.col("_w"))
     ci = means.groupBy(*groups).agg(F.percentile("_m", 0.025).alias("lo"), F.percentile("_m", 0.975).alias("hi"))
@@ -143,17 +136,6 @@ def poisson_bootstrap(values: DataFrame, groups: list[str], id_col: str, value:
     return sizes.alias("s").join(ci.alias("c"), same).select(*(F.col(f"s.{g}").alias(g) for g in groups), "n", "mean", "lo", "hi")
 
 
-def _weights(h: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Poisson(1) numbers of rows (hashes) in resamples b."""
-    x = h[:, None] ^ (b[None, :] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xFF51AFD7ED558CCD)
-    x ^= x >> np.uint64(33)
-    x *= np.uint64(0xC4CEB9FE1A85EC53)
-    x ^= x >> np.uint64(33)
-    return np.searchsorted(_POISSON, (x >> np.uint64(11)).astype(np.float64) / (1 << 53), "right").astype(np.float64)
-
-
 def bootstrap_draws(values: DataFrame, groups: list[str], id_col: str, value: str, resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """The interval from numpy's generator, its seed set anew in each group: groups, n, mean, lo, hi.
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions.text import composed, list_text, nutrition_text
-from scorewright.operators.match import LISTS, SCALARS, match_lists, match_nutrition, match_scalars
+from scorewright.operators.match import LISTS, SCALARS, match_lists, match_nutrition, match_scalars, once_each
 from scorewright.operators.parse import coerce, parse, structural_issues
+from scorewright.sources.tables import stored
 
 KEYS = ["image_id", "model_key", "condition"]
 
@@ -52,51 +53,54 @@ def score_records(answers: DataFrame, truth: DataFrame) -> DataFrame:
     """One row per answer to a labelled record and field: KEYS, field, field_type, pred_value and gt_value (as text), FLAGS,
     and the columns of the matchers, null where a field's type lacks them. Answers without FLAGS count as valid.
 
-    Nutrition is matched on the answer's own row. Then an answer becomes five rows of its own partition, a scalar on each
-    and a list on the first three, for the other two matchers; these five become nine. No matcher shuffles them.
+    Fields repeat from record to record, so each different pair of values is matched once in the job (once_each).
     """
     for name, value in (("json_valid", F.lit(True)), ("api_error", F.lit(None).cast("string")), ("structural_issues", F.array().cast("array<string>"))):
         if name not in answers.columns:
             answers = answers.withColumn(name, value)
+    d = answers.select(*KEYS, *FLAGS, F.struct(*FIELDS).alias("_said")).join(truth.select("image_id", F.struct(*FIELDS).alias("_true")), "image_id")
+    d = stored(d.sparkSession, d, "records")  # read twice: for what is to be matched, and for what it is joined to
+    d = d.select(*KEYS, *FLAGS, F.inline(F.array(*map(_item, FIELDS))))
+    d = once_each(d, ITEM, _matched)
+    return d.select(*KEYS, "field", "field_type", "pred", "truth", "pred_value", "gt_value", *FLAGS, *MEASURES)
+
+
+#: What tells a field of a record from others: its name and both values, each in the column of its type.
+TYPES = {"scalar": "string", "list": "array<string>", "nutrition": "array<struct<name:string,value:string>>"}
+ITEM = ["field", *(f"_{side}_{kind}" for kind in TYPES for side in ("said", "true"))]
+#: Columns of score_records() that the matchers give, with the types of those that a field's type can lack.
+MEASURES = ["precision", "recall", "f1", "strict", "lenient", "strict_f1", "similarity", "diacritic_only_mismatch", "pairing_accuracy", "value_accuracy", "n_pred", "n_truth"]
+LACKED = {"pred": "string", "truth": "string", "strict": "boolean", "lenient": "boolean", "strict_f1": "double", "similarity": "double", "diacritic_only_mismatch": "boolean", "pairing_accuracy": "double", "value_accuracy": "double", "n_pred": "int", "n_truth": "int"}
+
+
+def _item(f: str) -> Column:
+    """ITEM of one field of _said and _true."""
+    own = "scalar" if f in SCALARS else "list" if f in LISTS else "nutrition"
+    value = lambda side, kind: (F.col(f"_{side}.{f}") if kind == own else F.lit(None)).cast(TYPES[kind])
+    return F.struct(F.lit(f).alias("field"), *(value(side, kind).alias(f"_{side}_{kind}") for kind in TYPES for side in ("said", "true")))
+
+
+def _matched(items: DataFrame) -> DataFrame:
+    """ITEM, field_type, pred, truth, pred_value, gt_value and MEASURES of a table of ITEM."""
     flat = lambda c: F.coalesce(c, F.lit(""))
-    a = composed(answers.select(*KEYS, *FLAGS, F.struct(*FIELDS).alias("_said")), "_said")
-    d = a.join(composed(truth.select("image_id", F.struct(*FIELDS).alias("_true")), "_true"), "image_id")
-    d = match_nutrition(d, [*KEYS, *FLAGS, "_said", "_true"], "_said.nutrition", "_true.nutrition", compose=False)
-    text = lambda of, f: flat(of(F.col(f)))
-    none = lambda kind: F.lit(None).cast(kind)
-
-    def row(field, kind, pred, truth, said, true, precision, recall, f1, n_pred, n_truth, scalar=False, nutrition=False):
-        """A row of the table as a struct; columns that a field's type lacks are null."""
-        of = lambda has, c, kind: (c if has else none(kind))
-        c = F.col
-        return F.struct(
-            field.alias("field"), F.lit(kind).alias("field_type"), pred.alias("pred"), truth.alias("truth"), said.alias("pred_value"), true.alias("gt_value"),
-            precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
-            of(scalar, c("strict"), "boolean").alias("strict"), of(scalar, c("lenient"), "boolean").alias("lenient"), of(scalar, c("strict").cast("double"), "double").alias("strict_f1"),
-            of(scalar, c("similarity"), "double").alias("similarity"), of(scalar, c("diacritic_only"), "boolean").alias("diacritic_only_mismatch"),
-            of(nutrition, c("pairing_accuracy"), "double").alias("pairing_accuracy"), of(nutrition, c("value_accuracy"), "double").alias("value_accuracy"),
-            n_pred.alias("n_pred"), n_truth.alias("n_truth"),
-        )
-
-    nut = row(F.lit("nutrition"), "nutrition", none("string"), none("string"), text(nutrition_text, "_said.nutrition"), text(nutrition_text, "_true.nutrition"), F.col("name_precision"), F.col("name_recall"), F.col("name_f1"), F.col("n_pred"), F.col("n_truth"), nutrition=True)
-
-    def slot(k: int):
-        f, l = SCALARS[k], LISTS[k] if k < len(LISTS) else None
-        side = lambda c: (flat(F.col(f"{c}.{f}")), F.col(f"{c}.{l}") if l else none("array<string>"))
-        (pred, pred_list), (true, true_list) = side("_said"), side("_true")
-        return F.struct(F.lit(f).alias("field"), pred.alias("pred"), true.alias("truth"), F.lit(l).cast("string").alias("list_field"), pred_list.alias("pred_list"), true_list.alias("truth_list"), F.lit(k == 0).alias("first"))
-
-    d = d.withColumn("_nut", nut).select(*KEYS, *FLAGS, "_nut", F.inline(F.array(*map(slot, range(len(SCALARS))))))
-    d = match_scalars(d, compose=False)
-    d = d.withColumns({"said_list": text(list_text, "pred_list"), "true_list": text(list_text, "truth_list")}).withColumnsRenamed({"pred": "scalar_pred", "truth": "scalar_truth"})
-    keep = [*KEYS, *FLAGS, "_nut", "first", "field", "scalar_pred", "scalar_truth", "strict", "lenient", "similarity", "diacritic_only", "list_field", "said_list", "true_list"]
-    d = match_lists(d, keep, "pred_list", "truth_list", compose=False)
-    hit, pred, true = F.col("lenient").cast("double"), F.col("scalar_pred"), F.col("scalar_truth")
-    scalar = row(F.col("field"), "scalar", pred, true, pred, true, hit, hit, hit, none("int"), none("int"), scalar=True)
-    listed = row(F.col("list_field"), "list", none("string"), none("string"), *(F.col(c) for c in ("said_list", "true_list", "precision", "recall", "f1", "n_pred", "n_truth")))
-    d = d.select(*KEYS, *FLAGS, F.inline(F.array_compact(F.array(scalar, F.when(F.col("list_field").isNotNull(), listed), F.when(F.col("first"), F.col("_nut"))))))
-    own = [c for c in d.columns if c not in (*KEYS, *FLAGS)]
-    return d.select(*KEYS, *own[: own.index("gt_value") + 1], *FLAGS, *own[own.index("gt_value") + 1 :])
+
+    def of(kind: str, fields: tuple[str, ...], text) -> DataFrame:
+        """The items of one type, with their values in composed form and as text."""
+        d = composed(items.where(F.col("field").isin(*fields)), f"_said_{kind}", f"_true_{kind}", to=("_p", "_t"))
+        return d.withColumns({"field_type": F.lit(kind), "pred_value": flat(text("_p")), "gt_value": flat(text("_t"))})
+
+    def whole(d: DataFrame) -> DataFrame:
+        lacked = {c: F.lit(None).cast(kind) for c, kind in LACKED.items() if c not in d.columns}
+        return d.withColumns(lacked).select(*ITEM, "field_type", "pred", "truth", "pred_value", "gt_value", *MEASURES)
+
+    told = [*ITEM, "field_type", "pred_value", "gt_value"]
+    hit = F.col("lenient").cast("double")
+    scalar = match_scalars(of("scalar", SCALARS, F.col).withColumns({"pred": F.col("pred_value"), "truth": F.col("gt_value")}), compose=False)
+    scalar = scalar.withColumns({"precision": hit, "recall": hit, "f1": hit, "strict_f1": F.col("strict").cast("double")}).withColumnRenamed("diacritic_only", "diacritic_only_mismatch")
+    listed = match_lists(of("list", LISTS, list_text), told, "_p", "_t", compose=False)
+    nutrition = match_nutrition(of("nutrition", ("nutrition",), nutrition_text), told, "_p", "_t", compose=False)
+    nutrition = nutrition.withColumnsRenamed({"name_precision": "precision", "name_recall": "recall", "name_f1": "f1"})
+    return whole(scalar).unionByName(whole(listed)).unionByName(whole(nutrition))
 
 
 def field_table(scored: DataFrame) -> DataFrame:

@@ -46,3 +46,24 @@ def test_paired_tests_tell_records_apart(spark, tables):
     """A cut id that several records share is no double entry: each of the six counts once in a pair of models."""
     rows = QUERIES["h6_mcnemar_by_field"](spark, tables).collect()
     assert len(rows) == 6 * 3 and {r["n"] for r in rows} == {len(KEYS)}
+
+
+def test_fields_that_repeat_are_scored_once(spark, monkeypatch):
+    """Forty records of the same content: each matcher sees each different pair of values once, and every record is scored."""
+    from scorewright.operators import score
+
+    seen = {}
+    for name in ("match_scalars", "match_lists", "match_nutrition"):
+        own = getattr(score, name)
+        monkeypatch.setattr(score, name, lambda d, *a, _own=own, _name=name, **k: (seen.__setitem__(_name, d.count()), _own(d, *a, **k))[1])
+    fields = "product_name string, origin string, net_weight string, mfg_date string, expiry_date string, ingredient array<string>, additive array<string>, warning array<string>, nutrition array<struct<name:string,value:string>>"
+    pair = [("Fat", "5 g")]
+    said = [(str(k), "m", "c", "tè a", None, "100gram", "1.2.2024", "", ["a", "té"], None, [], pair) for k in range(40)]
+    true = [(str(k), "tè a", "x", "100 g", "2024-2-1", "", ["té", "b"], [], ["w"], pair) for k in range(40)]
+    d = score.score_records(spark.createDataFrame(said, f"image_id string, model_key string, condition string, {fields}"), spark.createDataFrame(true, f"image_id string, {fields}"))
+    rows = {(r["image_id"], r["field"]): r for r in d.collect()}
+    assert d.count() == len(rows) == 360 and seen == {"match_scalars": 5, "match_lists": 3, "match_nutrition": 1}
+    for k in range(40):
+        assert [rows[str(k), f]["f1"] for f in score.FIELDS] == [1, 0, 1, 1, 1, 0.5, 1, 0, 1]
+        assert rows[str(k), "product_name"]["pred_value"] == "tè a" and rows[str(k), "ingredient"]["pred_value"] == "a | té"
+        assert rows[str(k), "origin"]["pred"] == "" and rows[str(k), "additive"]["n_pred"] == 0
