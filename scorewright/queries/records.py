@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scorewright.operators import report as P
 from scorewright.operators import score as S
 from scorewright.operators import taxonomy as X
+from scorewright.operators.match import match_lists, match_nutrition, once_each
 from scorewright.plans.bridges import ANSWERS, GT, rows
 from scorewright.plans.selection import unlabelled
 from scorewright.queries import duck as D
@@ -149,20 +150,18 @@ ERRORS = """errors AS (SELECT *, CASE WHEN field_type = 'scalar' THEN similarity
 @query(twin("SELECT image_id, model_key, field, extra_pred::INT AS extra_pred, extra_truth::INT AS extra_truth, tp::INT AS tp FROM listed WHERE extra_pred > 0", *SCORED[:3]))
 def e7_merge_bonus_lists(spark, sf_dir):
     """Merged and split items of the lists of whole records."""
-    from scorewright.operators.match import match_lists
-
     a = S.read_answers(responses(spark, sf_dir)).select(*KEYS, *S.LISTS).join(truth(spark, sf_dir).select("image_id", *(F.col(f).alias(f"t_{f}") for f in S.LISTS)), "image_id")
-    d = a.select(*KEYS, F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("pred"), F.col(f"t_{f}").alias("truth")) for f in S.LISTS))))
-    return match_lists(d, [*KEYS, "field"]).where("extra_pred > 0").select("image_id", "model_key", "field", "extra_pred", "extra_truth", "tp")
+    d = stored(spark, a, "lists").select(*KEYS, F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("said"), F.col(f"t_{f}").alias("true")) for f in S.LISTS))))
+    d = once_each(d, ["said", "true"], lambda x: match_lists(x, ["said", "true"], "said", "true").where("extra_pred > 0"))
+    return d.select("image_id", "model_key", "field", "extra_pred", "extra_truth", "tp")
 
 
 @query(twin("SELECT image_id, model_key, n_pred::INT AS n_pred, n_truth::INT AS n_truth, n_matched, n_correct, n_errors AS n_pairing_errors, round(f1, 6) AS name_f1, round(value_accuracy, 6) AS value_accuracy, round(pairing_accuracy, 6) AS pairing_accuracy FROM nut", ANSWERED, PERMS, NUTRITION))
 def e9_match_nutrition_names(spark, sf_dir):
     """Nutrition of whole records: names in two languages and misspelled, in another order, with wrong and swapped values."""
-    from scorewright.operators.match import match_nutrition
-
-    a = S.read_answers(responses(spark, sf_dir)).select(*KEYS, F.col("nutrition").alias("pred")).join(truth(spark, sf_dir).select("image_id", F.col("nutrition").alias("truth")), "image_id")
-    return match_nutrition(a, KEYS).select("image_id", "model_key", "n_pred", "n_truth", "n_matched", "n_correct", "n_pairing_errors", *(R(c).alias(c) for c in ("name_f1", "value_accuracy", "pairing_accuracy")))
+    a = S.read_answers(responses(spark, sf_dir)).select(*KEYS, F.col("nutrition").alias("said")).join(truth(spark, sf_dir).select("image_id", F.col("nutrition").alias("true")), "image_id")
+    d = once_each(stored(spark, a, "nutrition"), ["said", "true"], lambda x: match_nutrition(x, ["said", "true"], "said", "true"))
+    return d.select("image_id", "model_key", "n_pred", "n_truth", "n_matched", "n_correct", "n_pairing_errors", *(R(c).alias(c) for c in ("name_f1", "value_accuracy", "pairing_accuracy")))
 
 
 @query(twin("SELECT image_id, model_key, count(*) AS n_fields, round(sum(f1), 6) AS total, round(sum(strict_f1), 6) AS strict, max(n_issues)::INT AS n_issues FROM field_scores GROUP BY ALL", *SCORED))

@@ -67,3 +67,13 @@ def test_fields_that_repeat_are_scored_once(spark, monkeypatch):
         assert [rows[str(k), f]["f1"] for f in score.FIELDS] == [1, 0, 1, 1, 1, 0.5, 1, 0, 1]
         assert rows[str(k), "product_name"]["pred_value"] == "tè a" and rows[str(k), "ingredient"]["pred_value"] == "a | té"
         assert rows[str(k), "origin"]["pred"] == "" and rows[str(k), "additive"]["n_pred"] == 0
+
+
+def test_lists_and_nutrition_that_repeat_are_matched_once(spark, tables, monkeypatch):
+    """Nutrition of the six records and three models has fewer different pairs than answers, and no answer is lost."""
+    seen = []
+    own = records.match_nutrition
+    monkeypatch.setattr(records, "match_nutrition", lambda d, *a: (seen.append(d.count()), own(d, *a))[1])
+    d = QUERIES["e9_match_nutrition_names"](spark, tables)
+    rows = d.collect()
+    assert len(rows) == 18 > seen[0] and {r["image_id"] for r in rows} == {str(k).zfill(6) for k in KEYS}
