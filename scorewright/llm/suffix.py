@@ -15,7 +15,8 @@ equals; equal strings choose the same gram at the same place. So suffixes need t
    multikey quicksort on words of eight bytes. Runs of equal grams are expanded to their strings, which are sorted
    likewise; the least document of a run of equal strings keeps it. All of this compares bytes.
 4. The first and last gram of a partition can go on in the next. What its records keep so far is compared across
-   boundaries: these strings are range-partitioned by all their bytes and sorted again.
+   boundaries: these strings are range-partitioned by all their bytes and sorted again, and those that a smaller document
+   has elsewhere are taken from what the record keeps.
 5. Only keepers are told: a row for each record that its least document keeps, with a bit for each string. A document
    then removes each byte of every string in a known record that it isn't told to keep. Within one document its records
    are told apart by their names.
@@ -334,10 +335,10 @@ def keeps(docs: DataFrame, sent) -> DataFrame:
         size = np.array([len(c) for c in contents], np.int64)
         flat, at = np.frombuffer(b"".join(contents), np.uint8), np.cumsum(size) - size
         name = _names(flat, at + 1, at + size, flat[at].astype(np.int64))
-        some = np.flatnonzero((masks != 0) & ~edge)
+        some = np.flatnonzero(masks != 0)
         for k in range(0, len(some), 20_000):
             rows = some[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[rows], pa.int64()) for x in (docs, name, masks)), pa.nulls(len(rows), pa.binary())], ["doc", "name", "mask", "string"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[rows], pa.int64()) for x in (docs, name, masks)), pa.array(edge[rows]), pa.nulls(len(rows), pa.binary())], ["doc", "name", "mask", "edge", "string"])
         out: list[tuple] = []
         for k in np.flatnonzero((masks != 0) & edge).tolist():  # strings of the records at the boundaries
             c, m = contents[k], int(masks[k])
@@ -347,22 +348,27 @@ def keeps(docs: DataFrame, sent) -> DataFrame:
                 out = []
         yield _batch(out)
 
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        docs, name, mask = (np.concatenate([b.column(k).to_numpy() for b in held]) if held else np.zeros(0, np.int64) for k in range(3))
-        if len(docs):
-            mine = _least(_padded(np.frombuffer(b"".join(x for b in held for x in b.column(3).to_pylist()), np.uint8).reshape(-1, LENGTH)), docs)
-            yield pa.RecordBatch.from_arrays([pa.array(x[mine], pa.int64()) for x in (docs, name, mask)], ["doc", "name", "mask"])
-
     stored_records = stored(spark, docs.mapInArrow(records, "content binary, doc long"), "records")
     parts = _parts(stored_records.agg(F.sum(F.length("content"))).first()[0])
-    schema = "doc long, name long, mask long, string binary"
+    schema = "doc long, name long, mask long, edge boolean, string binary"
     found = stored(spark, stored_records.repartitionByRange(parts, _leading(), "content").mapInArrow(sort, schema), "keepers")
-    edges = found.where("string is not null")
-    edges = edges.repartitionByRange(_parts(edges.agg(F.sum(F.length("string") + 24)).first()[0]), "string").mapInArrow(across, "doc long, name long, mask long")
-    joined = edges.groupBy("doc", "name").agg(F.bit_or("mask").alias("mask"))
+    edges = found.where("string is not null").select("doc", "name", "mask", "string")
+    lost = edges.repartitionByRange(_parts(edges.agg(F.sum(F.length("string") + 24)).first()[0]), "string").mapInArrow(across, "doc long, name long, lost long")
+    own, none = found.where("string is null"), F.lit(0).cast("long")
+    both = own.where("edge").select("doc", "name", "mask", none.alias("lost")).unionByName(lost.select("doc", "name", none.alias("mask"), "lost"))
+    joined = both.groupBy("doc", "name").agg(F.bit_or("mask").bitwiseAND(F.bitwise_not(F.bit_or("lost"))).alias("mask")).where("mask <> 0")
     alone = grams.where("name is not null").select("doc", "name", F.lit(-1).cast("long").alias("mask"))
-    return alone.unionByName(found.where("string is null").select("doc", "name", "mask")).unionByName(joined).groupBy("doc").agg(F.collect_list(F.struct("name", "mask")).alias("told"))
+    return alone.unionByName(own.where("not edge").select("doc", "name", "mask")).unionByName(joined).groupBy("doc").agg(F.collect_list(F.struct("name", "mask")).alias("told"))
+
+
+def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The strings (doc, name, mask, string) of a partition that a smaller document has too. A string that only one
+    document has makes no row, so however many records one gram has, only what they share is told."""
+    held = list(batches)
+    if sum(b.num_rows for b in held):
+        docs, name, mask = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
+        lost = ~_least(_padded(np.frombuffer(b"".join(x for b in held for x in b.column(3).to_pylist()), np.uint8).reshape(-1, LENGTH)), docs)
+        yield pa.RecordBatch.from_arrays([pa.array(x[lost], pa.int64()) for x in (docs, name, mask)], ["doc", "name", "lost"])
 
 
 _PLACE = [bytes([k]) for k in range(SPAN)]
@@ -370,7 +376,7 @@ _PLACE = [bytes([k]) for k in range(SPAN)]
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     doc, name, mask, string = zip(*rows, strict=True) if rows else ([], [], [], [])
-    return pa.RecordBatch.from_arrays([*(pa.array(list(map(int, x)), pa.int64()) for x in (doc, name, mask)), pa.array(list(string), pa.binary())], ["doc", "name", "mask", "string"])
+    return pa.RecordBatch.from_arrays([*(pa.array(list(map(int, x)), pa.int64()) for x in (doc, name, mask)), pa.array([True] * len(rows), pa.bool_()), pa.array(list(string), pa.binary())], ["doc", "name", "mask", "edge", "string"])
 
 
 def _parts(total: int | None) -> int:

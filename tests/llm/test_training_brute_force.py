@@ -82,6 +82,17 @@ def test_suffix_hot_gram(spark, monkeypatch):
     assert sorted(got, key=str) == brute_suffix(rows)
 
 
+def test_suffix_tells_only_shared_strings():
+    """Strings of one document make no row, however many records a gram has: only those that a smaller document has too."""
+    strings = [f"{k:050d}".encode() for k in range(300)] + [b"s" * 50] * 4
+    docs = [*range(300), 9, 5, 9, 7]
+    batch = suffix._batch([(d, 1000 + k, 1 << k % 31, s) for k, (d, s) in enumerate(zip(docs, strings, strict=True))]).select(["doc", "name", "mask", "string"])
+    rows = [r for b in suffix.across(iter([batch.slice(0, 100), batch.slice(100)])) for r in b.to_pylist()]
+    assert sorted((r["doc"], r["name"]) for r in rows) == [(7, 1303), (9, 1300), (9, 1302)]
+    assert all(r["lost"] == 1 << (r["name"] - 1000) % 31 for r in rows)
+    assert not list(suffix.across(iter([])))
+
+
 def test_suffix_long_texts(monkeypatch):
     """The records of a text that is read in stretches are those of the whole text."""
     r = random.Random(1)
