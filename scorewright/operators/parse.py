@@ -40,16 +40,23 @@ def open_span(c: Column | str) -> Column:
 
 
 def strict_object(c: Column) -> Column:
-    """The text's JSON object as a variant; null if it is anything but one object."""
-    held = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    """The text's JSON object as a variant; null if it is anything but one object.
+
+    The parser stops at the end of a value, so the text stands in an array before a list in a list: if that comes second,
+    the whole text was read as the first item. Texts with two opening brackets in a row, which could pass for the mark,
+    are parsed twice, in an array and in an object.
+    """
+    at = lambda h, path: F.try_variant_get(h, path, "variant")
+    marked = let(F.try_parse_json(F.concat(F.lit("["), c, F.lit(",[[0]]]"))), lambda h: F.when(at(h, "$[1][0][0]").isNotNull(), at(h, "$[0]")))
     named = F.try_parse_json(F.concat(F.lit('{"r":'), c, F.lit("}")))
+    twice = let(F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))), lambda h: F.when(h.isNotNull() & at(h, "$[1]").isNull() & named.isNotNull(), at(h, "$[0]")))
+    return F.when(c.rlike(r"^[ \t\n\r]*\{"), F.when(c.rlike(r"\[[ \t\n\r]*\["), twice).otherwise(marked))
 
-    def only(h: Column) -> Column:
-        first = F.try_variant_get(h, "$[0]", "variant")
-        one = h.isNotNull() & F.try_variant_get(h, "$[1]", "variant").isNull() & F.startswith(F.schema_of_variant(first), F.lit("OBJECT"))
-        return F.when(one & named.isNotNull(), first)
 
-    return let(held, only)
+def trimmed(c: Column) -> Column:
+    """The text without white space of any script at its ends; only texts that have some there are searched for it."""
+    ends = F.concat(F.left(c, F.lit(1)), F.right(c, F.lit(1)))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(F.regexp_replace(c, r"^(?U)\s+", ""), r"(?U)\s+$", "")).otherwise(c)
 
 
 _QUOTES = str.maketrans({"“": '"', "”": '"', "„": '"'})
@@ -96,12 +103,13 @@ def parse(responses: DataFrame, content: str = "content") -> DataFrame:
     The ladder: the trimmed text, the fenced block, the span of braces, mending. Only objects count. One pass:
     spans that every strict step refuses reach an Arrow-batched function, other rows send it null.
     """
-    text = F.regexp_replace(F.regexp_replace(F.col(content), r"^(?U)\s+", ""), r"(?U)\s+$", "")
     found = lambda data, stage, rest=None: F.struct(data.alias("data"), stage.alias("stage"), (F.lit(None).cast("string") if rest is None else rest).alias("rest"))
     by_span = lambda s: let(strict_object(s), lambda x: found(x, F.when(x.isNotNull(), "span"), s))
     by_fence = lambda f: let(strict_object(f), lambda x: F.when(x.isNotNull(), found(x, F.lit("fenced"))).otherwise(let(open_span(f), by_span)))
-    by_text = lambda t: let(strict_object(t), lambda x: F.when(x.isNotNull(), found(x, F.lit("text"))).otherwise(let(strip_fence(t), by_fence)))
-    d = responses.withColumn("_x", let(text, by_text)).select(*responses.columns, F.col("_x.data").alias("data"), F.col("_x.stage").alias("stage"), F.col("_x.rest").alias("_s"))
+    d = responses.withColumn("_t", trimmed(F.col(content)))
+    d = d.withColumn("_d", strict_object(F.col("_t")))
+    d = d.withColumn("_x", F.when(F.col("_d").isNotNull(), found(F.col("_d"), F.lit("text"))).otherwise(let(strip_fence("_t"), by_fence)))
+    d = d.select(*responses.columns, F.col("_x.data").alias("data"), F.col("_x.stage").alias("stage"), F.col("_x.rest").alias("_s"))
     d = d.withColumn("_m", _mended(F.when(F.col("data").isNull(), F.col("_s"))))
     mended = F.try_parse_json("_m")
     d = d.withColumns({"stage": F.coalesce(F.col("stage"), F.when(mended.isNotNull(), "mended"), F.lit("failed")), "data": F.when(F.col("data").isNull(), mended).otherwise(F.col("data"))}).drop("_s", "_m")
@@ -130,18 +138,48 @@ def _one(v: Column, path: Column) -> Column:
     return let(F.struct(_kind(v).alias("kind"), F.try_variant_get(v, "$", "string").alias("raw")), of)
 
 
+#: The label fields as one struct, and how schema_of_variant() spells an object that has nothing but such fields, of these
+#: types or null (names of other fields stand in backquotes where they could be mistaken).
+ENTRIES = "array<struct<name:string,value:string>>"
+RECORD = "struct<" + ",".join([*(f"{f}:string" for f in SCALARS_IN_ORDER), *(f"{f}:array<string>" for f in LIST_FIELDS), f"nutrition:{ENTRIES}"]) + ">"
+_PLAIN = "|".join((rf"(?:{'|'.join(SCALARS_IN_ORDER)}): (?:STRING|VOID)", rf"(?:{'|'.join(LIST_FIELDS)}): (?:VOID|ARRAY<(?:STRING|VOID)>)", "nutrition: (?:VOID|ARRAY<(?:VOID|OBJECT<name: STRING, value: STRING>)>)"))
+PLAIN = f"^OBJECT<(?:(?:{_PLAIN})(?:, (?:{_PLAIN}))*)?>$"
+
+
 def coerce(parsed: DataFrame, data: str = "data") -> DataFrame:
-    """parsed with the nine label columns and type_issues, missing_issues (arrays of string, in listing order)."""
+    """parsed with the nine label columns and type_issues, missing_issues (arrays of string, in listing order).
+
+    An object of label fields that all have their types is taken over in one step, and no object at all is an empty
+    record; others are coerced value by value.
+    """
     get = lambda f, kind="variant": F.try_variant_get(data, f"$.{f}", kind)
     none = F.array().cast("array<string>")
-    d = parsed.withColumns({f"_{f}": _one(get(f), F.lit(f)) for f in SCALARS_IN_ORDER} | {f"_{f}": _listed(get, f) for f in LIST_FIELDS} | {"_nutrition": _entries(get)})
+    schema = F.schema_of_variant(data)
+    d = parsed.withColumn("_kinds", F.when(schema.rlike(PLAIN), schema))
+    d = d.withColumn("_whole", F.when(F.col("_kinds").isNotNull(), F.try_variant_get(data, "$", RECORD)))
+    # An item without name or value is not told from others by the schema.
+    lacks = F.exists(F.coalesce(F.col("_whole.nutrition"), F.array().cast(ENTRIES)), lambda e: e["name"].isNull() | e["value"].isNull())
+    d = d.withColumn("_whole", F.when(~lacks, F.col("_whole")))
+    plain, own = F.col(data).isNull() | F.col("_whole").isNotNull(), lambda f: F.col(f"_whole.{f}")
+
+    def either(value: Column, issue: str, no_issue: Column, slow: Column) -> Column:
+        return F.when(plain, F.struct(value.alias("value"), no_issue.alias(issue))).otherwise(slow)
+
+    texts = lambda f: F.transform(F.coalesce(own(f), none), lambda x: F.coalesce(x, F.lit("")))
+    d = d.withColumns(
+        {f"_{f}": either(F.coalesce(own(f), F.lit("")), "issue", F.lit(None).cast("string"), _one(get(f), F.lit(f))) for f in SCALARS_IN_ORDER}
+        | {f"_{f}": either(texts(f), "issues", none, _listed(get, f)) for f in LIST_FIELDS}
+        | {"_nutrition": either(F.coalesce(own("nutrition"), F.array().cast(ENTRIES)), "issues", none, _entries(get))}
+    )
     issues = {f: F.array_compact(F.array(F.col(f"_{f}.issue"))) for f in SCALARS_IN_ORDER} | {f: F.col(f"_{f}.issues") for f in (*LIST_FIELDS, "nutrition")}
     root = F.when(F.col(data).isNull(), F.array(F.lit("root: expected object, got NoneType; using empty record"))).otherwise(none)
     keys = F.coalesce(F.json_object_keys(F.to_json(data)), none)
-    missing = F.transform(F.array_except(F.array(*map(F.lit, ALL_FIELDS)), keys), lambda f: F.concat(f, F.lit(": missing from output; defaulted")))
-    d = d.withColumns({"type_issues": F.concat(root, *(issues[f] for f in BUILD_ORDER)), "missing_issues": missing})
+    said = ": missing from output; defaulted"
+    missing = F.transform(F.array_except(F.array(*map(F.lit, ALL_FIELDS)), keys), lambda f: F.concat(f, F.lit(said)))
+    unnamed = F.array_compact(F.array(*(F.when(~F.contains(F.coalesce("_kinds", F.lit("")), F.lit(f"{f}: ")), f + said) for f in ALL_FIELDS)))
+    d = d.withColumns({"type_issues": F.when(plain, root).otherwise(F.concat(root, *(issues[f] for f in BUILD_ORDER))), "missing_issues": F.when(plain, unnamed).otherwise(missing)})
     d = d.withColumns({f: F.col(f"_{f}.value") for f in SCALARS_IN_ORDER} | {f: F.col(f"_{f}.value") for f in (*LIST_FIELDS, "nutrition")})
-    return d.drop(*(f"_{f}" for f in ALL_FIELDS))
+    return d.drop("_kinds", "_whole", *(f"_{f}" for f in ALL_FIELDS))
 
 
 def _discarded(path: str, kind: Column) -> Column:
