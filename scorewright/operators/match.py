@@ -152,12 +152,13 @@ def match_nutrition(df: DataFrame, keys: list[str], pred: str = "pred", truth: s
     d = composed(d, "pred", "truth") if compose else d
 
     def item(e: Column) -> Column:
-        return F.struct(canonical_nutrient(e["name"]).alias("name"), sorted_tokens(normalize_text(e["name"])).alias("tokens"), number_unit(e["value"]).alias("nu"), normalize_text(e["value"]).alias("text"))
+        return F.struct(canonical_nutrient(e["name"]).alias("name"), number_unit(e["value"]).alias("nu"), normalize_text(e["value"]).alias("text"))
 
     d = d.withColumns({"_p": F.transform("pred", item), "_t": F.transform("truth", item), "n_pred": F.size("pred"), "n_truth": F.size("truth")})
     part = lambda c, f: F.transform(c, lambda x: x[f])
     whole = part("_p", "name").eqNullSafe(part("_t", "name"))  # name by name the same nutrients
-    raw = pair_ratios(F.when(~whole, part("_p", "tokens")), F.when(~whole, part("_t", "tokens")))
+    tokens = lambda c: F.when(~whole, F.transform(c, lambda e: sorted_tokens(normalize_text(e["name"]))))
+    raw = pair_ratios(tokens("pred"), tokens("truth"))
     d = d.withColumn("_raw", raw)
     same = F.flatten(F.transform("_p", lambda p: F.transform("_t", lambda t: p["name"] == t["name"])))
     d = d.withColumn("_sims", F.when(F.col("_raw").isNotNull(), F.zip_with("_raw", same, lambda x, y: F.when(y, 100.0).otherwise(x))))

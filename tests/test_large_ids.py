@@ -77,3 +77,17 @@ def test_lists_and_nutrition_that_repeat_are_matched_once(spark, tables, monkeyp
     d = QUERIES["e9_match_nutrition_names"](spark, tables)
     rows = d.collect()
     assert len(rows) == 18 > seen[0] and {r["image_id"] for r in rows} == {str(k).zfill(6) for k in KEYS}
+
+
+def test_nutrition_of_orders_that_repeats_is_matched_once(spark, tmp_path, monkeypatch):
+    """Forty orders of two contents: each is matched once, and every order has its row."""
+    from scorewright.queries import fields
+
+    seen = []
+    own = fields.match.match_nutrition
+    monkeypatch.setattr(fields.match, "match_nutrition", lambda d, *a: (seen.append(d.count()), own(d, *a))[1])
+    rows = [(4 * k, n, n, n, float(n + k % 2), 1.0) for k in range(40) for n in (1, 2)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["e9_match_nutrition"](spark, str(tmp_path)).collect()
+    assert sorted(r["l_orderkey"] for r in got) == [4 * k for k in range(40)] and seen == [2]
+    assert {(r["n_truth"], r["n_matched"], r["n_correct"], r["value_accuracy"], r["pairing_accuracy"]) for r in got} == {(2, 2, 2, 1.0, 1.0)}
