@@ -47,11 +47,13 @@ def match_scalars(df: DataFrame, field: str = "field", pred: str = "pred", truth
     return d.withColumn("diacritic_only", ~F.col("_strict") & (F.col("_g") != "") & (strip_diacritics("_p") == strip_diacritics("_g"))).drop("_cp", "_cg", "_p", "_g", "_pn", "_gn", "_pd", "_gd", "_strict", "_sim")
 
 
-def match_distinct(df: DataFrame, field: str = "field", pred: str = "pred", truth: str = "truth") -> DataFrame:
+def match_distinct(df: DataFrame, field: str = "field", pred: str = "pred", truth: str = "truth", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """match_scalars() for tables in which fields repeat, as weights, dates and brands do: each different (field, pred,
-    truth) is matched once in the job and what is found is joined back. All rows stay, and nulls meet nulls."""
+    truth) is matched once in the job, as is what then() makes of it, and what is found is joined back. All rows stay, and
+    nulls meet nulls."""
     cols = [field, pred, truth]
-    found = match_scalars(df.select(*cols).distinct(), *cols).withColumnsRenamed({c: f"_of_{c}" for c in cols})
+    found = match_scalars(df.select(*cols).distinct(), *cols)
+    found = (then(found) if then else found).withColumnsRenamed({c: f"_of_{c}" for c in cols})
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cols))
     return df.join(found, same).drop(*(f"_of_{c}" for c in cols))
 

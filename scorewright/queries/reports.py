@@ -69,8 +69,13 @@ CATEGORY = """errors AS (SELECT *, CASE WHEN diacritic_only THEN 'diacritics' WH
 
 
 def errors(spark, sf_dir):
-    d = X.incorrect_scalars(Q.scalars(spark, sf_dir))
-    return d.withColumn("category", X.scalar_category(*map(F.col, ("field", "pred", "truth", "similarity", "diacritic_only"))))
+    return X.incorrect_scalars(Q.scalars(spark, sf_dir, then=_categorised))
+
+
+def _categorised(d):
+    """Categories of different (field, pred, truth), of which those that are no errors have none."""
+    category = X.scalar_category(*map(F.col, ("field", "pred", "truth", "similarity", "diacritic_only")))
+    return d.withColumn("category", F.when(~F.col("lenient"), category))
 
 
 @query(twin("SELECT model_key, category, n, round(n / sum(n) OVER (PARTITION BY model_key), 6) AS share FROM (SELECT model_key, category, count(*) AS n FROM errors GROUP BY ALL)", *SCALARS, CATEGORY))

@@ -91,3 +91,14 @@ def test_nutrition_of_orders_that_repeats_is_matched_once(spark, tmp_path, monke
     got = QUERIES["e9_match_nutrition"](spark, str(tmp_path)).collect()
     assert sorted(r["l_orderkey"] for r in got) == [4 * k for k in range(40)] and seen == [2]
     assert {(r["n_truth"], r["n_matched"], r["n_correct"], r["value_accuracy"], r["pairing_accuracy"]) for r in got} == {(2, 2, 2, 1.0, 1.0)}
+
+
+def test_categories_are_made_once_for_different_values(spark, tables, monkeypatch):
+    """Errors of the same field, answer and truth get their category from one row, and no error is lost."""
+    from scorewright.queries import reports
+
+    seen, own = [], reports._categorised
+    monkeypatch.setattr(reports, "_categorised", lambda d: (seen.append((d.count(), d.distinct().count())), own(d))[1])
+    got = QUERIES["i3_scalar_categories"](spark, tables)
+    assert sorted(str(tuple(r)) for r in got.collect()) == twin("i3_scalar_categories", tables)
+    assert seen[0][0] == seen[0][1] < QUERIES["e5_match_scalars"](spark, tables).count()
