@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scorewright.functions.text import composed, list_text, nutrition_text
 from scorewright.operators.match import LISTS, SCALARS, match_lists, match_nutrition, match_scalars, once_each
-from scorewright.operators.parse import coerce, parse, structural_issues
+from scorewright.operators.parse import read_records, structural_issues
 from scorewright.sources.tables import stored
 
 KEYS = ["image_id", "model_key", "condition"]
@@ -46,7 +46,7 @@ FLAGS = ["json_valid", "api_error", "structural_issues"]
 def read_answers(responses: DataFrame) -> DataFrame:
     """KEYS, the nine coerced fields and FLAGS of raw responses (content, error, finish_reason). An answer that can't be
     read is an empty record, so empty fields of the truth count as right for it."""
-    return structural_issues(coerce(parse(responses))).select(*KEYS, *FIELDS, "json_valid", F.col("error").alias("api_error"), "structural_issues")
+    return structural_issues(read_records(responses)).select(*KEYS, *FIELDS, "json_valid", F.col("error").alias("api_error"), "structural_issues")
 
 
 def score_records(answers: DataFrame, truth: DataFrame) -> DataFrame:
