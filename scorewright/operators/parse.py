@@ -145,6 +145,9 @@ ENTRIES = "array<struct<name:string,value:string>>"
 RECORD = "struct<" + ",".join([*(f"{f}:string" for f in SCALARS_IN_ORDER), *(f"{f}:array<string>" for f in LIST_FIELDS), f"nutrition:{ENTRIES}"]) + ">"
 _PLAIN = "|".join((rf"(?:{'|'.join(SCALARS_IN_ORDER)}): (?:STRING|VOID)", rf"(?:{'|'.join(LIST_FIELDS)}): (?:VOID|ARRAY<(?:STRING|VOID)>)", "nutrition: (?:VOID|ARRAY<(?:VOID|OBJECT<name: STRING, value: STRING>)>)"))
 PLAIN = f"^OBJECT<(?:(?:{_PLAIN})(?:, (?:{_PLAIN}))*)?>$"
+#: The same with nutrition items that all lack a name or value, or both.
+_TEXT = "(?:STRING|VOID)"
+LACKING = PLAIN.replace("OBJECT<name: STRING, value: STRING>", f"OBJECT<(?:name: {_TEXT}(?:, value: {_TEXT})?|value: {_TEXT})?>")
 
 
 #: Null fields are not written, whatever the session says.
@@ -178,11 +181,12 @@ def coerce(parsed: DataFrame, data: str = "data", told: str | None = None) -> Da
     get = lambda f, kind="variant": F.try_variant_get(data, f"$.{f}", kind)
     none = F.array().cast("array<string>")
     schema = F.schema_of_variant(data)
-    d = parsed.withColumn("_kinds", F.when(schema.rlike(PLAIN), schema))
+    d = parsed.withColumn("_kinds", F.when(schema.rlike(PLAIN) | schema.rlike(LACKING), schema))
     d = d.withColumn("_whole", F.when(F.col("_kinds").isNotNull(), F.try_variant_get(data, "$", RECORD)))
+    known = F.lit(False) if told is None else F.col(told).isNotNull()
+    d = d if told is None else d.withColumn("_whole", F.coalesce(told, "_whole"))
     # An item without name or value is not told from others by the schema.
-    whole, known = F.when(~_lacks(F.col("_whole")), F.col("_whole")), F.lit(False) if told is None else F.col(told).isNotNull()
-    d = d.withColumn("_whole", whole if told is None else F.coalesce(told, whole))
+    d = d.withColumn("_lacks", _lacks(F.col("_whole")))
     plain, own = F.col(data).isNull() | F.col("_whole").isNotNull(), lambda f: F.col(f"_whole.{f}")
 
     def either(value: Column, issue: str, no_issue: Column, slow: Column) -> Column:
@@ -192,7 +196,7 @@ def coerce(parsed: DataFrame, data: str = "data", told: str | None = None) -> Da
     d = d.withColumns(
         {f"_{f}": either(F.coalesce(own(f), F.lit("")), "issue", F.lit(None).cast("string"), _one(get(f), F.lit(f))) for f in SCALARS_IN_ORDER}
         | {f"_{f}": either(F.when(known, F.coalesce(own(f), none)).otherwise(texts(f)), "issues", none, _listed(get, f)) for f in LIST_FIELDS}
-        | {"_nutrition": either(F.coalesce(own("nutrition"), F.array().cast(ENTRIES)), "issues", none, _entries(get))}
+        | {"_nutrition": F.when(F.col("_lacks"), _lacking(own("nutrition"))).otherwise(either(F.coalesce(own("nutrition"), F.array().cast(ENTRIES)), "issues", none, _entries(get)))}
     )
     issues = {f: F.array_compact(F.array(F.col(f"_{f}.issue"))) for f in SCALARS_IN_ORDER} | {f: F.col(f"_{f}.issues") for f in (*LIST_FIELDS, "nutrition")}
     root = F.when(F.col(data).isNull() & ~known, F.array(F.lit("root: expected object, got NoneType; using empty record"))).otherwise(none)
@@ -202,9 +206,9 @@ def coerce(parsed: DataFrame, data: str = "data", told: str | None = None) -> Da
     lacking = lambda f: F.when(known, own(f).isNull()).otherwise(~F.contains(F.coalesce("_kinds", F.lit("")), F.lit(f"{f}: ")))
     unnamed = F.array_compact(F.array(*(F.when(lacking(f), f + said) for f in ALL_FIELDS)))
     full = reduce(lambda a, b: a & b, (own(f).isNotNull() for f in ALL_FIELDS))  # nothing to list, as in most
-    d = d.withColumns({"type_issues": F.when(plain, root).otherwise(F.concat(root, *(issues[f] for f in BUILD_ORDER))), "missing_issues": F.when(full, none).when(plain, unnamed).otherwise(missing)})
+    d = d.withColumns({"type_issues": F.when(plain, F.when(F.col("_lacks"), issues["nutrition"]).otherwise(root)).otherwise(F.concat(root, *(issues[f] for f in BUILD_ORDER))), "missing_issues": F.when(full, none).when(plain, unnamed).otherwise(missing)})
     d = d.withColumns({f: F.col(f"_{f}.value") for f in SCALARS_IN_ORDER} | {f: F.col(f"_{f}.value") for f in (*LIST_FIELDS, "nutrition")})
-    return d.drop("_kinds", "_whole", *(f"_{f}" for f in ALL_FIELDS))
+    return d.drop("_kinds", "_whole", "_lacks", *(f"_{f}" for f in ALL_FIELDS))
 
 
 def _discarded(path: str, kind: Column) -> Column:
@@ -239,6 +243,17 @@ def _entries(get) -> Column:
     return let(F.coalesce(F.when(get("nutrition").isNotNull(), _kind(get("nutrition"))), F.lit("NoneType")), of)
 
 
+def _lacking(entries: Column) -> Column:
+    """What _entries() gives for items whose names and values are text or null."""
+
+    def issue(e: Column, i: Column) -> Column:
+        says = F.when(e.isNull(), ": expected object, got NoneType; skipped").when(e["name"].isNull(), ": missing 'name'; skipped").when(e["value"].isNull(), ": missing 'value'; defaulted to ''")
+        return F.concat(F.lit("nutrition["), i.cast("string"), F.lit("]"), says)
+
+    kept = F.transform(F.filter(entries, lambda e: e["name"].isNotNull()), lambda e: F.struct(e["name"].alias("name"), F.coalesce(e["value"], F.lit("")).alias("value")))
+    return F.struct(kept.alias("value"), F.filter(F.transform(entries, issue), lambda x: x.isNotNull()).alias("issues"))
+
+
 def _item(f: str):
     def of(v: Column, i: Column) -> Column:
         return _one(v, F.concat(F.lit(f"{f}["), i.cast("string"), F.lit("]")))

@@ -67,3 +67,24 @@ def test_plain_records_do_not_reach_the_ladder(spark, monkeypatch, compact):
     finally:
         spark.conf.unset("spark.sql.jsonGenerator.ignoreNullFields")
     assert sorted(seen) == [len(PLAIN) + k for k, c in enumerate(OTHERS) if c is not None]
+
+
+LACK = [
+    '{"nutrition":[{"name":"Fat"},{"value":"5 g"},{},null]}',
+    '{"nutrition":[{"name":"Fat","value":null},null],"additive":null}',
+    '{"nutrition":[{"value":"5 g"},{"value":"6 g"}]}',
+    '{"nutrition":[{"name":"Fat"},{"name":null}]}',
+    '{"nutrition":[{},{}],"warning":["x",null]}',
+    '{"nutrition":[{"name":""},{"name":"Fat","value":""}]}',
+]
+
+
+def test_items_without_name_or_value_are_read_without_coercion(spark, monkeypatch):
+    d = spark.createDataFrame([(k, c, "stop") for k, c in enumerate(LACK)], "k int, content string, finish_reason string")
+    rows = lambda d: sorted(map(tuple, P.structural_issues(d).select(*COLUMNS).collect()))
+    quick = rows(P.coerce(P.parse(d)))
+    told = d.selectExpr("schema_of_variant(parse_json(content)) AS s").collect()
+    assert all(P.re.search(P.LACKING, r["s"]) or P.re.search(P.PLAIN, r["s"]) for r in told)
+    monkeypatch.setattr(P, "PLAIN", "(?!)")
+    monkeypatch.setattr(P, "LACKING", "(?!)")
+    assert quick == rows(P.coerce(P.parse(d)))
