@@ -46,9 +46,9 @@ def degradation_curve(scores: DataFrame, clean_condition: str = "vi_zero", value
     return base.unionByName(perturbed).groupBy("kind", "model_key", "severity").agg(F.avg(value).alias("mean"), F.count_distinct("image_id").alias("n_images")).orderBy("kind", "model_key", "severity")
 
 
-def crosstab(errors: DataFrame) -> DataFrame:
-    """Counts and shares within the model, by (model_key, category)."""
-    counts = errors.groupBy("model_key", "category").agg(F.count("*").alias("n"))
+def crosstab(errors: DataFrame, times: str | None = None) -> DataFrame:
+    """Counts and shares within the model, by (model_key, category); times names a column of how often a row counts."""
+    counts = errors.groupBy("model_key", "category").agg((F.sum(times) if times else F.count("*")).alias("n"))
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("model_key")))
 
 

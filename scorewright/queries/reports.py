@@ -9,10 +9,12 @@ from scorewright.functions.text import cost_usd
 from scorewright.operators import report as P
 from scorewright.operators import resample as B
 from scorewright.operators import taxonomy as X
+from scorewright.operators.match import match_distinct
 from scorewright.plans.bridges import ANSWERS, GT, LEDGER, NUTRITION, RESPONSES, SCORES, rows, twin
 from scorewright.plans.selection import unlabelled
 from scorewright.queries import fields as Q
 from scorewright.queries.registry import query
+from scorewright.sources.tables import stored
 from scorewright.streaming import chunks as C
 
 R = Q.R
@@ -72,6 +74,13 @@ def errors(spark, sf_dir):
     return X.incorrect_scalars(Q.scalars(spark, sf_dir, then=_categorised))
 
 
+def counted_errors(spark, sf_dir):
+    """errors() without ids: each different (model_key, field, pred, truth) once, with the number n of such rows. Answers
+    meet their truth once, in the count, and only what is counted is matched."""
+    d = Q.scalar_rows(spark, sf_dir).groupBy("model_key", "field", "pred", "truth").agg(F.count("*").alias("n"))
+    return X.incorrect_scalars(match_distinct(stored(spark, d, "counted"), then=_categorised))
+
+
 def _categorised(d):
     """Categories of different (field, pred, truth), of which those that are no errors have none."""
     category = X.scalar_category(*map(F.col, ("field", "pred", "truth", "similarity", "diacritic_only")))
@@ -80,7 +89,7 @@ def _categorised(d):
 
 @query(twin("SELECT model_key, category, n, round(n / sum(n) OVER (PARTITION BY model_key), 6) AS share FROM (SELECT model_key, category, count(*) AS n FROM errors GROUP BY ALL)", *SCALARS, CATEGORY))
 def g6_taxonomy_crosstab(spark, sf_dir):
-    return P.crosstab(errors(spark, sf_dir)).select("model_key", "category", "n", R("share").alias("share"))
+    return P.crosstab(counted_errors(spark, sf_dir), "n").select("model_key", "category", "n", R("share").alias("share"))
 
 
 def ledger(spark, sf_dir):
@@ -278,7 +287,7 @@ def i5_nutrition_categories(spark, sf_dir):
 
 @query(twin("SELECT category, category = 'hallucination' AS low_confidence, count(*) AS n FROM errors GROUP BY ALL", *SCALARS, CATEGORY))
 def i6_low_confidence(spark, sf_dir):
-    return errors(spark, sf_dir).withColumn("low_confidence", X.low_confidence("category")).groupBy("category", "low_confidence").agg(F.count("*").alias("n"))
+    return counted_errors(spark, sf_dir).withColumn("low_confidence", X.low_confidence("category")).groupBy("category", "low_confidence").agg(F.sum("n").alias("n"))
 
 
 @query(twin("SELECT image_id, model_key, field, category FROM errors ORDER BY md5('42#' || model_key || '#' || image_id || '#' || field), model_key, image_id, field LIMIT 300", *SCALARS, CATEGORY))
