@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import cache
+from functools import cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from scorewright.functions.columns import let, once
 
@@ -43,6 +43,9 @@ COMPOSED = r"[^\x{0}-\x{2ff}\x{1e00}-\x{1eff}\x{2010}-\x{2027}\x{20ac}]"
 #: Patterns of white space and numbers (fixed values).
 SPACE = r"(?U)[\s\x{1c}-\x{1f}]+"
 NUMBER = r"[-+]?\d[\d.,]*"
+#: Where a text may differ from its normalised form: at capitals, sentence ends, characters outside ASCII, control
+#: characters, and spaces in a row or at an end.
+UNEVEN = r'[^ "-\-/->@\[-~]|  |\A | \z'
 
 
 def _c(c: Column | str) -> Column:
@@ -55,8 +58,9 @@ def fold_quotes(c: Column | str) -> Column:
 
 def normalize_text(c: Column | str) -> Column:
     """Straight quotes, single spaces, no sentence end, lower case; null is empty. The input is in composed form (see composed())."""
-    s = F.trim(F.regexp_replace(fold_quotes(F.coalesce(_c(c), F.lit(""))), SPACE, " "))
-    return F.lower(F.trim(F.regexp_replace(s, "[.!?]+$", "")))
+    text = F.coalesce(_c(c), F.lit(""))
+    s = F.trim(F.regexp_replace(fold_quotes(text), SPACE, " "))
+    return F.when(text.rlike(UNEVEN), F.lower(F.trim(F.regexp_replace(s, "[.!?]+$", "")))).otherwise(text)
 
 
 @once
@@ -71,6 +75,15 @@ def compose(c: Column | str) -> Column:
     return F.when(odd, _nfc(F.when(odd, _c(c)))).otherwise(_c(c))
 
 
+def _decomposed(c: Column, kind: DataType) -> Column:
+    """Whether a string, or one in an array or struct, has a character outside COMPOSED; null stands for no, too."""
+    if isinstance(kind, ArrayType):
+        return F.exists(c, lambda x: _decomposed(x, kind.elementType))
+    if isinstance(kind, StructType):
+        return reduce(lambda a, b: a | b, (_decomposed(c[f.name], f.dataType) for f in kind.fields))
+    return (c if isinstance(kind, StringType) else F.to_json(F.array(c))).rlike(COMPOSED)
+
+
 def composed(df: DataFrame, *cols: str, to: tuple[str, ...] | None = None) -> DataFrame:
     """df with the columns, strings or arrays and structs of them, in Unicode composed form (under the names of to, if
     given). One pass: only values with characters outside COMPOSED reach Python."""
@@ -78,9 +91,8 @@ def composed(df: DataFrame, *cols: str, to: tuple[str, ...] | None = None) -> Da
     def form(c: str) -> Column:
         kind = df.schema[c].dataType
         plain = kind.simpleString() == "string"
-        text = F.col(c) if plain else F.to_json(c)
-        odd = F.coalesce(text.rlike(COMPOSED), F.lit(False))
-        made = _nfc(F.when(odd, text))
+        odd = F.coalesce(_decomposed(F.col(c), kind), F.lit(False))
+        made = _nfc(F.when(odd, F.col(c) if plain else F.to_json(c)))
         return F.when(odd, made if plain else F.from_json(made, kind)).otherwise(F.col(c))
 
     return df.withColumns({n: form(c) for n, c in zip(to or cols, cols, strict=True)})
