@@ -52,25 +52,30 @@ def match_distinct(df: DataFrame, field: str = "field", pred: str = "pred", trut
     truth) is matched once in the job, as is what then() makes of it, and what is found is joined back. All rows stay, and
     nulls meet nulls."""
     cols = [field, pred, truth]
-    found = match_scalars(df.select(*cols).distinct(), *cols)
-    found = (then(found) if then else found).withColumnsRenamed({c: f"_of_{c}" for c in cols})
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cols))
-    return df.join(found, same).drop(*(f"_of_{c}" for c in cols))
+    return once_each(df, cols, lambda d: then(match_scalars(d, *cols)) if then else match_scalars(d, *cols))
 
 
 def once_each(df: DataFrame, cols: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """df with the columns that work() adds to a table of cols, done once in the job for each different value of them.
 
-    df is read twice, so it should be a stored table or columns of one. What is found is stored, so Spark knows its size: a
+    df is read twice, so it should be a stored table, columns of one, or a cheap step from tables. What is found is stored, so Spark knows its size: a
     small table goes to every task, and df is not shuffled; for a large one both are. All rows stay, and nulls meet nulls.
+    Rows meet by one number made of the values, which is quicker to look up than several texts, and then compare the values
+    (strings, or arrays and structs of them), so those of one number by chance stay apart.
     """
     spark = df.sparkSession
     asked = stored(spark, df.select(*cols).distinct(), "asked")
     slots = spark.sparkContext.defaultParallelism
     asked = asked if asked.rdd.getNumPartitions() >= slots else asked.repartition(slots)
     found = stored(spark, work(asked), "found").withColumnsRenamed({c: f"_of_{c}" for c in cols})
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in cols))
-    return df.join(found, same).drop(*(f"_of_{c}" for c in cols))
+    found = found.withColumn("_of_all", F.xxhash64(*(f"_of_{c}" for c in cols)))
+
+    def same(a: Column, b: Column) -> Column:
+        """a <=> b in a form that is no key of the join."""
+        return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise((a <= b) & (a >= b))
+
+    meets = reduce(lambda a, b: a & b, (same(F.col(c), F.col(f"_of_{c}")) for c in cols), F.col("_all") == F.col("_of_all"))
+    return df.withColumn("_all", F.xxhash64(*cols)).join(found, meets).drop("_all", "_of_all", *(f"_of_{c}" for c in cols))
 
 
 def _f1(p: Column, r: Column) -> Column:

@@ -17,7 +17,8 @@ def scalar_rows(answers: DataFrame, truth: DataFrame) -> DataFrame:
     """KEYS, field, pred, truth for each scalar field of the answers to labelled records."""
     t = truth.select("image_id", F.struct(*(F.coalesce(f, F.lit("")).alias(f) for f in SCALARS)).alias("_t"))
     d = answers.select(*KEYS, F.struct(*(F.coalesce(f, F.lit("")).alias(f) for f in SCALARS)).alias("_p")).join(t, "image_id")
-    return d.select(*KEYS, F.inline(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"_p.{f}").alias("pred"), F.col(f"_t.{f}").alias("truth")) for f in SCALARS))))
+    fields = (x for f in SCALARS for x in (F.lit(f), F.col(f"_p.{f}"), F.col(f"_t.{f}")))
+    return d.select(*KEYS, F.stack(F.lit(len(SCALARS)), *fields).alias("field", "pred", "truth"))
 
 
 def field_scores(scalars: DataFrame, lists: DataFrame, nutrition: DataFrame | None = None, list_field: str = "ingredient") -> DataFrame:
