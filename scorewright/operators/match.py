@@ -47,28 +47,22 @@ def match_scalars(df: DataFrame, field: str = "field", pred: str = "pred", truth
     return d.withColumn("diacritic_only", ~F.col("_strict") & (F.col("_g") != "") & (strip_diacritics("_p") == strip_diacritics("_g"))).drop("_cp", "_cg", "_p", "_g", "_pn", "_gn", "_pd", "_gd", "_strict", "_sim")
 
 
-def match_distinct(df: DataFrame, field: str = "field", pred: str = "pred", truth: str = "truth", then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def match_distinct(df: DataFrame, field: str = "field", pred: str = "pred", truth: str = "truth", then: Callable[[DataFrame], DataFrame] | None = None, store: bool = False) -> DataFrame:
     """match_scalars() for tables in which fields repeat, as weights, dates and brands do: each different (field, pred,
     truth) is matched once in the job, as is what then() makes of it, and what is found is joined back. All rows stay, and
-    nulls meet nulls."""
+    nulls meet nulls. With store it is done by once_each(), now, so that rows are not shuffled if little is found."""
     cols = [field, pred, truth]
-    return once_each(df, cols, lambda d: then(match_scalars(d, *cols)) if then else match_scalars(d, *cols))
+    work = lambda d: then(match_scalars(d, *cols)) if then else match_scalars(d, *cols)
+    return once_each(df, cols, work) if store else _met(df, work(df.select(*cols).distinct()), cols)
 
 
-def once_each(df: DataFrame, cols: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """df with the columns that work() adds to a table of cols, done once in the job for each different value of them.
+def _met(df: DataFrame, found: DataFrame, cols: list[str]) -> DataFrame:
+    """df with what was found for its values of cols, which found has once each.
 
-    df is read twice, so it should be a stored table, columns of one, or a cheap step from tables. What is found is stored, so Spark knows its size: a
-    small table goes to every task, and df is not shuffled; for a large one both are. All rows stay, and nulls meet nulls.
     Rows meet by one number made of the values, which is quicker to look up than several texts, and then compare the values
     (strings, or arrays and structs of them), so those of one number by chance stay apart.
     """
-    spark = df.sparkSession
-    asked = stored(spark, df.select(*cols).distinct(), "asked")
-    slots = spark.sparkContext.defaultParallelism
-    asked = asked if asked.rdd.getNumPartitions() >= slots else asked.repartition(slots)
-    found = stored(spark, work(asked), "found").withColumnsRenamed({c: f"_of_{c}" for c in cols})
-    found = found.withColumn("_of_all", F.xxhash64(*(f"_of_{c}" for c in cols)))
+    found = found.withColumnsRenamed({c: f"_of_{c}" for c in cols}).withColumn("_of_all", F.xxhash64(*(f"_of_{c}" for c in cols)))
 
     def same(a: Column, b: Column) -> Column:
         """a <=> b in a form that is no key of the join."""
@@ -78,6 +72,20 @@ def once_each(df: DataFrame, cols: list[str], work: Callable[[DataFrame], DataFr
     return df.withColumn("_all", F.xxhash64(*cols)).join(found, meets).drop("_all", "_of_all", *(f"_of_{c}" for c in cols))
 
 
+def once_each(df: DataFrame, cols: list[str], work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """df with the columns that work() adds to a table of cols, done once in the job for each different value of them.
+
+    df is read twice, so it should be a stored table, columns of one, or a cheap step from tables. What is found is stored,
+    so Spark knows its size: a small table goes to every task, and df is not shuffled; for a large one both are. All rows
+    stay, and nulls meet nulls.
+    """
+    spark = df.sparkSession
+    asked = stored(spark, df.select(*cols).distinct(), "asked")
+    slots = spark.sparkContext.defaultParallelism
+    asked = asked if asked.rdd.getNumPartitions() >= slots else asked.repartition(slots)
+    return _met(df, stored(spark, work(asked), "found"), cols)
+
+
 def _f1(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
 
